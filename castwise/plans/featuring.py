@@ -1 +1,141 @@
-"""(filled in below)"""
+"""Feature-block queries (A6, A9, A10, A18, X-T5..X-T7, M1)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalar as S
+from ..functions.text import STOP_WORDS, TERM_PATTERN
+from ..operators import features as FE
+from ..operators import tfidf as TF
+from .catalog import Ctx, register
+from .sqlbase import r6, with_ctes
+
+
+def _stop_sql() -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS) + "]"
+
+
+# SQL mirrors of the feature blocks; reused by the similarity oracles.
+FEATURE_CTES = {
+    "review_agg": f"""
+SELECT n.item_id, {r6('avg(overall_score)')} AS avg_overall, {r6('avg(story_score)')} AS avg_story,
+ {r6('avg(acting_cast_score)')} AS avg_acting, {r6('avg(music_score)')} AS avg_music,
+ {r6('avg(rewatch_value_score)')} AS avg_rewatch, count(user_id) AS review_count,
+ {r6('avg(CASE WHEN sentiment_label = 2 THEN 1.0 ELSE 0.0 END)')} AS pct_positive,
+ {r6('avg(CASE WHEN sentiment_label = 1 THEN 1.0 ELSE 0.0 END)')} AS pct_neutral,
+ {r6('avg(CASE WHEN sentiment_label = 0 THEN 1.0 ELSE 0.0 END)')} AS pct_negative
+FROM reviews_clean r JOIN name_lookup n ON n.name_key = lower(regexp_replace(r.title, '^\\s+|\\s+$', '', 'g'))
+WHERE r.title IS NOT NULL GROUP BY n.item_id""",
+    "reputation": """
+SELECT actor_name, avg(overall_score) AS actor_avg_score, count(DISTINCT item_name) AS actor_appearances
+FROM credits_clean c JOIN reviews_clean r ON c.item_name = r.title GROUP BY actor_name""",
+    "cast_agg": """
+SELECT n.item_id, avg(p.actor_avg_score) AS cast_avg_score, count(DISTINCT c.actor_name) AS cast_size,
+ count_if(c.role = 'Main Role') AS main_role_count, count_if(c.role = 'Support Role') AS support_role_count
+FROM credits_clean c LEFT JOIN reputation p ON p.actor_name = c.actor_name
+JOIN name_lookup n ON n.name_key = c.item_name GROUP BY n.item_id""",
+    "num_filled": "SELECT item_id, " + ", ".join(
+        f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in FE.NUMERIC_COLS) + " FROM items_clean",
+    "num_bounds": "SELECT " + ", ".join(
+        f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in FE.NUMERIC_COLS) + " FROM num_filled",
+    "scaled": "SELECT item_id, " + ", ".join(
+        f"CASE WHEN hi_{c} = lo_{c} THEN 0.0 ELSE ({c} - lo_{c}) / (hi_{c} - lo_{c}) END AS {c}"
+        for c in FE.NUMERIC_COLS) + " FROM num_filled CROSS JOIN num_bounds",
+    "one_hot": " UNION ALL ".join(
+        f"SELECT item_id, '{c}_' || {c} AS feature, 1.0 AS value FROM items_clean WHERE {c} IS NOT NULL"
+        for c in FE.CATEGORICAL_COLS),
+    "tf_toks": f"""
+SELECT item_id, list_filter(regexp_extract_all(lower(coalesce(synopsis, '')), '{TERM_PATTERN}'),
+ lambda t: NOT list_contains({_stop_sql()}, t)) AS t FROM items_clean""",
+    "tf": """
+SELECT item_id, term, count(*) AS tf FROM (
+ SELECT item_id, unnest(t || CASE WHEN len(t) >= 2 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END) AS term
+ FROM tf_toks) GROUP BY item_id, term""",
+    "vocab": """
+SELECT term, df, total, ln((n + 1.0) / (df + 1.0)) + 1 AS idf FROM (
+ SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term HAVING count(*) >= 2
+ ORDER BY total DESC, term LIMIT 300) CROSS JOIN (SELECT count(*) AS n FROM items_clean)""",
+    "tfidf": """
+SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS weight FROM (
+ SELECT tf.item_id, tf.term, tf.tf * v.idf AS w FROM tf JOIN vocab v USING (term))""",
+    "review_agg_raw": """
+SELECT n.item_id, avg(overall_score) AS avg_overall, avg(story_score) AS avg_story,
+ avg(acting_cast_score) AS avg_acting, avg(music_score) AS avg_music,
+ avg(rewatch_value_score) AS avg_rewatch, count(user_id) AS review_count,
+ avg(CASE WHEN sentiment_label = 2 THEN 1.0 ELSE 0.0 END) AS pct_positive,
+ avg(CASE WHEN sentiment_label = 1 THEN 1.0 ELSE 0.0 END) AS pct_neutral,
+ avg(CASE WHEN sentiment_label = 0 THEN 1.0 ELSE 0.0 END) AS pct_negative
+FROM reviews_clean r JOIN name_lookup n ON n.name_key = r.title
+WHERE r.title IS NOT NULL GROUP BY n.item_id""",
+    "dense": """
+SELECT s.*, """ + ", ".join(f"coalesce(r.{c}, 0) AS {c}" for c in FE.REVIEW_AGG_COLS) + ", " + ", ".join(
+        f"coalesce(k.{c}, 0) AS {c}" for c in FE.CAST_COLS) + """
+FROM scaled s LEFT JOIN review_agg_raw r USING (item_id) LEFT JOIN cast_agg k USING (item_id)""",
+    "features": """
+SELECT * FROM (
+ SELECT item_id, feature, CAST(value AS DOUBLE) AS value FROM dense
+   UNPIVOT (value FOR feature IN (""" + ", ".join(FE.NUMERIC_COLS + FE.REVIEW_AGG_COLS + FE.CAST_COLS) + """))
+ UNION ALL SELECT item_id, feature, value FROM one_hot
+ UNION ALL SELECT item_id, 'tfidf_' || term AS feature, weight AS value FROM tfidf) WHERE value <> 0""",
+}
+
+
+def fsql(body: str) -> str:
+    return with_ctes(body, FEATURE_CTES)
+
+
+@register("review_aggregates", fsql("SELECT * FROM review_agg"), ids="A1-A3,A9,J4")
+def review_aggregates(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    df = FE.review_aggregates(c.reviews_clean, c.items)
+    return df.select("item_id", *[S.r6(x).alias(x) if x != "review_count" else x
+                                  for x in FE.REVIEW_AGG_COLS])
+
+
+@register("cast_features", fsql(f"""
+SELECT item_id, {r6('cast_avg_score')} AS cast_avg_score, cast_size, main_role_count, support_role_count
+FROM cast_agg"""), ids="A4,A5,A10,J2,J4")
+def cast_features(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    df = FE.cast_features(c.credits_clean, c.reviews_clean, c.items)
+    return df.select("item_id", S.r6("cast_avg_score").alias("cast_avg_score"), "cast_size",
+                     "main_role_count", "support_role_count")
+
+
+@register("scaled_numerics", fsql("SELECT item_id, " + ", ".join(
+    f"{r6(c)} AS {c}" for c in FE.NUMERIC_COLS) + " FROM scaled"), ids="A18,C6,C13")
+def scaled_numerics(spark, sf_dir):
+    df = FE.scaled_numerics(Ctx(spark, sf_dir).items_clean)
+    return df.select("item_id", *[S.r6(c).alias(c) for c in FE.NUMERIC_COLS])
+
+
+@register("one_hot_long", fsql("SELECT * FROM one_hot"), ids="X-T7")
+def one_hot_long(spark, sf_dir):
+    return FE.one_hot_long(Ctx(spark, sf_dir).items_clean)
+
+
+@register("tfidf_terms", fsql(f"SELECT term, df, total, {r6('idf')} AS idf FROM vocab"), ids="X-T2,X-T3,X-T5,X-T6")
+def tfidf_terms(spark, sf_dir):
+    i = Ctx(spark, sf_dir).items_clean
+    tf = TF.term_counts(i, "item_id", "synopsis")
+    v = TF.vocabulary(tf, "item_id", i.agg(F.count(F.lit(1)).alias("n_docs")), 300, 2)
+    return v.select("term", "df", "total", S.r6("idf").alias("idf"))
+
+
+@register("tfidf_weights", fsql(f"SELECT item_id, term, {r6('weight')} AS weight FROM tfidf"), ids="X-T5")
+def tfidf_weights(spark, sf_dir):
+    df = TF.tfidf_weights(Ctx(spark, sf_dir).items_clean, "item_id", "synopsis", 300, 2)
+    return df.select("item_id", "term", S.r6("weight").alias("weight"))
+
+
+def build_feature_store(c: Ctx):
+    tfidf = TF.tfidf_weights(c.items_clean, "item_id", "synopsis", 300, 2)
+    return FE.feature_store_long(c.items_clean, c.reviews_clean, c.credits_clean, tfidf, c.items)
+
+
+@register("feature_store", fsql(f"SELECT item_id, feature, {r6('value')} AS value FROM features"),
+          ids="M1,J5,C6")
+def feature_store(spark, sf_dir):
+    return build_feature_store(Ctx(spark, sf_dir)).select(
+        "item_id", "feature", S.r6("value").alias("value"))
