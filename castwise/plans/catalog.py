@@ -62,6 +62,23 @@ class Ctx:
     def credits(self) -> DataFrame:
         return roles.credits(self.spark, self.sf_dir)
 
+    @cached_property
+    def item_keys(self) -> DataFrame:
+        """(item_id, item_name) only: a part scan, no joins."""
+        return roles.item_keys(self.spark, self.sf_dir)
+
+    @cached_property
+    def features(self) -> DataFrame:
+        """The long feature store, written once under the checkpoint dir.
+
+        Similarity and ranking plans read it three or more times; reading
+        the written table cuts the lineage (TF-IDF, cleaning, joins) and
+        a lost executor re-reads files instead of recomputing it.
+        """
+        from ..session import materialize
+        from .featuring import build_feature_store
+        return materialize(build_feature_store(self), "feature_store")
+
     @cached_property
     def items_clean(self) -> DataFrame:
         return C.clean_items(self.items)

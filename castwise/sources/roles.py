@@ -63,6 +63,13 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def item_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(item_id, item_name)`` of the item role, straight from ``part``."""
+    p = Tables(spark, sf_dir).part
+    return p.select(F.col("p_partkey").alias("item_id"),
+                    F.concat(F.col("p_name"), F.lit(" "), F.col("p_brand")).alias("item_name"))
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     li = (t.lineitem
