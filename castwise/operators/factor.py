@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -18,3 +20,125 @@ def split_ratings(reviews_clean: DataFrame, test_per_mille: int = 100, seed: int
                       F.col("overall_score").cast("string"))
     b = S.md5_bucket(key, seed)
     return reviews_clean.withColumn("part", F.when(b < test_per_mille, "test").otherwise("train"))
+
+
+# ------------------------------------------------------------ key encoding
+
+def dense_index(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
+    """M2: ``(col, out)`` with out = position of the value in sorted order.
+
+    Distributed: a range-partitioned sort of the distinct values, then each
+    row's index is its partition's offset (a running sum over one row per
+    partition) plus its position within the partition. The tagged table is
+    written once so both uses see the same partition layout.
+    """
+    from ..session import materialize
+    keys = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
+    tagged = materialize(keys.select(col, F.spark_partition_id().alias("_p"),
+                                     F.monotonically_increasing_id().alias("_m")), f"index-{col}")
+    counts = tagged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offs = counts.select("_p", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return tagged.join(F.broadcast(offs), "_p").select(
+        col, (F.col("_off") + F.col("_m") - F.col("_m0")).cast("long").alias(out))
+
+
+def summed_ratings(ratings: DataFrame) -> DataFrame:
+    """Duplicate (user, title) ratings are summed, as a sparse matrix
+    constructor does."""
+    return ratings.groupBy("user_id", "title").agg(F.sum("overall_score").alias("score_sum"),
+                                                    F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------ factorisation
+
+@dataclass
+class Factors:
+    """Result of :func:`fit_svd`; every table is keyed by the dense index."""
+    users: DataFrame          # (user_id, u)
+    titles: DataFrame         # (title, t)
+    user_factors: DataFrame   # (u, uf array<double>)  = U * sigma
+    item_factors: DataFrame   # (t, vf array<double>)  = V
+    sigma: list[float]
+    n_users: int
+    n_titles: int
+    train: DataFrame          # (u, t, v) summed training entries
+    test: DataFrame           # (user_id, title, overall_score, u, t)
+
+
+def fit_svd(reviews_clean: DataFrame, k: int = 50, test_per_mille: int = 100, seed: int = 42) -> Factors:
+    """M3: truncated SVD of the user x title training matrix.
+
+    Encoders see all rows (train and test), as in the reference; the split
+    is the md5 split of :func:`split_ratings`; unrated cells are 0 and
+    nothing is centred. The SVD is MLlib's distributed ``computeSVD`` on an
+    ``IndexedRowMatrix``; U comes back distributed and V is rebuilt on the
+    cluster as X^T U / sigma, so neither factor table passes through the
+    driver (only the k singular values do).
+    """
+    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
+
+    from ..session import materialize
+
+    r = (reviews_clean.select("user_id", S.norm_key("title").alias("title"), "overall_score")
+         .na.drop())  # C5
+    users = materialize(dense_index(r, "user_id", "u"), "users")
+    titles = materialize(dense_index(r, "title", "t"), "titles")
+    n_users, n_titles = users.count(), titles.count()
+    parts = split_ratings(r, test_per_mille, seed).join(users, "user_id").join(titles, "title")
+    train = materialize(parts.where(F.col("part") == "train").groupBy("u", "t")
+                        .agg(F.sum("overall_score").alias("v")), "train")
+    test = parts.where(F.col("part") == "test").select("user_id", "title", "overall_score", "u", "t")
+    k_eff = max(1, min(k, n_titles - 1 if n_titles > 1 else 1))
+    entries = train.rdd.map(lambda row: MatrixEntry(row[0], row[1], row[2]))
+    mat = CoordinateMatrix(entries, n_users, n_titles).toIndexedRowMatrix()
+    svd = mat.computeSVD(k_eff, computeU=True)
+    sigma = [float(x) for x in svd.s.toArray()]
+    spark = reviews_clean.sparkSession
+    sig = F.array(*[F.lit(x) for x in sigma])
+    u_rows = materialize(spark.createDataFrame(
+        svd.U.rows.map(lambda ir: (int(ir.index), [float(x) for x in ir.vector.toArray()])),
+        "u long, uvec array<double>"), "svd_u")
+    uf = materialize(u_rows.select("u", F.zip_with("uvec", sig, lambda a, b: a * b).alias("uf")), "user_factors")
+    # V = X^T U sigma^-1, one pass over the training entries
+    contrib = (train.join(u_rows, "u")
+               .select("t", F.posexplode(F.transform("uvec", lambda x: x * F.col("v"))).alias("c", "x")))
+    vcols = contrib.groupBy("t", "c").agg(F.sum("x").alias("x"))
+    vf = materialize(vcols.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))
+                     .select("t", F.zip_with(F.transform("xs", lambda e: e["x"]), sig,
+                                             lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)).alias("vf")),
+                     "item_factors")
+    return Factors(users, titles, uf, vf, sigma, n_users, n_titles, train, test)
+
+
+def predictions(f: Factors, rows: DataFrame | None = None) -> DataFrame:
+    """J13 + F10: (user_id, title, actual, pred) with pred = clip(u . v, 1, 10).
+
+    Left joins: a user or title without factors predicts 0 before clipping
+    (the reference's validity filter never removes a row).
+    """
+    rows = rows if rows is not None else f.test
+    j = rows.join(f.user_factors, "u", "left").join(f.item_factors, "t", "left")
+    raw = F.when(F.col("uf").isNull() | F.col("vf").isNull(), F.lit(0.0)).otherwise(S.dot("uf", "vf"))
+    return j.select("user_id", "title", F.col("overall_score").alias("actual"),
+                    S.clip(raw, 1, 10).alias("pred"))
+
+
+def error_report(pred: DataFrame) -> DataFrame:
+    """One row (rmse, mae, n); no rows -> nulls."""
+    d = F.col("actual") - F.col("pred")
+    return pred.agg(F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"),
+                    F.count(F.lit(1)).alias("n"))
+
+
+def explained_variance(f: Factors) -> DataFrame:
+    """Sum of var(U sigma columns) / sum of var(X columns), zeros included."""
+    n = float(f.n_users)
+    kk = len(f.sigma)
+    comp = f.user_factors.select(F.posexplode("uf").alias("c", "x"))
+    ev = (comp.groupBy("c").agg((F.sum(F.col("x") * F.col("x")) / n - F.pow(F.sum("x") / n, 2)).alias("ev"))
+          .agg(F.sum("ev").alias("explained")))
+    tv = (f.train.groupBy("t").agg((F.sum(F.col("v") * F.col("v")) / n - F.pow(F.sum("v") / n, 2)).alias("tv"))
+          .agg(F.sum("tv").alias("total")))
+    return ev.crossJoin(tv).select(F.lit(kk).alias("k"), "explained", "total",
+                                   F.try_divide(F.col("explained"), F.col("total")).alias("explained_variance_ratio"))

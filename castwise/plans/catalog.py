@@ -94,5 +94,5 @@ class Ctx:
 
 def all_queries() -> dict[str, Query]:
     # importing the group modules fills the registry
-    from . import cleaning, profiling, featuring, texts, recs, runs  # noqa: F401
+    from . import cleaning, profiling, featuring, texts, recs, factoring, runs  # noqa: F401
     return REGISTRY
