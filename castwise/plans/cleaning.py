@@ -182,3 +182,76 @@ def review_split(spark, sf_dir):
     r = Ctx(spark, sf_dir).reviews_clean
     return (split_ratings(r).groupBy("part")
             .agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("user_id").alias("n_users")))
+
+
+# ---------------------------------------------------------------- files and lists
+
+@register("csv_roundtrip_items", with_ctes("SELECT * FROM items"), ids="S1,S2,S5")
+def csv_roundtrip_items(spark, sf_dir):
+    """Items written as CSV (header, quoted multi-line text) under the
+    checkpoint folder and read back with the fixed schema."""
+    import os
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import files as FI
+    root = os.path.join(ensure_checkpoint_dir(spark), f"raw-{uuid.uuid4().hex}")
+    FI.write_csv(Ctx(spark, sf_dir).items, os.path.join(root, FI.RAW_FILES["items"]))
+    return FI.load_raw(spark, "items", root)
+
+
+@register("most_common_elements", with_ctes("""
+SELECT e AS element, count(*) AS n FROM (
+ SELECT unnest(CAST(lst AS VARCHAR[])) AS e FROM (
+  SELECT l.l_orderkey, to_json(list(concat(p.p_name, ' ', p.p_brand) ORDER BY l.l_linenumber)) AS lst
+  FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey GROUP BY l.l_orderkey))
+GROUP BY e ORDER BY n DESC, element LIMIT 10"""), ids="S10,T6,U5")
+def most_common_elements(spark, sf_dir):
+    """Each order's item names travel as a JSON list text (as a CSV list
+    column would); it is parsed to an array, flattened and counted."""
+    from ..sources import files as FI
+    t = Ctx(spark, sf_dir).t
+    li = t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber")
+    p = t.part.select("p_partkey", F.concat("p_name", F.lit(" "), "p_brand").alias("name"))
+    lists = (li.join(p, li.l_partkey == p.p_partkey)
+             .groupBy("l_orderkey")  # an order's lines: a bounded group
+             .agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "name"))),
+                                        lambda x: x["name"])).alias("lst")))
+    parsed = FI.parse_list_column(lists, "lst")
+    return (parsed.select(F.explode("lst").alias("element")).groupBy("element")
+            .agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "element").limit(10))
+
+
+# Accepted date formats of the lenient parser (Spark patterns).
+DATE_FORMATS = ["yyyy-MM-dd", "MMM d, yyyy", "d/M/yyyy"]
+
+
+@register("parse_dates", with_ctes("""
+SELECT o_orderkey, s, CAST(coalesce(try_strptime(s, '%Y-%m-%d'), try_strptime(s, '%b %-d, %Y'),
+  try_strptime(s, '%-d/%-m/%Y')) AS DATE) AS parsed FROM (
+ SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN 'not a date'
+   WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d')
+   WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%b %-d, %Y')
+   ELSE strftime(o_orderdate, '%-d/%-m/%Y') END AS s FROM orders)"""), ids="F9")
+def parse_dates(spark, sf_dir):
+    """Order dates rendered in three formats (and some junk), parsed back."""
+    o = Ctx(spark, sf_dir).t.orders
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    s = (F.when(k % 97 == 0, F.lit("not a date"))
+         .when(k % 3 == 0, F.date_format(d, "yyyy-MM-dd"))
+         .when(k % 3 == 1, F.date_format(d, "MMM d, yyyy"))
+         .otherwise(F.date_format(d, "d/M/yyyy")))
+    x = o.select("o_orderkey", s.alias("s"))
+    return x.select("o_orderkey", "s", S.parse_timestamp("s", DATE_FORMATS).cast("date").alias("parsed"))
+
+
+@register("review_sample", with_ctes(f"""
+SELECT sentiment_label, count(*) AS n_rows FROM reviews_clean
+WHERE {md5_bucket("CAST(user_id AS VARCHAR) || '|' || title || '|' || CAST(overall_score AS VARCHAR)", "sample")} < 100
+GROUP BY 1"""), ids="C16")
+def review_sample(spark, sf_dir):
+    """A reproducible ~10 % row sample (md5 bucket), counted per label."""
+    r = Ctx(spark, sf_dir).reviews_clean
+    key = F.concat_ws("|", F.col("user_id").cast("string"), F.col("title"), F.col("overall_score").cast("string"))
+    return (r.where(S.md5_bucket(key, "sample") < 100).groupBy("sentiment_label")
+            .agg(F.count(F.lit(1)).alias("n_rows")))
