@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The system this engine re-expresses is batch only: every input is a finite
+file and there is no watermark, window, session or state logic in it. All
+operators here are batch DataFrame functions; a caller who feeds micro-batches
+can apply them inside ``foreachBatch`` unchanged.
+"""
