@@ -52,6 +52,13 @@ def summed_ratings(ratings: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ factorisation
 
+# Widest matrix (columns = titles) factorised through its Gramian in one
+# pass; the n x n Gramian is at most 4096^2 doubles (134 MB). Wider
+# matrices use distributed ARPACK iterations.
+GRAMIAN_MAX_COLS = 4096
+RCOND = 1e-9
+
+
 @dataclass
 class Factors:
     """Result of :func:`fit_svd`; every table is keyed by the dense index."""
@@ -76,6 +83,7 @@ def fit_svd(reviews_clean: DataFrame, k: int = 50, test_per_mille: int = 100, se
     cluster as X^T U / sigma, so neither factor table passes through the
     driver (only the k singular values do).
     """
+    from pyspark import StorageLevel
     from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
 
     from ..session import materialize
@@ -92,22 +100,50 @@ def fit_svd(reviews_clean: DataFrame, k: int = 50, test_per_mille: int = 100, se
     k_eff = max(1, min(k, n_titles - 1 if n_titles > 1 else 1))
     entries = train.rdd.map(lambda row: MatrixEntry(row[0], row[1], row[2]))
     mat = CoordinateMatrix(entries, n_users, n_titles).toIndexedRowMatrix()
-    svd = mat.computeSVD(k_eff, computeU=True)
-    sigma = [float(x) for x in svd.s.toArray()]
+    sc = reviews_clean.sparkSession.sparkContext
+    jrows = mat._java_matrix_wrapper._java_model.rows()  # the JVM rows MLlib reads
+    jrows.persist(sc._getJavaStorageLevel(StorageLevel.MEMORY_AND_DISK))
     spark = reviews_clean.sparkSession
-    sig = F.array(*[F.lit(x) for x in sigma])
-    u_rows = materialize(spark.createDataFrame(
-        svd.U.rows.map(lambda ir: (int(ir.index), [float(x) for x in ir.vector.toArray()])),
-        "u long, uvec array<double>"), "svd_u")
-    uf = materialize(u_rows.select("u", F.zip_with("uvec", sig, lambda a, b: a * b).alias("uf")), "user_factors")
-    # V = X^T U sigma^-1, one pass over the training entries
-    contrib = (train.join(u_rows, "u")
-               .select("t", F.posexplode(F.transform("uvec", lambda x: x * F.col("v"))).alias("c", "x")))
-    vcols = contrib.groupBy("t", "c").agg(F.sum("x").alias("x"))
-    vf = materialize(vcols.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))
-                     .select("t", F.zip_with(F.transform("xs", lambda e: e["x"]), sig,
-                                             lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)).alias("vf")),
-                     "item_factors")
+    if n_titles <= GRAMIAN_MAX_COLS:
+        # one distributed pass builds X^T X (n_titles^2, bounded by the
+        # width check above); its eigenvectors are V and sqrt(eigenvalues)
+        # are the singular values -- MLlib's own "local-eigs" mode
+        import numpy as np
+        g = mat.computeGramianMatrix().toArray()
+        w, q = np.linalg.eigh(g)
+        order = np.argsort(w)[::-1][:k_eff]
+        s_all = np.sqrt(np.clip(w[order], 0.0, None))
+        keep = s_all > RCOND * (s_all[0] if len(s_all) and s_all[0] > 0 else 1.0)
+        sigma = [float(x) for x in s_all[keep]]
+        v = q[:, order][:, keep]
+        vf = materialize(spark.createDataFrame(
+            [(int(t), [float(x) for x in v[t]]) for t in range(n_titles)], "t long, vf array<double>"),
+            "item_factors")
+        # U sigma = X V, one pass over the training entries
+        contrib = (train.join(vf, "t")
+                   .select("u", F.posexplode(F.transform("vf", lambda x: x * F.col("v"))).alias("c", "x")))
+        ucols = contrib.groupBy("u", "c").agg(F.sum("x").alias("x"))
+        uf = materialize(ucols.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))
+                         .select("u", F.transform("xs", lambda e: e["x"]).alias("uf")), "user_factors")
+    else:
+        # distributed ARPACK: U stays distributed, V is rebuilt on the
+        # cluster as X^T U / sigma, so no factor table passes the driver
+        svd = mat.computeSVD(k_eff, computeU=True, rCond=RCOND)
+        sigma = [float(x) for x in svd.s.toArray()]
+        sig = F.array(*[F.lit(x) for x in sigma])
+        u_rows = materialize(spark.createDataFrame(
+            svd.U.rows.map(lambda ir: (int(ir.index), [float(x) for x in ir.vector.toArray()])),
+            "u long, uvec array<double>"), "svd_u")
+        uf = materialize(u_rows.select("u", F.zip_with("uvec", sig, lambda a, b: a * b).alias("uf")),
+                         "user_factors")
+        contrib = (train.join(u_rows, "u")
+                   .select("t", F.posexplode(F.transform("uvec", lambda x: x * F.col("v"))).alias("c", "x")))
+        vcols = contrib.groupBy("t", "c").agg(F.sum("x").alias("x"))
+        vf = materialize(vcols.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))
+                         .select("t", F.zip_with(F.transform("xs", lambda e: e["x"]), sig,
+                                                 lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)).alias("vf")),
+                         "item_factors")
+    jrows.unpersist(False)
     return Factors(users, titles, uf, vf, sigma, n_users, n_titles, train, test)
 
 

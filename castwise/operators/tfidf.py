@@ -52,6 +52,11 @@ def tfidf_weights(docs: DataFrame, key: str = "item_id", text: str = "synopsis",
     vocab = vocabulary(tf, key, n_docs, max_features, min_df)
     if max_features is not None:
         vocab = F.broadcast(vocab)  # at most max_features rows
-    w = tf.join(vocab, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    # null-safe key: no "term is not null" filter is inferred on the tf side,
+    # so this branch and the vocabulary branch share one (item, term) shuffle
+    # and AQE reuses it instead of tokenising the text twice
+    v = vocab.select(F.col("term").alias("v_term"), "idf")
+    w = (tf.join(v, tf.term.eqNullSafe(v.v_term))
+         .select(key, "term", (F.col("tf") * F.col("idf")).alias("w")))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return w.select(key, "term", (F.col("w") / norm).alias("weight"))

@@ -25,6 +25,17 @@ def _null_if(cond: Column, value: Column) -> Column:
     return F.when(cond, F.lit(None)).otherwise(value)
 
 
+def _docs(t: Tables) -> DataFrame:
+    """The document text side of a join.
+
+    ``documents`` is the large text table (100k x sf rows of up to 20k
+    words); it is never broadcast. A shuffle-hash join partitions both sides
+    by document key, which also spreads the text work that follows (tokens,
+    n-grams, lexicon) over all tasks instead of the scan's partitions.
+    """
+    return t.documents.select(F.col("doc_id"), F.col("text").alias("d_text")).hint("shuffle_hash")
+
+
 def _doc_count(t: Tables) -> DataFrame:
     # one row: proven size bound, broadcast is safe
     return F.broadcast(t.documents.agg(F.count(F.lit(1)).alias("nd")))
@@ -37,7 +48,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.count(F.lit(1)).alias("n")))
     p = t.part
     k = F.col("p_partkey")
-    docs = t.documents.select(F.col("doc_id"), F.col("text").alias("d_text"))
+    docs = _docs(t)
     base = (p.join(ship, k == ship.l_partkey, "left")
             .crossJoin(_doc_count(t))
             .withColumn("doc_key", k % F.col("nd")))
@@ -78,7 +89,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
                   "l_extendedprice", "l_discount", "l_tax"))
     o = t.orders.select("o_orderkey", "o_custkey")
     p = t.part.select("p_partkey", "p_name", "p_brand", "p_size")
-    docs = t.documents.select(F.col("doc_id"), F.col("text").alias("d_text"))
+    docs = _docs(t)
     base = (li.join(o, li.l_orderkey == o.o_orderkey)
             .join(p, li.l_partkey == p.p_partkey)
             .crossJoin(_doc_count(t))
