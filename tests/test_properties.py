@@ -144,3 +144,23 @@ def test_run_log(spark):
     RL.log_run(spark, runs, "a", metrics={"p": 0.0})
     RL.log_run(spark, runs, "b", metrics={"p": 0.4}, status="failed")
     assert RL.best_run(spark.read.parquet(runs), "p").first().run_name == "b"
+
+
+def test_missing_query_gives_empty_typed_result(spark, ctx):
+    from castwise.plans.recs import content_recs
+    q = spark.createDataFrame([("no such title",)], "query_key string")
+    r = content_recs(ctx, q, 5)
+    assert r.count() == 0 and {"query_key", "rank", "rec_key", "score"} <= set(r.columns)
+
+
+def test_stage_sinks_roundtrip(spark, ctx):
+    from castwise.operators import sentiment as SE
+    root = tempfile.mkdtemp(prefix="castwise-stage-")
+    scored = SE.lexicon_scores(ctx.reviews_clean)
+    n1 = FI.save_processed(scored.select("title", "overall_score", "review_text", "tb_label"), root, "predictions")
+    n2 = FI.save_processed(SE.item_sentiment(scored), root, "item_sentiment")
+    n3 = FI.save_processed(ctx.features, root, "feature_store")
+    assert n1 == ctx.reviews_clean.count()
+    assert FI.read_processed(spark, root, "item_sentiment").count() == n2
+    back = FI.read_processed(spark, root, "feature_store")
+    assert back.count() == n3 and dict(back.dtypes)["value"] == "double"
