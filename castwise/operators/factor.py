@@ -144,6 +144,11 @@ def fit_svd(reviews_clean: DataFrame, k: int = 50, test_per_mille: int = 100, se
                                                  lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)).alias("vf")),
                          "item_factors")
     jrows.unpersist(False)
+    # every encoded title has a factor row; one seen only in the test split
+    # has an all-zero column in X and so a zero vector, as in a dense V
+    kk = len(sigma)
+    vf = (titles.select("t").join(vf, "t", "left")
+          .select("t", F.coalesce("vf", F.array_repeat(F.lit(0.0), kk)).alias("vf")))
     return Factors(users, titles, uf, vf, sigma, n_users, n_titles, train, test)
 
 

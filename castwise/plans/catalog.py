@@ -62,6 +62,24 @@ class Ctx:
     def credits(self) -> DataFrame:
         return roles.credits(self.spark, self.sf_dir)
 
+    @cached_property
+    def items_core(self) -> DataFrame:
+        """Items without the synopsis: no documents join."""
+        return roles.items(self.spark, self.sf_dir, with_text=False)
+
+    @cached_property
+    def reviews_core(self) -> DataFrame:
+        """Reviews without their text: no documents join."""
+        return roles.reviews(self.spark, self.sf_dir, with_text=False)
+
+    @cached_property
+    def items_clean_core(self) -> DataFrame:
+        return C.clean_items(self.items_core)
+
+    @cached_property
+    def reviews_clean_core(self) -> DataFrame:
+        return C.clean_reviews(self.reviews_core)
+
     @cached_property
     def item_keys(self) -> DataFrame:
         """(item_id, item_name) only: a part scan, no joins."""
@@ -75,9 +93,14 @@ class Ctx:
         the written table cuts the lineage (TF-IDF, cleaning, joins) and
         a lost executor re-reads files instead of recomputing it.
         """
-        from ..session import materialize
+        from ..session import materialize, stage
         from .featuring import build_feature_store
-        return materialize(build_feature_store(self), "feature_store")
+        return stage(self.spark, ("feature_store", self.sf_dir), self.inputs(),
+                     lambda: materialize(build_feature_store(self), "feature_store"))
+
+    def inputs(self) -> list[str]:
+        from ..sources.tables import TABLES, table_path
+        return [table_path(self.sf_dir, t) for t in TABLES]
 
     @cached_property
     def items_clean(self) -> DataFrame:

@@ -32,7 +32,7 @@ def _verdict_sql(name: str, table: str, bad: str, where: str = "true") -> str:
     + _verdict_sql("credits", "credits", _CREDIT_BAD)), ids="Q1-Q3,Q5,Q6,Q8,Q9")
 def quality_report(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return Q.report({"items": c.items, "reviews": c.reviews, "credits": c.credits})
+    return Q.report({"items": c.items_core, "reviews": c.reviews_core, "credits": c.credits})
 
 
 @register("quality_items_passing", with_ctes(
@@ -41,7 +41,7 @@ def quality_report(spark, sf_dir):
 def quality_items_passing(spark, sf_dir):
     """The item check on years shifted into range: the passing fixture."""
     c = Ctx(spark, sf_dir)
-    return Q.verdict(c.items.withColumn("year", F.col("year") + 7), "items")
+    return Q.verdict(c.items_core.withColumn("year", F.col("year") + 7), "items")
 
 
 _ITEM_RULES_SQL = """
@@ -61,7 +61,7 @@ SELECT 'items' AS dataset, rule, count(*) AS n_rows FROM (
 
 @register("quality_violation_counts", with_ctes(_ITEM_RULES_SQL), ids="Q3-Q7")
 def quality_violation_counts(spark, sf_dir):
-    return Q.violation_counts(Ctx(spark, sf_dir).items, "items")
+    return Q.violation_counts(Ctx(spark, sf_dir).items_core, "items")
 
 
 @register("quality_violation_sample", with_ctes("""
@@ -79,7 +79,7 @@ SELECT item_id, item_name, year, country, type, tot_eps, duration, rank, pop,
 FROM items WHERE item_id IS NOT NULL AND """ + _ITEM_BAD + """
 ORDER BY item_id LIMIT 5"""), ids="Q7")
 def quality_violation_sample(spark, sf_dir):
-    return Q.violation_sample(Ctx(spark, sf_dir).items, "items", 5)
+    return Q.violation_sample(Ctx(spark, sf_dir).items_core, "items", 5)
 
 
 # ---------------------------------------------------------------- cleaning
@@ -124,7 +124,7 @@ SELECT m_aired AS mode_aired_on, m_org AS mode_org_net, {r6('med_dur')} AS media
  {r6('med_start')} AS median_start_days, {r6('med_end')} AS median_end_days FROM item_fill"""),
           ids="C2-C4")
 def impute_values(spark, sf_dir):
-    f = C.item_fill_values(Ctx(spark, sf_dir).items)
+    f = C.item_fill_values(Ctx(spark, sf_dir).items_core)
     return f.select(F.col("_mode_aired_on").alias("mode_aired_on"),
                     F.col("_mode_org_net").alias("mode_org_net"),
                     S.r6("_med_duration").alias("median_duration"),
@@ -136,7 +136,7 @@ def impute_values(spark, sf_dir):
 SELECT ep_watched, episodes_watched, total_episodes, count(*) AS n_rows
 FROM reviews_clean GROUP BY ALL"""), ids="F3,F4")
 def parse_progress(spark, sf_dir):
-    r = Ctx(spark, sf_dir).reviews_clean
+    r = Ctx(spark, sf_dir).reviews_clean_core
     return (r.groupBy("ep_watched", "episodes_watched", "total_episodes")
             .agg(F.count(F.lit(1)).alias("n_rows")))
 
@@ -145,7 +145,7 @@ def parse_progress(spark, sf_dir):
 SELECT duration_category, count(*) AS n_items FROM items_clean
 WHERE duration_category IS NOT NULL GROUP BY 1"""), ids="F8,A13")
 def duration_bins(spark, sf_dir):
-    i = Ctx(spark, sf_dir).items_clean
+    i = Ctx(spark, sf_dir).items_clean_core
     return (i.where(F.col("duration_category").isNotNull())
             .groupBy("duration_category").agg(F.count(F.lit(1)).alias("n_items")))
 
@@ -166,7 +166,7 @@ def null_profile(spark, sf_dir):
 SELECT item_id, item_name, org_net, aired_on FROM items WHERE org_net IS NULL OR aired_on IS NULL"""),
           ids="C12")
 def null_row_filter(spark, sf_dir):
-    i = Ctx(spark, sf_dir).items
+    i = Ctx(spark, sf_dir).items_core
     return (i.where(F.col("org_net").isNull() | F.col("aired_on").isNull())
             .select("item_id", "item_name", "org_net", "aired_on"))
 
@@ -179,7 +179,7 @@ SELECT CASE WHEN {_SPLIT_BUCKET} < 100 THEN 'test' ELSE 'train' END AS part, cou
  count(DISTINCT user_id) AS n_users FROM reviews_clean GROUP BY 1"""), ids="C18")
 def review_split(spark, sf_dir):
     from ..operators.factor import split_ratings
-    r = Ctx(spark, sf_dir).reviews_clean
+    r = Ctx(spark, sf_dir).reviews_clean_core
     return (split_ratings(r).groupBy("part")
             .agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("user_id").alias("n_users")))
 
@@ -251,7 +251,7 @@ WHERE {md5_bucket("CAST(user_id AS VARCHAR) || '|' || title || '|' || CAST(overa
 GROUP BY 1"""), ids="C16")
 def review_sample(spark, sf_dir):
     """A reproducible ~10 % row sample (md5 bucket), counted per label."""
-    r = Ctx(spark, sf_dir).reviews_clean
+    r = Ctx(spark, sf_dir).reviews_clean_core
     key = F.concat_ws("|", F.col("user_id").cast("string"), F.col("title"), F.col("overall_score").cast("string"))
     return (r.where(S.md5_bucket(key, "sample") < 100).groupBy("sentiment_label")
             .agg(F.count(F.lit(1)).alias("n_rows")))

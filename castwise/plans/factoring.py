@@ -21,7 +21,7 @@ SELECT title, CAST(dense_rank() OVER (ORDER BY title) - 1 AS BIGINT) AS idx
 FROM (SELECT DISTINCT title FROM reviews_clean WHERE user_id IS NOT NULL AND title IS NOT NULL
       AND overall_score IS NOT NULL AND NOT isnan(overall_score))"""), ids="M2")
 def key_index(spark, sf_dir):
-    r = Ctx(spark, sf_dir).reviews_clean.select("user_id", "title", "overall_score").na.drop()
+    r = Ctx(spark, sf_dir).reviews_clean_core.select("user_id", "title", "overall_score").na.drop()
     return FA.dense_index(r, "title", "idx")
 
 
@@ -29,12 +29,15 @@ def key_index(spark, sf_dir):
 SELECT user_id, title, sum(overall_score) AS score_sum, count(*) AS n FROM reviews_clean
 WHERE user_id IS NOT NULL AND title IS NOT NULL AND overall_score IS NOT NULL GROUP BY 1, 2"""), ids="A25,C5")
 def ratings_summed(spark, sf_dir):
-    r = Ctx(spark, sf_dir).reviews_clean.select("user_id", "title", "overall_score").na.drop()
+    r = Ctx(spark, sf_dir).reviews_clean_core.select("user_id", "title", "overall_score").na.drop()
     return FA.summed_ratings(r)
 
 
 def _fit(c: Ctx, k: int = 50):
-    return FA.fit_svd(c.reviews_clean, k=k)
+    """The factor model as a stage: fitted once per input folder and reused
+    (its tables are written under the checkpoint dir)."""
+    from ..session import stage
+    return stage(c.spark, ("svd", c.sf_dir, k), c.inputs(), lambda: FA.fit_svd(c.reviews_clean_core, k=k))
 
 
 @register("svd_factors", None, ids="M3")

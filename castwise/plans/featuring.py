@@ -88,7 +88,7 @@ def fsql(body: str) -> str:
 @register("review_aggregates", fsql("SELECT * FROM review_agg"), ids="A1-A3,A9,J4")
 def review_aggregates(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    df = FE.review_aggregates(c.reviews_clean, c.items)
+    df = FE.review_aggregates(c.reviews_clean_core, c.item_keys)
     return df.select("item_id", *[S.r6(x).alias(x) if x != "review_count" else x
                                   for x in FE.REVIEW_AGG_COLS])
 
@@ -98,7 +98,7 @@ SELECT item_id, {r6('cast_avg_score')} AS cast_avg_score, cast_size, main_role_c
 FROM cast_agg"""), ids="A4,A5,A10,J2,J4")
 def cast_features(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    df = FE.cast_features(c.credits_clean, c.reviews_clean, c.items)
+    df = FE.cast_features(c.credits_clean, c.reviews_clean_core, c.item_keys)
     return df.select("item_id", S.r6("cast_avg_score").alias("cast_avg_score"), "cast_size",
                      "main_role_count", "support_role_count")
 
@@ -106,13 +106,13 @@ def cast_features(spark, sf_dir):
 @register("scaled_numerics", fsql("SELECT item_id, " + ", ".join(
     f"{r6(c)} AS {c}" for c in FE.NUMERIC_COLS) + " FROM scaled"), ids="A18,C6,C13")
 def scaled_numerics(spark, sf_dir):
-    df = FE.scaled_numerics(Ctx(spark, sf_dir).items_clean)
+    df = FE.scaled_numerics(Ctx(spark, sf_dir).items_clean_core)
     return df.select("item_id", *[S.r6(c).alias(c) for c in FE.NUMERIC_COLS])
 
 
 @register("one_hot_long", fsql("SELECT * FROM one_hot"), ids="X-T7")
 def one_hot_long(spark, sf_dir):
-    return FE.one_hot_long(Ctx(spark, sf_dir).items_clean)
+    return FE.one_hot_long(Ctx(spark, sf_dir).items_clean_core)
 
 
 @register("tfidf_terms", fsql(f"SELECT term, df, total, {r6('idf')} AS idf FROM vocab"), ids="X-T2,X-T3,X-T5,X-T6")
@@ -131,7 +131,7 @@ def tfidf_weights(spark, sf_dir):
 
 def build_feature_store(c: Ctx):
     tfidf = TF.tfidf_weights(c.items_clean, "item_id", "synopsis", 300, 2)
-    return FE.feature_store_long(c.items_clean, c.reviews_clean, c.credits_clean, tfidf, c.items)
+    return FE.feature_store_long(c.items_clean_core, c.reviews_clean_core, c.credits_clean, tfidf, c.item_keys)
 
 
 @register("feature_store", fsql(f"SELECT item_id, feature, {r6('value')} AS value FROM features"),

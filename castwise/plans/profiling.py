@@ -28,7 +28,7 @@ def _describe_sql(table: str, cols) -> str:
     "(SELECT " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _RN) + " FROM reviews_clean)", _RN)),
           ids="C9")
 def describe_reviews(spark, sf_dir):
-    return P.describe(Ctx(spark, sf_dir).reviews_clean, _RN)
+    return P.describe(Ctx(spark, sf_dir).reviews_clean_core, _RN)
 
 
 def _corr_sql(table: str, cols) -> str:
@@ -44,19 +44,19 @@ def _corr_sql(table: str, cols) -> str:
 
 @register("corr_reviews", with_ctes(_corr_sql("reviews_clean", _RN)), ids="A14")
 def corr_reviews(spark, sf_dir):
-    return P.corr_matrix(Ctx(spark, sf_dir).reviews_clean, _RN)
+    return P.corr_matrix(Ctx(spark, sf_dir).reviews_clean_core, _RN)
 
 
 @register("corr_items", with_ctes(_corr_sql("items_clean", _IN)), ids="A14")
 def corr_items(spark, sf_dir):
-    return P.corr_matrix(Ctx(spark, sf_dir).items_clean, _IN)
+    return P.corr_matrix(Ctx(spark, sf_dir).items_clean_core, _IN)
 
 
 @register("skew_reviews", with_ctes(" UNION ALL ".join(
     f"SELECT '{c}' AS column_name, {r6(f'CASE WHEN count({c}) < 3 THEN NULL WHEN stddev_pop({c}) = 0 THEN 0 ELSE skewness(CAST({c} AS DOUBLE)) END')} AS skewness FROM reviews_clean"
     for c in _RN)), ids="A15")
 def skew_reviews(spark, sf_dir):
-    return P.skewness(Ctx(spark, sf_dir).reviews_clean, _RN)
+    return P.skewness(Ctx(spark, sf_dir).reviews_clean_core, _RN)
 
 
 _SCORES = ("story_score", "acting_cast_score", "music_score", "rewatch_value_score", "overall_score")
@@ -73,7 +73,7 @@ SELECT column_name, bin, round(lo + bin * (hi - lo) / 10, 6) AS bin_lo,
  round(lo + (bin + 1) * (hi - lo) / 10, 6) AS bin_hi, count(*) AS n FROM x GROUP BY column_name, bin, lo, hi"""),
           ids="A16")
 def score_histogram(spark, sf_dir):
-    return P.histogram(Ctx(spark, sf_dir).reviews_clean, _SCORES, bins=10)
+    return P.histogram(Ctx(spark, sf_dir).reviews_clean_core, _SCORES, bins=10)
 
 
 @register("score_density", with_ctes("""
@@ -86,35 +86,35 @@ SELECT 'overall_score' AS column_name, CAST(point AS INTEGER) AS point, round(x,
  round(sum(cnt * exp(-pow((x - v) / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) AS density
 FROM g CROSS JOIN c GROUP BY point, x"""), ids="A17")
 def score_density(spark, sf_dir):
-    return P.density(Ctx(spark, sf_dir).reviews_clean, "overall_score", points=50)
+    return P.density(Ctx(spark, sf_dir).reviews_clean_core, "overall_score", points=50)
 
 
 @register("label_counts", with_ctes("""
 SELECT CASE sentiment_label WHEN 0 THEN 'Negative' WHEN 1 THEN 'Neutral' WHEN 2 THEN 'Positive' END AS value,
  count(*) AS n FROM reviews_clean GROUP BY 1"""), ids="A13,C19")
 def label_counts(spark, sf_dir):
-    r = Ctx(spark, sf_dir).reviews_clean.select(S.label_name("sentiment_label").alias("label"))
+    r = Ctx(spark, sf_dir).reviews_clean_core.select(S.label_name("sentiment_label").alias("label"))
     return P.value_counts(r, "label")
 
 
 @register("items_per_year", with_ctes(
     "SELECT year, count(*) AS n_items FROM items_clean GROUP BY year"), ids="A12")
 def items_per_year(spark, sf_dir):
-    return Ctx(spark, sf_dir).items_clean.groupBy("year").agg(F.count(F.lit(1)).alias("n_items"))
+    return Ctx(spark, sf_dir).items_clean_core.groupBy("year").agg(F.count(F.lit(1)).alias("n_items"))
 
 
 @register("top_items_duration", with_ctes("""
 SELECT item_id, item_name, duration FROM items_clean WHERE duration IS NOT NULL
 ORDER BY duration DESC, item_id LIMIT 10"""), ids="T1")
 def top_items_duration(spark, sf_dir):
-    return P.top_n_by(Ctx(spark, sf_dir).items_clean, "duration", "item_id", 10, cols=("item_name",))
+    return P.top_n_by(Ctx(spark, sf_dir).items_clean_core, "duration", "item_id", 10, cols=("item_name",))
 
 
 @register("top_networks", with_ctes("""
 SELECT org_net AS value, count(*) AS n FROM items_clean WHERE org_net IS NOT NULL
 GROUP BY 1 ORDER BY n DESC, value LIMIT 10"""), ids="T2,A13")
 def top_networks(spark, sf_dir):
-    return P.value_counts(Ctx(spark, sf_dir).items_clean, "org_net", top_n=10)
+    return P.value_counts(Ctx(spark, sf_dir).items_clean_core, "org_net", top_n=10)
 
 
 @register("top_persons", with_ctes("""
@@ -147,7 +147,7 @@ FROM {_MERGED} GROUP BY actor_name
 ORDER BY avg(overall_score) DESC NULLS LAST, review_count DESC, actor_name LIMIT 10"""), ids="A7,T3,J1")
 def top_persons_by_score(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return K.person_score_ranking(c.credits_clean, c.reviews_clean, 10).select(
+    return K.person_score_ranking(c.credits_clean, c.reviews_clean_core, 10).select(
         "actor_name", S.r6("avg_score").alias("avg_score"), "review_count")
 
 
@@ -156,7 +156,7 @@ SELECT actor_name, role, {r6('avg(overall_score)')} AS avg_score, count(user_id)
 FROM {_MERGED} GROUP BY actor_name, role"""), ids="A8")
 def person_role_impact(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return K.person_role_impact(c.credits_clean, c.reviews_clean).select(
+    return K.person_role_impact(c.credits_clean, c.reviews_clean_core).select(
         "actor_name", "role", S.r6("avg_score").alias("avg_score"), "review_count")
 
 
@@ -165,7 +165,7 @@ SELECT actor_name, {r6('avg(overall_score)')} AS actor_avg_score,
  count(DISTINCT item_name) AS actor_appearances FROM {_MERGED} GROUP BY actor_name"""), ids="A6,A5")
 def person_reputation(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return K.person_reputation(c.credits_clean, c.reviews_clean).select(
+    return K.person_reputation(c.credits_clean, c.reviews_clean_core).select(
         "actor_name", S.r6("actor_avg_score").alias("actor_avg_score"), "actor_appearances")
 
 
@@ -205,4 +205,4 @@ def item_info(spark, sf_dir):
 SELECT item_id, item_name FROM items ORDER BY md5('42|' || CAST(item_id AS VARCHAR)), item_id LIMIT 5"""),
           ids="C11")
 def item_preview(spark, sf_dir):
-    return P.preview(Ctx(spark, sf_dir).items, "item_id", 5).select("item_id", "item_name")
+    return P.preview(Ctx(spark, sf_dir).item_keys, "item_id", 5).select("item_id", "item_name")

@@ -40,7 +40,7 @@ def content_recs(c: Ctx, query_keys, top_n: int, features=None):
 
 
 def corev_recs(c: Ctx, query_keys, top_n: int):
-    sc = R.co_review_scores(c.reviews_clean, query_keys)
+    sc = R.co_review_scores(c.reviews_clean_core, query_keys)
     w = Window.partitionBy("query_key").orderBy(F.col("score").desc(), "rec_key")
     return (sc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
             .withColumn("name", F.col("rec_key")))
@@ -140,7 +140,7 @@ def embedding_neighbors(spark, sf_dir):
 @register("co_review_relevance", rsql("SELECT query_key, rel_key FROM rel"), ids="J8,U1,U3")
 def co_review_relevance(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return R.co_review_relevance(c.reviews_clean, sample_keys(c))
+    return R.co_review_relevance(c.reviews_clean_core, sample_keys(c))
 
 
 @register("co_review_neighbors", rsql(f"""
@@ -157,7 +157,7 @@ def ranking_per_query(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     s = sample_keys(c)
     recs = content_recs(c, s, TOP_N)
-    rel = R.co_review_relevance(c.reviews_clean, s)
+    rel = R.co_review_relevance(c.reviews_clean_core, s)
     srecs = s.join(recs, "query_key").select("sid", "rank", "rec_key")
     srel = s.join(rel, "query_key").select("sid", "rel_key")
     m = R.per_query_metrics(srecs, srel, TOP_N)
@@ -176,7 +176,7 @@ def ranking_report(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     s = sample_keys(c)
     recs = content_recs(c, s, TOP_N).select("query_key", "rank", "rec_key")
-    rel = R.co_review_relevance(c.reviews_clean, s)
+    rel = R.co_review_relevance(c.reviews_clean_core, s)
     return R.evaluate(s, recs, rel, c.item_keys, TOP_N)
 
 

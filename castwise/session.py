@@ -67,3 +67,22 @@ def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
     path = os.path.join(base, f"{name or 'table'}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_STAGES: dict[tuple, object] = {}
+
+
+def stage(spark: SparkSession, key: tuple, inputs: list[str], build):
+    """A stage output reused by later stages of the same application.
+
+    The original system hands stages over by files (the feature store and
+    the factor model are written once and read by every later step). Here a
+    stage result -- a table already written under the checkpoint dir, or an
+    object holding such tables -- is kept per application and keyed by the
+    input paths and their modification times, so a changed input rebuilds it.
+    """
+    stamp = tuple((p, os.path.getmtime(p) if os.path.exists(p) else None) for p in inputs)
+    k = (spark.sparkContext.applicationId, key, stamp)
+    if k not in _STAGES:
+        _STAGES[k] = build()
+    return _STAGES[k]

@@ -41,7 +41,9 @@ def _doc_count(t: Tables) -> DataFrame:
     return F.broadcast(t.documents.agg(F.count(F.lit(1)).alias("nd")))
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def items(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
+    """The item catalog; ``with_text=False`` leaves out the synopsis (and so
+    never touches the documents table)."""
     t = Tables(spark, sf_dir)
     ship = (t.lineitem.groupBy("l_partkey")
             .agg(F.min("l_shipdate").alias("st"), F.max("l_shipdate").alias("en"),
@@ -49,11 +51,11 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = t.part
     k = F.col("p_partkey")
     docs = _docs(t)
-    base = (p.join(ship, k == ship.l_partkey, "left")
-            .crossJoin(_doc_count(t))
-            .withColumn("doc_key", k % F.col("nd")))
-    base = base.join(docs, base.doc_key == docs.doc_id, "left")
-    return base.select(
+    base = p.join(ship, k == ship.l_partkey, "left")
+    if with_text:
+        base = base.crossJoin(_doc_count(t)).withColumn("doc_key", k % F.col("nd"))
+        base = base.join(docs, base.doc_key == docs.doc_id, "left")
+    cols = [
         k.alias("item_id"),
         F.concat(F.col("p_name"), F.lit(" "), F.col("p_brand")).alias("item_name"),
         F.year("st").cast("int").alias("year"),
@@ -70,8 +72,10 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n").cast("double").alias("pop"),
         _null_if(k % 17 == 0, F.col("st").cast("date")).alias("start_dt"),
         _null_if(k % 19 == 0, F.col("en").cast("date")).alias("end_dt"),
-        _null_if(k % 23 == 0, F.col("d_text")).alias("synopsis"),
-    )
+    ]
+    if with_text:
+        cols.append(_null_if(k % 23 == 0, F.col("d_text")).alias("synopsis"))
+    return base.select(*cols)
 
 
 def item_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +85,8 @@ def item_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.col("p_name"), F.lit(" "), F.col("p_brand")).alias("item_name"))
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reviews(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
+    """User-item ratings; ``with_text=False`` leaves out the review text."""
     t = Tables(spark, sf_dir)
     li = (t.lineitem
           .where((F.col("l_linenumber") == 1) & (F.col("l_returnflag") == "R"))
@@ -90,11 +95,10 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = t.orders.select("o_orderkey", "o_custkey")
     p = t.part.select("p_partkey", "p_name", "p_brand", "p_size")
     docs = _docs(t)
-    base = (li.join(o, li.l_orderkey == o.o_orderkey)
-            .join(p, li.l_partkey == p.p_partkey)
-            .crossJoin(_doc_count(t))
-            .withColumn("doc_key", F.col("l_orderkey") % F.col("nd")))
-    base = base.join(docs, base.doc_key == docs.doc_id, "left")
+    base = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+    if with_text:
+        base = base.crossJoin(_doc_count(t)).withColumn("doc_key", F.col("l_orderkey") % F.col("nd"))
+        base = base.join(docs, base.doc_key == docs.doc_id, "left")
     ok = F.col("l_orderkey")
 
     def score(c: Column) -> Column:
@@ -104,7 +108,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
           .when(ok % 31 == 0, F.col("l_linenumber").cast("string"))
           .otherwise(F.concat(F.col("l_linenumber").cast("string"), F.lit(" of "),
                               F.col("p_size").cast("string"), F.lit(" episodes seen"))))
-    return base.select(
+    cols = [
         F.col("o_custkey").alias("user_id"),
         F.concat(F.lit(" "), F.upper("p_name"), F.lit(" "), F.col("p_brand"), F.lit(" ")).alias("title"),
         score(F.floor("l_quantity")).alias("overall_score"),
@@ -114,8 +118,10 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         score(F.col("l_orderkey") + F.col("l_partkey")).alias("rewatch_value_score"),
         F.col("l_suppkey").alias("n_helpful"),
         ep.alias("ep_watched"),
-        _null_if(ok % 23 == 0, F.col("d_text")).alias("review_text"),
-    )
+    ]
+    if with_text:
+        cols.append(_null_if(ok % 23 == 0, F.col("d_text")).alias("review_text"))
+    return base.select(*cols)
 
 
 def credits(spark: SparkSession, sf_dir: str) -> DataFrame:
