@@ -54,7 +54,7 @@ SELECT item_id, term, count(*) AS tf FROM (
  FROM tf_toks) GROUP BY item_id, term""",
     "vocab": """
 SELECT term, df, total, ln((n + 1.0) / (df + 1.0)) + 1 AS idf FROM (
- SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term HAVING count(*) >= 2
+ SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf GROUP BY term HAVING count(*) >= 2
  ORDER BY total DESC, term LIMIT 300) CROSS JOIN (SELECT count(*) AS n FROM items_clean)""",
     "tfidf": """
 SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS weight FROM (

@@ -41,20 +41,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there; we only pick our own (a fresh
-    scratch folder) when the setting is absent, which is the local-test case.
+    scratch folder) when no folder is named at all, which is the local-test
+    case.
     """
     sc = spark.sparkContext
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if current is None:
-        current = sc.getConf().get("spark.checkpoint.dir", None)
+    current = None
+    try:
+        current = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:  # noqa: BLE001 - a session may hide core settings
+        current = None
+    current = current or sc.getConf().get("spark.checkpoint.dir", None) or _OWN_DIR.get("dir")
     if current is None:
         current = tempfile.mkdtemp(prefix="castwise-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        _OWN_DIR["dir"] = current
+        try:
+            spark.conf.set("spark.checkpoint.dir", current)
+        except Exception:  # noqa: BLE001 - read-only core setting: keep our own copy
+            pass
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
     return current
 
 
+_OWN_DIR: dict[str, str] = {}
+
+
 def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
     """Cut lineage by writing ``df`` as parquet under the shared checkpoint dir.
 
