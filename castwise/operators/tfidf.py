@@ -50,7 +50,12 @@ def tfidf_weights(docs: DataFrame, key: str = "item_id", text: str = "synopsis",
     tf = term_counts(docs, key, text, stop_words)
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     vocab = vocabulary(tf, key, n_docs, max_features, min_df)
-    if max_features is not None:
+    return weights(tf, vocab, key, bounded=max_features is not None)
+
+
+def weights(tf: DataFrame, vocab: DataFrame, key: str = "item_id", bounded: bool = True) -> DataFrame:
+    """tf x idf over the kept vocabulary, L2-normalised per document."""
+    if bounded:
         vocab = F.broadcast(vocab)  # at most max_features rows
     # null-safe key: no "term is not null" filter is inferred on the tf side,
     # so this branch and the vocabulary branch share one (item, term) shuffle

@@ -115,27 +115,39 @@ def one_hot_long(spark, sf_dir):
     return FE.one_hot_long(Ctx(spark, sf_dir).items_clean_core)
 
 
+def tfidf_stage(c: Ctx):
+    """TF-IDF as a stage: (doc, term) counts are written once after the
+    expensive tokenising; vocabulary and weights are derived from them and
+    written too. Reused by the vocabulary, weight and feature-store steps."""
+    from ..session import materialize, stage
+
+    def build():
+        tf = materialize(TF.term_counts(c.items_clean, "item_id", "synopsis"), "term_counts")
+        n_docs = c.items_core.agg(F.count(F.lit(1)).alias("n_docs"))  # same rows, no text needed
+        vocab = materialize(TF.vocabulary(tf, "item_id", n_docs, 300, 2), "vocabulary")
+        return vocab, materialize(TF.weights(tf, vocab, "item_id"), "tfidf")
+    return stage(c.spark, ("tfidf", c.sf_dir), c.inputs(), build)
+
+
 @register("tfidf_terms", fsql(f"SELECT term, df, total, {r6('idf')} AS idf FROM vocab"), ids="X-T2,X-T3,X-T5,X-T6")
 def tfidf_terms(spark, sf_dir):
-    i = Ctx(spark, sf_dir).items_clean
-    tf = TF.term_counts(i, "item_id", "synopsis")
-    v = TF.vocabulary(tf, "item_id", i.agg(F.count(F.lit(1)).alias("n_docs")), 300, 2)
+    v, _ = tfidf_stage(Ctx(spark, sf_dir))
     return v.select("term", "df", "total", S.r6("idf").alias("idf"))
 
 
 @register("tfidf_weights", fsql(f"SELECT item_id, term, {r6('weight')} AS weight FROM tfidf"), ids="X-T5")
 def tfidf_weights(spark, sf_dir):
-    df = TF.tfidf_weights(Ctx(spark, sf_dir).items_clean, "item_id", "synopsis", 300, 2)
+    _, df = tfidf_stage(Ctx(spark, sf_dir))
     return df.select("item_id", "term", S.r6("weight").alias("weight"))
 
 
 def build_feature_store(c: Ctx):
-    tfidf = TF.tfidf_weights(c.items_clean, "item_id", "synopsis", 300, 2)
+    _, tfidf = tfidf_stage(c)
     return FE.feature_store_long(c.items_clean_core, c.reviews_clean_core, c.credits_clean, tfidf, c.item_keys)
 
 
 @register("feature_store", fsql(f"SELECT item_id, feature, {r6('value')} AS value FROM features"),
           ids="M1,J5,C6")
 def feature_store(spark, sf_dir):
-    return build_feature_store(Ctx(spark, sf_dir)).select(
+    return Ctx(spark, sf_dir).features.select(
         "item_id", "feature", S.r6("value").alias("value"))
