@@ -12,7 +12,7 @@ from ..operators import factor as FA
 from ..operators import hybrid as H
 from ..operators import similarity as SIM
 from .catalog import Ctx, register
-from .recs import ALPHA, POOL, TOP_N, content_recs, sample_keys
+from .recs import ALPHA, POOL, TOP_N, content_pool, shared_sample
 from .sqlbase import with_ctes
 
 
@@ -73,7 +73,7 @@ def cf_recs(c: Ctx, f: FA.Factors, query_keys, top_n: int):
 def collaborative_neighbors(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     f = _fit(c)
-    return cf_recs(c, f, sample_keys(c), TOP_N).select(
+    return cf_recs(c, f, shared_sample(c), TOP_N).select(
         "query_key", "rank", "rec_key", S.r6("score").alias("score"))
 
 
@@ -81,7 +81,7 @@ def collaborative_neighbors(spark, sf_dir):
 def hybrid_recommend(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     f = _fit(c)
-    s = sample_keys(c)
-    cb = content_recs(c, s, POOL).select("query_key", "rec_key", "name", "score")
+    s = shared_sample(c)
+    cb = content_pool(c).select("query_key", "rec_key", "name", "score")
     cf = cf_recs(c, f, s, POOL).select("query_key", "rec_key", "score")
     return H.blend(cb, cf, ALPHA, TOP_N)

@@ -36,7 +36,7 @@ def content_recs(c: Ctx, query_keys, top_n: int, features=None):
             .select("query_key", F.col("item_id").alias("qid")))
     nb = SIM.cosine_long(fs, qmap.select("qid"), c.item_keys, top_n)
     return (nb.join(F.broadcast(qmap), "qid")
-            .select("query_key", "rank", S.norm_key("name").alias("rec_key"), "name", "score", "id"))
+            .select("query_key", "qid", "rank", S.norm_key("name").alias("rec_key"), "name", "score", "id"))
 
 
 def corev_recs(c: Ctx, query_keys, top_n: int):
@@ -46,6 +46,31 @@ def corev_recs(c: Ctx, query_keys, top_n: int):
             .withColumn("name", F.col("rec_key")))
 
 
+# Stage tables shared by the evaluation, blend and log queries: the sample,
+# its relevance sets and both candidate pools (|sample| x POOL rows each) are
+# written once per input folder; top-n lists are their rank <= n prefixes.
+
+def _stage(c: Ctx, name: str, build):
+    from ..session import materialize, stage
+    return stage(c.spark, (name, c.sf_dir), c.inputs(), lambda: materialize(build(), name))
+
+
+def shared_sample(c: Ctx):
+    return _stage(c, "sample", lambda: sample_keys(c))
+
+
+def shared_relevance(c: Ctx):
+    return _stage(c, "relevance", lambda: R.co_review_relevance(c.reviews_clean_core, shared_sample(c)))
+
+
+def content_pool(c: Ctx):
+    return _stage(c, "content_pool", lambda: content_recs(c, shared_sample(c), POOL))
+
+
+def corev_pool(c: Ctx):
+    return _stage(c, "co_review_pool", lambda: corev_recs(c, shared_sample(c), POOL))
+
+
 # ------------------------------------------------------------ SQL side
 
 RECS_CTES = dict(FEATURE_CTES)
@@ -114,9 +139,7 @@ def rsql(body: str) -> str:
 SELECT qid, rank, id, name, round(score, 6) AS score FROM cb_ranked WHERE rank <= {TOP_N}"""),
           ids="M4,T5,J9,J11,J12,C17")
 def content_neighbors(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
-    q = sample_keys(c).join(C.name_lookup(c.item_keys), F.col("query_key") == F.col("name_key"))
-    nb = SIM.cosine_long(c.features, q.select(F.col("item_id").alias("qid")), c.item_keys, TOP_N)
+    nb = content_pool(Ctx(spark, sf_dir)).where(F.col("rank") <= TOP_N)
     return nb.select("qid", "rank", "id", "name", S.r6("score").alias("score"))
 
 
@@ -140,14 +163,14 @@ def embedding_neighbors(spark, sf_dir):
 @register("co_review_relevance", rsql("SELECT query_key, rel_key FROM rel"), ids="J8,U1,U3")
 def co_review_relevance(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return R.co_review_relevance(c.reviews_clean_core, sample_keys(c))
+    return shared_relevance(c)
 
 
 @register("co_review_neighbors", rsql(f"""
 SELECT query_key, rank, rec_key, score FROM cfk WHERE rank <= {TOP_N}"""), ids="J8,T5")
 def co_review_neighbors(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return corev_recs(c, sample_keys(c), TOP_N).select("query_key", "rank", "rec_key", "score")
+    return corev_pool(c).where(F.col("rank") <= TOP_N).select("query_key", "rank", "rec_key", "score")
 
 
 @register("ranking_per_query", rsql("""
@@ -155,9 +178,9 @@ SELECT sid, n_relevant, round(precision, 6) AS precision, round(recall, 6) AS re
  round(ndcg, 6) AS ndcg, round(ap, 6) AS ap FROM metrics"""), ids="M8-M11,T7,T8,U2")
 def ranking_per_query(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    s = sample_keys(c)
-    recs = content_recs(c, s, TOP_N)
-    rel = R.co_review_relevance(c.reviews_clean_core, s)
+    s = shared_sample(c)
+    recs = content_pool(c).where(F.col("rank") <= TOP_N)
+    rel = shared_relevance(c)
     srecs = s.join(recs, "query_key").select("sid", "rank", "rec_key")
     srel = s.join(rel, "query_key").select("sid", "rel_key")
     m = R.per_query_metrics(srecs, srel, TOP_N)
@@ -174,9 +197,9 @@ SELECT {TOP_N} AS k,
  count(*) FILTER (WHERE n_relevant > 0) AS queries_evaluated FROM metrics"""), ids="M12,M14,A20,U4")
 def ranking_report(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    s = sample_keys(c)
-    recs = content_recs(c, s, TOP_N).select("query_key", "rank", "rec_key")
-    rel = R.co_review_relevance(c.reviews_clean_core, s)
+    s = shared_sample(c)
+    recs = content_pool(c).where(F.col("rank") <= TOP_N).select("query_key", "rank", "rec_key")
+    rel = shared_relevance(c)
     return R.evaluate(s, recs, rel, c.item_keys, TOP_N)
 
 
@@ -194,8 +217,7 @@ LEFT JOIN (SELECT sid, avg(1 - cos) AS diversity FROM c GROUP BY sid) x ON x.sid
 def list_diversity(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     fs = c.features
-    q = sample_keys(c).join(C.name_lookup(c.item_keys), F.col("query_key") == F.col("name_key"))
-    nb = SIM.cosine_long(fs, q.select(F.col("item_id").alias("qid")), c.item_keys, TOP_N)
+    nb = content_pool(c).where(F.col("rank") <= TOP_N)
     d = R.list_diversity(nb.select(F.col("qid").alias("sid"), "rank", F.col("id").alias("item_id"))
                          .withColumnRenamed("item_id", "id"), fs)
     return d.select("sid", S.r6("diversity").alias("diversity"))
@@ -222,9 +244,8 @@ SELECT query_key, rank, rec_key, name, round(cb_score, 6) AS cb_score, round(cf_
  round(hybrid_score, 6) AS hybrid_score FROM r WHERE rank <= {TOP_N}"""), ids="M7,A19,J3,F11")
 def hybrid_blend(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    s = sample_keys(c)
-    cb = content_recs(c, s, POOL).select("query_key", "rec_key", "name", "score")
-    cf = corev_recs(c, s, POOL).select("query_key", "rec_key", "score")
+    cb = content_pool(c).select("query_key", "rec_key", "name", "score")
+    cf = corev_pool(c).select("query_key", "rec_key", "score")
     b = H.blend(cb, cf, ALPHA, TOP_N)
     return b.select("query_key", "rank", "rec_key", "name",
                     *[S.r6(x).alias(x) for x in ("cb_score", "cf_score", "hybrid_score")])
@@ -236,8 +257,7 @@ SELECT query_key, 'hybrid' AS model, {TOP_N} AS top_n,
 FROM r WHERE rank <= {TOP_N} GROUP BY query_key"""), ids="O1")
 def recommendation_records(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    s = sample_keys(c)
-    cb = content_recs(c, s, POOL).select("query_key", "rec_key", "name", "score")
-    cf = corev_recs(c, s, POOL).select("query_key", "rec_key", "score")
+    cb = content_pool(c).select("query_key", "rec_key", "name", "score")
+    cf = corev_pool(c).select("query_key", "rec_key", "score")
     b = H.blend(cb, cf, ALPHA, TOP_N).select("query_key", "rank", "name", S.r6("hybrid_score").alias("score"))
     return H.records(b, "hybrid", TOP_N)
