@@ -65,7 +65,9 @@ def corr_matrix(df: DataFrame, cols) -> DataFrame:
     covar_pop / (stddev_pop x stddev_pop) over the rows where both are
     present, with a guarded division: a constant column gives null.
     """
-    aggs, pairs = [], list(product(cols, cols))
+    # the guarded formula is symmetric: compute i <= j once, emit both orders
+    cols = list(cols)
+    aggs, pairs = [], [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     for i, (a, b) in enumerate(pairs):
         x, y = F.col(a).cast("double"), F.col(b).cast("double")
         both = x.isNotNull() & y.isNotNull()
@@ -73,10 +75,13 @@ def corr_matrix(df: DataFrame, cols) -> DataFrame:
         sy = F.stddev_pop(F.when(both, y))
         aggs.append(F.try_divide(F.covar_pop(x, y), sx * sy).alias(f"c{i}"))
     wide = df.agg(*aggs)
-    rows = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                     r6(F.when(F.col(f"c{i}") > 1.0, 1.0).when(F.col(f"c{i}") < -1.0, -1.0)
-                        .otherwise(F.col(f"c{i}"))).alias("corr"))
-            for i, (a, b) in enumerate(pairs)]
+    idx = {p: i for i, p in enumerate(pairs)}
+    rows = []
+    for a, b in product(cols, cols):
+        i = idx.get((a, b), idx.get((b, a)))
+        rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
+                             r6(F.when(F.col(f"c{i}") > 1.0, 1.0).when(F.col(f"c{i}") < -1.0, -1.0)
+                                .otherwise(F.col(f"c{i}"))).alias("corr")))
     return wide.select(F.inline(F.array(*rows)))
 
 

@@ -65,7 +65,7 @@ def cf_recs(c: Ctx, f: FA.Factors, query_keys, top_n: int):
          .join(f.titles, "title").select(F.col("t").alias("qid"), F.col("title").alias("query_key")))
     nb = SIM.dot_dense(f.item_factors, q.select("qid"), top_n, id_col="t", vec_col="vf")
     names = f.titles.select(F.col("t").alias("id"), F.col("title").alias("rec_key"))
-    return nb.join(F.broadcast(q), "qid").join(names, "id").select(
+    return nb.join(q, "qid").join(names, "id").select(
         "query_key", "rank", "rec_key", F.col("rec_key").alias("name"), "score")
 
 

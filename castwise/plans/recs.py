@@ -35,7 +35,7 @@ def content_recs(c: Ctx, query_keys, top_n: int, features=None):
             .join(C.name_lookup(c.item_keys), F.col("query_key") == F.col("name_key"))
             .select("query_key", F.col("item_id").alias("qid")))
     nb = SIM.cosine_long(fs, qmap.select("qid"), c.item_keys, top_n)
-    return (nb.join(F.broadcast(qmap), "qid")
+    return (nb.join(qmap, "qid")  # size left to AQE: the caller's query set
             .select("query_key", "qid", "rank", S.norm_key("name").alias("rec_key"), "name", "score", "id"))
 
 

@@ -164,3 +164,9 @@ def test_stage_sinks_roundtrip(spark, ctx):
     assert FI.read_processed(spark, root, "item_sentiment").count() == n2
     back = FI.read_processed(spark, root, "feature_store")
     assert back.count() == n3 and dict(back.dtypes)["value"] == "double"
+
+
+def test_load_version_missing_raises(spark):
+    log = spark.createDataFrame([], RL.VERSION_SCHEMA)
+    with pytest.raises(FileNotFoundError):
+        RL.load_version(log, "content")
