@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from . import clean as C
 from . import credits as K
+from .joins import salted_join
 
 # Numeric item columns that are min-max scaled, and the
 # categorical columns that are one-hot encoded.
@@ -84,7 +85,9 @@ def cast_features(credits_clean: DataFrame, reviews_clean: DataFrame, items: Dat
     counts count credit rows with the exact title-cased role.
     """
     rep = K.person_reputation(credits_clean, reviews_clean)
-    per_item = (credits_clean.join(rep, "actor_name", "left")
+    # one reputation row per person, replicated per salt: a person credited
+    # on a third of all items is spread over the salt buckets
+    per_item = (salted_join(credits_clean, rep, ["actor_name"], "item_name", how="left")
                 .groupBy(F.col("item_name").alias("name_key"))
                 .agg(F.avg("actor_avg_score").alias("cast_avg_score"),
                      F.count_distinct("actor_name").alias("cast_size"),

@@ -170,3 +170,12 @@ def test_load_version_missing_raises(spark):
     log = spark.createDataFrame([], RL.VERSION_SCHEMA)
     with pytest.raises(FileNotFoundError):
         RL.load_version(log, "content")
+
+
+def test_salted_join_equals_plain_join(spark):
+    from castwise.operators.joins import salted_join
+    big = spark.createDataFrame([(1, f"t{i}") for i in range(50)] + [(2, "a"), (3, "b")], "user_id long, title string")
+    small = spark.createDataFrame([(1, "q1"), (1, "q2"), (3, "q3")], "user_id long, query_key string")
+    a = sorted(map(tuple, salted_join(big, small, ["user_id"], "title", 4).select("user_id", "title", "query_key").collect()))
+    b = sorted(map(tuple, big.join(small, "user_id").select("user_id", "title", "query_key").collect()))
+    assert a == b and len(a) == 101
