@@ -78,7 +78,8 @@ def md5_bucket(key: str, seed="42", buckets: int = 1000) -> str:
 
 
 def r6(expr: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6)"
+    # "+ 0.0" turns a rounded -0.0 into 0.0, as Spark's round returns
+    return f"(round(CAST({expr} AS DOUBLE), 6) + 0.0)"
 
 
 CLEAN_CTES = {
