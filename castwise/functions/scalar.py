@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 
 ColLike = Column | str
 
+# Label thresholds and bins that define the reference's
+# derived columns. Score label: >= 7 positive (2), >= 4 neutral (1), else
+# negative (0). Polarity label: above +0.1 positive, below -0.1 negative.
+# Duration bins in seconds, right-closed: (0, 1800] short, (1800, 3600]
+# medium, (3600, inf) long. Label names of classes 0, 1, 2.
+SCORE_POSITIVE, SCORE_NEUTRAL = 7, 4
+POLARITY_BAND = 0.1
+DURATION_SHORT_MAX, DURATION_MEDIUM_MAX = 1800, 3600
+LABEL_NAMES = ("Negative", "Neutral", "Positive")
+
 
 def _c(c: ColLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -52,17 +62,15 @@ def _int_token(tok: Column) -> Column:
 def score_label(c: ColLike) -> Column:
     """Three-way label of a 1-10 score: >=7 -> 2, >=4 -> 1, else (null too) 0."""
     s = nan_to_null(c)
-    return (F.when(s >= 7, F.lit(2)).when(s >= 4, F.lit(1)).otherwise(F.lit(0))).cast("int")
+    return (F.when(s >= SCORE_POSITIVE, F.lit(2)).when(s >= SCORE_NEUTRAL, F.lit(1))
+            .otherwise(F.lit(0))).cast("int")
 
 
 def polarity_label(c: ColLike) -> Column:
     """Polarity in [-1, 1] to a label: > 0.1 -> 2, < -0.1 -> 0, else 1."""
     p = _c(c)
-    return (F.when(p > 0.1, F.lit(2)).when(p < -0.1, F.lit(0)).otherwise(F.lit(1))).cast("int")
-
-
-# Label names of the three sentiment classes (0, 1, 2).
-LABEL_NAMES = ("Negative", "Neutral", "Positive")
+    return (F.when(p > POLARITY_BAND, F.lit(2)).when(p < -POLARITY_BAND, F.lit(0))
+            .otherwise(F.lit(1))).cast("int")
 
 
 def label_name(c: ColLike) -> Column:
@@ -74,9 +82,9 @@ def label_name(c: ColLike) -> Column:
 def duration_category(c: ColLike) -> Column:
     """Right-closed bins (0,1800], (1800,3600], (3600,inf) seconds."""
     d = _c(c)
-    return (F.when((d > 0) & (d <= 1800), F.lit("short"))
-            .when((d > 1800) & (d <= 3600), F.lit("medium"))
-            .when(d > 3600, F.lit("long")))
+    return (F.when((d > 0) & (d <= DURATION_SHORT_MAX), F.lit("short"))
+            .when((d > DURATION_SHORT_MAX) & (d <= DURATION_MEDIUM_MAX), F.lit("medium"))
+            .when(d > DURATION_MEDIUM_MAX, F.lit("long")))
 
 
 def parse_timestamp(c: ColLike, formats: list[str]) -> Column:

@@ -25,6 +25,8 @@ CATEGORICAL_COLS = ("org_net", "content_rt", "aired_on")
 REVIEW_AGG_COLS = ("avg_overall", "avg_story", "avg_acting", "avg_music", "avg_rewatch",
                    "review_count", "pct_positive", "pct_neutral", "pct_negative")
 CAST_COLS = ("cast_avg_score", "cast_size", "main_role_count", "support_role_count")
+# The two counted roles, after title-casing.
+MAIN_ROLE, SUPPORT_ROLE = "Main Role", "Support Role"
 
 
 def scaled_numerics(items_clean: DataFrame, cols=NUMERIC_COLS) -> DataFrame:
@@ -91,8 +93,8 @@ def cast_features(credits_clean: DataFrame, reviews_clean: DataFrame, items: Dat
                 .groupBy(F.col("item_name").alias("name_key"))
                 .agg(F.avg("actor_avg_score").alias("cast_avg_score"),
                      F.count_distinct("actor_name").alias("cast_size"),
-                     F.count_if(F.col("role") == "Main Role").alias("main_role_count"),
-                     F.count_if(F.col("role") == "Support Role").alias("support_role_count")))
+                     F.count_if(F.col("role") == MAIN_ROLE).alias("main_role_count"),
+                     F.count_if(F.col("role") == SUPPORT_ROLE).alias("support_role_count")))
     return per_item.join(C.name_lookup(items), "name_key").drop("name_key")
 
 
