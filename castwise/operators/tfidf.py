@@ -53,15 +53,23 @@ def tfidf_weights(docs: DataFrame, key: str = "item_id", text: str = "synopsis",
     return weights(tf, vocab, key, bounded=max_features is not None)
 
 
-def weights(tf: DataFrame, vocab: DataFrame, key: str = "item_id", bounded: bool = True) -> DataFrame:
-    """tf x idf over the kept vocabulary, L2-normalised per document."""
+def weights(tf: DataFrame, vocab: DataFrame, key: str = "item_id", bounded: bool = True,
+            keep_stats: bool = False) -> DataFrame:
+    """tf x idf over the kept vocabulary, L2-normalised per document.
+
+    ``keep_stats`` also carries each term's df, total and idf, so that the
+    vocabulary can be read back from the weights (every kept term occurs in
+    at least ``min_df`` documents).
+    """
     if bounded:
         vocab = F.broadcast(vocab)  # at most max_features rows
     # null-safe key: no "term is not null" filter is inferred on the tf side,
     # so this branch and the vocabulary branch share one (item, term) shuffle
     # and AQE reuses it instead of tokenising the text twice
-    v = vocab.select(F.col("term").alias("v_term"), "idf")
+    stats = ["df", "total", "idf"] if keep_stats else ["idf"]
+    v = vocab.select(F.col("term").alias("v_term"), *stats)
     w = (tf.join(v, tf.term.eqNullSafe(v.v_term))
-         .select(key, "term", (F.col("tf") * F.col("idf")).alias("w")))
+         .select(key, "term", (F.col("tf") * F.col("idf")).alias("w"), *stats))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return w.select(key, "term", (F.col("w") / norm).alias("weight"))
+    extra = ["df", "total", "idf"] if keep_stats else []
+    return w.select(key, "term", (F.col("w") / norm).alias("weight"), *extra)
