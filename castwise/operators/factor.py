@@ -77,11 +77,15 @@ def fit_svd(reviews_clean: DataFrame, k: int = 50, test_per_mille: int = 100, se
     """M3: truncated SVD of the user x title training matrix.
 
     Encoders see all rows (train and test), as in the reference; the split
-    is the md5 split of :func:`split_ratings`; unrated cells are 0 and
-    nothing is centred. The SVD is MLlib's distributed ``computeSVD`` on an
-    ``IndexedRowMatrix``; U comes back distributed and V is rebuilt on the
-    cluster as X^T U / sigma, so neither factor table passes through the
-    driver (only the k singular values do).
+    is the md5 split of :func:`split_ratings`; duplicate (user, title)
+    ratings are summed; unrated cells are 0 and nothing is centred.
+
+    Two exact paths over MLlib's ``IndexedRowMatrix`` (rows persisted on the
+    JVM side): up to ``GRAMIAN_MAX_COLS`` titles, one distributed pass builds
+    X^T X and its eigendecomposition gives V and sigma (U sigma = X V is then
+    computed on the cluster); wider matrices use distributed ARPACK
+    (``computeSVD``) with U kept distributed and V rebuilt on the cluster as
+    X^T U / sigma. Factor tables are written under the checkpoint dir.
     """
     from pyspark import StorageLevel
     from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
