@@ -29,8 +29,11 @@ def co_appearance_edges(credits_clean: DataFrame, top_n: int = 25) -> DataFrame:
 
 
 def graph_size(edges: DataFrame) -> DataFrame:
-    """One row ``(n_nodes, n_edges)``; isolated persons are not nodes."""
-    nodes = (edges.select(F.col("person_a").alias("p"))
-             .unionByName(edges.select(F.col("person_b").alias("p"))))
-    return (nodes.agg(F.count_distinct("p").alias("n_nodes"))
-            .crossJoin(edges.agg(F.count(F.lit(1)).alias("n_edges"))))
+    """One row ``(n_nodes, n_edges)``; isolated persons are not nodes.
+
+    One pass over the edges: each edge yields its two endpoints, so the
+    endpoint rows number 2 x edges.
+    """
+    ends = edges.select(F.explode(F.array("person_a", "person_b")).alias("p"))
+    return ends.agg(F.count_distinct("p").alias("n_nodes"),
+                    (F.count(F.lit(1)) / 2).cast("long").alias("n_edges"))
