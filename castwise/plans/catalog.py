@@ -60,17 +60,24 @@ class Ctx:
 
     @cached_property
     def credits(self) -> DataFrame:
-        return roles.credits(self.spark, self.sf_dir)
+        return self._role_table("credits", lambda: roles.credits(self.spark, self.sf_dir))
+
+    def _role_table(self, name: str, build) -> DataFrame:
+        """A text-free role, written once per application (the raw input
+        tables of the original system are files loaded by every step)."""
+        from ..session import materialize, stage
+        return stage(self.spark, ("role", name, self.sf_dir), self.inputs(),
+                     lambda: materialize(build(), f"role-{name}"))
 
     @cached_property
     def items_core(self) -> DataFrame:
         """Items without the synopsis: no documents join."""
-        return roles.items(self.spark, self.sf_dir, with_text=False)
+        return self._role_table("items", lambda: roles.items(self.spark, self.sf_dir, with_text=False))
 
     @cached_property
     def reviews_core(self) -> DataFrame:
         """Reviews without their text: no documents join."""
-        return roles.reviews(self.spark, self.sf_dir, with_text=False)
+        return self._role_table("reviews", lambda: roles.reviews(self.spark, self.sf_dir, with_text=False))
 
     @cached_property
     def items_clean_core(self) -> DataFrame:
