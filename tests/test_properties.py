@@ -179,3 +179,19 @@ def test_salted_join_equals_plain_join(spark):
     a = sorted(map(tuple, salted_join(big, small, ["user_id"], "title", 4).select("user_id", "title", "query_key").collect()))
     b = sorted(map(tuple, big.join(small, "user_id").select("user_id", "title", "query_key").collect()))
     assert a == b and len(a) == 101
+
+
+def test_stage_rebuilds_when_input_changes(spark):
+    import time
+
+    from castwise.session import stage
+    f = tempfile.NamedTemporaryFile(delete=False)
+    f.write(b"x")
+    f.close()
+    calls = []
+    build = lambda: calls.append(1) or len(calls)
+    assert stage(spark, ("t",), [f.name], build) == 1
+    assert stage(spark, ("t",), [f.name], build) == 1      # reused
+    time.sleep(0.01)
+    os.utime(f.name, (time.time() + 5, time.time() + 5))   # input changed
+    assert stage(spark, ("t",), [f.name], build) == 2
