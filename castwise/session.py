@@ -13,6 +13,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _driver_memory() -> str:
+    """60 % of physical memory, at most 16 GB (local mode: driver = executor)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    return f"{max(1, min(16, int(total * 0.6 / 2**30)))}g"
+
+
 def get_spark(master: str | None = None, app: str = "castwise",
               shuffle_partitions: int | None = None) -> SparkSession:
     """Local session for tests and the benchmark (UI off, AQE on, UTC)."""
@@ -29,7 +38,7 @@ def get_spark(master: str | None = None, app: str = "castwise",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("CASTWISE_DRIVER_MEM", "16g"))
+        .config("spark.driver.memory", os.environ.get("CASTWISE_DRIVER_MEM", _driver_memory()))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
