@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache  # noqa: F401
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S

@@ -12,7 +12,7 @@ from ..operators import ranking as R
 from ..operators import similarity as SIM
 from .catalog import Ctx, register
 from .featuring import FEATURE_CTES
-from .sqlbase import md5_bucket, norm, with_ctes  # noqa: F401
+from .sqlbase import norm, with_ctes
 
 SAMPLE_N = 50
 TOP_N = 10
