@@ -136,3 +136,34 @@ def test_porter_examples():
              "hopping": "hop", "happy": "happi", "relational": "relat", "generalizations": "gener",
              "effective": "effect", "controll": "control", "roll": "roll"}
     assert {w: stem(w) for w in cases} == cases
+
+
+def test_quality_rules_edge_rows(spark):
+    from castwise.operators import quality as Q
+    items = spark.createDataFrame([
+        ("1", "a", 2020.0, "KR", "s", None, 10.0, 1.0, 1.0),      # null tot_eps passes
+        ("2", "b", 1999.0, "KR", "s", 1.0, 10.0, 1.0, 1.0),       # year out of range
+        ("3", None, 2020.5, "KR", "s", -1.0, 10.0, 1.0, 1.0),     # three rules, one bad row
+        (None, "d", 1.0, "KR", "s", 1.0, 1.0, 1.0, 1.0),          # null key: dropped first
+    ], "item_id string, item_name string, year double, country string, type string, "
+       "tot_eps double, duration double, rank double, pop double")
+    v = Q.verdict(items, "items").first()
+    assert (v.n_rows, v.n_bad, v.passed) == (3, 2, False)
+    reviews = spark.createDataFrame([
+        (1, "t", 5.0, 5.0, 5.0, 5.0, float("nan"), 1),            # NaN score fails
+        (2, "t", 5.0, 5.0, 5.0, 5.0, 10.0, 1),
+        (3, "t", 5.0, 5.0, 5.0, 5.0, None, 1),                    # null score fails
+    ], "user_id long, title string, story_score double, acting_cast_score double, music_score double, "
+       "rewatch_value_score double, overall_score double, n_helpful long")
+    r = Q.verdict(reviews, "reviews").first()
+    assert (r.n_rows, r.n_bad) == (3, 2)
+    with pytest.raises(ValueError):
+        Q.verdict(reviews.drop("title"), "reviews")
+
+
+def test_lenient_date_parse(spark):
+    df = col(spark, ["2020-02-03", "Feb 3, 2020", "3/2/2020", "junk", None], "string")
+    got = [r[0] for r in df.select(S.parse_timestamp("x", ["yyyy-MM-dd", "MMM d, yyyy", "d/M/yyyy"])
+                                   .cast("date")).collect()]
+    d = dt.date(2020, 2, 3)
+    assert got == [d, d, d, None, None]
