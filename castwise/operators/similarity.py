@@ -29,6 +29,9 @@ from ..functions import scalar as S
 # at most ~330 features per item that is under 0.7 M rows (~20 MB); dense
 # query vectors travel packed in one row (2,000 x dim doubles).
 MAX_QUERIES = 2_000
+# Largest broadcast of query feature rows (long layout); a chunk above it is
+# split again, so the bound holds for any vector table, not only ours.
+MAX_QUERY_ROWS = 2_000_000
 
 
 def query_chunks(queries: DataFrame, col: str = "qid", max_queries: int = MAX_QUERIES) -> list[DataFrame]:
@@ -72,7 +75,18 @@ def cosine_long(vectors: DataFrame, queries: DataFrame, names: DataFrame, top_n:
     """
     v = vectors.select(F.col(id_col).alias("id"), "feature", F.col("value").cast("double").alias("value"))
     nm = names.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"))
-    return _union([_cosine_long_chunk(v, q, nm, top_n) for q in query_chunks(queries)])
+    chunks = [c for q in query_chunks(queries) for c in _row_bounded(v, q)]
+    return _union([_cosine_long_chunk(v, q, nm, top_n) for q in chunks])
+
+
+def _row_bounded(v: DataFrame, q_ids: DataFrame, depth: int = 0) -> list[DataFrame]:
+    """Split a query chunk until its feature rows fit MAX_QUERY_ROWS (one
+    count of the chunk's query vectors per check)."""
+    n = v.join(F.broadcast(q_ids), v.id == q_ids.qid).count()  # q_ids <= MAX_QUERIES rows
+    if n <= MAX_QUERY_ROWS or depth >= 16:
+        return [q_ids]
+    b = S.md5_bucket(F.col("qid"), f"split{depth}", 2)
+    return [c for i in (0, 1) for c in _row_bounded(v, q_ids.where(b == i), depth + 1)]
 
 
 def _cosine_long_chunk(v: DataFrame, q_ids: DataFrame, nm: DataFrame, top_n: int) -> DataFrame:

@@ -195,3 +195,14 @@ def test_stage_rebuilds_when_input_changes(spark):
     time.sleep(0.01)
     os.utime(f.name, (time.time() + 5, time.time() + 5))   # input changed
     assert stage(spark, ("t",), [f.name], build) == 2
+
+
+def test_row_bounded_split_keeps_queries(spark, monkeypatch):
+    monkeypatch.setattr(SIM, "MAX_QUERY_ROWS", 3)
+    rows = [(i, f"f{j}", 1.0) for i in range(6) for j in range(2)]
+    v = spark.createDataFrame(rows, "item_id long, feature string, value double")
+    names = spark.createDataFrame([(i, f"n{i}") for i in range(6)], "item_id long, item_name string")
+    q = spark.createDataFrame([(i,) for i in range(4)], "qid long")
+    out = SIM.cosine_long(v, q, names, 2)
+    assert sorted(set(r.qid for r in out.collect())) == [0, 1, 2, 3]
+    assert out.count() == 8
