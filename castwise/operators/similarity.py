@@ -75,23 +75,28 @@ def cosine_long(vectors: DataFrame, queries: DataFrame, names: DataFrame, top_n:
     """
     v = vectors.select(F.col(id_col).alias("id"), "feature", F.col("value").cast("double").alias("value"))
     nm = names.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"))
-    chunks = [c for q in query_chunks(queries) for c in _row_bounded(v, q)]
-    return _union([_cosine_long_chunk(v, q, nm, top_n) for q in chunks])
-
-
-def _row_bounded(v: DataFrame, q_ids: DataFrame, depth: int = 0) -> list[DataFrame]:
-    """Split a query chunk until its feature rows fit MAX_QUERY_ROWS (one
-    count of the chunk's query vectors per check)."""
-    n = v.join(F.broadcast(q_ids), v.id == q_ids.qid).count()  # q_ids <= MAX_QUERIES rows
-    if n <= MAX_QUERY_ROWS or depth >= 16:
-        return [q_ids]
+    from ..session import materialize
+    parts = []
+    for q in query_chunks(queries):
+        # the chunk's query vectors are extracted once and written (a small
+        # table); the size check and the scoring plan both read that table,
+        # so checking costs no extra pass over the catalog
+        qv = materialize(v.join(F.broadcast(q), v.id == q.qid, "inner")  # q <= MAX_QUERIES rows
+                         .select("qid", "feature", F.col("value").alias("qvalue")), "query_vectors")
+        parts += _row_bounded(q, qv)
+    return _union([_cosine_long_chunk(v, q, qv, nm, top_n) for q, qv in parts])
+
+
+def _row_bounded(q_ids: DataFrame, qv: DataFrame, depth: int = 0) -> list[tuple[DataFrame, DataFrame]]:
+    """Split a query chunk until its feature rows fit MAX_QUERY_ROWS."""
+    if depth >= 16 or qv.count() <= MAX_QUERY_ROWS:
+        return [(q_ids, qv)]
     b = S.md5_bucket(F.col("qid"), f"split{depth}", 2)
-    return [c for i in (0, 1) for c in _row_bounded(v, q_ids.where(b == i), depth + 1)]
+    return [p for i in (0, 1) for p in _row_bounded(q_ids.where(b == i), qv.where(b == i), depth + 1)]
 
 
-def _cosine_long_chunk(v: DataFrame, q_ids: DataFrame, nm: DataFrame, top_n: int) -> DataFrame:
-    qv = (v.join(F.broadcast(q_ids), v.id == q_ids.qid, "inner")
-          .select("qid", "feature", F.col("value").alias("qvalue")))
+def _cosine_long_chunk(v: DataFrame, q_ids: DataFrame, qv: DataFrame, nm: DataFrame,
+                       top_n: int) -> DataFrame:
     dots = (v.join(F.broadcast(qv), "feature")
             .groupBy("qid", "id").agg(F.sum(F.col("value") * F.col("qvalue")).alias("dot")))
     norms = v.groupBy("id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
