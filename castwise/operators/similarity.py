@@ -32,6 +32,8 @@ MAX_QUERIES = 2_000
 # Largest broadcast of query feature rows (long layout); a chunk above it is
 # split again, so the bound holds for any vector table, not only ours.
 MAX_QUERY_ROWS = 2_000_000
+# Largest packed query matrix (dense layout), in values: 4 M doubles = 32 MB.
+MAX_PACKED_VALUES = 4_000_000
 
 
 def query_chunks(queries: DataFrame, col: str = "qid", max_queries: int = MAX_QUERIES) -> list[DataFrame]:
@@ -132,11 +134,25 @@ def dot_dense(vectors: DataFrame, queries: DataFrame, top_n: int = 10, id_col: s
     v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     if cosine:
         v = v.withColumn("vec", _unit(F.col("vec")))
-    return _union([_dot_dense_chunk(v, q, top_n) for q in query_chunks(queries)])
+    from ..session import materialize
+    parts = []
+    for q in query_chunks(queries):
+        qv = materialize(v.join(F.broadcast(q), v.id == q.qid)  # q <= MAX_QUERIES rows
+                         .select("qid", F.col("vec").alias("qvec")), "query_vectors")
+        parts += _values_bounded(qv)
+    return _union([_dot_dense_chunk(v, qv, top_n) for qv in parts])
+
+
+def _values_bounded(qv: DataFrame, depth: int = 0) -> list[DataFrame]:
+    """Split written query vectors until one packed row fits MAX_PACKED_VALUES."""
+    n = qv.agg(F.coalesce(F.sum(F.size("qvec")), F.lit(0))).first()[0]
+    if depth >= 16 or n <= MAX_PACKED_VALUES:
+        return [qv]
+    b = S.md5_bucket(F.col("qid"), f"split{depth}", 2)
+    return [p for i in (0, 1) for p in _values_bounded(qv.where(b == i), depth + 1)]
 
 
-def _dot_dense_chunk(v: DataFrame, q_ids: DataFrame, top_n: int) -> DataFrame:
-    qv = v.join(F.broadcast(q_ids), v.id == q_ids.qid).select("qid", F.col("vec").alias("qvec"))
+def _dot_dense_chunk(v: DataFrame, qv: DataFrame, top_n: int) -> DataFrame:
     packed = qv.agg(F.collect_list(F.struct("qid", "qvec")).alias("qs"))
     scored = (v.crossJoin(F.broadcast(packed))  # one row
               .select("id", F.explode(F.transform("qs", lambda q: F.struct(

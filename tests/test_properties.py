@@ -206,3 +206,11 @@ def test_row_bounded_split_keeps_queries(spark, monkeypatch):
     out = SIM.cosine_long(v, q, names, 2)
     assert sorted(set(r.qid for r in out.collect())) == [0, 1, 2, 3]
     assert out.count() == 8
+
+
+def test_dense_values_bounded_split(spark, monkeypatch):
+    monkeypatch.setattr(SIM, "MAX_PACKED_VALUES", 4)
+    v = spark.createDataFrame([(i, [float(i), 1.0, 0.5]) for i in range(5)], "id long, vec array<double>")
+    q = spark.createDataFrame([(i,) for i in range(4)], "qid long")
+    out = SIM.dot_dense(v, q, 2)
+    assert sorted(set(r.qid for r in out.collect())) == [0, 1, 2, 3] and out.count() == 8
