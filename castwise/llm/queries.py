@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, simhash, toxicity
+from . import decontaminate, langid, packing, sharding, simhash, toxicity
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,30 @@ def _query(name: str, oracle: str | None = None):
     return add
 
 
+_OP1_SQL = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+item AS (SELECT item_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, list_slice(w, i, i + 9) AS g, least(len(w), 10) AS n
+    FROM item, unnest(generate_series(1, greatest(len(w) - 9, least(len(w), 1)))) AS s(i)),
+sizes AS (SELECT DISTINCT n FROM win),
+occ AS (SELECT r, i, n, list_slice(w, i, i + n - 1) AS g FROM doc, sizes, unnest(generate_series(1, len(w) - n + 1)) AS s(i)),
+hit AS (SELECT r, i, occ.n, item_id FROM occ JOIN win ON occ.n = win.n AND occ.g = win.g),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM hit, unnest(generate_series(i, i + n - 1)) AS s(p) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS k FROM (SELECT DISTINCT r, item_id::VARCHAR AS k FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(k, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN words USING (r) LEFT JOIN ids USING (r)
+"""
+
+
+@_query("op1_decontaminate", _OP1_SQL)
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return r.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 @_query("op2_language_id")
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
@@ -37,3 +61,17 @@ def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_toxicity")
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@_query("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, _ = packing.pack_documents(read_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@_query("op10_sharding")
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.shard_documents(read_table(spark, sf_dir, "documents"), shards=40)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return sharded.select("doc_id", (sharding.text_bytes(F.col("text")) + sharding.ROW_BYTES).alias("size"), F.crc32(text).alias("text_crc32"),
+                          F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
