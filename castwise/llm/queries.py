@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, sharding, simhash, toxicity
+from . import chat, decontaminate, langid, licenses, packing, quality, sharding, simhash, topk, toxicity
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,48 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@_query("op5_licenses", licenses.oracle())
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
+@_query("op6_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(coalesce(x, 0))))),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(read_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+@_query("op7_perspectives", """
+WITH t AS (SELECT DISTINCT conv_id, turn, role AS speaker, text FROM conversations WHERE conv_id IS NOT NULL),
+who AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker IS NOT NULL AND speaker <> 'system'),
+marked AS (SELECT t.*, perspective, coalesce(speaker = perspective, false) AS is_target,
+    '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' WHEN speaker IS NULL THEN 'user'
+        ELSE 'user name=' || replace(speaker, '<|', '< |') END || chr(10) AS mark
+    FROM t JOIN who USING (conv_id)),
+made AS (SELECT *, mark || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS segment FROM marked),
+placed AS (SELECT *, row_number() OVER w - 1 AS position, sum(length(segment)) OVER w - length(segment) AS start FROM made
+    WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker NULLS FIRST, text NULLS FIRST ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, perspective, position, turn, speaker, segment, start::BIGINT AS start, length(segment)::BIGINT AS length, is_target,
+    (CASE WHEN is_target THEN start + length(mark) ELSE 0 END)::BIGINT AS target_start,
+    (CASE WHEN is_target THEN start + length(segment) ELSE 0 END)::BIGINT AS target_end FROM placed
+""")
+def op7_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(read_table(spark, sf_dir, "conversations"))
+
+
+@_query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites of ``documents``: the source is the host, the language section its path."""
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
 @_query("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = packing.pack_documents(read_table(spark, sf_dir, "documents"))
