@@ -1,6 +1,7 @@
 """Scalar column functions used by the cleaning, feature and ranking operators.
 
-Each returns a ``Column``; they stay inside whole-stage codegen. ANSI mode is
+Each returns a ``Column``; those with lambdas (``dot``, ``title_case``) are
+interpreted, the others stay inside whole-stage codegen. ANSI mode is
 on by default in Spark 4, so every parse uses ``try_*`` forms and every
 division that can see zero is guarded.
 """
@@ -33,8 +34,9 @@ def norm_key(c: ColLike) -> Column:
 
 
 def title_case(c: ColLike) -> Column:
-    """Capitalise each space-separated word, lower-case the rest."""
-    return F.initcap(_c(c))
+    """Capitalise every run of letters (after a hyphen or bracket too), lower-case the rest."""
+    runs = F.regexp_extract_all(F.lower(_c(c)), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def nan_to_null(c: ColLike) -> Column:
@@ -93,6 +95,15 @@ def parse_timestamp(c: ColLike, formats: list[str]) -> Column:
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
 
 
+# Accepted date formats of the lenient parser (Spark patterns).
+DATE_FORMATS = ["yyyy-MM-dd", "MMM d, yyyy", "d/M/yyyy"]
+
+
+def parse_date(c: ColLike) -> Column:
+    """a date in any accepted format; anything else is null."""
+    return parse_timestamp(c, DATE_FORMATS).cast("date")
+
+
 def days_to_timestamp(days: ColLike) -> Column:
     """Fractional days since 1970-01-01 -> TIMESTAMP_NTZ (time-zone free)."""
     d = _c(days)

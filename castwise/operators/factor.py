@@ -88,7 +88,9 @@ def fit_svd(reviews_clean: DataFrame, k: int = 50, test_per_mille: int = 100, se
     X^T U / sigma. Factor tables are written under the checkpoint dir.
     """
     from pyspark import StorageLevel
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.mllib.common import callMLlibFunc
+    from pyspark.mllib.linalg.distributed import CoordinateMatrix
 
     from ..session import materialize
 
@@ -102,8 +104,9 @@ def fit_svd(reviews_clean: DataFrame, k: int = 50, test_per_mille: int = 100, se
                         .agg(F.sum("overall_score").alias("v")), "train")
     test = parts.where(F.col("part") == "test").select("user_id", "title", "overall_score", "u", "t")
     k_eff = max(1, min(k, n_titles - 1 if n_titles > 1 else 1))
-    entries = train.rdd.map(lambda row: MatrixEntry(row[0], row[1], row[2]))
-    mat = CoordinateMatrix(entries, n_users, n_titles).toIndexedRowMatrix()
+    # the entries go from the DataFrame to MLlib inside the JVM
+    entries = train.select(F.col("u").alias("i"), F.col("t").alias("j"), F.col("v").alias("value"))
+    mat = CoordinateMatrix(callMLlibFunc("createCoordinateMatrix", entries, n_users, n_titles)).toIndexedRowMatrix()
     sc = reviews_clean.sparkSession.sparkContext
     jrows = mat._java_matrix_wrapper._java_model.rows()  # the JVM rows MLlib reads
     jrows.persist(sc._getJavaStorageLevel(StorageLevel.MEMORY_AND_DISK))
@@ -130,14 +133,13 @@ def fit_svd(reviews_clean: DataFrame, k: int = 50, test_per_mille: int = 100, se
         uf = materialize(ucols.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))
                          .select("u", F.transform("xs", lambda e: e["x"]).alias("uf")), "user_factors")
     else:
-        # distributed ARPACK: U stays distributed, V is rebuilt on the
-        # cluster as X^T U / sigma, so no factor table passes the driver
+        # distributed ARPACK: U stays distributed and V is rebuilt on the
+        # cluster as X^T U / sigma; MLlib itself holds V on the driver
         svd = mat.computeSVD(k_eff, computeU=True, rCond=RCOND)
         sigma = [float(x) for x in svd.s.toArray()]
         sig = F.array(*[F.lit(x) for x in sigma])
-        u_rows = materialize(spark.createDataFrame(
-            svd.U.rows.map(lambda ir: (int(ir.index), [float(x) for x in ir.vector.toArray()])),
-            "u long, uvec array<double>"), "svd_u")
+        u_rows = callMLlibFunc("getIndexedRows", svd.U._java_matrix_wrapper._java_model)
+        u_rows = materialize(u_rows.select(F.col("index").alias("u"), vector_to_array("vector").alias("uvec")), "svd_u")
         uf = materialize(u_rows.select("u", F.zip_with("uvec", sig, lambda a, b: a * b).alias("uf")),
                          "user_factors")
         contrib = (train.join(u_rows, "u")
@@ -156,6 +158,21 @@ def fit_svd(reviews_clean: DataFrame, k: int = 50, test_per_mille: int = 100, se
     return Factors(users, titles, uf, vf, sigma, n_users, n_titles, train, test)
 
 
+def factor_check(f: Factors) -> DataFrame:
+    """(component, n_users, n_titles, v_norm, residual) of the written factors.
+
+    residual = |X v - U sigma| / sigma_1 over all users, rounded to 4 digits.
+    """
+    xv = (f.train.join(f.item_factors, "t").select("u", F.posexplode(F.transform("vf", lambda x: x * F.col("v"))).alias("c", "x"))
+          .groupBy("u", "c").agg(F.sum("x").alias("xv")))
+    us = f.user_factors.select("u", F.posexplode("uf").alias("c", "us"))
+    diff = F.coalesce("xv", F.lit(0.0)) - F.coalesce("us", F.lit(0.0))
+    res = xv.join(us, ["u", "c"], "full_outer").groupBy("c").agg((F.sqrt(F.sum(diff * diff)) / f.sigma[0]).alias("residual"))
+    norm = f.item_factors.select(F.posexplode("vf").alias("c", "x")).groupBy("c").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("v_norm"))
+    return norm.join(res, "c").select(F.col("c").cast("int").alias("component"), F.lit(f.n_users).cast("long").alias("n_users"),
+                                      F.lit(f.n_titles).cast("long").alias("n_titles"), S.r6("v_norm").alias("v_norm"), F.round("residual", 4).alias("residual"))
+
+
 def predictions(f: Factors, rows: DataFrame | None = None) -> DataFrame:
     """J13 + F10: (user_id, title, actual, pred) with pred = clip(u . v, 1, 10).
 

@@ -109,10 +109,11 @@ def skewness(df: DataFrame, cols) -> DataFrame:
 def histogram(df: DataFrame, cols, bins: int = 10) -> DataFrame:
     """Equal-width bins between each column's min and max.
 
-    ``(column_name, bin, bin_lo, bin_hi, n)``; the last bin is closed on the
-    right, a constant column puts everything in bin 0. One scan: columns are
-    unpivoted to ``(column_name, v)``; per-column bounds are a tiny table (one
-    row per column) joined back by broadcast.
+    ``(column_name, bin, bin_lo, bin_hi, n)`` with a row for every bin, empty
+    ones too; the last bin is closed on the right, a constant column puts
+    everything in bin 0. One scan: columns are unpivoted to ``(column_name,
+    v)``; per-column bounds are a tiny table (one row per column) joined back
+    by broadcast.
     """
     long = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
             .unpivot([], list(cols), "column_name", "v").where(F.col("v").isNotNull()))
@@ -121,37 +122,39 @@ def histogram(df: DataFrame, cols, bins: int = 10) -> DataFrame:
     width = (F.col("hi") - F.col("lo")) / bins
     b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
-    return (v.groupBy("column_name", b.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    counts = v.groupBy("column_name", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = bounds.select("column_name", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return (every.join(counts, ["column_name", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
             .select("column_name", "bin",
                     r6(F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins).alias("bin_lo"),
                     r6(F.col("lo") + (F.col("bin") + 1) * (F.col("hi") - F.col("lo")) / bins).alias("bin_hi"),
                     "n"))
 
 
-def density(df: DataFrame, col: str, points: int = 50) -> DataFrame:
-    """Gaussian kernel density on an even grid, Scott bandwidth.
+def density(df: DataFrame, cols, points: int = 50) -> DataFrame:
+    """Gaussian kernel density of each column on an even grid, Scott bandwidth.
 
-    h = std * n^(-1/5). Values are first reduced to (value, count); each
-    distinct value then adds its kernel to every grid point through an array
-    expression and one grouped sum -- the grid is a fixed-size array, so no
-    join is needed and the work is points x distinct values.
+    h = std * n^(-1/5). Values are first reduced to (column, value, count);
+    each distinct value then adds its kernel to every grid point through an
+    array expression and one grouped sum -- the grid is a fixed-size array, so
+    the work is points x distinct values. A constant column has no density.
     """
-    x = F.col(col).cast("double")
-    vals = df.select(x.alias("v")).where(F.col("v").isNotNull())
-    stats = vals.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"),
-                     F.min("v").alias("lo"), F.max("v").alias("hi"))
-    counts = vals.groupBy("v").agg(F.count(F.lit(1)).alias("cnt")).crossJoin(F.broadcast(stats))
+    vals = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+            .unpivot([], list(cols), "column_name", "v").where(F.col("v").isNotNull()))
+    stats = vals.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"),
+                                            F.min("v").alias("lo"), F.max("v").alias("hi")).where(F.col("sd") > 0)
+    counts = (vals.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("cnt"))
+              .join(F.broadcast(stats), "column_name"))  # one row a column
     h = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)),
                        lambda i: F.struct(i.alias("point"),
                                           (F.col("lo") + i * (F.col("hi") - F.col("lo")) / (points - 1)).alias("x")))
-    e = counts.select("cnt", "v", "n", h.alias("h"), F.explode(grid).alias("g"))
+    e = counts.select("column_name", "cnt", "v", "n", h.alias("h"), F.explode(grid).alias("g"))
     contrib = F.col("cnt") * F.exp(-F.pow((F.col("g.x") - F.col("v")) / F.col("h"), 2) / 2)
-    return (e.groupBy(F.col("g.point").alias("point"), F.col("g.x").alias("x"))
+    return (e.groupBy("column_name", F.col("g.point").alias("point"), F.col("g.x").alias("x"))
             .agg((F.sum(contrib) / (F.first("n") * F.first("h") * F.sqrt(F.lit(2 * 3.141592653589793))))
                  .alias("density"))
-            .select(F.lit(col).alias("column_name"), "point", r6("x").alias("x"),
-                    r6("density").alias("density")))
+            .select("column_name", "point", r6("x").alias("x"), r6("density").alias("density")))
 
 
 def value_counts(df: DataFrame, col: str, top_n: int | None = None) -> DataFrame:

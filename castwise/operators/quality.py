@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 #            tot_eps, duration, rank, pop must not be negative (null passes).
 #   reviews: strings and ints present; every score in [1, 10] (null fails).
 #   credits: every listed column present.
-ITEM_STR = ("item_id", "item_name", "country", "type")
+ITEM_COLUMNS = ("item_id", "item_name", "year", "country", "type", "tot_eps", "duration", "rank", "pop")
+ITEM_STR = ("item_name", "country", "type")
 ITEM_NONNEG = ("tot_eps", "duration", "rank", "pop")
 REVIEW_STR = ("user_id", "title")
 REVIEW_SCORES = ("story_score", "acting_cast_score", "music_score", "rewatch_value_score",
@@ -27,7 +28,7 @@ YEAR_RANGE = (2000, 2030)
 SCORE_RANGE = (1.0, 10.0)
 
 REQUIRED = {
-    "items": ITEM_STR[:2] + ("year",) + ITEM_STR[2:] + ITEM_NONNEG,
+    "items": ITEM_COLUMNS,
     "reviews": REVIEW_STR + REVIEW_SCORES + ("n_helpful",),
     "credits": CREDIT_STR,
 }
@@ -44,25 +45,43 @@ def required_columns(df: DataFrame, dataset: str) -> DataFrame:
     return df.select(*cols)
 
 
-def _is_int(c: Column) -> Column:
-    # integers and integral floats (2020.0) pass; fractions do not
-    return c.isNotNull() & (F.floor(c.cast("double")) == c.cast("double"))
+def _number(c: str) -> Column:
+    """The value as a number; null if it is none (raw tables may hold text)."""
+    return F.col(c).try_cast("double")
 
 
-def rules(dataset: str) -> list[tuple[str, Column]]:
-    """(rule name, violation condition) pairs for one dataset (Q3-Q6)."""
+def _is_int(c: str) -> Column:
+    # integers and integral floats (2020.0) pass; fractions, text and null do not
+    return F.coalesce(F.floor(_number(c)) == _number(c), F.lit(False))
+
+
+def _not_number(c: str) -> Column:
+    return F.col(c).isNotNull() & _number(c).isNull()
+
+
+def rules(dataset: str, types: dict[str, str] | None = None) -> list[tuple[str, Column]]:
+    """(rule name, violation condition) pairs for one dataset (Q3-Q6).
+
+    ``types``: column types of the table; a string column held as anything
+    else breaks its type rule in every row with a value.
+    """
     out: list[tuple[str, Column]] = []
+    strings = {"items": ITEM_STR, "reviews": REVIEW_STR, "credits": CREDIT_STR[1:]}.get(dataset, ())
+    for c in strings:
+        if types and types.get(c, "string") != "string":
+            out.append((f"{c}_type", F.col(c).isNotNull()))
     if dataset == "items":
         out += [(f"{c}_missing", F.col(c).isNull()) for c in ("item_name", "country", "type")]
-        y = F.col("year")
-        out.append(("year_type", ~_is_int(y)))
+        y = _number("year")
+        out.append(("year_type", ~_is_int("year")))
         out.append(("year_range", F.coalesce(~y.between(*YEAR_RANGE), F.lit(False))))
-        out += [(f"{c}_negative", F.coalesce(F.col(c) < 0, F.lit(False))) for c in ITEM_NONNEG]
+        out += [(f"{c}_negative", F.coalesce(_number(c) < 0, F.lit(False))) for c in ITEM_NONNEG]
+        out += [(f"{c}_type", _not_number(c)) for c in ITEM_NONNEG]
     elif dataset == "reviews":
         out += [(f"{c}_missing", F.col(c).isNull()) for c in REVIEW_STR]
-        out += [(f"{c}_range", ~F.coalesce(F.col(c).between(*SCORE_RANGE) & ~F.isnan(F.col(c)),
+        out += [(f"{c}_range", ~F.coalesce(_number(c).between(*SCORE_RANGE) & ~F.isnan(_number(c)),
                                             F.lit(False))) for c in REVIEW_SCORES]
-        out.append(("n_helpful_type", ~_is_int(F.col("n_helpful"))))
+        out.append(("n_helpful_type", ~_is_int("n_helpful")))
     elif dataset == "credits":
         out += [(f"{c}_missing", F.col(c).isNull()) for c in CREDIT_STR]
     else:
@@ -75,7 +94,7 @@ def with_violations(df: DataFrame, dataset: str) -> DataFrame:
     df = required_columns(df, dataset)
     if dataset == "items":
         df = df.where(F.col("item_id").isNotNull())  # Q2
-    arr = F.array(*[F.when(cond, F.lit(name)) for name, cond in rules(dataset)])
+    arr = F.array(*[F.when(cond, F.lit(name)) for name, cond in rules(dataset, dict(df.dtypes))])
     return df.withColumn("violations", F.filter(arr, lambda x: x.isNotNull()))
 
 

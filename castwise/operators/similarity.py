@@ -1,63 +1,50 @@
-"""Nearest neighbours for a bounded query set.
+"""Nearest neighbours for a stated query set.
 
 The reference builds the full n x n similarity matrix and then reads one row
-per query. Here only the rows that are asked for are computed: the query
-vectors (a bounded set: a sample or a caller's list, checked below) are
-broadcast and every catalog vector is scored against them in one pass, so
-work and shuffle grow as n x |Q|, never n x n. Top-n per query uses
-``row_number() <= n``, which Spark plans with a partial WindowGroupLimit
-before the shuffle, so each query's group holds at most n rows per map task
-however large the catalog.
+per query. Here only the asked rows are computed. The catalog is held as one
+row per item; the query vectors are taken in blocks of bounded size, each
+block is broadcast, and every task scores its items against the block and
+keeps the best ``top_n`` of each query it has seen. So a task returns at most
+``top_n`` rows a query (no n x |Q| shuffle), and a last window merges the
+tasks' lists. No query and no candidate is left out, whatever the sign of the
+scores.
 
 Two vector layouts:
-* long ``(id, feature, value)`` (sparse + dense feature store): one join on
-  ``feature`` with the broadcast query rows, partial-aggregated to (q, id);
-* dense ``(id, array<double>)`` (embeddings, latent factors): the query
-  matrix rides along as one broadcast row and each catalog row computes its
-  |Q| dot products with array expressions -- no join at all.
+* long ``(id, feature, value)`` (sparse + dense feature store);
+* dense ``(id, array<double>)`` (embeddings, latent factors).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from heapq import nsmallest
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalar as S
 
-# Largest query set scored in one pass. The broadcast side is
-# MAX_QUERIES x (non-zero features per query) rows: with the feature store's
-# at most ~330 features per item that is under 0.7 M rows (~20 MB); dense
-# query vectors travel packed in one row (2,000 x dim doubles).
+# Size of one block of queries: vectors, and numbers in them (16 MB of doubles).
 MAX_QUERIES = 2_000
-# Largest broadcast of query feature rows (long layout); a chunk above it is
-# split again, so the bound holds for any vector table, not only ours.
-MAX_QUERY_ROWS = 2_000_000
-# Largest packed query matrix (dense layout), in values: 4 M doubles = 32 MB.
-MAX_PACKED_VALUES = 4_000_000
+MAX_QUERY_VALUES = 2_000_000
 
 
-def query_chunks(queries: DataFrame, col: str = "qid", max_queries: int = MAX_QUERIES) -> list[DataFrame]:
-    """Split the distinct query ids into chunks of about ``max_queries``.
+def query_blocks(vectors: DataFrame, size, max_queries: int | None = None, max_values: int | None = None) -> list[list]:
+    """The rows of a (written) query table in bounded blocks, one at a time.
 
-    The size check is one count of the (small) query table. Within the bound
-    the whole set is broadcast; beyond it the ids are split by an md5 bucket
-    and each chunk is scored on its own (the results are unioned), so every
-    broadcast stays bounded and no query is dropped.
+    ``size`` is a column: the numbers a row holds. Rows are dealt by an md5
+    bucket with a quarter of head room; empty blocks are skipped.
     """
-    q = queries.select(col).distinct()
-    n = q.count()
-    if n <= max_queries:
-        return [q]
-    k = -(-n * 5 // (max_queries * 4))  # 25 % head room for hash imbalance
-    b = S.md5_bucket(F.col(col), "chunk", k)
-    return [q.where(b == i) for i in range(k)]
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    t = vectors.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("v")).first()
+    k = max(1, -(-t.n * 5 // ((max_queries or MAX_QUERIES) * 4)), -(-t.v * 5 // ((max_values or MAX_QUERY_VALUES) * 4)))
+    b = S.md5_bucket(F.col("qid"), "block", k)
+    for i in range(k):
+        rows = (vectors.where(b == i) if k > 1 else vectors).orderBy("qid").collect()  # a bounded block
+        if rows:
+            yield rows
 
 
 def top_n_per_query(scores: DataFrame, top_n: int, order_cols) -> DataFrame:
@@ -66,6 +53,26 @@ def top_n_per_query(scores: DataFrame, top_n: int, order_cols) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
 
 
+class _Best:
+    """The best ``top_n`` (-score, null name, name, id) of every query so far."""
+
+    def __init__(self, n: int, top_n: int):
+        self.top_n, self.rows = top_n, [[] for _ in range(n)]
+
+    def add(self, q: int, scores: np.ndarray, ids: list, names: list | None, own) -> None:
+        rounded = np.round(scores, 9)
+        n = min(len(rounded), self.top_n + 1)  # one more: the query itself may be among them
+        cut = np.partition(rounded, len(rounded) - n)[len(rounded) - n] if n else 0.0
+        new = [(-rounded[i], names is not None and names[i] is None, (names[i] or "") if names else "", ids[i], float(scores[i]))
+               for i in np.flatnonzero(rounded >= cut) if ids[i] != own]
+        self.rows[q] = nsmallest(self.top_n, self.rows[q] + new)
+
+
+def _merge(parts: list[DataFrame], top_n: int, spark, schema: str, order) -> DataFrame:
+    allc = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    return top_n_per_query(allc, top_n, order)
+
+
 def cosine_long(vectors: DataFrame, queries: DataFrame, names: DataFrame, top_n: int = 10,
                 id_col: str = "item_id", name_col: str = "item_name") -> DataFrame:
     """Cosine top-n of each query id over a long vector table.
@@ -75,97 +82,106 @@ def cosine_long(vectors: DataFrame, queries: DataFrame, names: DataFrame, top_n:
     A zero vector has similarity 0 to everything; the query itself is always
     excluded; ties order by name, then id.
     """
+    from ..session import materialize
     v = vectors.select(F.col(id_col).alias("id"), "feature", F.col("value").cast("double").alias("value"))
     nm = names.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"))
-    from ..session import materialize
-    parts = []
-    for q in query_chunks(queries):
-        # the chunk's query vectors are extracted once and written (a small
-        # table); the size check and the scoring plan both read that table,
-        # so checking costs no extra pass over the catalog
-        qv = materialize(v.join(F.broadcast(q), v.id == q.qid, "inner")  # q <= MAX_QUERIES rows
-                         .select("qid", "feature", F.col("value").alias("qvalue")), "query_vectors")
-        parts += _row_bounded(q, qv)
-    return _union([_cosine_long_chunk(v, q, qv, nm, top_n) for q, qv in parts])
-
-
-def _row_bounded(q_ids: DataFrame, qv: DataFrame, depth: int = 0) -> list[tuple[DataFrame, DataFrame]]:
-    """Split a query chunk until its feature rows fit MAX_QUERY_ROWS."""
-    if depth >= 16 or qv.count() <= MAX_QUERY_ROWS:
-        return [(q_ids, qv)]
-    b = S.md5_bucket(F.col("qid"), f"split{depth}", 2)
-    return [p for i in (0, 1) for p in _row_bounded(q_ids.where(b == i), qv.where(b == i), depth + 1)]
-
-
-def _cosine_long_chunk(v: DataFrame, q_ids: DataFrame, qv: DataFrame, nm: DataFrame,
-                       top_n: int) -> DataFrame:
-    dots = (v.join(F.broadcast(qv), "feature")
-            .groupBy("qid", "id").agg(F.sum(F.col("value") * F.col("qvalue")).alias("dot")))
-    norms = v.groupBy("id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    qn = norms.join(F.broadcast(q_ids), norms.id == q_ids.qid).select("qid", F.col("norm").alias("qnorm"))
-    scored = (dots.join(norms, "id").join(F.broadcast(qn), "qid")
-              .select("qid", "id", F.when((F.col("norm") == 0) | (F.col("qnorm") == 0), F.lit(0.0))
-                      .otherwise(F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
-              .where(F.col("qid") != F.col("id")))
-    # Exactness pad: a query with fewer than top_n positive scores is filled
-    # with zero-score items in (name, id) order. The first 2 * top_n + 1
-    # catalog rows by (name, id) always suffice (at most top_n - 1 are
-    # already candidates, one is the query), so the pad is bounded.
-    first = (nm.orderBy(F.col("name").asc_nulls_last(), "id").limit(2 * top_n + 1)
-             .agg(F.collect_list("id").alias("ids")))  # one row of 2 * top_n + 1 ids
-    pad = (q_ids.crossJoin(F.broadcast(first))
-           .select("qid", F.explode("ids").alias("id")).where(F.col("qid") != F.col("id"))
-           .select("qid", "id", F.lit(0.0).alias("score"))
-           .join(scored.select("qid", "id"), ["qid", "id"], "left_anti"))
-    allc = scored.unionByName(pad).join(nm, "id", "left")
-    ranked = top_n_per_query(allc, top_n, [F.round("score", 9).desc(), F.col("name").asc_nulls_last(),
-                                          F.col("id")])
+    packed = materialize(nm.join(v, "id", "left").groupBy("id", "name")
+                         .agg(F.collect_list(F.when(F.col("feature").isNotNull(), F.struct("feature", "value"))).alias("f"))  # one item's features
+                         .select("id", "name", F.col("f.feature").alias("features"), F.col("f.value").alias("values")), "item_vectors")
+    q = queries.select("qid").distinct()
+    qv = materialize(q.join(packed, q.qid == packed.id, "left").dropDuplicates(["qid"])
+                     .select("qid", "features", "values"), "query_vectors")
+    spark, parts = packed.sparkSession, []
+    schema = T.StructType([T.StructField("qid", qv.schema["qid"].dataType), T.StructField("id", packed.schema["id"].dataType),
+                           T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType())])
+    for rows in query_blocks(qv, F.coalesce(F.size("features"), F.lit(0))):
+        shared = spark.sparkContext.broadcast([(r.qid, r["features"] or [], r["values"] or []) for r in rows])
+        parts.append(_cosine_block(packed, shared, top_n, schema))
+    ranked = _merge(parts, top_n, spark, schema, [F.round("score", 9).desc(), F.col("name").asc_nulls_last(), F.col("id")])
     return ranked.select("qid", "rank", "id", "name", "score")
 
 
+def _cosine_block(packed: DataFrame, shared, top_n: int, schema: T.StructType) -> DataFrame:
+    def run(batches):
+        block = shared.value
+        by: dict[str, tuple[list, list]] = {}
+        for i, (_, fs, vs) in enumerate(block):
+            for f, x in zip(fs, vs, strict=True):
+                at, val = by.setdefault(f, ([], []))
+                at.append(i)
+                val.append(x)
+        index = {f: (np.array(a), np.array(b)) for f, (a, b) in by.items()}
+        qnorm = np.array([np.sqrt(np.dot(vs, vs)) for _, _, vs in block])
+        best = _Best(len(block), top_n)
+        for b in batches:
+            for s in range(0, b.num_rows, 1024):
+                sub = b.slice(s, 1024)
+                ids, names = sub.column("id").to_pylist(), sub.column("name").to_pylist()
+                dots, norm = np.zeros((len(ids), len(block))), np.zeros(len(ids))
+                for k, (fs, vs) in enumerate(zip(sub.column("features").to_pylist(), sub.column("values").to_pylist(), strict=True)):
+                    norm[k] = np.sqrt(np.dot(vs, vs))
+                    for f, x in zip(fs, vs, strict=True):
+                        hit = index.get(f)
+                        if hit is not None:
+                            dots[k, hit[0]] += x * hit[1]
+                both = norm[:, None] * qnorm
+                scores = np.divide(dots, both, out=np.zeros_like(dots), where=both != 0)
+                for q, (qid, _, _) in enumerate(block):
+                    best.add(q, scores[:, q], ids, names, qid)
+        out = [(block[q][0], r[3], None if r[1] else r[2], r[4]) for q, rows in enumerate(best.rows) for r in rows]
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=_arrow(schema))
+
+    return packed.mapInArrow(run, schema)
+
+
+def _arrow(schema: T.StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    return to_arrow_schema(schema)
+
+
 def dot_dense(vectors: DataFrame, queries: DataFrame, top_n: int = 10, id_col: str = "id",
               vec_col: str = "vec", cosine: bool = False) -> DataFrame:
     """Dot-product (or cosine) top-n over dense arrays; (qid, rank, id, score).
 
-    The query vectors travel as a single broadcast row holding at most
-    MAX_QUERIES vectors; each catalog row scores all of them with
-    ``transform`` + ``zip_with``. Self is excluded; ties order by id.
+    Vectors of one table have one length; null vectors take no part. Self is
+    excluded; ties order by id.
     """
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    if cosine:
-        v = v.withColumn("vec", _unit(F.col("vec")))
     from ..session import materialize
-    parts = []
-    for q in query_chunks(queries):
-        qv = materialize(v.join(F.broadcast(q), v.id == q.qid)  # q <= MAX_QUERIES rows
-                         .select("qid", F.col("vec").alias("qvec")), "query_vectors")
-        parts += _values_bounded(qv)
-    return _union([_dot_dense_chunk(v, qv, top_n) for qv in parts])
-
-
-def _values_bounded(qv: DataFrame, depth: int = 0) -> list[DataFrame]:
-    """Split written query vectors until one packed row fits MAX_PACKED_VALUES."""
-    n = qv.agg(F.coalesce(F.sum(F.size("qvec")), F.lit(0))).first()[0]
-    if depth >= 16 or n <= MAX_PACKED_VALUES:
-        return [qv]
-    b = S.md5_bucket(F.col("qid"), f"split{depth}", 2)
-    return [p for i in (0, 1) for p in _values_bounded(qv.where(b == i), depth + 1)]
-
-
-def _dot_dense_chunk(v: DataFrame, qv: DataFrame, top_n: int) -> DataFrame:
-    packed = qv.agg(F.collect_list(F.struct("qid", "qvec")).alias("qs"))
-    scored = (v.crossJoin(F.broadcast(packed))  # one row
-              .select("id", F.explode(F.transform("qs", lambda q: F.struct(
-                  q["qid"].alias("qid"), S.dot(q["qvec"], F.col("vec")).alias("score")))).alias("s"))
-              .select(F.col("s.qid").alias("qid"), "id", F.col("s.score").alias("score"))
-              .where(F.col("qid") != F.col("id")))
-    ranked = top_n_per_query(scored, top_n, [F.round("score", 9).desc(), F.col("id")])
-    return ranked.select("qid", "rank", "id", "score")
-
-
-def _unit(vec):
-    n = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(n == 0, vec).otherwise(F.transform(vec, lambda x: x / n))
+    v = (vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("vec").isNotNull()))
+    q = queries.select("qid").distinct()
+    qv = materialize(v.join(q, v.id == q.qid).select("qid", "vec"), "query_vectors")
+    spark, parts = v.sparkSession, []
+    schema = T.StructType([T.StructField("qid", qv.schema["qid"].dataType), T.StructField("id", v.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    for rows in query_blocks(qv, F.size("vec")):
+        shared = spark.sparkContext.broadcast(([r.qid for r in rows], _unit(np.array([r.vec for r in rows], float), cosine)))
+        parts.append(_dense_block(v, shared, top_n, schema, cosine))
+    return _merge(parts, top_n, spark, schema, [F.round("score", 9).desc(), F.col("id")]).select("qid", "rank", "id", "score")
+
+
+def _dense_block(v: DataFrame, shared, top_n: int, schema: T.StructType, cosine: bool) -> DataFrame:
+    def run(batches):
+        qids, qmat = shared.value
+        best = _Best(len(qids), top_n)
+        for b in batches:
+            for s in range(0, b.num_rows, 4096):
+                sub = b.slice(s, 4096)
+                ids = sub.column("id").to_pylist()
+                m = _unit(sub.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1), cosine)
+                scores = m @ qmat.T  # one matrix product for the whole block
+                for q, qid in enumerate(qids):
+                    best.add(q, scores[:, q], ids, None, qid)
+        out = [(qids[q], r[3], r[4]) for q, rows in enumerate(best.rows) for r in rows]
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=_arrow(schema))
+
+    return v.select("id", "vec").mapInArrow(run, schema)
+
+
+def _unit(m: np.ndarray, cosine: bool) -> np.ndarray:
+    """Rows scaled to length 1 (zero rows stay) when cosine is asked for."""
+    if not cosine:
+        return m
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m / np.where(n == 0, 1, n)
 
 
 def sample_queries(items: DataFrame, n: int = 50, seed: int = 42, key: str = "item_id") -> DataFrame:

@@ -82,6 +82,44 @@ def quality_violation_sample(spark, sf_dir):
     return Q.violation_sample(Ctx(spark, sf_dir).items_core, "items", 5)
 
 
+_DIRTY = """SELECT item_id, item_id AS item_name, country, type, duration, rank, pop,
+  CASE WHEN item_id % 50 = 0 THEN 'n/a' WHEN item_id % 50 = 1 THEN '2015.5' WHEN item_id % 50 = 2 THEN '1890' ELSE CAST(year + 7 AS VARCHAR) END AS year,
+  CASE WHEN item_id % 40 = 0 THEN 'many' WHEN item_id % 40 = 1 THEN '-3' ELSE CAST(tot_eps AS VARCHAR) END AS tot_eps,
+  CASE WHEN item_id % 4 = 0 THEN 'soon' WHEN item_id % 4 = 1 THEN strftime(start_dt, '%Y-%m-%d') WHEN item_id % 4 = 2 THEN strftime(start_dt, '%b %-d, %Y')
+    ELSE strftime(start_dt, '%-d/%-m/%Y') END AS start_text FROM items"""
+
+
+def dirty_items(c: Ctx):
+    """Items as a careless raw table has them: names as numbers, years and counts as text, dates in three formats."""
+    k, y, d = F.col("item_id"), (F.col("year") + 7).cast("string"), F.col("start_dt")
+    return c.items_core.select(
+        "item_id", k.alias("item_name"), "country", "type", "duration", "rank", "pop",
+        F.when(k % 50 == 0, "n/a").when(k % 50 == 1, "2015.5").when(k % 50 == 2, "1890").otherwise(y).alias("year"),
+        F.when(k % 40 == 0, "many").when(k % 40 == 1, "-3").otherwise(F.col("tot_eps").cast("string")).alias("tot_eps"),
+        F.when(k % 4 == 0, "soon").when(k % 4 == 1, F.date_format(d, "yyyy-MM-dd")).when(k % 4 == 2, F.date_format(d, "MMM d, yyyy"))
+        .otherwise(F.date_format(d, "d/M/yyyy")).alias("start_text"))
+
+
+@register("quality_dirty_items", with_ctes(f"""
+SELECT rule, count(*) AS n_rows FROM (SELECT unnest(list_filter([
+  CASE WHEN item_name IS NOT NULL THEN 'item_name_type' END,
+  CASE WHEN item_name IS NULL THEN 'item_name_missing' END,
+  CASE WHEN coalesce(floor(TRY_CAST(year AS DOUBLE)) <> TRY_CAST(year AS DOUBLE), true) THEN 'year_type' END,
+  CASE WHEN coalesce(NOT (TRY_CAST(year AS DOUBLE) BETWEEN 2000 AND 2030), false) THEN 'year_range' END,
+  CASE WHEN coalesce(TRY_CAST(tot_eps AS DOUBLE) < 0, false) THEN 'tot_eps_negative' END,
+  CASE WHEN tot_eps IS NOT NULL AND TRY_CAST(tot_eps AS DOUBLE) IS NULL THEN 'tot_eps_type' END], lambda x: x IS NOT NULL)) AS rule
+ FROM ({_DIRTY}) WHERE item_id IS NOT NULL) GROUP BY rule"""), ids="Q3-Q5")
+def quality_dirty_items(spark, sf_dir):
+    return Q.violation_counts(dirty_items(Ctx(spark, sf_dir)), "items").select("rule", "n_rows")
+
+
+@register("lenient_item_dates", with_ctes(f"""
+SELECT item_id, start_text, CAST(coalesce(try_strptime(start_text, '%Y-%m-%d'), try_strptime(start_text, '%b %-d, %Y'),
+  try_strptime(start_text, '%-d/%-m/%Y')) AS DATE) AS start_dt FROM ({_DIRTY})"""), ids="F9,S1")
+def lenient_item_dates(spark, sf_dir):
+    return dirty_items(Ctx(spark, sf_dir)).select("item_id", "start_text", S.parse_date("start_text").alias("start_dt"))
+
+
 # ---------------------------------------------------------------- cleaning
 
 _ITEMS_CLEAN_COLS = ("item_id, item_name, year, country, type, content_rt, director, screenwriter, "
@@ -112,14 +150,14 @@ def clean_credits(spark, sf_dir):
     return Ctx(spark, sf_dir).credits_clean
 
 
-@register("merge_credits_reviews", with_ctes(
-    "SELECT c.*, r.* EXCLUDE (review_text) FROM credits_clean c JOIN reviews_clean_t r ON c.item_name = r.title",
-    {"reviews_clean_t": "SELECT * FROM reviews_clean"}), ids="J1,S9")
+@register("merge_credits_reviews", with_ctes("""
+SELECT c.*, r.* EXCLUDE (review_text), md5(review_text) AS review_text_md5
+FROM credits_clean c JOIN reviews_clean r ON c.item_name = r.title"""), ids="J1,S9")
 def merge_credits_reviews(spark, sf_dir):
-    """Every merged row; the review text payload column is left out of the
-    check (the join is on names; the text rides along unchanged)."""
+    """Every merged row with all its columns; the text is returned as its md5."""
     c = Ctx(spark, sf_dir)
-    return C.merge_credits_reviews(c.credits_clean, c.reviews_clean_core)
+    m = C.merge_credits_reviews(c.credits_clean, c.reviews_clean)
+    return m.withColumn("review_text_md5", F.md5("review_text")).drop("review_text")
 
 
 @register("impute_values", with_ctes(f"""
@@ -153,7 +191,7 @@ def duration_bins(spark, sf_dir):
             .groupBy("duration_category").agg(F.count(F.lit(1)).alias("n_items")))
 
 
-_NULL_COLS = ("item_id", "item_name", "year", "content_rt", "director", "screenwriter", "org_net",
+_NULL_COLS = ("item_id", "item_name", "year", "country", "type", "content_rt", "director", "screenwriter", "org_net",
               "aired_on", "duration", "tot_eps", "rank", "pop", "start_dt", "end_dt", "synopsis")
 
 
@@ -225,10 +263,6 @@ def most_common_elements(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "element").limit(10))
 
 
-# Accepted date formats of the lenient parser (Spark patterns).
-DATE_FORMATS = ["yyyy-MM-dd", "MMM d, yyyy", "d/M/yyyy"]
-
-
 @register("parse_dates", with_ctes("""
 SELECT o_orderkey, s, CAST(coalesce(try_strptime(s, '%Y-%m-%d'), try_strptime(s, '%b %-d, %Y'),
   try_strptime(s, '%-d/%-m/%Y')) AS DATE) AS parsed FROM (
@@ -245,7 +279,7 @@ def parse_dates(spark, sf_dir):
          .when(k % 3 == 1, F.date_format(d, "MMM d, yyyy"))
          .otherwise(F.date_format(d, "d/M/yyyy")))
     x = o.select("o_orderkey", s.alias("s"))
-    return x.select("o_orderkey", "s", S.parse_timestamp("s", DATE_FORMATS).cast("date").alias("parsed"))
+    return x.select("o_orderkey", "s", S.parse_date("s").alias("parsed"))
 
 
 @register("review_sample", with_ctes(f"""

@@ -8,6 +8,7 @@ from ..functions import scalar as S
 from ..operators import factor as FA
 from ..operators import hybrid as H
 from ..operators import similarity as SIM
+from ..session import materialize
 from .catalog import Ctx, register
 from .recs import ALPHA, POOL, TOP_N, content_pool, shared_sample
 from .sqlbase import with_ctes
@@ -46,6 +47,29 @@ def svd_factors(spark, sf_dir):
     return sig.crossJoin(dims)
 
 
+@register("svd_check", with_ctes("""
+WITH r AS (SELECT DISTINCT user_id, title FROM reviews_clean WHERE user_id IS NOT NULL AND title IS NOT NULL AND overall_score IS NOT NULL),
+d AS (SELECT count(DISTINCT user_id) AS n_users, count(DISTINCT title) AS n_titles FROM r)
+SELECT CAST(i AS INTEGER) AS component, n_users, n_titles, 1.0::DOUBLE AS v_norm, 0.0::DOUBLE AS residual
+FROM d CROSS JOIN range(0, 50) s(i) WHERE i < n_titles - 1"""), ids="M3")
+def svd_check(spark, sf_dir):
+    """What makes the written factors a truncated SVD, per component: v has
+    length 1, and X v equals the stored U sigma column (relative residual)."""
+    return FA.factor_check(_fit(Ctx(spark, sf_dir)))
+
+
+@register("svd_item_factors", None, ids="M3")
+def svd_item_factors(spark, sf_dir):
+    f = _fit(Ctx(spark, sf_dir))
+    return f.item_factors.join(f.titles, "t").select("title", F.transform("vf", lambda x: F.round(x, 6)).alias("factors"))
+
+
+@register("svd_user_factors", None, ids="M3")
+def svd_user_factors(spark, sf_dir):
+    f = _fit(Ctx(spark, sf_dir))
+    return f.user_factors.join(f.users, "u").select("user_id", F.transform("uf", lambda x: F.round(x, 6)).alias("factors"))
+
+
 @register("holdout_rmse", None, ids="M6,J13,F10,F20,A21")
 def holdout_rmse(spark, sf_dir):
     return FA.error_report(FA.predictions(_fit(Ctx(spark, sf_dir))))
@@ -74,6 +98,23 @@ def collaborative_neighbors(spark, sf_dir):
         "query_key", "rank", "rec_key", S.r6("score").alias("score"))
 
 
+@register("factor_model_summary", None, ids="M14,U6")
+def factor_model_summary(spark, sf_dir):
+    """One evaluation row per (model, k) of the factor model and its blend
+    with the content model, through the same evaluation as the others."""
+    from functools import reduce
+
+    from ..operators import ranking as R
+    from .recs import shared_relevance
+    c = Ctx(spark, sf_dir)
+    f, s, rel = _fit(c), shared_sample(c), shared_relevance(c)
+    cf = materialize(cf_recs(c, f, s, POOL), "factor_pool")
+    hy = H.blend(content_pool(c).select("query_key", "rec_key", "name", "score"), cf.select("query_key", "rec_key", "score"), ALPHA, TOP_N)
+    rows = [R.evaluate(s, recs.select("query_key", "rank", "rec_key"), rel, c.item_keys, k).select(F.lit(m).alias("model"), "*")
+            for m, recs in (("collaborative", cf), ("hybrid", hy)) for k in (5, TOP_N)]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
 @register("hybrid_recommend", None, ids="M7")
 def hybrid_recommend(spark, sf_dir):
     c = Ctx(spark, sf_dir)

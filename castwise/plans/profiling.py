@@ -52,9 +52,18 @@ def corr_items(spark, sf_dir):
     return P.corr_matrix(Ctx(spark, sf_dir).items_clean_core, _IN)
 
 
-@register("skew_reviews", with_ctes(" UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, {r6(f'CASE WHEN count({c}) < 3 THEN NULL WHEN stddev_pop({c}) = 0 THEN 0 ELSE skewness(CAST({c} AS DOUBLE)) END')} AS skewness FROM reviews_clean"
-    for c in _RN)), ids="A15")
+def _skew_sql(table: str, cols) -> str:
+    return with_ctes(" UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, {r6(f'CASE WHEN count({c}) < 3 THEN NULL WHEN stddev_pop({c}) = 0 THEN 0 ELSE skewness(CAST({c} AS DOUBLE)) END')} AS skewness FROM {table}"
+        for c in cols))
+
+
+@register("skew_items", _skew_sql("items_clean", _IN), ids="A15")
+def skew_items(spark, sf_dir):
+    return P.skewness(Ctx(spark, sf_dir).items_clean_core, _IN)
+
+
+@register("skew_reviews", _skew_sql("reviews_clean", _RN), ids="A15")
 def skew_reviews(spark, sf_dir):
     return P.skewness(Ctx(spark, sf_dir).reviews_clean_core, _RN)
 
@@ -67,26 +76,28 @@ WITH long AS (""" + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, CAST({c} AS DOUBLE) AS v FROM reviews_clean WHERE {c} IS NOT NULL"
     for c in _SCORES) + """),
 b AS (SELECT column_name, min(v) AS lo, max(v) AS hi FROM long GROUP BY 1),
-x AS (SELECT l.column_name, lo, hi, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((v - lo) / ((hi - lo) / 10)), 9) END AS INTEGER) AS bin
-      FROM long l JOIN b USING (column_name))
+x AS (SELECT column_name, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((v - lo) / ((hi - lo) / 10)), 9) END AS INTEGER) AS bin
+      FROM long l JOIN b USING (column_name)),
+n AS (SELECT column_name, bin, count(*) AS n FROM x GROUP BY ALL),
+e AS (SELECT b.*, CAST(i AS INTEGER) AS bin FROM b CROSS JOIN range(0, 10) r(i))
 SELECT column_name, bin, round(lo + bin * (hi - lo) / 10, 6) AS bin_lo,
- round(lo + (bin + 1) * (hi - lo) / 10, 6) AS bin_hi, count(*) AS n FROM x GROUP BY column_name, bin, lo, hi"""),
+ round(lo + (bin + 1) * (hi - lo) / 10, 6) AS bin_hi, coalesce(n, 0) AS n FROM e LEFT JOIN n USING (column_name, bin)"""),
           ids="A16")
 def score_histogram(spark, sf_dir):
     return P.histogram(Ctx(spark, sf_dir).reviews_clean_core, _SCORES, bins=10)
 
 
-@register("score_density", with_ctes("""
-WITH v AS (SELECT CAST(overall_score AS DOUBLE) AS v FROM reviews_clean WHERE overall_score IS NOT NULL),
-s AS (SELECT count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi FROM v),
-c AS (SELECT v, count(*) AS cnt FROM v GROUP BY v),
-g AS (SELECT i AS point, lo + i * (hi - lo) / 49 AS x, n, sd * pow(CAST(n AS DOUBLE), -0.2) AS h
-      FROM range(0, 50) r(i) CROSS JOIN s)
-SELECT 'overall_score' AS column_name, CAST(point AS INTEGER) AS point, round(x, 6) AS x,
+@register("score_density", with_ctes("WITH " + ", ".join(f"""
+v_{c} AS (SELECT CAST({c} AS DOUBLE) AS v FROM reviews_clean WHERE {c} IS NOT NULL),
+s_{c} AS (SELECT count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi FROM v_{c}),
+c_{c} AS (SELECT v, count(*) AS cnt FROM v_{c} GROUP BY v),
+g_{c} AS (SELECT i AS point, lo + i * (hi - lo) / 49 AS x, n, sd * pow(CAST(n AS DOUBLE), -0.2) AS h
+      FROM range(0, 50) r(i) CROSS JOIN s_{c} WHERE sd > 0)""" for c in _SCORES) + " UNION ALL ".join(f"""
+SELECT '{c}' AS column_name, CAST(point AS INTEGER) AS point, round(x, 6) AS x,
  round(sum(cnt * exp(-pow((x - v) / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) AS density
-FROM g CROSS JOIN c GROUP BY point, x"""), ids="A17")
+FROM g_{c} CROSS JOIN c_{c} GROUP BY point, x""" for c in _SCORES)), ids="A17")
 def score_density(spark, sf_dir):
-    return P.density(Ctx(spark, sf_dir).reviews_clean_core, "overall_score", points=50)
+    return P.density(Ctx(spark, sf_dir).reviews_clean_core, _SCORES, points=50)
 
 
 @register("label_counts", with_ctes("""
@@ -186,6 +197,13 @@ def co_appearance_edges(spark, sf_dir):
     return G.co_appearance_edges(Ctx(spark, sf_dir).credits_clean, 25)
 
 
+@register("co_appearance_items", with_ctes("WITH " + _EDGES_SQL + """
+SELECT a.actor_name AS person_a, b.actor_name AS person_b, a.item_name AS item
+FROM pairs a JOIN pairs b ON a.item_name = b.item_name AND a.actor_name < b.actor_name"""), ids="G1,J7")
+def co_appearance_items(spark, sf_dir):
+    return G.shared_items(Ctx(spark, sf_dir).credits_clean, 25)
+
+
 @register("co_appearance_size", with_ctes("WITH " + _EDGES_SQL + """
 SELECT (SELECT count(DISTINCT p) FROM (SELECT person_a AS p FROM edges UNION ALL SELECT person_b FROM edges)) AS n_nodes,
  (SELECT count(*) FROM edges) AS n_edges"""), ids="G2")
@@ -193,12 +211,25 @@ def co_appearance_size(spark, sf_dir):
     return G.graph_size(G.co_appearance_edges(Ctx(spark, sf_dir).credits_clean, 25))
 
 
-@register("item_info", with_ctes(" UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, count({c}) AS non_null FROM items" for c in
-    ("item_id", "item_name", "year", "duration", "start_dt", "synopsis"))), ids="C10")
+# The columns of the item table and their types.
+_ITEM_TYPES = {"item_id": "bigint", "item_name": "string", "year": "int", "country": "string", "type": "string", "content_rt": "string",
+               "director": "string", "screenwriter": "string", "org_net": "string", "aired_on": "string", "duration": "double", "tot_eps": "double",
+               "rank": "double", "pop": "double", "start_dt": "date", "end_dt": "date", "synopsis": "string"}
+_CREDIT_TYPES = {"actor_id": "bigint", "actor_name": "string", "item_name": "string", "character_name": "string", "role": "string"}
+
+
+def _info_sql(table: str, types: dict[str, str]) -> str:
+    return with_ctes(" UNION ALL ".join(f"SELECT '{c}' AS column_name, '{t}' AS dtype, count({c}) AS non_null FROM {table}" for c, t in types.items()))
+
+
+@register("item_info", _info_sql("items", _ITEM_TYPES), ids="C10")
 def item_info(spark, sf_dir):
-    i = Ctx(spark, sf_dir).items.select("item_id", "item_name", "year", "duration", "start_dt", "synopsis")
-    return P.info(i).select("column_name", "non_null")
+    return P.info(Ctx(spark, sf_dir).items)
+
+
+@register("credit_info", _info_sql("credits", _CREDIT_TYPES), ids="C10")
+def credit_info(spark, sf_dir):
+    return P.info(Ctx(spark, sf_dir).credits)
 
 
 @register("item_preview", with_ctes("""

@@ -211,7 +211,7 @@ d AS (SELECT p.sid, p.a, p.b, sum(fa.value * fb.value) AS dot FROM p JOIN featur
 c AS (SELECT p.sid, CASE WHEN coalesce(na.norm, 0) = 0 OR coalesce(nb.norm, 0) = 0 THEN 0.0
         ELSE coalesce(d.dot, 0) / (na.norm * nb.norm) END AS cos
       FROM p LEFT JOIN d ON d.sid = p.sid AND d.a = p.a AND d.b = p.b
-      JOIN fnorms na ON na.item_id = p.a JOIN fnorms nb ON nb.item_id = p.b)
+      LEFT JOIN fnorms na ON na.item_id = p.a LEFT JOIN fnorms nb ON nb.item_id = p.b)
 SELECT s.sid, round(coalesce(x.diversity, 0), 6) AS diversity FROM (SELECT DISTINCT sid FROM l) s
 LEFT JOIN (SELECT sid, avg(1 - cos) AS diversity FROM c GROUP BY sid) x ON x.sid = s.sid"""), ids="M13")
 def list_diversity(spark, sf_dir):
@@ -219,7 +219,7 @@ def list_diversity(spark, sf_dir):
     fs = c.features
     nb = content_pool(c).where(F.col("rank") <= TOP_N)
     d = R.list_diversity(nb.select(F.col("qid").alias("sid"), "rank", F.col("id").alias("item_id"))
-                         .withColumnRenamed("item_id", "id"), fs)
+                         .withColumnRenamed("item_id", "id"), fs, catalog=c.item_keys)
     return d.select("sid", S.r6("diversity").alias("diversity"))
 
 

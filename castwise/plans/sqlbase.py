@@ -7,9 +7,12 @@
 
 from __future__ import annotations
 
+_NAME = ("CASE WHEN p.p_partkey % 101 = 0 THEN concat('twin title ', CAST(p.p_partkey // 202 AS VARCHAR)) "
+         "ELSE concat(p.p_name, ' ', p.p_brand, ' ', CAST(p.p_partkey AS VARCHAR)) END")
+
 ROLE_CTES = {
-    "items": """
-SELECT p.p_partkey AS item_id, concat(p.p_name, ' ', p.p_brand) AS item_name,
+    "items": f"""
+SELECT p.p_partkey AS item_id, {_NAME} AS item_name,
  CAST(year(s.st) AS INTEGER) AS year, 'KR' AS country, 'series' AS type, p.p_type AS content_rt,
  CASE WHEN p.p_partkey % 5 = 0 THEN NULL ELSE concat('dir ', CAST(p.p_partkey % 40 AS VARCHAR)) END AS director,
  CASE WHEN p.p_partkey % 3 = 0 THEN NULL ELSE concat('wri ', CAST(p.p_partkey % 30 AS VARCHAR)) END AS screenwriter,
@@ -25,8 +28,8 @@ LEFT JOIN (SELECT l_partkey, min(l_shipdate) AS st, max(l_shipdate) AS en, count
            FROM lineitem GROUP BY l_partkey) s ON s.l_partkey = p.p_partkey
 CROSS JOIN (SELECT count(*) AS nd FROM documents) c
 LEFT JOIN documents d ON d.doc_id = p.p_partkey % c.nd""",
-    "reviews": """
-SELECT o.o_custkey AS user_id, concat(' ', upper(p.p_name), ' ', p.p_brand, ' ') AS title,
+    "reviews": f"""
+SELECT concat('u', CAST(o.o_custkey AS VARCHAR)) AS user_id, concat(' ', upper({_NAME}), ' ') AS title,
  1.0E0 + CAST(floor(l.l_quantity) AS BIGINT) % 10 AS overall_score,
  1.0E0 + CAST(floor(l.l_extendedprice) AS BIGINT) % 10 AS story_score,
  1.0E0 + CAST(round(l.l_discount * 100) AS BIGINT) % 10 AS acting_cast_score,
@@ -37,14 +40,12 @@ SELECT o.o_custkey AS user_id, concat(' ', upper(p.p_name), ' ', p.p_brand, ' ')
       ELSE concat(CAST(l.l_linenumber AS VARCHAR), ' of ', CAST(p.p_size AS VARCHAR), ' episodes seen') END AS ep_watched,
  CASE WHEN l.l_orderkey % 23 = 0 THEN NULL ELSE d.text END AS review_text
 FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN part p ON p.p_partkey = l.l_partkey
-CROSS JOIN (SELECT count(*) AS nd FROM documents) c
-LEFT JOIN documents d ON d.doc_id = l.l_orderkey % c.nd
-WHERE l.l_linenumber = 1 AND l.l_returnflag = 'R'""",
-    "credits": """
-SELECT l.l_suppkey AS actor_id, s.s_name AS actor_name, concat(p.p_name, ' ', p.p_brand) AS item_name,
- concat('char ', CAST(l.l_linenumber AS VARCHAR)) AS character_name,
- CASE WHEN l.l_linenumber % 3 = 0 THEN 'main role' WHEN l.l_linenumber % 3 = 1 THEN 'SUPPORT ROLE' ELSE 'guest role' END AS role
-FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN part p ON p.p_partkey = l.l_partkey""",
+LEFT JOIN documents d ON d.doc_id = l.l_orderkey""",
+    "credits": f"""
+SELECT s.s_suppkey AS actor_id, s.s_name AS actor_name, {_NAME} AS item_name, concat('char ', CAST(i AS VARCHAR)) AS character_name,
+ CASE i WHEN 0 THEN 'main role' WHEN 1 THEN 'SUPPORT ROLE' WHEN 2 THEN 'guest role' ELSE 'co-lead (main) role' END AS role
+FROM part p CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS i) x CROSS JOIN (SELECT count(*) AS ns FROM supplier) n
+JOIN supplier s ON s.s_suppkey = (p.p_partkey + (i % 3) * (p.p_partkey % 5 + 1)) % ns""",
 }
 
 
@@ -54,8 +55,8 @@ def norm(expr: str) -> str:
 
 
 def title_case(expr: str) -> str:
-    return (f"array_to_string(list_transform(string_split(lower({expr}), ' '), "
-            f"lambda w: upper(w[1]) || w[2:]), ' ')")
+    return (f"array_to_string(list_transform(regexp_extract_all(lower({expr}), '\\p{{L}}+|[^\\p{{L}}]+'), "
+            f"lambda w: upper(w[1]) || w[2:]), '')")
 
 
 def int_token(tok: str) -> str:

@@ -6,7 +6,9 @@ never change session settings; they read them.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -49,9 +51,10 @@ def get_spark(master: str | None = None, app: str = "castwise",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; we only pick our own (a fresh
-    scratch folder) when no folder is named at all, which is the local-test
-    case.
+    A cluster names a shared folder there. Only a local master without one
+    gets a fresh scratch folder, which is removed when Python ends; on any
+    other master a missing setting is an error, because executors could not
+    see a folder of this machine.
     """
     sc = spark.sparkContext
     current = None
@@ -60,9 +63,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001 - a session may hide core settings
         current = None
     current = current or sc.getConf().get("spark.checkpoint.dir", None) or _OWN_DIR.get("dir")
+    if current is None and not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if current is None:
         current = tempfile.mkdtemp(prefix="castwise-ckpt-")
         _OWN_DIR["dir"] = current
+        atexit.register(shutil.rmtree, current, ignore_errors=True)
         try:
             spark.conf.set("spark.checkpoint.dir", current)
         except Exception:  # noqa: BLE001 - read-only core setting: keep our own copy
@@ -92,6 +98,17 @@ def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
 _STAGES: dict[tuple, object] = {}
 
 
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """Newest modification time and total size of a file or folder, as its own file system tells."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return path, None, None
+    files = list(fs.listStatus(p))
+    return path, max((f.getModificationTime() for f in files), default=0), sum(f.getLen() for f in files)
+
+
 def stage(spark: SparkSession, key: tuple, inputs: list[str], build):
     """A stage output reused by later stages of the same application.
 
@@ -101,7 +118,7 @@ def stage(spark: SparkSession, key: tuple, inputs: list[str], build):
     object holding such tables -- is kept per application and keyed by the
     input paths and their modification times, so a changed input rebuilds it.
     """
-    stamp = tuple((p, os.path.getmtime(p) if os.path.exists(p) else None) for p in inputs)
+    stamp = tuple(_stamp(spark, p) for p in inputs)
     k = (spark.sparkContext.applicationId, key, stamp)
     if k not in _STAGES:
         _STAGES[k] = build()

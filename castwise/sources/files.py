@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import scalar as S
+
 # Logical dataset names and their raw CSV schemas.
 RAW_SCHEMAS = {
     "items": T.StructType([
@@ -27,7 +29,7 @@ RAW_SCHEMAS = {
         T.StructField("start_dt", T.DateType()), T.StructField("end_dt", T.DateType()),
         T.StructField("synopsis", T.StringType())]),
     "reviews": T.StructType([
-        T.StructField("user_id", T.LongType()), T.StructField("title", T.StringType()),
+        T.StructField("user_id", T.StringType()), T.StructField("title", T.StringType()),
         T.StructField("overall_score", T.DoubleType()), T.StructField("story_score", T.DoubleType()),
         T.StructField("acting_cast_score", T.DoubleType()), T.StructField("music_score", T.DoubleType()),
         T.StructField("rewatch_value_score", T.DoubleType()), T.StructField("n_helpful", T.LongType()),
@@ -40,24 +42,32 @@ RAW_SCHEMAS = {
 RAW_FILES = {"items": "items.csv", "reviews": "reviews.csv", "credits": "credits.csv"}
 
 
+CORRUPT = "corrupt_record"
+
+
 def _csv_reader(spark: SparkSession, schema: T.StructType):
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE"))
+            .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
 
 
-def load_raw(spark: SparkSession, name: str, root: str) -> DataFrame:
-    """CSV scan of a logical dataset; unknown name or missing file -> error."""
+def load_raw(spark: SparkSession, name: str, root: str, corrupt: bool = False) -> DataFrame:
+    """CSV scan of a logical dataset; unknown name or missing file -> error.
+
+    Dates are read as text and parsed leniently (F9), other values by type;
+    ``corrupt=True`` adds the column ``corrupt_record`` with the raw text of
+    rows that do not fit the schema. A file is one task (its fields may span
+    lines): large datasets are folders of many files.
+    """
     if name not in RAW_SCHEMAS:
         raise ValueError(f"unknown dataset {name!r}; expected one of {sorted(RAW_SCHEMAS)}")
     path = os.path.join(root, RAW_FILES[name])
     if "://" not in path and not os.path.exists(path):
         raise FileNotFoundError(path)
-    return _csv_reader(spark, RAW_SCHEMAS[name]).csv(path)
-
-
-def load_all_raw(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The three datasets as lazy DataFrames."""
-    return {n: load_raw(spark, n, root) for n in RAW_SCHEMAS}
+    schema = RAW_SCHEMAS[name]
+    dates = [f.name for f in schema if isinstance(f.dataType, T.DateType)]
+    raw = T.StructType([T.StructField(f.name, T.StringType() if f.name in dates else f.dataType) for f in schema]
+                       + ([T.StructField(CORRUPT, T.StringType())] if corrupt else []))
+    return _csv_reader(spark, raw).csv(path).withColumns({c: S.parse_date(c) for c in dates})
 
 
 def write_csv(df: DataFrame, path: str) -> int:

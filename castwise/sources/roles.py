@@ -5,7 +5,13 @@ scores and text, and a person-item credit table. The driver ships TPC-H-like
 tables instead, so each role is a deterministic projection of them. Nulls,
 mixed case and padded keys are injected on purpose so that the cleaning
 operators have work to do. The same definitions exist as SQL in
-``castwise.plans.oracle`` (``ROLE_CTES``); both must stay in step.
+``castwise.plans.sqlbase`` (``ROLE_CTES``); both must stay in step.
+
+* items: every ``part``; names hold the part key, but a few pairs of parts
+  share a name on purpose (the name lookup must pick one).
+* reviews: every ``lineitem`` row rates its part; the lines of the order whose
+  key is a document's id carry that document as review text.
+* credits: four credits for every part, to three suppliers (one twice).
 
 All three are plain lazy plans: joins on keys, one aggregate for item dates,
 and a one-row document count. Nothing is collected.
@@ -25,15 +31,16 @@ def _null_if(cond: Column, value: Column) -> Column:
     return F.when(cond, F.lit(None)).otherwise(value)
 
 
-def _docs(t: Tables) -> DataFrame:
-    """The document text side of a join.
+def _name() -> Column:
+    """Item name of a part."""
+    k = F.col("p_partkey")
+    own = F.concat(F.col("p_name"), F.lit(" "), F.col("p_brand"), F.lit(" "), k.cast("string"))
+    return F.when(k % 101 == 0, F.concat(F.lit("twin title "), F.floor(k / 202).cast("string"))).otherwise(own)
+
 
-    ``documents`` is the large text table (100k x sf rows of up to 20k
-    words); it is never broadcast. A shuffle-hash join partitions both sides
-    by document key, which also spreads the text work that follows (tokens,
-    n-grams, lexicon) over all tasks instead of the scan's partitions.
-    """
-    return t.documents.select(F.col("doc_id"), F.col("text").alias("d_text")).hint("shuffle_hash")
+def _docs(t: Tables) -> DataFrame:
+    """The document text side of a join (large: the join strategy is Spark's)."""
+    return t.documents.select(F.col("doc_id"), F.col("text").alias("d_text"))
 
 
 def _doc_count(t: Tables) -> DataFrame:
@@ -57,7 +64,7 @@ def items(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame
         base = base.join(docs, base.doc_key == docs.doc_id, "left")
     cols = [
         k.alias("item_id"),
-        F.concat(F.col("p_name"), F.lit(" "), F.col("p_brand")).alias("item_name"),
+        _name().alias("item_name"),
         F.year("st").cast("int").alias("year"),
         F.lit("KR").alias("country"),
         F.lit("series").alias("type"),
@@ -81,24 +88,20 @@ def items(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame
 def item_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(item_id, item_name)`` of the item role, straight from ``part``."""
     p = Tables(spark, sf_dir).part
-    return p.select(F.col("p_partkey").alias("item_id"),
-                    F.concat(F.col("p_name"), F.lit(" "), F.col("p_brand")).alias("item_name"))
+    return p.select(F.col("p_partkey").alias("item_id"), _name().alias("item_name"))
 
 
 def reviews(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
     """User-item ratings; ``with_text=False`` leaves out the review text."""
     t = Tables(spark, sf_dir)
-    li = (t.lineitem
-          .where((F.col("l_linenumber") == 1) & (F.col("l_returnflag") == "R"))
-          .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-                  "l_extendedprice", "l_discount", "l_tax"))
+    li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                           "l_extendedprice", "l_discount", "l_tax")
     o = t.orders.select("o_orderkey", "o_custkey")
     p = t.part.select("p_partkey", "p_name", "p_brand", "p_size")
     docs = _docs(t)
     base = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
     if with_text:
-        base = base.crossJoin(_doc_count(t)).withColumn("doc_key", F.col("l_orderkey") % F.col("nd"))
-        base = base.join(docs, base.doc_key == docs.doc_id, "left")
+        base = base.join(docs, base.l_orderkey == docs.doc_id, "left")
     ok = F.col("l_orderkey")
 
     def score(c: Column) -> Column:
@@ -109,8 +112,8 @@ def reviews(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFra
           .otherwise(F.concat(F.col("l_linenumber").cast("string"), F.lit(" of "),
                               F.col("p_size").cast("string"), F.lit(" episodes seen"))))
     cols = [
-        F.col("o_custkey").alias("user_id"),
-        F.concat(F.lit(" "), F.upper("p_name"), F.lit(" "), F.col("p_brand"), F.lit(" ")).alias("title"),
+        F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("user_id"),
+        F.concat(F.lit(" "), F.upper(_name()), F.lit(" ")).alias("title"),
         score(F.floor("l_quantity")).alias("overall_score"),
         score(F.floor("l_extendedprice")).alias("story_score"),
         score(F.round(F.col("l_discount") * 100).cast("bigint")).alias("acting_cast_score"),
@@ -126,24 +129,17 @@ def reviews(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFra
 
 def credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    li = t.lineitem.select("l_partkey", "l_suppkey", "l_linenumber")  # every order line credits its supplier
     s = t.supplier.select("s_suppkey", "s_name")
-    p = t.part.select("p_partkey", "p_name", "p_brand")
-    base = li.join(s, li.l_suppkey == s.s_suppkey).join(p, li.l_partkey == p.p_partkey)
-    ln = F.col("l_linenumber")
-    role = (F.when(ln % 3 == 0, F.lit("main role"))
-            .when(ln % 3 == 1, F.lit("SUPPORT ROLE"))
-            .otherwise(F.lit("guest role")))
-    return base.select(
-        F.col("l_suppkey").alias("actor_id"),
+    ns = F.broadcast(t.supplier.agg(F.count(F.lit(1)).alias("ns")))  # one row
+    k, i = F.col("p_partkey"), F.col("i")
+    cast = (t.part.select("p_partkey", "p_name", "p_brand", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).crossJoin(ns)
+            .withColumn("suppkey", (k + (i % 3) * (k % 5 + 1)) % F.col("ns")))
+    role = (F.when(i == 0, F.lit("main role")).when(i == 1, F.lit("SUPPORT ROLE"))
+            .when(i == 2, F.lit("guest role")).otherwise(F.lit("co-lead (main) role")))
+    return cast.join(s, F.col("suppkey") == F.col("s_suppkey")).select(
+        F.col("s_suppkey").alias("actor_id"),
         F.col("s_name").alias("actor_name"),
-        F.concat(F.col("p_name"), F.lit(" "), F.col("p_brand")).alias("item_name"),
-        F.concat(F.lit("char "), ln.cast("string")).alias("character_name"),
+        _name().alias("item_name"),
+        F.concat(F.lit("char "), i.cast("string")).alias("character_name"),
         role.alias("role"),
     )
-
-
-def load_roles(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The dataset bundle: name -> lazy DataFrame."""
-    return {"items": items(spark, sf_dir), "reviews": reviews(spark, sf_dir),
-            "credits": credits(spark, sf_dir)}

@@ -118,6 +118,13 @@ def test_diversity_fewer_than_two(spark):
     assert got == {1: 0.0, 2: 1.0}
 
 
+def test_diversity_counts_zero_items(spark):
+    recs = spark.createDataFrame([(1, 1, 10), (1, 2, 12), (1, 3, 99)], "sid long, rank int, id long")
+    vec = spark.createDataFrame([(10, "f", 1.0)], "item_id long, feature string, value double")
+    cat = spark.createDataFrame([(10,), (12,)], "item_id long")
+    assert [r.diversity for r in R.list_diversity(recs, vec, catalog=cat).collect()] == [1.0]
+
+
 def test_clean_text(spark):
     df = col(spark, ["Visit http://x.y NOW!!! The plot, the acting: wonderful.", None], "string")
     got = [r[0] for r in df.select(TX.clean_text("x")).collect()]

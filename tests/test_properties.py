@@ -60,10 +60,31 @@ def test_dot_dense_self_similarity_and_order(spark):
     assert got == [(1, 2), (2, 3)]
 
 
-def test_query_chunks_keep_every_query(spark):
+def test_query_blocks_keep_every_query(spark):
     q = spark.range(250).withColumnRenamed("id", "qid")
-    parts = SIM.query_chunks(q, "qid", max_queries=100)
-    assert len(parts) > 1 and sum(p.count() for p in parts) == 250
+    blocks = list(SIM.query_blocks(q, F.lit(3), max_queries=100))
+    assert len(blocks) > 1 and sorted(r.qid for b in blocks for r in b) == list(range(250))
+
+
+def test_cosine_of_signed_vectors_is_exact(spark):
+    """11 negative and 4 zero neighbours: the zeros come first."""
+    rows = [(0, "a", 1.0)] + [(i, "a", -1.0) for i in range(1, 12)] + [(i, "b", 1.0) for i in range(12, 16)]
+    v = spark.createDataFrame(rows, "item_id long, feature string, value double")
+    names = spark.createDataFrame([(i, f"n{i:02}") for i in range(16)], "item_id long, item_name string").repartition(5)
+    got = [(r.id, r.score) for r in SIM.cosine_long(v, spark.createDataFrame([(0,)], "qid long"), names, 5).orderBy("rank").collect()]
+    assert got == [(12, 0.0), (13, 0.0), (14, 0.0), (15, 0.0), (1, -1.0)]
+
+
+def test_dense_neighbours_equal_numpy_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(SIM, "MAX_QUERIES", 7)
+    m = np.random.default_rng(4).normal(size=(60, 5))
+    v = spark.createDataFrame([(i, m[i].tolist()) for i in range(60)], "id long, vec array<double>").repartition(4)
+    got = {}
+    for r in SIM.dot_dense(v, v.selectExpr("id as qid"), 3).collect():
+        got.setdefault(r.qid, {})[r["rank"]] = r.id
+    s = m @ m.T
+    np.fill_diagonal(s, -np.inf)
+    assert all([got[q][k] for k in (1, 2, 3)] == np.argsort(-s[q])[:3].tolist() for q in range(60))
 
 
 def test_blend_alpha_limits(spark):
@@ -198,7 +219,7 @@ def test_stage_rebuilds_when_input_changes(spark):
 
 
 def test_row_bounded_split_keeps_queries(spark, monkeypatch):
-    monkeypatch.setattr(SIM, "MAX_QUERY_ROWS", 3)
+    monkeypatch.setattr(SIM, "MAX_QUERY_VALUES", 3)
     rows = [(i, f"f{j}", 1.0) for i in range(6) for j in range(2)]
     v = spark.createDataFrame(rows, "item_id long, feature string, value double")
     names = spark.createDataFrame([(i, f"n{i}") for i in range(6)], "item_id long, item_name string")
@@ -209,7 +230,7 @@ def test_row_bounded_split_keeps_queries(spark, monkeypatch):
 
 
 def test_dense_values_bounded_split(spark, monkeypatch):
-    monkeypatch.setattr(SIM, "MAX_PACKED_VALUES", 4)
+    monkeypatch.setattr(SIM, "MAX_QUERY_VALUES", 4)
     v = spark.createDataFrame([(i, [float(i), 1.0, 0.5]) for i in range(5)], "id long, vec array<double>")
     q = spark.createDataFrame([(i,) for i in range(4)], "qid long")
     out = SIM.dot_dense(v, q, 2)
