@@ -186,18 +186,16 @@ def reduce_by_dominance(counts: np.ndarray, capacity: int) -> list[Pattern]:
             w -= 1
             continue
         room = capacity - w
-        beside = np.flatnonzero(counts[:min(room, w) + 1])
+        counts[w] -= 1
+        beside = np.flatnonzero(counts[:room + 1])
         v = int(beside[-1]) if len(beside) else 0
-        if v == w and counts[w] == 1:
-            v = int(beside[-2]) if len(beside) > 1 else 0
+        longest = v if v == room else _longest_beside(counts, room)
+        counts[w] += 1
         if v == 0:  # nothing fits beside it
             n = int(counts[w])
             fixed.append(Pattern(n, [(w, 1)]))
             counts[w] = 0
         else:
-            counts[w] -= 1
-            longest = v if v == room else _longest_beside(counts, room)
-            counts[w] += 1
             if longest > v:
                 w -= 1
                 continue  # no single piece dominates beside w: left to best fit
