@@ -41,7 +41,7 @@ SMOOTH = 5.0
 BUCKETS = 1 << 20      # hashed features
 PREFIXES = (4, 5)
 SAMPLE_ROWS = 30_000   # labelled rows the model is fitted on at most
-MIN_TOXIC, MIN_Z = 5, 6.0
+MIN_TOXIC, MIN_Z = 5, 4.0
 THRESHOLD = 0.3
 MEMO = 200_000         # decoded tokens kept per Python worker
 
