@@ -41,15 +41,18 @@ def item_fill_values(items: DataFrame) -> DataFrame:
     )
 
 
-def clean_items(items: DataFrame) -> DataFrame:
+def clean_items(items: DataFrame, core: DataFrame | None = None) -> DataFrame:
     """Clean the item catalog and add its derived columns.
 
+    ``core``: the same rows without their text, if there is such a table; the
+    fill values are then computed from it and the text is read once.
+
     Fills (C1-C4), then month, weekday (Mon=0), whole days between end and
     start (0 -> 1, null -> 0) and a duration category. Dates carry as
     fractional days so that a median falling between two days keeps its
     half day, as a timestamp median would.
     """
-    fills = F.broadcast(item_fill_values(items))
+    fills = F.broadcast(item_fill_values(core if core is not None else items))
     df = fill_constants(items, ITEM_FILLS).crossJoin(fills)
     start_days = F.coalesce(F.unix_date("start_dt").cast("double"), F.col("_med_start"))
     end_days = F.coalesce(F.unix_date("end_dt").cast("double"), F.col("_med_end"))

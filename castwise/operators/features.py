@@ -22,6 +22,7 @@ from .joins import salted_join
 NUMERIC_COLS = ("year", "tot_eps", "duration", "rank", "pop", "start_month",
                 "start_day_of_week", "duration_days")
 CATEGORICAL_COLS = ("org_net", "content_rt", "aired_on")
+# Names of the review and cast feature columns.
 REVIEW_AGG_COLS = ("avg_overall", "avg_story", "avg_acting", "avg_music", "avg_rewatch",
                    "review_count", "pct_positive", "pct_neutral", "pct_negative")
 CAST_COLS = ("cast_avg_score", "cast_size", "main_role_count", "support_role_count")
@@ -51,13 +52,12 @@ def one_hot_long(items_clean: DataFrame, cols=CATEGORICAL_COLS) -> DataFrame:
     """X-T7: one row ``(item_id, '<col>_<level>', 1.0)`` per non-null level.
 
     Long form: no level is dropped, a null level gives no row (all zeros),
-    and the level count never limits the plan (no pivot).
+    and the level count never limits the plan (no pivot). One scan: an item's
+    levels are exploded from one array.
     """
-    parts = [items_clean.where(F.col(c).isNotNull())
-             .select("item_id", F.concat(F.lit(f"{c}_"), F.col(c)).alias("feature"),
-                     F.lit(1.0).alias("value"))
-             for c in cols if c in items_clean.columns]
-    return reduce(DataFrame.unionByName, parts)
+    levels = F.array(*[F.concat(F.lit(f"{c}_"), F.col(c)) for c in cols if c in items_clean.columns])
+    return (items_clean.select("item_id", F.explode(levels).alias("feature")).where(F.col("feature").isNotNull())
+            .select("item_id", "feature", F.lit(1.0).alias("value")))
 
 
 def review_aggregates(reviews_clean: DataFrame, items: DataFrame) -> DataFrame:

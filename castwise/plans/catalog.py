@@ -1,7 +1,7 @@
 """Query registry: name -> (Spark plan builder, DuckDB oracle SQL or None).
 
-Every builder takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the
-driver tables of that folder. Floating results are rounded to 6 digits and
+Every builder takes ``(spark, sf_dir)`` and returns a DataFrame over the
+driver tables of that folder; builders that share a stage table write it first. Floating results are rounded to 6 digits and
 every computed column is aliased, in the plan and in its oracle alike.
 """
 
@@ -41,8 +41,7 @@ def register(name: str, sql: str | None = None, ids: str = ""):
 class Ctx:
     """Per-query inputs: lazy role views and their cleaned forms.
 
-    Reusing the same DataFrame objects inside one plan lets Spark reuse the
-    exchanges of a repeated sub-plan instead of recomputing it.
+    Tables that several queries read (roles, feature store) are written once.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -111,7 +110,7 @@ class Ctx:
 
     @cached_property
     def items_clean(self) -> DataFrame:
-        return C.clean_items(self.items)
+        return C.clean_items(self.items, self.items_core)
 
     @cached_property
     def reviews_clean(self) -> DataFrame:
