@@ -157,17 +157,49 @@ def test_quality_rules_edge_rows(spark):
     v = Q.verdict(items, "items").first()
     assert (v.n_rows, v.n_bad, v.passed) == (3, 2, False)
     reviews = spark.createDataFrame([
-        (1, "t", 5.0, 5.0, 5.0, 5.0, float("nan"), 1),            # NaN score fails
-        (2, "t", 5.0, 5.0, 5.0, 5.0, 10.0, 1),
-        (3, "t", 5.0, 5.0, 5.0, 5.0, None, 1),                    # null score fails
-    ], "user_id long, title string, story_score double, acting_cast_score double, music_score double, "
+        ("u1", "t", 5.0, 5.0, 5.0, 5.0, float("nan"), 1),            # NaN score fails
+        ("u2", "t", 5.0, 5.0, 5.0, 5.0, 10.0, 1),
+        ("u3", "t", 5.0, 5.0, 5.0, 5.0, None, 1),                    # null score fails
+    ], "user_id string, title string, story_score double, acting_cast_score double, music_score double, "
        "rewatch_value_score double, overall_score double, n_helpful long")
     r = Q.verdict(reviews, "reviews").first()
     assert (r.n_rows, r.n_bad) == (3, 2)
+    numbers = Q.verdict(reviews.withColumn("user_id", F.lit(7)), "reviews").first()
+    assert numbers.n_bad == 3  # ids must be strings: a number breaks the type rule
     with pytest.raises(ValueError):
         Q.verdict(reviews.drop("title"), "reviews")
 
 
+def test_quality_rules_on_text_columns(spark):
+    from castwise.operators import quality as Q
+    items = spark.createDataFrame([("1", 5, "abc", "KR", "s", "x", 10.0, 1.0, 1.0), ("2", None, "2020", "KR", "s", "3", 10.0, 1.0, 1.0)],
+                                  "item_id string, item_name int, year string, country string, type string, tot_eps string, duration double, rank double, pop double")
+    got = {r.item_id: r.violations for r in Q.with_violations(items, "items").collect()}
+    assert got == {"1": ["item_name_type", "year_type", "tot_eps_type"], "2": ["item_name_missing"]}
+
+
+def test_title_case_and_utc_stamp(spark):
+    from castwise.operators import runlog as RL
+    df = col(spark, ["co-lead (main) ROLE", "it's élan", None], "string")
+    assert [r[0] for r in df.select(S.title_case("x")).collect()] == ["Co-Lead (Main) Role", "It'S Élan", None]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        assert spark.range(1).select(RL.version_stamp(F.timestamp_seconds("id"))).first()[0] == "v1_19700101_000000"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_raw_csv_lenient_dates_and_corrupt_rows(spark, tmp_path):
+    from castwise.sources import files as FI
+    head = ",".join(f.name for f in FI.RAW_SCHEMAS["items"])
+    rows = ["1,a,2020,KR,s,,,,,,1.0,1.0,1.0,1.0,\"Feb 3, 2020\",2020-03-01,x", "2,b,never,KR,s,,,,,,1.0,1.0,1.0,1.0,3/2/2020,junk,y"]
+    (tmp_path / "items.csv").write_text("\n".join([head, *rows]) + "\n")
+    got = {r.item_id: r for r in FI.load_raw(spark, "items", str(tmp_path), corrupt=True).collect()}
+    assert str(got[1].start_dt) == str(got[2].start_dt) == "2020-02-03" and str(got[1].end_dt) == "2020-03-01" and got[2].end_dt is None
+    assert got[1].corrupt_record is None and "never" in got[2].corrupt_record
+
+
 def test_lenient_date_parse(spark):
     df = col(spark, ["2020-02-03", "Feb 3, 2020", "3/2/2020", "junk", None], "string")
     got = [r[0] for r in df.select(S.parse_timestamp("x", ["yyyy-MM-dd", "MMM d, yyyy", "d/M/yyyy"])
