@@ -10,6 +10,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,6 +97,8 @@ def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
 
 
 _STAGES: dict[tuple, object] = {}
+#: Seconds that building each stage took in this process (stages it needs included).
+STAGE_SECONDS: dict[str, float] = {}
 
 
 def _stamp(spark: SparkSession, path: str) -> tuple:
@@ -121,5 +124,7 @@ def stage(spark: SparkSession, key: tuple, inputs: list[str], build):
     stamp = tuple(_stamp(spark, p) for p in inputs)
     k = (spark.sparkContext.applicationId, key, stamp)
     if k not in _STAGES:
+        began = time.time()
         _STAGES[k] = build()
+        STAGE_SECONDS[" ".join(str(x) for x in key if os.sep not in str(x))] = round(time.time() - began, 3)
     return _STAGES[k]
