@@ -8,12 +8,17 @@ indices (12 bits) of those codewords are the segment's keys:
 * vectors at distance <= 1: the nearest codeword of one is a key of the other;
 * vectors at distance <= 2: they share a key.
 
-Pigeonhole over 4 errors in 3 segments: the two segments with the fewest
-errors have at most 2 together. Either both have <= 1 (composite key: nearest
-index of one, any key of the other, on both sides crosswise), or one is equal
-and each of the other two has exactly 2 (composite key: the equal segment and
-any key of the next). So every link within 4 bits shares a composite key;
-joined candidates are verified on the whole 64 bits.
+Pigeonhole over 4 errors in 3 segments gives two cases:
+
+* some segment is equal. Of the other two, one has at most 2 errors: the
+  equal segment with any key of the other one is a common composite key;
+* no segment is equal. Then two segments have exactly 1 error and the third
+  at most 2, so one of its three parts is equal. Composite key: nearest index
+  of the one segment, any key of the other (crosswise on the two sides), the
+  equal part, and the parities of the two segments, which differ.
+
+Every link within 4 bits so shares a composite key of 33 bits or more (about
+130 keys a fingerprint); joined candidates are verified on all 64 bits.
 
 A bucket of many near copies must not be expanded into pairs. Each bucket is
 first linked to its smallest member (verified), those stars are contracted to
@@ -24,7 +29,7 @@ between different components only. No link between components is lost.
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +44,8 @@ from .components import components
 GOLAY_POLY, GOLAY_BITS, PARITY_BITS = 0xC75, 23, 11
 #: Bits of the three segments, lowest first.
 SEGMENTS = (22, 21, 21)
+#: First bits of the parts of a segment, and its end.
+PARTS, PART_SHIFT = 3, (0, 7, 14, 22)
 MAX_BITS = 4
 SEED = 42
 BLOCK = 1 << 15  # shingles expanded to bits at a time
@@ -84,28 +91,31 @@ def segment_keys(v: np.ndarray) -> np.ndarray:
 
 def composite_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, key, side) of all composite keys; side 0 joins side 1, side 2 joins itself."""
-    fp = fp.astype(np.uint64)
     segs, shift = [], 0
     for bits in SEGMENTS:
         segs.append(((fp >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64))
         shift += bits
     keys = [segment_keys(s) for s in segs]
-    n = np.arange(len(fp))
+    odd = [(np.bitwise_count(s) & 1).astype(np.int64)[:, None] for s in segs]
     rows, out, sides = [], [], []
+    n = np.arange(len(fp))
 
-    def add(tag, high, low, side):
-        key = (np.int64(tag) << 40) | (high << 12) | low
-        ok = np.broadcast_to((high >= 0) & (low >= 0), key.shape)
-        r = np.broadcast_to(n[:, None], key.shape)
+    def add(tag: int, code: np.ndarray, ok: np.ndarray, side: int) -> None:
+        r = np.broadcast_to(n[:, None], code.shape)
         rows.append(r[ok])
-        out.append(key[ok])
+        out.append((code | np.int64(tag) << 56)[ok])
         sides.append(np.full(int(ok.sum()), side, np.int8))
 
-    for tag, (i, j) in enumerate(combinations(range(3), 2)):
-        add(tag, keys[i][:, :1], keys[j], 0)
-        add(tag, keys[i], keys[j][:, :1], 1)
-    for i in range(3):
-        add(3 + i, segs[i][:, None], keys[(i + 1) % 3], 2)
+    for tag, (i, j) in enumerate(permutations(range(3), 2)):
+        add(tag, segs[i][:, None] << 12 | keys[j], keys[j] >= 0, 2)
+    tag = 6
+    for i, j in combinations(range(3), 2):
+        k = 3 - i - j
+        for p in range(PARTS):
+            part = (segs[k] >> PART_SHIFT[p] & ((1 << PART_SHIFT[p + 1] - PART_SHIFT[p]) - 1))[:, None] << 26
+            add(tag, part | keys[i][:, :1] << 14 | keys[j] << 2 | odd[i] << 1 | odd[j], keys[j] >= 0, 0)
+            add(tag, part | keys[i] << 14 | keys[j][:, :1] << 2 | (1 - odd[i]) << 1 | (1 - odd[j]), keys[i] >= 0, 1)
+            tag += 1
     return np.concatenate(rows), np.concatenate(out), np.concatenate(sides)
 
 
@@ -165,7 +175,7 @@ def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the Golay keys cover distances 0 to 4")
-    keys = materialize(golay_keys(fps), "golay-keys")
+    keys = golay_keys(fps)  # cheaper to make twice than to keep: about 130 rows a fingerprint
     heads = keys.groupBy("key").agg(F.min("fp").alias("head"), F.max("fp").alias("last")).where("head <> last").drop("last")
     shared = materialize(keys.join(heads, "key"), "golay-shared")
     star = components(shared.where("fp <> head").where(_near("fp", "head", max_bits)), "fp", "head")
