@@ -1,8 +1,7 @@
 """Cleaning and imputation of the three roles.
 
-Global fill values (mode, median) are one exact aggregate each, computed in one
-pass and attached as a one-row broadcast table: no ``collect`` and no second
-scan of the input.
+Global fill values (mode, median) come from grouped counts and are attached as
+a one-row broadcast table: no ``collect``.
 """
 
 from __future__ import annotations
@@ -27,18 +26,18 @@ def fill_constants(df: DataFrame, fills: dict[str, str]) -> DataFrame:
 def item_fill_values(items: DataFrame) -> DataFrame:
     """One row of global fill values: modes, median duration, median dates.
 
-    ``mode(c, deterministic=True)`` returns the smallest value on ties; the
-    median is exact (linear interpolation between the two middle values).
-    Dates enter the median as whole days since 1970 because ``median``
-    rejects date and timestamp inputs.
+    The smallest value wins a tie for the mode; the median is exact (linear
+    between the two middle values). Dates enter it as whole days since 1970.
+    Both come from grouped counts, so no task gathers a column.
     """
-    return items.agg(
-        F.mode("aired_on", True).alias("_mode_aired_on"),
-        F.mode("org_net", True).alias("_mode_org_net"),
-        F.median("duration").alias("_med_duration"),
-        F.median(F.unix_date("start_dt")).alias("_med_start"),
-        F.median(F.unix_date("end_dt")).alias("_med_end"),
-    )
+    from . import profile as P
+    days = items.select("duration", F.unix_date("start_dt").alias("start"), F.unix_date("end_dt").alias("end"))
+    m = P.modes(items, ("aired_on", "org_net")).select("column_name", "value", F.lit(None).cast("double").alias("x"))
+    q = P.exact_quantiles(days, ("duration", "start", "end"), (0.5,)).select("column_name", F.lit(None).cast("string").alias("value"), F.col("value").alias("x"))
+    of = lambda name, col: F.max(F.when(F.col("column_name") == name, F.col(col)))
+    return m.unionByName(q).agg(  # five rows
+        of("aired_on", "value").alias("_mode_aired_on"), of("org_net", "value").alias("_mode_org_net"),
+        of("duration", "x").alias("_med_duration"), of("start", "x").alias("_med_start"), of("end", "x").alias("_med_end"))
 
 
 def clean_items(items: DataFrame, core: DataFrame | None = None) -> DataFrame:

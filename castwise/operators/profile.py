@@ -37,25 +37,49 @@ def info(df: DataFrame) -> DataFrame:
     return long.select("column_name", m[F.col("column_name")].alias("dtype"), "non_null")
 
 
+def _long(df: DataFrame, cols) -> DataFrame:
+    return (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+            .unpivot([], list(cols), "column_name", "v").where(F.col("v").isNotNull()))
+
+
+def exact_quantiles(df: DataFrame, cols, probs) -> DataFrame:
+    """(column_name, p, value): exact quantiles, linear between neighbours.
+
+    Values are counted, the distinct ones range-partitioned, and a value's
+    ranks follow from the counts before its partition and before it within
+    the partition. No task holds a whole column's values.
+    """
+    from ..session import materialize
+    counts = _long(df, cols).groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts.repartitionByRange("column_name", "v").withColumn("part", F.spark_partition_id()), "value_counts")
+    per = counts.groupBy("column_name", "part").agg(F.sum("n").alias("m"))  # a row a partition and column
+    per = per.select("column_name", "part", F.expr("sum(m) over (partition by column_name order by part) - m").alias("before"),
+                     F.expr("sum(m) over (partition by column_name)").alias("total"))
+    r = counts.join(per, ["column_name", "part"]).withColumn("hi", F.expr("sum(n) over (partition by column_name, part order by v)") + F.col("before"))
+    r = (r.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn("pos", F.col("p") * (F.col("total") - 1))
+         .withColumn("lo", F.col("hi") - F.col("n")))
+    at = lambda k: F.max(F.when((F.col("lo") <= k) & (k < F.col("hi")), F.col("v")))
+    g = r.groupBy("column_name", "p", "pos").agg(at(F.floor("pos")).alias("a"), at(F.ceil("pos")).alias("b"))
+    return g.select("column_name", "p", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos"))).alias("value"))
+
+
+def modes(df: DataFrame, cols) -> DataFrame:
+    """(column_name, value): the most frequent non-null text of each column, the smallest on ties."""
+    counts = (df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column_name", "v")
+              .where(F.col("v").isNotNull()).groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n")))
+    return counts.groupBy("column_name").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("v").alias("v"))).alias("m")).select("column_name", F.col("m.v").alias("value"))
+
+
 def describe(df: DataFrame, cols) -> DataFrame:
     """Count, mean, sample std, min, exact linear quartiles, max."""
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 F.percentile(x, [0.25, 0.5, 0.75]).alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
-    wide = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("column_name"),
-                     F.col(f"{c}__count").alias("count"),
-                     r6(F.col(f"{c}__mean")).alias("mean"),
-                     r6(F.col(f"{c}__std")).alias("std"),
-                     r6(F.col(f"{c}__min")).alias("min"),
-                     r6(F.col(f"{c}__q")[0]).alias("p25"),
-                     r6(F.col(f"{c}__q")[1]).alias("p50"),
-                     r6(F.col(f"{c}__q")[2]).alias("p75"),
-                     r6(F.col(f"{c}__max")).alias("max")) for c in cols]
-    return wide.select(F.inline(F.array(*rows)))
+    every = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+    v = F.col("v")
+    s = _long(df, cols).groupBy("column_name").agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                                                   F.min(v).alias("min"), F.max(v).alias("max"))
+    q = exact_quantiles(df, cols, (0.25, 0.5, 0.75)).groupBy("column_name").pivot("p", [0.25, 0.5, 0.75]).agg(F.first("value"))
+    q = q.toDF("column_name", "p25", "p50", "p75")
+    return every.join(s, "column_name", "left").join(q, "column_name", "left").select(
+        "column_name", F.coalesce("count", F.lit(0).cast("long")).alias("count"), *[r6(c).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
 def corr_matrix(df: DataFrame, cols) -> DataFrame:
@@ -115,8 +139,7 @@ def histogram(df: DataFrame, cols, bins: int = 10) -> DataFrame:
     v)``; per-column bounds are a tiny table (one row per column) joined back
     by broadcast.
     """
-    long = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-            .unpivot([], list(cols), "column_name", "v").where(F.col("v").isNotNull()))
+    long = _long(df, cols)
     bounds = long.groupBy("column_name").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     v = long.join(F.broadcast(bounds), "column_name")
     width = (F.col("hi") - F.col("lo")) / bins
@@ -139,8 +162,7 @@ def density(df: DataFrame, cols, points: int = 50) -> DataFrame:
     array expression and one grouped sum -- the grid is a fixed-size array, so
     the work is points x distinct values. A constant column has no density.
     """
-    vals = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-            .unpivot([], list(cols), "column_name", "v").where(F.col("v").isNotNull()))
+    vals = _long(df, cols)
     stats = vals.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"),
                                             F.min("v").alias("lo"), F.max("v").alias("hi")).where(F.col("sd") > 0)
     counts = (vals.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("cnt"))

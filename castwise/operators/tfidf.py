@@ -6,11 +6,11 @@ Semantics: lower-case, tokens of >= 2 word characters, stop words removed
 count are kept (ties by term); idf = ln((1 + N) / (1 + df)) + 1 with N the
 number of documents; each document's kept weights are L2-normalised.
 
-Plan: one explode of terms per document, one shuffle to count (doc, term),
-one partial-aggregated shuffle to get per-term statistics, a
-TakeOrderedAndProject for the vocabulary (max_features rows, so its
-broadcast is bounded by the argument), and a window by document for the norm
-(at most max_features rows per document).
+Plan: (1) per-term statistics with a partial aggregate before the shuffle (a
+document's distinct terms are taken in its own row, so no (document, term)
+pair is shuffled); (2) the vocabulary by top-k; (3) a second
+pass that keeps only vocabulary terms by a map-side join before counting them
+per document. The norm is a window of at most max_features rows a document.
 """
 
 from __future__ import annotations
@@ -21,55 +21,53 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def term_counts(docs: DataFrame, key: str, text: str, stop_words=T.STOP_WORDS) -> DataFrame:
-    """``(key, term, tf)`` for every 1- and 2-gram of every document."""
+# Largest vocabulary that is broadcast; beyond it the join strategy is Spark's.
+MAX_BROADCAST_TERMS = 50_000
+
+
+def _terms(docs: DataFrame, text: str, stop_words, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(*keep, terms): the array of all 1- and 2-grams of every document."""
     # tokens become a column first: the bigram lambda then reads an array
     # instead of re-running the tokenizer once per element
-    toks = docs.select(key, T.drop_stop_words(T.term_tokens(text), stop_words).alias("toks"))
-    terms = toks.select(key, F.explode(T.ngrams_1_2(F.col("toks"))).alias("term"))
-    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    toks = docs.select(*keep, T.drop_stop_words(T.term_tokens(text), stop_words).alias("toks"))
+    return toks.select(*keep, T.ngrams_1_2(F.col("toks")).alias("terms"))
+
+
+def term_stats(docs: DataFrame, text: str = "synopsis", stop_words=T.STOP_WORDS) -> DataFrame:
+    """``(term, df, total)``: documents with the term and its occurrences."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    row = lambda df, total: lambda x: F.struct(x.alias("term"), df.alias("df"), total.alias("total"))
+    both = F.concat(F.transform("terms", row(none, one)), F.transform(F.array_distinct("terms"), row(one, none)))
+    return (_terms(docs, text, stop_words).select(F.explode(both).alias("x")).groupBy(F.col("x.term").alias("term"))
+            .agg(F.sum("x.df").alias("df"), F.sum("x.total").alias("total")))
 
 
-def vocabulary(tf: DataFrame, key: str, n_docs: DataFrame, max_features: int | None = 300,
-               min_df: int = 2) -> DataFrame:
+def vocabulary(stats: DataFrame, n_docs: DataFrame, max_features: int | None = 300, min_df: int = 2) -> DataFrame:
     """``(term, df, total, idf)`` of the kept terms."""
-    stats = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-             .where(F.col("df") >= min_df))
+    stats = stats.where(F.col("df") >= min_df)
     if max_features is not None:
         stats = stats.orderBy(F.col("total").desc(), "term").limit(max_features)
     n = F.col("n_docs").cast("double")
-    return (stats.crossJoin(F.broadcast(n_docs))
-            .select("term", "df", "total",
-                    (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf")))
+    return (stats.crossJoin(F.broadcast(n_docs))  # one row
+            .select("term", "df", "total", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf")))
+
+
+def weights(docs: DataFrame, vocab: DataFrame, key: str = "item_id", text: str = "synopsis",
+            max_features: int | None = 300, stop_words=T.STOP_WORDS) -> DataFrame:
+    """Long ``(key, term, weight)``: tf x idf over ``vocab``, L2-normalised per document."""
+    if max_features is not None and max_features <= MAX_BROADCAST_TERMS:
+        vocab = F.broadcast(vocab)
+    terms = _terms(docs, text, stop_words, (key,)).select(key, F.explode("terms").alias("term"))
+    w = (terms.join(vocab.select("term", "idf"), "term").groupBy(key, "term")
+         .agg((F.count(F.lit(1)) * F.first("idf")).alias("w")))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return w.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def tfidf_weights(docs: DataFrame, key: str = "item_id", text: str = "synopsis",
                   max_features: int | None = 300, min_df: int = 2,
                   stop_words=T.STOP_WORDS) -> DataFrame:
     """Long ``(key, term, weight)``: L2-normalised tf x idf of kept terms."""
-    tf = term_counts(docs, key, text, stop_words)
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    vocab = vocabulary(tf, key, n_docs, max_features, min_df)
-    return weights(tf, vocab, key, bounded=max_features is not None)
-
-
-def weights(tf: DataFrame, vocab: DataFrame, key: str = "item_id", bounded: bool = True,
-            keep_stats: bool = False) -> DataFrame:
-    """tf x idf over the kept vocabulary, L2-normalised per document.
-
-    ``keep_stats`` also carries each term's df, total and idf, so that the
-    vocabulary can be read back from the weights (every kept term occurs in
-    at least ``min_df`` documents).
-    """
-    if bounded:
-        vocab = F.broadcast(vocab)  # at most max_features rows
-    # null-safe key: no "term is not null" filter is inferred on the tf side,
-    # so this branch and the vocabulary branch share one (item, term) shuffle
-    # and AQE reuses it instead of tokenising the text twice
-    stats = ["df", "total", "idf"] if keep_stats else ["idf"]
-    v = vocab.select(F.col("term").alias("v_term"), *stats)
-    w = (tf.join(v, tf.term.eqNullSafe(v.v_term))
-         .select(key, "term", (F.col("tf") * F.col("idf")).alias("w"), *stats))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    extra = ["df", "total", "idf"] if keep_stats else []
-    return w.select(key, "term", (F.col("w") / norm).alias("weight"), *extra)
+    vocab = vocabulary(term_stats(docs, text, stop_words), n_docs, max_features, min_df)
+    return weights(docs, vocab, key, text, max_features, stop_words)

@@ -116,21 +116,15 @@ def one_hot_long(spark, sf_dir):
 
 
 def tfidf_stage(c: Ctx):
-    """TF-IDF as a stage: the weights (with each term's df, total, idf) are
-    written once; the vocabulary is read back from them. Reused by the
-    vocabulary, weight and feature-store steps."""
+    """TF-IDF as a stage: vocabulary (with each term's df, total, idf) and
+    weights, written once and reused by the vocabulary, weight and
+    feature-store steps."""
     from ..session import materialize, stage
 
     def build():
-        # one plan: the (doc, term) counts feed both the vocabulary and the
-        # weights through one reused shuffle; only the kept weights (with
-        # their term statistics) are written -- the counts table is not
-        tf = TF.term_counts(c.items_clean, "item_id", "synopsis")
         n_docs = c.items_core.agg(F.count(F.lit(1)).alias("n_docs"))  # same rows, no text needed
-        vocab = TF.vocabulary(tf, "item_id", n_docs, 300, 2)
-        w = materialize(TF.weights(tf, vocab, "item_id", keep_stats=True), "tfidf")
-        return (w.select("term", "df", "total", "idf").distinct(),
-                w.select("item_id", "term", "weight"))
+        vocab = materialize(TF.vocabulary(TF.term_stats(c.items_clean), n_docs, 300, 2), "vocabulary")
+        return vocab, materialize(TF.weights(c.items_clean, vocab), "tfidf")
     return stage(c.spark, ("tfidf", c.sf_dir), c.inputs(), build)
 
 
