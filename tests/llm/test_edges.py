@@ -196,7 +196,7 @@ def test_dominance_keeps_the_optimum():
 
 def test_encoder_equals_the_tokenizer():
     enc = packing.Encoder(packing.tokenizer_path())
-    for t in ("don't 'tis we're ..'s ½ ² —! x", "İstanbul Σίσυφος ΟΔΟΣ ñ é é", "x_y!!-- 中文 ﬁ \x00\x1c a\tb\r\nc ÀÉ!ß ŉ ſ", "abc,def.ghi 12.5%", ""):
+    for t in ("don't 'tis we're ..'s ½ ² —! x", "İstanbul Σίσυφος ΟΔΟΣ ñ é é", "x_y!!-- 中文 ﬁ \x00\x1c a\tb\r\nc ÀÉ!ß ŉ ſ", "abc,def.ghi 12.5%", "a<|endoftext|>b <|ENDOFTEXT|>", ""):
         assert enc.encode(t).tolist() == enc.tok.encode(t, add_special_tokens=False).ids
 
 
