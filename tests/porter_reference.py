@@ -1,9 +1,5 @@
-"""Porter (1980) suffix-stripping stemmer, the published algorithm.
-
-A small per-word helper used inside an Arrow-batched pandas UDF
-(:mod:`castwise.operators.sentiment`); each executor memoises the words it
-has seen, so a word is stemmed once per executor, not once per row.
-"""
+"""Porter (1980) suffix stripping in plain Python: what the SQL steps of
+:mod:`castwise.functions.stemming` are held against."""
 
 from __future__ import annotations
 
