@@ -57,7 +57,10 @@ def weights(docs: DataFrame, vocab: DataFrame, key: str = "item_id", text: str =
     """Long ``(key, term, weight)``: tf x idf over ``vocab``, L2-normalised per document."""
     if max_features is not None and max_features <= MAX_BROADCAST_TERMS:
         vocab = F.broadcast(vocab)
-    terms = _terms(docs, text, stop_words, (key,)).select(key, F.explode("terms").alias("term"))
+    # outer: a plain explode adds a filter on the array that is pushed below the
+    # tokens' projection and tokenises the text again for every bigram; the
+    # join drops the null terms of empty documents
+    terms = _terms(docs, text, stop_words, (key,)).select(key, F.explode_outer("terms").alias("term"))
     w = (terms.join(vocab.select("term", "idf"), "term").groupBy(key, "term")
          .agg((F.count(F.lit(1)) * F.first("idf")).alias("w")))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))

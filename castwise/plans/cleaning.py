@@ -241,6 +241,19 @@ def csv_roundtrip_items(spark, sf_dir):
     return FI.load_raw(spark, "items", root)
 
 
+@register("processed_items", with_ctes(f"SELECT {_ITEMS_CLEAN_COLS} FROM items_clean"), ids="S3-S6")
+def processed_items(spark, sf_dir):
+    """The cleaned items through the processed-table sink and back."""
+    import os
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import files as FI
+    root = os.path.join(ensure_checkpoint_dir(spark), f"processed-{uuid.uuid4().hex}")
+    FI.save_processed(Ctx(spark, sf_dir).items_clean, root, "items")
+    return FI.read_processed(spark, root, "items").select(*[c.strip() for c in _ITEMS_CLEAN_COLS.split(",")])
+
+
 @register("most_common_elements", with_ctes("""
 SELECT e AS element, count(*) AS n FROM (
  SELECT unnest(CAST(lst AS VARCHAR[])) AS e FROM (
