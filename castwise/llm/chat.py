@@ -16,8 +16,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import salted_join
-
 NARRATORS = ("system",)
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 RANGE = 512
@@ -43,27 +41,37 @@ def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", speak
     the turn's text and closing mark.
     """
     t = (turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(speaker).alias("speaker"), F.col(text).alias("text"))
-         .where(F.col("conv_id").isNotNull()).distinct())
+         .where(F.col("conv_id").isNotNull()).withColumn("range", F.floor(F.coalesce("turn", F.lit(0)) / RANGE))
+         .repartition("conv_id", "range").distinct())  # the one exchange of the texts: all that follows keeps it
     narrator = F.coalesce(F.col("speaker").isin(*narrators), F.lit(False)) if narrators else F.lit(False)
-    who = t.where(F.col("speaker").isNotNull() & ~narrator).select("conv_id", F.col("speaker").alias("perspective")).distinct()
-    t = t.withColumn("range", F.floor(F.coalesce("turn", F.lit(0)) / RANGE))
-    order = "partition by conv_id, range order by turn, speaker, text rows between unbounded preceding and current row"
-    t = t.withColumn("nth", F.expr(f"count(1) over ({order})"))
-    both = salted_join(t, who, ["conv_id"], spread_by="range")
-    me = F.coalesce(F.col("speaker") == F.col("perspective"), F.lit(False))
-    head = (F.when(me, F.lit("assistant")).when(narrator, F.col("speaker")).when(F.col("speaker").isNull(), F.lit("user"))
+    head = (F.when(narrator, F.col("speaker")).when(F.col("speaker").isNull(), F.lit("user"))
             .otherwise(F.concat(F.lit("user name="), escape(F.col("speaker")))))
-    both = (both.withColumn("is_target", me).withColumn("mark", F.concat(F.lit(OPEN), head, F.lit("\n")))
-            .withColumn("segment", F.concat("mark", escape(F.col("text")), F.lit(CLOSE))).withColumn("length", F.length("segment").cast("long")))
-    both = both.withColumn("inside", F.expr("sum(length) over (partition by conv_id, perspective, range order by nth rows between unbounded preceding and current row) - length"))
-    sums = both.groupBy("conv_id", "perspective", "range").agg(F.sum("length").alias("chars"), F.count(F.lit(1)).alias("turns"))
+    mark = lambda h: F.concat(F.lit(OPEN), h, F.lit("\n"))
+    t = t.withColumn("other", mark(head)).withColumn("body", F.concat(escape(F.col("text")), F.lit(CLOSE)))
+
+    # characters and turns before each range, seen by each participant: from the counts of its speakers
+    said = t.groupBy("conv_id", "range", "speaker").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("other") + F.length("body")).alias("chars"),
+                                                        F.first("other").alias("other"))
+    whole = said.groupBy("conv_id", "range").agg(F.sum("n").alias("turns"), F.sum("chars").alias("chars"))
+    who = said.where(F.col("speaker").isNotNull() & ~narrator).groupBy("conv_id", F.col("speaker").alias("perspective")).agg(
+        (F.length(mark(F.lit("assistant"))) - F.length(F.first("other"))).alias("change"))
+    own = said.select("conv_id", "range", F.col("speaker").alias("perspective"), F.col("n").alias("own"))
+    seen = (whole.join(who, "conv_id").join(own, ["conv_id", "range", "perspective"], "left")
+            .withColumn("chars", F.col("chars") + F.coalesce("own", F.lit(0)) * F.col("change")))
     running = "over (partition by conv_id, perspective order by range rows between unbounded preceding and current row)"
-    before = sums.select("conv_id", "perspective", "range", F.expr(f"sum(chars) {running} - chars").alias("chars_before"), F.expr(f"sum(turns) {running} - turns").alias("turns_before"))
-    placed = both.join(before, ["conv_id", "perspective", "range"])
+    before = seen.select("conv_id", "range", "perspective", F.expr(f"sum(chars) {running} - chars").alias("chars_before"),
+                         F.expr(f"sum(turns) {running} - turns").alias("turns_before"))
+
+    order = "partition by conv_id, range order by turn, speaker, text rows between unbounded preceding and current row"
+    me = F.coalesce(F.col("speaker") == F.col("perspective"), F.lit(False))
+    both = (t.withColumn("nth", F.expr(f"count(1) over ({order})")).join(before, ["conv_id", "range"])
+            .withColumn("mark", F.when(me, mark(F.lit("assistant"))).otherwise(F.col("other")))
+            .withColumn("segment", F.concat("mark", "body")).withColumn("length", F.length("segment").cast("long"))
+            .withColumn("inside", F.expr("sum(length) over (partition by conv_id, range, perspective order by nth rows between unbounded preceding and current row) - length")))
     start = F.col("chars_before") + F.col("inside")
-    return placed.select(
+    return both.select(
         "conv_id", "perspective", (F.col("turns_before") + F.col("nth") - 1).cast("long").alias("position"), "turn", "speaker", "segment",
-        start.cast("long").alias("start"), "length", "is_target",
+        start.cast("long").alias("start"), "length", me.alias("is_target"),
         F.when(me, start + F.length("mark")).otherwise(F.lit(0)).cast("long").alias("target_start"),
         F.when(me, start + F.col("length")).otherwise(F.lit(0)).cast("long").alias("target_end"))
 
