@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Copyright lines of a lower-cased text (fixed pattern; Java and RE2 read it alike).
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9]*(copyright[^a-z0-9]*(\(c\)|©|[0-9]{4}|<|\[|\{)|\(c\)[^a-z0-9]*[0-9]{4}|©|all rights reserved).*$"
+#: A copyright line, lower-cased (fixed pattern; Java and RE2 read it alike).
+COPYRIGHT_LINE = r"^[^a-z0-9]*(copyright[^a-z0-9]*(\(c\)|©|[0-9]{4}|<|\[|\{)|\(c\)[^a-z0-9]*[0-9]{4}|©|all rights reserved)[^\n]*$"
 NOT_A_WORD = r"[^\p{L}\p{N}]+"
 
 #: Equivalent spellings, written as the second form (fixed values).
@@ -61,17 +61,29 @@ Permission is granted to anyone to use this software for any purpose, including
 )
 
 
-def normalise(text: Column) -> Column:
-    """The canonical form of a text: lower-case words, one blank between them."""
-    out = F.regexp_replace(F.lower(text), F.lit(COPYRIGHT_LINE), F.lit(""))
-    out = F.trim(F.regexp_replace(out, F.lit(NOT_A_WORD), F.lit(" ")))
+def plain_lines(text: Column) -> Column:
+    """The lines of a text as lower-case words with one blank between them; copyright lines are empty."""
+    return F.transform(F.split(F.lower(text), "\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, F.lit(COPYRIGHT_LINE), F.lit("")), F.lit(NOT_A_WORD), F.lit(" "))))
+
+
+def joined(lines: Column) -> Column:
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+
+
+def one_spelling(text: Column) -> Column:
     for old, new in SPELLINGS.items():
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return out
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def normalise(text: Column) -> Column:
+    """The canonical form of a text."""
+    return one_spelling(joined(plain_lines(text)))
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(normalise(text).cast("binary"), 256)
+#: How much the spellings can shorten or lengthen a text.
+SHRINK = min(len(new) / len(old) for old, new in SPELLINGS.items())
+GROW = max(len(new) / len(old) for old, new in SPELLINGS.items())
 
 
 def known_licenses(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
@@ -88,13 +100,21 @@ def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str =
     without words; documents without a licence have no row. ``known`` may list
     several texts for one licence and repeat them. Other columns are not read.
     """
-    digests = (known.select(F.col("license"), normalise(F.col("text")).alias("canonical")).where("license is not null and canonical <> ''")
-               .select("license", F.sha2(F.col("canonical").cast("binary"), 256).alias("digest")).distinct())
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
-    whole = d.select("doc_id", F.lit(1).alias("whole"), F.lit(0).alias("line"), digest(F.col("text")).alias("digest"))
-    lines = d.select("doc_id", F.explode(F.split("text", "\n")).alias("text")).select("doc_id", F.lit(0).alias("whole"), F.lit(1).alias("line"), digest(F.col("text")).alias("digest"))
-    return (whole.union(lines).join(digests, "digest").groupBy("doc_id", "license")
-            .agg(F.sum("whole").cast("long").alias("n_whole"), F.sum("line").cast("long").alias("n_lines")))
+    texts = (known.select("license", normalise(F.col("text")).alias("canonical")).where("license is not null and canonical <> ''").distinct())
+    digests = texts.select("license", F.sha2(F.col("canonical").cast("binary"), 256).alias("digest"))
+    size = texts.agg(F.coalesce(F.min(F.length("canonical")), F.lit(1)).alias("least"), F.coalesce(F.max(F.length("canonical")), F.lit(0)).alias("most")).first()
+
+    def digest(x: Column) -> Column:  # only of texts that can have the length of a known one
+        fits = F.length(x).between(int(size.least / GROW), int(size.most / SHRINK) + 1)
+        return F.when(fits, F.sha2(one_spelling(x).cast("binary"), 256))
+
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null").select("doc_id", plain_lines(F.col("text")).alias("lines"))
+    entry = lambda whole, x: F.struct(F.lit(whole).alias("whole"), digest(x).alias("digest"))
+    every = F.concat(F.array(entry(True, joined(F.col("lines")))), F.transform("lines", lambda x: entry(False, x)))
+    # outer: a plain explode adds a filter on the array, for which the lines would be normalised again
+    found = d.select("doc_id", F.explode_outer(F.filter(every, lambda x: x["digest"].isNotNull())).alias("x")).select("doc_id", "x.whole", "x.digest")
+    return (found.join(digests, "digest").groupBy("doc_id", "license")
+            .agg(F.count_if("whole").alias("n_whole"), F.count_if(~F.col("whole")).alias("n_lines")))
 
 
 def oracle(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
@@ -102,16 +122,22 @@ def oracle(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
     def quote(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
-    def canonical(x: str) -> str:
-        out = f"trim(regexp_replace(regexp_replace(lower({x}), {quote(COPYRIGHT_LINE)}, '', 'g'), {quote(NOT_A_WORD)}, ' ', 'g'))"
+    def lines(x: str) -> str:
+        one = f"trim(regexp_replace(regexp_replace(l, {quote(COPYRIGHT_LINE)}, ''), {quote(NOT_A_WORD)}, ' ', 'g'))"
+        return f"list_transform(string_split(lower({x}), chr(10)), lambda l: {one})"
+
+    def spelled(x: str) -> str:
         for old, new in SPELLINGS.items():
-            out = f"replace({out}, {quote(old)}, {quote(new)})"
-        return out
+            x = f"replace({x}, {quote(old)}, {quote(new)})"
+        return x
+
+    def canonical(x: str) -> str:
+        return spelled(f"array_to_string(list_filter({lines(x)}, lambda l: l <> ''), ' ')")
 
     rows = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in known)
     return f"""
 WITH known AS (SELECT DISTINCT license, sha256({canonical('t')}) AS digest FROM (VALUES {rows}) AS k(license, t)),
 found AS (SELECT doc_id, 1 AS whole, 0 AS line, sha256({canonical('text')}) AS digest FROM documents WHERE text IS NOT NULL
-    UNION ALL SELECT doc_id, 0, 1, sha256({canonical('l')}) FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents WHERE text IS NOT NULL))
+    UNION ALL SELECT doc_id, 0, 1, sha256({spelled('l')}) FROM (SELECT doc_id, unnest({lines('text')}) AS l FROM documents WHERE text IS NOT NULL))
 SELECT doc_id, license, sum(whole)::BIGINT AS n_whole, sum(line)::BIGINT AS n_lines FROM found JOIN known USING (digest) GROUP BY doc_id, license
 """
