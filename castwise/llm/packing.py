@@ -37,7 +37,7 @@ from ..session import materialize
 CAPACITY = 2048
 SEPARATOR = 0
 VOCABULARY = "word_bpe_49k.json"
-MEMO = 300_000         # words kept per Python worker
+MEMO = 300_000         # words kept per Python worker, in two generations
 
 #: Characters whose lower-casing and normal form are their own business only:
 #: ASCII without the apostrophe, Latin letters up to U+017F without U+0130.
@@ -57,23 +57,32 @@ class Encoder:
 
     The tokenizer lower-cases, drops white space and never joins a letter run
     with what stands beside it, so a text's ids are those of its parts in
-    order. Texts with an apostrophe or with characters outside ``_OTHER`` are
-    only split at blanks and line feeds.
+    order. Texts with an apostrophe, a ``<|`` (the vocabulary's special tokens
+    are read as such) or characters outside ``_OTHER`` are only split at
+    blanks and line feeds.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # words of late
+        self.old: dict[str, bytes] = {}   # and of the generation before
         ends = [i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]
         self.ends = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
         self.ends[ends] = True
 
     def _learn(self, parts: Iterable[str]) -> None:
-        new = [p for p in parts if p not in self.memo]
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
+        parts = list(parts)
+        if len(self.memo) + len(parts) > MEMO // 2:
+            self.old, self.memo = self.memo, {}
+        new = []
+        for p in parts:
+            if p not in self.memo:
+                if p in self.old:
+                    self.memo[p] = self.old[p]
+                else:
+                    new.append(p)
         words = [p for p in new if _WORD(p)]
         for s in range(0, len(words), 512):
             some = words[s:s + 512]  # one string: a letter run ends with a word-end token
@@ -85,23 +94,20 @@ class Encoder:
                 self.memo.update((w, raw[a:b]) for w, a, b in zip(some, at, at[1:], strict=False))
         for p in new:
             if p not in self.memo:
-                self.memo[p] = self._one(p)
+                self.memo[p] = np.array(self.tok.encode_batch_fast([p], add_special_tokens=False)[0].ids, np.uint32).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        parts = [p for p in re.split("[ \n]+", text) if p] if _OTHER(text) else _PARTS(text.lower())
+        parts = [p for p in re.split("[ \n]+", text) if p] if _OTHER(text) or "<|" in text else _PARTS(text.lower())
         memo = self.memo
         try:
             joined = b"".join([memo[p] for p in parts])
         except KeyError:
             self._learn(dict.fromkeys(parts))
-            joined = b"".join([memo[p] if p in memo else self._one(p) for p in parts])
+            joined = b"".join([self.memo[p] for p in parts])
         return np.frombuffer(joined, np.uint32)
 
-    def _one(self, part: str) -> bytes:
-        return np.array(self.tok.encode_batch_fast([part], add_special_tokens=False)[0].ids, np.uint32).tobytes()
-
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -115,24 +121,25 @@ def encoder(path: str) -> Encoder:
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
            separator: int = SEPARATOR, path: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids, part, nth): the token pieces of every document.
+    """(doc_id, piece, start, length, ids, ids_crc32, part, nth): the token pieces of every document.
 
-    A null or empty text gives the separator alone. ``part`` is the input
-    partition and ``nth`` the piece's rank among those of its length there.
+    A null or empty text gives the separator alone. ``ids_crc32`` is the
+    unsigned CRC-32 of the piece's ids as little-endian 32-bit numbers, ``part``
+    the input partition and ``nth`` the piece's rank among those of its length there.
     """
     from pyspark.sql import types as T
 
     path = path or tokenizer_path()
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("piece", T.IntegerType()),
                            T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
-                           T.StructField("part", T.IntegerType()), T.StructField("nth", T.LongType())])
+                           T.StructField("ids_crc32", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("nth", T.LongType())])
 
     def cut(batches):
         enc, seen, part = encoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 sub = b.slice(s, 256)
-                row, out, where, start, length, nth = [], [], [], [], [], []
+                row, out, where, start, length, crc, nth = [], [], [], [], [], [], []
                 for i, t in enumerate(sub.column(1).to_pylist()):
                     ids = np.append(enc.encode(t), np.uint32(separator))
                     for k, at in enumerate(range(0, len(ids), capacity)):
@@ -141,6 +148,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
                         where.append(k)
                         start.append(at)
                         length.append(len(one))
+                        crc.append(zlib.crc32(one.astype("<u4").tobytes()))
                         nth.append(seen[len(one)])
                         seen[len(one)] += 1
                         out.append(one)
@@ -149,7 +157,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
                 n = len(row)
                 yield pa.RecordBatch.from_arrays(
                     [sub.column(0).take(pa.array(row, pa.int64())), pa.array(where, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                     lists, pa.array(np.full(n, part, np.int32)), pa.array(nth, pa.int64())], names=schema.names)
+                     lists, pa.array(crc, pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(nth, pa.int64())], names=schema.names)
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
 
@@ -284,23 +292,12 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(placed, cut): the packed pieces without and the written pieces with their ids.
 
     placed: (doc_id, piece, start, length, ids_crc32, sequence_id, offset), one
-    row per piece; ids_crc32 is the unsigned CRC-32 of the piece's ids as
-    little-endian 32-bit numbers. Repeated rows are packed as often as they
+    row per piece. Repeated rows are packed as often as they
     come; null texts and ids are kept; other columns are not read. Sequences
     with their ids: ``sequences``.
     """
     cut = materialize(pieces(docs, doc_id, text, capacity, path=path), "token-pieces")
-    thin = cut.withColumn("ids_crc32", ids_crc32(F.col("ids"))).drop("ids")
-    return pack(thin, capacity), cut
-
-
-def ids_crc32(ids):
-    @F.arrow_udf("long")
-    def crc(a: pa.Array) -> pa.Array:
-        at, flat = a.offsets.to_numpy(), a.values.to_numpy().astype("<u4")
-        return pa.array([zlib.crc32(flat[s:e].tobytes()) for s, e in zip(at[:-1], at[1:], strict=True)], pa.int64())
-
-    return crc(ids)
+    return pack(cut.drop("ids"), capacity), cut
 
 
 def sequences(placed: DataFrame, cut: DataFrame) -> DataFrame:
