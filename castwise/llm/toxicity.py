@@ -10,8 +10,10 @@ over all documents. Single characters spelled out with spaces
 
 The restored words are scored by a logistic model over hashed word and
 word-prefix features, fitted on a bounded sample of labelled rows
-(``SAMPLE_ROWS``, smallest hash of the id first). No label, language, source
-or id enters a score.
+(``SAMPLE_ROWS``, smallest hash of the id first). Every feature that toxic
+rows hold more often than their share is due takes part; its weight is shrunk
+by the counts it rests on (``evidence``), so few labels weaken the model but
+do not turn it off. No label, language, source or id enters a score.
 """
 
 from __future__ import annotations
@@ -41,7 +43,9 @@ SMOOTH = 5.0
 BUCKETS = 1 << 20      # hashed features
 PREFIXES = (4, 5)
 SAMPLE_ROWS = 30_000   # labelled rows the model is fitted on at most
-MIN_TOXIC, MIN_Z = 5, 4.0
+HALF_Z = 4.0           # a feature of this z keeps half of its log odds
+PRIOR, RIDGE = 1.0, 0.1
+USUAL = 100            # distinct features of a text at which a weight counts once
 THRESHOLD = 0.3
 MEMO = 200_000         # decoded tokens kept per Python worker
 
@@ -180,10 +184,10 @@ def features(words: str) -> tuple[int, ...]:
 
 
 class Reader:
-    """Tokens to feature buckets, with a bounded memo; ``only`` keeps the buckets of a model."""
+    """Tokens to feature buckets, with a bounded memo."""
 
-    def __init__(self, log_p: np.ndarray, only: frozenset[int] | None = None):
-        self.decoder, self.only, self.memo = Decoder(log_p), only, {}
+    def __init__(self, log_p: np.ndarray):
+        self.decoder, self.memo = Decoder(log_p), {}
 
     def buckets(self, text: str) -> set[int]:
         memo, out = self.memo, set()
@@ -191,8 +195,6 @@ class Reader:
             got = memo.get(t)
             if got is None:
                 got = features(self.decoder.restore(t))
-                if self.only is not None:
-                    got = tuple(b for b in got if b in self.only)
                 if len(memo) >= MEMO:
                     memo.clear()
                 memo[t] = got
@@ -201,32 +203,58 @@ class Reader:
         return out
 
 
+def dilution(n: int | np.ndarray) -> float | np.ndarray:
+    """What a weight counts in a text of ``n`` distinct buckets: chance hits add up with its square root."""
+    return np.sqrt(USUAL / np.maximum(n, 1))
+
+
 class Model:
-    """Weights by bucket; score = sigmoid(bias + sum of the distinct buckets' weights)."""
+    """Weights by bucket; score = sigmoid(bias + dilution * sum of the distinct buckets' weights)."""
 
     def __init__(self, log_p: np.ndarray, weights: dict[int, float], bias: float):
         self.log_p, self.weights, self.bias = log_p, weights, bias
 
     def score(self, buckets: set[int]) -> float:
-        s = self.bias + sum(self.weights[b] for b in sorted(buckets))
+        s = self.bias + dilution(len(buckets)) * sum(self.weights[b] for b in sorted(buckets & self.weights.keys()))
         return float(1 / (1 + np.exp(-np.clip(s, -40, 40))))
 
 
-def fit_logistic(rows: list[np.ndarray], y: np.ndarray, n: int, steps: int = 300, rate: float = 0.3, l2: float = 1e-3):
-    """Sparse logistic regression by full-batch Adam: (weights, bias)."""
-    at = np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)]).astype(np.int64) if rows else np.zeros(0, np.int64)
-    col = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
+def evidence(clean: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """Smoothed log odds of features over the base rate, shrunk by z^2 / (z^2 + HALF_Z^2); 0 where toxic rows are not above their share."""
+    odds = np.log((toxic + PRIOR * share) / (clean + PRIOR * (1 - share))) - np.log(share / (1 - share))
+    due = (clean + toxic) * share
+    z = np.maximum(toxic - due, 0) / np.sqrt(due + 1)
+    return np.maximum(odds, 0) * z ** 2 / (z ** 2 + HALF_Z ** 2)
+
+
+def fit_logistic(rows: list[np.ndarray], by: np.ndarray, y: np.ndarray, scale: np.ndarray, steps: int = 150, rate: float = 0.1,
+                 l2: float = RIDGE, block: int = 1 << 20):
+    """Sparse logistic regression by full-batch Adam: (weights, bias).
+
+    ``rows`` holds the feature places of each row, ``by`` what a weight counts
+    there. The ridge is on weight / ``scale``, so a small scale holds a weight
+    near 0. Entries are taken in blocks of rows, to bound the memory.
+    """
+    n, sizes = len(scale), np.array([len(r) for r in rows], np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // block, prepend=-1))
+    blocks = [(s, e, np.concatenate(rows[s:e]).astype(np.int32)) for s, e in zip(cuts, [*cuts[1:], len(rows)], strict=True)]
     rate0 = min(max(y.mean(), 1e-3), 1 - 1e-3)
     w = np.zeros(n + 1)
     w[n] = np.log(rate0 / (1 - rate0))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, steps + 1):
-        s = np.bincount(at, weights=w[col], minlength=len(y)) + w[n]
-        d = 1 / (1 + np.exp(-np.clip(s, -40, 40))) - y
-        g = np.append(np.bincount(col, weights=d[at], minlength=n) + l2 * len(y) * w[:n] / max(n, 1), d.sum()) / len(y)
+        g, weight = np.zeros(n + 1), w[:n] * scale
+        for s, e, col in blocks:
+            at = np.repeat(np.arange(e - s), sizes[s:e])
+            x = np.bincount(at, weights=weight[col], minlength=e - s) * by[s:e] + w[n]
+            d = 1 / (1 + np.exp(-np.clip(x, -40, 40))) - y[s:e]
+            g[:n] += np.bincount(col, weights=(d * by[s:e])[at], minlength=n)
+            g[n] += d.sum()
+        g[:n] = g[:n] * scale + l2 * w[:n]
+        g /= len(y)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-9)
-    return w[:n], float(w[n])
+    return w[:n] * scale, float(w[n])
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
@@ -261,22 +289,24 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     share = totals[1] / (totals[0] + totals[1])
     seen = (sample.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket")
-            .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= MIN_TOXIC)
-            .withColumn("due", (F.col("clean") + F.col("toxic")) * share)
-            .where((F.col("toxic") - F.col("due")) / F.sqrt(F.col("due") + 1) >= MIN_Z))
-    chosen = sorted(r.bucket for r in seen.select("bucket").collect())  # at most BUCKETS
-    only, place = frozenset(chosen), {b: i for i, b in enumerate(chosen)}
-    used = docs.sparkSession.sparkContext.broadcast(only)
+            .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") > (F.col("clean") + F.col("toxic")) * share)
+            .orderBy("bucket").toArrow())  # at most BUCKETS
+    chosen, clean, toxic = (seen.column(c).to_numpy() for c in ("bucket", "clean", "toxic"))
+    place = np.full(BUCKETS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    used = docs.sparkSession.sparkContext.broadcast(place)
 
     def hits(batches):
-        reader = Reader(lm.value, used.value)
+        reader, at = Reader(lm.value), used.value
         for b in batches:
-            found = [sorted(reader.buckets(t or "")) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(found, pa.list_(pa.int64()))], names=["y", "hits"])
+            found = [np.fromiter(reader.buckets(t or ""), np.int64) for t in b.column("text").to_pylist()]
+            held = [np.sort(at[f][at[f] >= 0]).tobytes() for f in found]
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([len(f) for f in found], pa.int32()), pa.array(held, pa.binary())], names=["y", "n", "hits"])
 
-    rows = sample.mapInArrow(hits, "y int, hits array<long>").orderBy("y", "hits").collect()  # at most sample_rows ids
-    w, bias = fit_logistic([np.array([place[b] for b in r.hits], np.int64) for r in rows], np.array([r.y for r in rows], float), len(chosen))
-    return Model(log_p, dict(zip(chosen, w.tolist(), strict=True)), bias)
+    rows = sample.mapInArrow(hits, "y int, n int, hits binary").orderBy("y", "n", "hits").toArrow()  # at most sample_rows ids
+    w, bias = fit_logistic([np.frombuffer(x.as_buffer(), np.int32) for x in rows.column("hits")], dilution(rows.column("n").to_numpy()),
+                           rows.column("y").to_numpy().astype(float), evidence(clean, toxic, share))
+    return Model(log_p, dict(zip(chosen.tolist(), w.tolist(), strict=True)), bias)
 
 
 def score_column(model: Model, text: Column, spark) -> Column:
@@ -286,7 +316,7 @@ def score_column(model: Model, text: Column, spark) -> Column:
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
-        reader = Reader(m.log_p, frozenset(m.weights))
+        reader = Reader(m.log_p)
         for texts in batches:
             yield pd.Series([m.score(reader.buckets(t)) if isinstance(t, str) else m.score(set()) for t in texts])
 
