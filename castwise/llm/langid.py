@@ -259,6 +259,24 @@ def predict(net: Network, text: Column) -> Column:
     return label(text)
 
 
+def score_bound(net: Network, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+                per_language: int = 2 * SAMPLE_DOCS) -> float:
+    """Score below which a text is in no learned language: half-way from chance to the least score of learnable texts.
+
+    The learnable texts are a bounded sample (``per_language`` rows a language,
+    smallest hash of the id), twice as many as the network is trained on, so
+    all of them pass. 0 when fewer than two languages are known: there is
+    nothing to tell apart.
+    """
+    if len(net.languages) < 2:
+        return 0.0
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(learnable("id") & F.col("lang").isNotNull())
+    rows = rows.withColumn("o", F.xxhash64("id")).withColumn("k", F.expr("row_number() over (partition by lang order by o, id)")).where(F.col("k") <= per_language)
+    r = rows.repartition("id").select(predict(net, F.col("text")).alias("r")).where(F.col("r.lang") != UNKNOWN)
+    chance, least = 1 / len(net.languages), r.agg(F.min("r.score")).first()[0]
+    return 0.0 if least is None else chance + max(least - chance, 0) / 2
+
+
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per input row: (doc_id, held_out, lang_pred, score).
 

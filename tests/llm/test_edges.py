@@ -103,6 +103,20 @@ def test_language(docs, none):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_stage_keeps_letters_without_languages(spark, docs):
+    unknown = docs.withColumn("lang", F.lit(None).cast("string"))
+    got = corpus_pipeline.keep_known_languages(spark, unknown, "").collect()
+    want = [r for r in docs.collect() if r.text and any(map(str.isalpha, r.text))]
+    assert want and sorted(map(str, (r.text for r in got))) == sorted(r.text for r in want)
+
+
+def test_language_stage_rejects_by_the_network(spark):
+    rows = [(i, ("abba baba caab " if i % 2 else "xyzzy zyxy yxxz ") * 20, "a" if i % 2 else "x") for i in range(80)]
+    mixed = ("abba baba caab " * 10 + "xyzzy zyxy yxxz " * 10)
+    got = corpus_pipeline.keep_known_languages(spark, spark.createDataFrame([*rows, (99, mixed, None)], "doc_id long, text string, lang string"), "")
+    assert {r.doc_id for r in got.collect()} == set(range(80))
+
+
 def test_toxicity(docs, none, labels):
     rows = toxicity.score_toxicity(docs, labels).collect()
     assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
