@@ -287,3 +287,23 @@ def test_pipeline_on_odd_and_empty_tables(spark, docs, none, labels, bench, tmp_
             d = stage(spark, d, str(tmp_path))
             assert d.columns == docs.columns or name == "packing"
         d.collect()
+
+
+def test_licences_beyond_the_given_tables(spark):
+    bsd = [t for n, t in licenses.KNOWN if n == "BSD-3-Clause"][0]
+    mit = [t for n, t in licenses.KNOWN if n == "MIT" and "Permission" in t][0]
+    rows = [(1, "Copyright (c) 2011 Someone\n" + bsd.replace("or without ", "or without\n")), (2, mit.replace("Copyright (c) 2000 the authors", "Copyright Joyent, Inc.")),
+            (3, mit.replace("Copyright (c) 2000 the authors", "Copyright The Authors")), (4, "x\nSPDX-License-Identifier: MPL-2.0\ny")]
+    got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_licenses(spark)).collect()}
+    assert got == {(1, "BSD-3-Clause"), (2, "MIT"), (3, "MIT"), (4, "MPL-2.0")}
+
+
+def test_whole_licences_by_digest(spark):
+    from pathlib import Path
+
+    for file, name in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0-only"), ("MPL-2.0", "MPL-2.0")):
+        path = Path("/usr/share/common-licenses", file)
+        if not path.exists():
+            pytest.skip("no licence texts on this machine")
+        got = licenses.scan(spark.createDataFrame([(1, path.read_text())], "doc_id long, text string"), licenses.known_licenses(spark)).where("n_whole = 1").collect()
+        assert [r.license for r in got] == [name]
