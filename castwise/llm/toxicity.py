@@ -303,7 +303,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             held = [np.sort(at[f][at[f] >= 0]).tobytes() for f in found]
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([len(f) for f in found], pa.int32()), pa.array(held, pa.binary())], names=["y", "n", "hits"])
 
-    rows = sample.mapInArrow(hits, "y int, n int, hits binary").orderBy("y", "n", "hits").toArrow()  # at most sample_rows ids
+    rows = sample.mapInArrow(hits, "y int, n int, hits binary").toArrow()  # at most sample_rows ids
+    rows = rows.sort_by([("y", "ascending"), ("n", "ascending"), ("hits", "ascending")])  # here: a sort in Spark would decode the sample twice
     w, bias = fit_logistic([np.frombuffer(x.as_buffer(), np.int32) for x in rows.column("hits")], dilution(rows.column("n").to_numpy()),
                            rows.column("y").to_numpy().astype(float), evidence(clean, toxic, share))
     return Model(log_p, dict(zip(chosen.tolist(), w.tolist(), strict=True)), bias)
