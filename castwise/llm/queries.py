@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licenses, packing, quality, sharding, simhash, topk, toxicity
+from . import chat, decontaminate, langid, licenses, merkle, packing, quality, sharding, simhash, topk, toxicity
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,42 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return sharded.select("doc_id", (sharding.text_bytes(F.col("text")) + sharding.ROW_BYTES).alias("size"), F.crc32(text).alias("text_crc32"),
                           F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+_OP11_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_OP11_LEAF = "sha256(" + " || ".join(_OP11_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+_OP11_SQL = """
+WITH RECURSIVE raw AS (SELECT *, doc_id::VARCHAR AS s FROM documents),
+crc AS (SELECT *, xor(4294967295, list_reduce(list_transform(range(1, length(s) + 1), lambda i: ascii(substr(s, i, 1))::BIGINT), lambda c, b:
+    list_reduce(range(8), lambda a, k: xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END), xor(c, b)), 4294967295)) AS crc FROM raw),
+f AS (SELECT doc_id, lang, """ + _OP11_LEAF.format(n="n_chars") + """ AS leaf,
+    CASE WHEN crc % 7 = 0 THEN """ + _OP11_LEAF.format(n="(n_chars + 1)") + """ END AS forged FROM crc),
+d AS (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY lang) AS n FROM f),
+t AS (SELECT lang, 0 AS lvl, pos, leaf AS h, n FROM d UNION ALL
+    SELECT lang, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY lang, lvl, pos // 2, n),
+g AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, pos, h, n FROM g UNION ALL
+    SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY lvl, pos // 2, n),
+gs AS (SELECT g.lang, list(CASE WHEN (g.pos >> x.lvl) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(u.h, '') ORDER BY x.lvl) AS steps
+    FROM g JOIN (SELECT DISTINCT lvl FROM u WHERE n > 1) AS x ON true LEFT JOIN u ON u.lvl = x.lvl AND u.pos = xor(g.pos >> x.lvl, 1) GROUP BY g.lang),
+ds AS (SELECT d.r, list(CASE WHEN (d.pos >> x.lvl) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(t.h, '') ORDER BY x.lvl) AS steps
+    FROM d JOIN (SELECT DISTINCT lang, lvl FROM t WHERE n > 1) AS x ON d.lang IS NOT DISTINCT FROM x.lang
+    LEFT JOIN t ON t.lang IS NOT DISTINCT FROM d.lang AND t.lvl = x.lvl AND t.pos = xor(d.pos >> x.lvl, 1) GROUP BY d.r),
+p AS (SELECT doc_id, leaf, forged, g.h AS subroot, list_concat(coalesce(ds.steps, []), coalesce(gs.steps, [])) AS steps
+    FROM d JOIN g ON d.lang IS NOT DISTINCT FROM g.lang LEFT JOIN ds USING (r) LEFT JOIN gs ON gs.lang IS NOT DISTINCT FROM d.lang),
+q AS (SELECT *, list_reduce(steps, lambda h, s: CASE WHEN s[1] = 'L' THEN sha256(s[2:] || h) ELSE sha256(h || s[2:]) END, coalesce(forged, leaf)) AS folded_root FROM p)
+SELECT doc_id, leaf, subroot, top.h AS root, sha256(array_to_string(list_transform(steps, lambda s: s[2:]), '')) AS proof_sha256, folded_root, folded_root = top.h AS verified
+FROM q, (SELECT h FROM u WHERE n = 1) AS top
+"""
+
+
+@_query("op11_merkle", _OP11_SQL)
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of ``documents`` by language; every leaf is folded to the root, the tampered ones from their changed row."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = merkle.leaf(*(F.col(c).cast("decimal(38,0)") + 1 if c == "n_chars" else F.col(c) for c in merkle.FIELDS))
+    m = merkle.manifest(read_table(spark, sf_dir, "documents"), claim=F.when(tampered, changed))
+    folded = m.withColumn("folded_root", merkle.fold(F.coalesce("claim", "leaf"), F.col("proof")))
+    return folded.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")).cast("binary"), 256).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
