@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licenses, merkle, packing, quality, sharding, simhash, topk, toxicity
+from . import bpe, chat, decontaminate, langid, licenses, merkle, packing, quality, sharding, simhash, topk, toxicity
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = m.withColumn("folded_root", merkle.fold(F.coalesce("claim", "leaf"), F.col("proof")))
     return folded.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")).cast("binary"), 256).alias("proof_sha256"),
                          "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@_query("op13_bpe")
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding and decoding of every whole text of ``documents``."""
+    e = bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return e.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                    F.sha2(bpe.decode_column(F.col("ids")).cast("binary"), 256).alias("decoded_sha256"))
