@@ -224,7 +224,7 @@ class Encoder:
             return [part[a:b] for _, (a, b) in self.library.pre_tokenize_str(part)]
         return self.words(part)
 
-    def _learn(self, parts: Iterable[str | tuple]) -> dict[str | tuple, bytes]:
+    def learn(self, parts: Iterable[str | tuple]) -> dict[str | tuple, bytes]:
         """Ids of parts; their distinct words go through the trie in sorted order."""
         cut = [(p, [w.encode() for w in self.cut(" " + p if isinstance(p, str) else p[0])]) for p in parts]
         ids: dict[bytes, bytes] = {}
@@ -234,14 +234,14 @@ class Encoder:
             ids[w] = np.array(self.trie.ids(w), "<u4").tobytes()
         return {p: b"".join([ids[w] for w in ws]) for p, ws in cut}
 
-    def _known(self, parts: Iterable[str | tuple]) -> dict[str | tuple, bytes]:
+    def known(self, parts: Iterable[str | tuple]) -> dict[str | tuple, bytes]:
         """A lookup for these parts: the memo with what was new, or a table of their own where parts are long."""
         if self.held > MEMO_BYTES // 2:
             self.old, self.memo, self.held = self.memo, {}, 0
         memo, old = self.memo, self.old
         new = {p for p in parts if p not in memo}
         back = {p: old[p] for p in new if p in old}
-        back |= self._learn(new - back.keys())
+        back |= self.learn(new - back.keys())
         short = {p: i for p, i in back.items() if len(i) <= 4 * LONG}
         self.held += sum(len(p) + len(i) + ENTRY for p, i in short.items())
         memo |= short
@@ -276,7 +276,7 @@ class Encoder:
         return [b"".join(o) for o in out]
 
     def _flush(self, runs: list, out: list[list[bytes]]) -> None:
-        known = self._known({p for _, r in runs if isinstance(r, list) for p in r})
+        known = self.known({p for _, r in runs if isinstance(r, list) for p in r})
         for k, r in runs:
             out[k].append(b"".join([known[p] for p in r]) if isinstance(r, list) else r)
 

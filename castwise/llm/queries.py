@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, licenses, merkle, packing, quality, sharding, simhash, topk, toxicity
+from . import align, bpe, chat, decontaminate, langid, licenses, merkle, packing, quality, sharding, simhash, topk, toxicity
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,6 +158,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+@_query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = align.alignment(read_table(spark, sf_dir, "documents"), texts=False)
+    return r.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 @_query("op13_bpe")
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding and decoding of every whole text of ``documents``."""
