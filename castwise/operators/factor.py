@@ -52,13 +52,6 @@ def summed_ratings(ratings: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ factorisation
 
-# Widest matrix (columns = titles) factorised through its Gramian in one
-# pass; the n x n Gramian is at most 4096^2 doubles (134 MB). Wider
-# matrices use distributed ARPACK iterations.
-GRAMIAN_MAX_COLS = 4096
-RCOND = 1e-9
-
-
 @dataclass
 class Factors:
     """Result of :func:`fit_svd`; every table is keyed by the dense index."""
@@ -67,32 +60,26 @@ class Factors:
     user_factors: DataFrame   # (u, uf array<double>)  = U * sigma
     item_factors: DataFrame   # (t, vf array<double>)  = V
     sigma: list[float]
+    residual: float           # largest |X^T X v - sigma^2 v| / sigma_1^2 of the kept vectors
     n_users: int
     n_titles: int
     train: DataFrame          # (u, t, v) summed training entries
     test: DataFrame           # (user_id, title, overall_score, u, t)
 
 
-def fit_svd(reviews_clean: DataFrame, k: int = 50, test_per_mille: int = 100, seed: int = 42) -> Factors:
+def fit_svd(reviews_clean: DataFrame, k: int = 50, test_per_mille: int = 100, seed: int = 42, tol: float = 1e-4) -> Factors:
     """M3: truncated SVD of the user x title training matrix.
 
     Encoders see all rows (train and test), as in the reference; the split
     is the md5 split of :func:`split_ratings`; duplicate (user, title)
     ratings are summed; unrated cells are 0 and nothing is centred.
 
-    Two exact paths over MLlib's ``IndexedRowMatrix`` (rows persisted on the
-    JVM side): up to ``GRAMIAN_MAX_COLS`` titles, one distributed pass builds
-    X^T X and its eigendecomposition gives V and sigma (U sigma = X V is then
-    computed on the cluster); wider matrices use distributed ARPACK
-    (``computeSVD``) with U kept distributed and V rebuilt on the cluster as
-    X^T U / sigma. Factor tables are written under the checkpoint dir.
+    One path for every width (:mod:`castwise.operators.tallskinny`): both
+    factors are tables from the first random block to the result, and the
+    driver only holds matrices of the factors' width.
     """
-    from pyspark import StorageLevel
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.mllib.common import callMLlibFunc
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix
-
     from ..session import materialize
+    from .tallskinny import truncated_svd
 
     r = (reviews_clean.select("user_id", S.norm_key("title").alias("title"), "overall_score")
          .na.drop())  # C5
@@ -104,73 +91,49 @@ def fit_svd(reviews_clean: DataFrame, k: int = 50, test_per_mille: int = 100, se
                         .agg(F.sum("overall_score").alias("v")), "train")
     test = parts.where(F.col("part") == "test").select("user_id", "title", "overall_score", "u", "t")
     k_eff = max(1, min(k, n_titles - 1 if n_titles > 1 else 1))
-    # the entries go from the DataFrame to MLlib inside the JVM
-    entries = train.select(F.col("u").alias("i"), F.col("t").alias("j"), F.col("v").alias("value"))
-    mat = CoordinateMatrix(callMLlibFunc("createCoordinateMatrix", entries, n_users, n_titles)).toIndexedRowMatrix()
-    sc = reviews_clean.sparkSession.sparkContext
-    jrows = mat._java_matrix_wrapper._java_model.rows()  # the JVM rows MLlib reads
-    jrows.persist(sc._getJavaStorageLevel(StorageLevel.MEMORY_AND_DISK))
-    spark = reviews_clean.sparkSession
-    if n_titles <= GRAMIAN_MAX_COLS:
-        # one distributed pass builds X^T X (n_titles^2, bounded by the
-        # width check above); its eigenvectors are V and sqrt(eigenvalues)
-        # are the singular values -- MLlib's own "local-eigs" mode
-        import numpy as np
-        g = mat.computeGramianMatrix().toArray()
-        w, q = np.linalg.eigh(g)
-        order = np.argsort(w)[::-1][:k_eff]
-        s_all = np.sqrt(np.clip(w[order], 0.0, None))
-        keep = s_all > RCOND * (s_all[0] if len(s_all) and s_all[0] > 0 else 1.0)
-        sigma = [float(x) for x in s_all[keep]]
-        v = q[:, order][:, keep]
-        vf = materialize(spark.createDataFrame(
-            [(int(t), [float(x) for x in v[t]]) for t in range(n_titles)], "t long, vf array<double>"),
-            "item_factors")
-        # U sigma = X V, one pass over the training entries
-        contrib = (train.join(vf, "t")
-                   .select("u", F.posexplode(F.transform("vf", lambda x: x * F.col("v"))).alias("c", "x")))
-        ucols = contrib.groupBy("u", "c").agg(F.sum("x").alias("x"))
-        uf = materialize(ucols.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))
-                         .select("u", F.transform("xs", lambda e: e["x"]).alias("uf")), "user_factors")
-    else:
-        # distributed ARPACK: U stays distributed and V is rebuilt on the
-        # cluster as X^T U / sigma; MLlib itself holds V on the driver
-        svd = mat.computeSVD(k_eff, computeU=True, rCond=RCOND)
-        sigma = [float(x) for x in svd.s.toArray()]
-        sig = F.array(*[F.lit(x) for x in sigma])
-        u_rows = callMLlibFunc("getIndexedRows", svd.U._java_matrix_wrapper._java_model)
-        u_rows = materialize(u_rows.select(F.col("index").alias("u"), vector_to_array("vector").alias("uvec")), "svd_u")
-        uf = materialize(u_rows.select("u", F.zip_with("uvec", sig, lambda a, b: a * b).alias("uf")),
-                         "user_factors")
-        contrib = (train.join(u_rows, "u")
-                   .select("t", F.posexplode(F.transform("uvec", lambda x: x * F.col("v"))).alias("c", "x")))
-        vcols = contrib.groupBy("t", "c").agg(F.sum("x").alias("x"))
-        vf = materialize(vcols.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))
-                         .select("t", F.zip_with(F.transform("xs", lambda e: e["x"]), sig,
-                                                 lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)).alias("vf")),
-                         "item_factors")
-    jrows.unpersist(False)
+    uf, vf, sigma, residual = truncated_svd(train, "u", "t", "v", n_users, n_titles, k_eff, tol=tol, seed=seed)
+    uf = materialize(uf.select(F.col("id").alias("u"), F.col("vec").alias("uf")), "user_factors")
     # every encoded title has a factor row; one seen only in the test split
     # has an all-zero column in X and so a zero vector, as in a dense V
-    kk = len(sigma)
-    vf = (titles.select("t").join(vf, "t", "left")
-          .select("t", F.coalesce("vf", F.array_repeat(F.lit(0.0), kk)).alias("vf")))
-    return Factors(users, titles, uf, vf, sigma, n_users, n_titles, train, test)
+    vf = materialize(titles.select("t").join(vf.select(F.col("id").alias("t"), F.col("vec").alias("vf")), "t", "left")
+                     .select("t", F.coalesce("vf", F.array_repeat(F.lit(0.0), len(sigma))).alias("vf")), "item_factors")
+    return Factors(users, titles, uf, vf, sigma, residual, n_users, n_titles, train, test)
+
+
+def _times_train(f: Factors, by: str, factors: DataFrame, vec: str, other: str) -> DataFrame:
+    """(other, c, x): the training matrix (or its transpose) times a factor table, in SQL."""
+    return (f.train.join(factors, by).select(other, F.posexplode(F.transform(vec, lambda x: x * F.col("v"))).alias("c", "x"))
+            .groupBy(other, "c").agg(F.sum("x").alias("x")))
 
 
 def factor_check(f: Factors) -> DataFrame:
-    """(component, n_users, n_titles, v_norm, residual) of the written factors.
+    """(component, n_users, n_titles, normal, descending, residual_us, residual_v, off_diagonal) of the written factors.
 
-    residual = |X v - U sigma| / sigma_1 over all users, rounded to 4 digits.
+    residual_us = |X v - U sigma| / sigma_1 and residual_v = |X^T X v -
+    sigma^2 v| / sigma_1^2 over all rows; off_diagonal = the largest
+    |v_i . v_j| over j != i; normal = |v|. Everything is computed from the
+    training entries and the written tables by plain joins and sums, not by
+    the code that made them. Rounded to 4 digits.
     """
-    xv = (f.train.join(f.item_factors, "t").select("u", F.posexplode(F.transform("vf", lambda x: x * F.col("v"))).alias("c", "x"))
-          .groupBy("u", "c").agg(F.sum("x").alias("xv")))
+    sig = F.element_at(F.lit([float(x) for x in f.sigma]), F.col("c") + 1)
+    xv = _times_train(f, "t", f.item_factors, "vf", "u")
     us = f.user_factors.select("u", F.posexplode("uf").alias("c", "us"))
-    diff = F.coalesce("xv", F.lit(0.0)) - F.coalesce("us", F.lit(0.0))
-    res = xv.join(us, ["u", "c"], "full_outer").groupBy("c").agg((F.sqrt(F.sum(diff * diff)) / f.sigma[0]).alias("residual"))
-    norm = f.item_factors.select(F.posexplode("vf").alias("c", "x")).groupBy("c").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("v_norm"))
-    return norm.join(res, "c").select(F.col("c").cast("int").alias("component"), F.lit(f.n_users).cast("long").alias("n_users"),
-                                      F.lit(f.n_titles).cast("long").alias("n_titles"), S.r6("v_norm").alias("v_norm"), F.round("residual", 4).alias("residual"))
+    diff = F.coalesce("x", F.lit(0.0)) - F.coalesce("us", F.lit(0.0))
+    res_us = xv.join(us, ["u", "c"], "full_outer").groupBy("c").agg((F.sqrt(F.sum(diff * diff)) / f.sigma[0]).alias("residual_us"))
+    xxv = _times_train(f, "u", xv.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))  # k numbers
+                       .select("u", F.col("xs.x").alias("xs")), "xs", "t")
+    vs = f.item_factors.select("t", F.posexplode("vf").alias("c", "v"))
+    diff = F.coalesce("x", F.lit(0.0)) - sig * sig * F.coalesce("v", F.lit(0.0))
+    res_v = xxv.join(vs, ["t", "c"], "full_outer").groupBy("c").agg((F.sqrt(F.sum(diff * diff)) / f.sigma[0] ** 2).alias("residual_v"))
+    pairs = (f.item_factors.select(F.posexplode("vf").alias("c", "a"), "vf").select("c", "a", F.posexplode("vf").alias("d", "b"))
+             .groupBy("c", "d").agg(F.sum(F.col("a") * F.col("b")).alias("dot")))
+    gram = pairs.groupBy("c").agg(F.sqrt(F.max(F.when(F.col("c") == F.col("d"), F.col("dot")))).alias("normal"),
+                                  F.max(F.when(F.col("c") != F.col("d"), F.abs("dot"))).alias("off_diagonal"))
+    falls = F.col("c").isin([i for i in range(len(f.sigma)) if i == 0 or f.sigma[i - 1] >= f.sigma[i]])
+    return gram.join(res_us, "c").join(res_v, "c").select(
+        F.col("c").cast("int").alias("component"), F.lit(f.n_users).cast("long").alias("n_users"), F.lit(f.n_titles).cast("long").alias("n_titles"),
+        F.round("normal", 4).alias("normal"), falls.alias("descending"), *(F.abs(F.round(c, 4)).alias(c) for c in ("residual_us", "residual_v")),
+        F.abs(F.round(F.coalesce("off_diagonal", F.lit(0.0)), 4)).alias("off_diagonal"))
 
 
 def predictions(f: Factors, rows: DataFrame | None = None) -> DataFrame:
