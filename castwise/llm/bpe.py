@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -34,10 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VOCABULARY = "byte_bpe_50k.json"
-NODES = 400_000            # nodes of a trie before a new one is begun
+NODES = 250_000            # nodes of a trie before a new one is begun
+PAIRS = 250_000            # pairs of tokens whose fit is remembered
 DEEP = 64                  # bytes below which a word's prefixes get no node of their own
-MEMO_BYTES = 96 << 20      # bytes of parts and ids remembered, in two generations
-ENTRY = 150                # bytes that an entry of the memo takes besides
+MEMO_BYTES = 128 << 20     # bytes of parts and ids remembered, in two generations
+ENTRY = 200                # bytes that an entry of the memo takes besides
 LONG = 256                 # tokens above which a part is not remembered
 STRETCH = 2 << 20          # characters of text whose new words go through the trie together
 ROWS = 1024                # texts handed back together
@@ -63,23 +65,33 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _read(path: str) -> dict:
+    """A byte-level BPE file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    cut = spec["pre_tokenizer"] or {}
+    if spec["model"]["type"] != "BPE" or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or spec["normalizer"]:
+        raise ValueError("a byte-level BPE vocabulary without normalizer and prefix space is needed")
+    return spec
+
+
+def token_bytes(spec: dict) -> tuple[list[bytes], dict[str, int]]:
+    """Bytes of every id, and the special tokens."""
+    alphabet, special = byte_alphabet(), {t["content"]: t["id"] for t in spec["added_tokens"]}
+    entries = {i: bytes(alphabet[c] for c in t) for t, i in spec["model"]["vocab"].items() if t not in special}
+    entries |= {i: t.encode() for t, i in special.items()}
+    return [entries.get(i, b"") for i in range(max(entries) + 1)], special
+
+
 class Vocabulary:
     """Tokens, merge ranks and merge trees of a byte-level BPE file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model, alphabet = spec["model"], byte_alphabet()
-        if model["type"] != "BPE" or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel" or spec["normalizer"] or spec["pre_tokenizer"].get("add_prefix_space"):
-            raise ValueError("a byte-level BPE vocabulary without normalizer and prefix space is needed")
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.id = {bytes(alphabet[c] for c in t): i for t, i in model["vocab"].items() if t not in self.special}
-        size = 1 + max(*self.id.values(), *self.special.values())
-        self.bytes: list[bytes] = [b""] * size
-        for t, i in self.id.items():
-            self.bytes[i] = t
-        for t, i in self.special.items():
-            self.bytes[i] = t.encode()
+        spec, alphabet = _read(path), byte_alphabet()
+        model = spec["model"]
+        self.bytes, self.special = token_bytes(spec)
+        held = set(self.special.values())
+        self.id = {t: i for i, t in enumerate(self.bytes) if t and i not in held}
         self.length = [len(t) for t in self.bytes]
         self.rank: dict[int, int] = {}                      # of a merge, by left << 32 | right
         self.made: dict[int, tuple[int, int, int]] = {}     # token -> (rank, left, right)
@@ -90,21 +102,42 @@ class Vocabulary:
                 raise ValueError("merges must make each token once, from tokens made before")
             self.rank[left << 32 | right] = r
             self.made[whole] = r, left, right
-        # reversed trie of the tokens: state of a suffix, by (state of the shorter suffix) << 8 | byte before it
-        self.back: dict[int, int] = {}
-        self.ending = [-1]                                  # token that a state spells
-        for t, i in self.id.items():
-            state = 0
-            for b in reversed(t):
-                key = state << 8 | b
-                state = self.back.setdefault(key, len(self.ending))
-                if state == len(self.ending):
-                    self.ending.append(-1)
-            self.ending[state] = i
+        self._automaton()
         self._right: dict[int, list] = {}
         self._left: dict[int, list] = {}
         self._fits: dict[int, bool] = {}
 
+    def _automaton(self) -> None:
+        """States are prefixes of tokens; each knows the tokens that end there, the longest first."""
+        self.step: dict[int, int] = {}          # by state << 8 | byte
+        whole, parent, depth = [-1], [(0, 0)], [0]
+        for t, i in self.id.items():
+            state = 0
+            for b in t:
+                key = state << 8 | b
+                state = self.step.setdefault(key, len(whole))
+                if state == len(whole):
+                    whole.append(-1)
+                    parent.append((key >> 8, b))
+                    depth.append(depth[key >> 8] + 1)
+            whole[state] = i
+        self.back = [0] * len(whole)             # the longest shorter suffix that is a state
+        self.ends: list[tuple[int, ...]] = [()] * len(whole)
+        for s in sorted(range(1, len(whole)), key=depth.__getitem__):
+            up, b = parent[s]
+            if up:
+                self.back[s] = self.go(self.back[up], b)
+            self.ends[s] = ((whole[s],) if whole[s] >= 0 else ()) + self.ends[self.back[s]]
+
+    def go(self, state: int, byte: int) -> int:
+        """State after one more byte: the longest suffix that begins a token."""
+        step, back = self.step, self.back
+        to = step.get(state << 8 | byte)
+        while to is None and state:
+            state = back[state]
+            to = step.get(state << 8 | byte)
+        return to or 0
+
     def _spine(self, token: int, side: int, known: dict[int, list]) -> list[tuple[int, float]]:
         """(symbol, rank of the merge that uses it up) along one side of a token's tree, lowest first."""
         if token not in known:
@@ -122,7 +155,7 @@ class Vocabulary:
         key = a << 32 | b
         ok = self._fits.get(key)
         if ok is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > PAIRS:
                 self._fits.clear()
             ok = self._fits[key] = self._uncrossed(self._spine(a, 2, self._right), self._spine(b, 1, self._left))
         return ok
@@ -146,53 +179,55 @@ class Trie:
     """Last tokens of all prefixes of the words put in so far."""
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.child, self.last = vocab, {}, [-1]
-        self.word, self.path, self.nodes = b"", [], [0]  # where the walk stands: last tokens and nodes by depth
+        self.vocab, self.child = vocab, {}
+        self.last, self.state = [-1], [0]  # of every node: last token, state of the automaton
+        self.word, self.nodes = b"", [0]   # where the walk stands: its nodes by depth
 
-    def _back_up(self, word: bytes) -> int:
-        """Steps back to the deepest node of the walk that ``word`` shares; its depth."""
-        lo, hi, here = 0, min(len(word), len(self.word)), self.word
+    def _shared(self, word: bytes) -> int:
+        """Depth of the deepest node of the walk that ``word`` goes through."""
+        lo, hi, here = 0, min(len(word), len(self.word), DEEP), self.word
         if not word.startswith(here[:hi]):
             while lo < hi:  # halving: the words' common start
                 mid = (lo + hi + 1) // 2
                 lo, hi = (mid, hi) if word.startswith(here[:mid]) else (lo, mid - 1)
-        del self.path[hi:], self.nodes[min(hi, DEEP) + 1:]
-        self.word = word
         return hi
 
     def ids(self, word: bytes) -> list[int]:
         """Encoding of ``word``; prefixes seen before are not computed again."""
-        child, last, start = self.child, self.last, self._back_up(word)
-        path, nodes = self.path, self.nodes
-        node = nodes[-1]
-        for d in range(start, min(len(word), DEEP)):
-            key = node << 8 | word[d]
-            node = child.get(key)
-            if node is None:
-                child[key] = node = len(last)
-                last.append(self._last(word, d, path))
-            nodes.append(node)
-            path.append(last[node])
-        for d in range(max(start, DEEP), len(word)):
-            path.append(self._last(word, d, path))
-        out, length, n = [], self.vocab.length, len(word)
-        while n:
-            t = path[n - 1]
+        child, last, state, nodes, length, kept = self.child, self.last, self.state, self.nodes, self.vocab.length, 0
+        depth = self._shared(word)
+        del nodes[depth + 1:]
+        node = nodes[depth]
+        for b in word[depth:]:
+            key = node << 8 | b
+            to = child.get(key)
+            if to is None:
+                to = len(last)
+                state.append(self.vocab.go(state[node], b))
+                last.append(self._last(depth, state[to]))
+                if depth < DEEP:
+                    child[key] = to
+                else:
+                    kept = kept or to
+            nodes.append(to)
+            node = to
+            depth += 1
+        self.word = word
+        out = []
+        while depth:
+            t = last[nodes[depth]]
             out.append(t)
-            n -= length[t]
+            depth -= length[t]
+        if kept:  # nodes too deep to stay
+            del last[kept:], state[kept:]
         return out[::-1]
 
-    def _last(self, word: bytes, end: int, path: list[int]) -> int:
-        """Last token of the bytes up to and with place ``end``; ``path`` has those of all shorter prefixes."""
-        back, ending, state, found = self.vocab.back, self.vocab.ending, 0, []
-        for at in range(end, -1, -1):
-            state = back.get(state << 8 | word[at])
-            if state is None:
-                break
-            if ending[state] >= 0:
-                found.append((at, ending[state]))
-        for at, t in reversed(found):  # longest first
-            if at == 0 or self.vocab.fits(path[at - 1], t):
+    def _last(self, end: int, state: int) -> int:
+        """Last token of the walk's bytes and one more at place ``end``."""
+        vocab, last, nodes = self.vocab, self.last, self.nodes
+        for t in vocab.ends[state]:
+            at = end + 1 - vocab.length[t]
+            if not at or vocab.fits(last[nodes[at]], t):
                 return t
         raise ValueError("a byte is missing from the vocabulary")
 
@@ -222,6 +257,8 @@ class Encoder:
         """Words of a part; where Unicode versions may differ on a character the library cuts."""
         if UNSETTLED(part):
             return [part[a:b] for _, (a, b) in self.library.pre_tokenize_str(part)]
+        if part[1:].isalpha() and (part[0] == " " or part[0].isalpha()):
+            return [part]
         return self.words(part)
 
     def learn(self, parts: Iterable[str | tuple]) -> dict[str | tuple, bytes]:
@@ -231,7 +268,8 @@ class Encoder:
         for w in sorted({w for _, ws in cut for w in ws}):
             if len(self.trie.last) > NODES:
                 self.trie = Trie(self.vocab)
-            ids[w] = np.array(self.trie.ids(w), "<u4").tobytes()
+            t = self.trie.ids(w)
+            ids[w] = struct.pack(f"<{len(t)}I", *t)
         return {p: b"".join([ids[w] for w in ws]) for p, ws in cut}
 
     def known(self, parts: Iterable[str | tuple]) -> dict[str | tuple, bytes]:
@@ -280,13 +318,21 @@ class Encoder:
         for k, r in runs:
             out[k].append(b"".join([known[p] for p in r]) if isinstance(r, list) else r)
 
+
+class Decoder:
+    """Text of ids; nothing but the bytes of every token."""
+
+    def __init__(self, path: str):
+        self.table = token_bytes(_read(path))[0]
+
     def decode(self, ids: bytes) -> str:
-        """Text of ids; bytes that are no UTF-8 become U+FFFD."""
-        table = self.vocab.bytes
+        """Bytes that are no UTF-8 become U+FFFD."""
+        table = self.table
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
+_DECODERS: dict[str, Decoder] = {}
 
 
 def encoder(path: str, special: bool = True) -> Encoder:
@@ -296,26 +342,37 @@ def encoder(path: str, special: bool = True) -> Encoder:
     return _ENCODERS[path, special]
 
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None, out: str = "ids", special: bool = True) -> DataFrame:
+def decoder(path: str) -> Decoder:
+    """The worker's decoder of a vocabulary file."""
+    if path not in _DECODERS:
+        _DECODERS[path] = Decoder(path)
+    return _DECODERS[path]
+
+
+def encode(docs: DataFrame, text: str = "text", path: str | None = None, out: str = "ids", special: bool = True, back: str | None = None) -> DataFrame:
     """``docs`` without ``text`` but with the ids of the whole text (binary, little-endian unsigned 32-bit) as ``out``.
 
+    ``back`` names a further column for the text that the ids decode to.
     Null and empty texts have no ids (an empty value, not null). Texts of any
     length are encoded whole; repeated rows stay repeated; all other columns
-    are kept, so one named ``out`` is an error. An empty table stays empty.
+    are kept, so one named ``out`` or ``back`` is an error. An empty table
+    stays empty.
     """
     path = path or tokenizer_path()
-    rest = [c for c in docs.columns if c != text]
-    if out.lower() in {c.lower() for c in rest}:
-        raise ValueError(f"column {out} is there already")
-    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(out, T.BinaryType())])
+    rest, new = [c for c in docs.columns if c != text], [out] if back is None else [out, back]
+    if {n.lower() for n in new} & {c.lower() for c in rest}:
+        raise ValueError(f"one of the columns {', '.join(new)} is there already")
+    made = [T.StructField(out, T.BinaryType()), T.StructField(back, T.StringType())][:len(new)]
+    schema = T.StructType([*(docs.schema[c] for c in rest), *made])
 
     def run(batches):
-        enc = encoder(path, special)
+        enc, decode = encoder(path, special), decoder(path).decode
         for b in batches:
             for s in range(0, b.num_rows, ROWS):
                 sub = b.slice(s, ROWS)
                 ids = enc.encode([t or "" for t in sub.column(len(rest)).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(sub.column(k) for k in range(len(rest))), pa.array(ids, pa.binary())], names=[*rest, out])
+                cols = [pa.array(ids, pa.binary()), *([] if back is None else [pa.array([decode(i) for i in ids], pa.string())])]
+                yield pa.RecordBatch.from_arrays([*(sub.column(k) for k in range(len(rest))), *cols], names=schema.names)
 
     return docs.select(*rest, text).mapInArrow(run, schema)
 
@@ -326,7 +383,7 @@ def decode_column(ids: Column, path: str | None = None) -> Column:
 
     @F.arrow_udf("string")
     def decode(values: pa.Array) -> pa.Array:
-        enc = encoder(path)
-        return pa.array([None if v is None else enc.decode(v) for v in values.to_pylist()], pa.string())
+        text = decoder(path).decode
+        return pa.array([None if v is None else text(v) for v in values.to_pylist()], pa.string())
 
     return decode(ids)

@@ -167,6 +167,6 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op13_bpe")
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding and decoding of every whole text of ``documents``."""
-    e = bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    e = bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), back="decoded")
     return e.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-                    F.sha2(bpe.decode_column(F.col("ids")).cast("binary"), 256).alias("decoded_sha256"))
+                    F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -41,11 +41,12 @@ def test_encoder_equals_library(own, library):
     texts = ODD + noise(400)
     got = own.encode(texts)
     assert [i for i, t in enumerate(texts) if got[i] != of_library(library, t)] == []
-    assert all(own.decode(g) == t for g, t in zip(got, texts, strict=True))
+    back = bpe.Decoder(bpe.tokenizer_path()).decode
+    assert all(back(g) == t for g, t in zip(got, texts, strict=True))
 
 
-def test_decoding_of_any_ids_equals_library(own, library):
-    rnd = random.Random(2)
+def test_decoding_of_any_ids_equals_library(library):
+    rnd, own = random.Random(2), bpe.Decoder(bpe.tokenizer_path())
     for _ in range(300):
         ids = [rnd.randrange(50257) for _ in range(rnd.randint(0, 12))]
         assert own.decode(np.array(ids, "<u4").tobytes()) == library.decode(ids, skip_special_tokens=False)
@@ -79,12 +80,12 @@ def test_trie_equals_plain_merging_and_shares_prefixes(own):
     plain = trie._last
     trie._last = lambda *a: calls.append(a) or plain(*a)
     assert [trie.ids(w) for w in words] == [merged(own.vocab, w) for w in words]
-    distinct = {w[:n] for w in words for n in range(1, len(w) + 1)}
-    assert len(calls) == len(distinct)  # every prefix once
+    distinct = {w[:n] for w in words for n in range(1, min(len(w), bpe.DEEP) + 1)}
+    assert sum(a[0] < bpe.DEEP for a in calls) == len(distinct)  # every prefix that has a node once
     calls.clear()
     shuffled = random.Random(4).sample(words, len(words))
     assert [trie.ids(w) for w in shuffled] == [merged(own.vocab, w) for w in shuffled]
-    assert all(a[1] >= bpe.DEEP for a in calls)  # only below the deepest nodes
+    assert all(a[0] >= bpe.DEEP for a in calls)  # only below the deepest nodes
 
 
 def test_small_bounds_change_nothing(monkeypatch, library):
