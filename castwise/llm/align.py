@@ -23,6 +23,7 @@ from every document's distinct pairs, summed within tasks before the shuffle.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from hashlib import sha256
@@ -41,8 +42,8 @@ from . import bpe
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 RANGE = 1 << 16            # bytes of a range; longer documents are cut
 FAN = 16                   # neighbouring fragments composed in a step
-MEMO_BYTES = 96 << 20      # bytes of parts and their fragments remembered, in two generations
-ENTRY = 450                # bytes that an entry of the memo takes besides its strings
+MEMO_BYTES = 160 << 20     # bytes of parts and their fragments remembered, in two generations
+ENTRY = 350                # bytes that an entry of the memo takes besides its strings
 LONG = 256                 # characters above which a part is not remembered
 STRETCH = 1 << 20          # characters of text whose new parts are tokenised together
 COUNTED = 1 << 22          # pairs that a task counts before it hands them on
@@ -80,60 +81,63 @@ class Aligner:
         self.a = bpe.Encoder(path_a, special=False)
         self.b = SentencePieceProcessor(model_file=path_b)
         size = self.b.get_piece_size()
-        self.bytes_a = self.a.vocab.bytes
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(map(self.b.id_to_piece, range(size)))]
         if any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(size)):
             raise ValueError("a piece reaches over the start of a word")
         self.len_a, self.len_b, self.base = self.a.vocab.length, list(map(len, self.bytes_b)), size
-        self.kind = np.dtype("<i4" if len(self.bytes_a) * size < 1 << 31 else "<i8")
+        self.kind = np.dtype("<i4" if len(self.a.vocab.bytes) * size < 1 << 31 else "<i8")
         self.memo: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
         self.held = 0
 
-    def close(self, a: list[int], b: list[int]) -> tuple[list[str], np.ndarray]:
+    def close(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]]:
         """(groups, links) of tokens that begin and end together; a link is a * base + b."""
         groups, links, base, len_a, len_b = [], [], self.base, self.len_a, self.len_b
-        i = j = first_a = first_b = end_a = end_b = 0
-        x = y = None
-        while x is not None or i < len(a):
-            if x is None:
-                x, y = a[i], b[j]
-                end_a, end_b = end_a + len_a[x], end_b + len_b[y]
+        i = j = first_a = first_b = ahead = 0  # ahead: bytes by which the present a ends after the present b
+        n = len(a)
+        while i < n:
+            x, y = a[i], b[j]
+            ahead += len_a[x] - len_b[y]
             links.append(x * base + y)
-            if end_a == end_b:
-                i, j, x = i + 1, j + 1, None
-                groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-                first_a, first_b = i, j
-            elif end_a < end_b:
-                i += 1
-                x = a[i]
-                end_a += len_a[x]
+            while ahead:
+                if ahead < 0:
+                    i += 1
+                    x = a[i]
+                    ahead += len_a[x]
+                else:
+                    j += 1
+                    y = b[j]
+                    ahead -= len_b[y]
+                links.append(x * base + y)
+            i, j = i + 1, j + 1
+            if i - first_a == j - first_b == 1:
+                groups.append(f"{x}|{y}")
             else:
-                j += 1
-                y = b[j]
-                end_b += len_b[y]
-        return groups, np.array(links, self.kind)
+                groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
+            first_a, first_b = i, j
+        return groups, links
 
     def parts(self, parts: Iterable[str]) -> dict[str, tuple]:
-        """part -> (groups as text or None if its bytes differ, number of groups, a ids, b ids, links)."""
+        """part -> (groups as text or None if its bytes differ, number of groups, of a tokens, of b tokens, links)."""
         if self.held > MEMO_BYTES // 2:
             self.old, self.memo, self.held = self.memo, {}, 0
         memo, old = self.memo, self.old
         new = {p for p in parts if p not in memo}
         made = {p: old[p] for p in new if p in old}
         todo = sorted(new - made.keys())
-        ids_a = self.a.learn(todo)
+        ids_a, pack, code = self.a.learn(todo), struct.pack, self.kind.char
+        table_b = self.bytes_b
         for p, b in zip(todo, self.b.encode(todo, num_threads=1) if todo else [], strict=True):
-            a = np.frombuffer(ids_a[p], "<u4").tolist()
-            whole = (" " + p).encode()
-            if b"".join([self.bytes_a[x] for x in a]) != whole or b"".join([self.bytes_b[x] for x in b]) != whole:
-                made[p] = (None, 0, b"", b"", b"")
+            raw = ids_a[p]
+            a = struct.unpack(f"<{len(raw) // 4}I", raw)  # byte-level: its bytes are the text's
+            if b"".join([table_b[x] for x in b]) != (" " + p).encode():
+                made[p] = (None, 0, 0, 0, b"")
             else:
                 groups, links = self.close(a, b)
-                made[p] = (";".join(groups), len(groups), ids_a[p], np.array(b, "<u4").tobytes(), links.tobytes())
+                made[p] = (";".join(groups), len(groups), len(a), len(b), pack(f"<{len(links)}{code}", *links))
         short = {p: v for p, v in made.items() if len(p) <= LONG}
-        self.held += sum(2 * len(p) + len(v[0] or "") + sum(map(len, v[2:])) + ENTRY for p, v in short.items())
+        self.held += sum(2 * len(p) + len(v[0] or "") + len(v[4]) + ENTRY for p, v in short.items())
         memo |= short
         return memo if len(short) == len(made) else memo | made
 
@@ -146,12 +150,11 @@ class Aligner:
             if size > STRETCH or k == len(texts) - 1:
                 known = self.parts({p for ps in cut for p in ps})
                 for ps in cut:
-                    held = [known[p] for p in ps]
-                    if any(h[0] is None for h in held):
+                    groups, n, n_a, n_b, links = zip(*[known[p] for p in ps], strict=True)
+                    if None in groups:
                         out.append(Fragment(True, False))
                     else:
-                        out.append(Fragment(True, groups=[h[0] for h in held], n_groups=sum(h[1] for h in held), n_a=sum(len(h[2]) for h in held) // 4,
-                                            n_b=sum(len(h[3]) for h in held) // 4, pairs=[h[4] for h in held]))
+                        out.append(Fragment(True, groups=list(groups), n_groups=sum(n), n_a=sum(n_a), n_b=sum(n_b), pairs=list(links)))
                 cut, size = [], 0
         return out
 
@@ -161,7 +164,8 @@ class Aligner:
         known = self.parts(set(parts))
         if any(known[p][0] is None for p in parts):
             return Fragment(start == 0, False)
-        a, b = (np.frombuffer(b"".join([known[p][k] for p in parts]), "<u4") for k in (2, 3))
+        sides = [g.split("|") for p in parts for g in known[p][0].split(";")]
+        a, b = (np.array([int(x) for s in sides for x in s[k].split(",")], np.int64) for k in (0, 1))
         ends_a, ends_b = (offset + np.cumsum(np.array(n)[x]) for n, x in ((self.len_a, a), (self.len_b, b)))
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         common = common[(common > start) & (common <= stop)]
@@ -178,7 +182,7 @@ class Aligner:
         f.head_a, f.head_b = between(start, first)
         f.tail_a, f.tail_b = between(last, stop)
         f.groups, links = self.close(*between(first, last))
-        f.n_groups, f.pairs = len(f.groups), [links.tobytes()]
+        f.n_groups, f.pairs = len(f.groups), [np.array(links, self.kind).tobytes()]
         return f
 
     def compose(self, left: Fragment, right: Fragment) -> Fragment:
@@ -196,7 +200,7 @@ class Aligner:
             groups, links = self.close(out.tail_a + right.head_a, out.tail_b + right.head_b)
             out.groups += groups
             out.n_groups += len(groups)
-            out.pairs.append(links.tobytes())
+            out.pairs.append(np.array(links, self.kind).tobytes())
         else:
             out.head_a, out.head_b, out.cut = out.head_a + right.head_a, out.head_b + right.head_b, True
         out.groups += right.groups
