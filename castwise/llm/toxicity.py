@@ -6,7 +6,7 @@ its letters or a word break, a separator for nothing or a word break, and a
 repeated character may be dropped. Viterbi decoding picks the path with the
 best channel cost plus character-trigram probability; the trigrams are counted
 over all documents. Single characters spelled out with spaces
-("x y z ...", four or more) are decoded as one lattice.
+("x y z", three or more, one or two blanks between) are decoded as one lattice.
 
 The restored words are scored by a logistic model over hashed word and
 word-prefix features, fitted on a bounded sample of labelled rows
@@ -47,7 +47,8 @@ HALF_Z = 4.0           # a feature of this z keeps half of its log odds
 PRIOR, RIDGE = 1.0, 0.1
 USUAL = 100            # distinct features of a text at which a weight counts once
 THRESHOLD = 0.3
-MEMO = 200_000         # decoded tokens kept per Python worker
+MEMO = 400_000         # decoded tokens kept per Python worker, in two generations
+LONG = 64              # characters above which a token is not kept
 
 
 @lru_cache(1)
@@ -150,21 +151,38 @@ class Decoder:
 
     def restore(self, token: str) -> str:
         """A lower-cased token without its outer punctuation, decoded where it is not plain."""
-        core = token.strip("\"'.,;:?!()[]{}<>«»„“”’‘…-–—_*/\\#&%~`^=")
-        if not _LETTER(core):
-            return ""
-        if core.isalpha() and not _DOUBLE(core):
-            return core
-        return self.decode(core)
-
-
+        core = token.strip(OUTER)
+        if core.isalpha():
+            if not _DOUBLE(core):
+                return core
+            if not _TRIPLE(core):
+                return self._undouble(core)
+        return self.decode(core) if _LETTER(core) else ""
+
+    def _undouble(self, core: str) -> str:
+        """``decode`` of letters whose only choices are doubled ones: each weighs just the trigrams around it."""
+        log_p, table = self.log_p, symbol_table()
+        x = [0, *(int(table[min(ord(c), 65535)]) for c in core), 0]
+        out = [core[0]]
+        for i in range(1, len(core)):
+            if core[i] == core[i - 1]:
+                before, letter, after = x[i - 1], x[i], x[i + 2]
+                kept = log_p[(before * SYMBOLS + letter) * SYMBOLS + letter] + log_p[(letter * SYMBOLS + letter) * SYMBOLS + after]
+                if REPEAT_COST + log_p[(before * SYMBOLS + letter) * SYMBOLS + after] > kept:
+                    continue
+            out.append(core[i])
+        return "".join(out)
+
+
+OUTER = "\"'.,;:?!()[]{}<>«»„“”’‘…-–—_*/\\#&%~`^="
 _LETTER = re.compile(r"[^\W\d_]").search
 _DOUBLE = re.compile(r"(.)\1").search
-_SPELLED = re.compile(r"(?<!\S)\S(?:[ ]\S){3,}(?!\S)")
+_TRIPLE = re.compile(r"(.)\1\1").search
+_SPELLED = re.compile(r"(?<!\S)\S(?:\s{1,2}\S){2,}(?!\S)")
 
 
 def tokens(text: str) -> set[str]:
-    """Distinct lower-cased tokens; single characters spelled out with spaces are one token."""
+    """Distinct lower-cased tokens; three or more single characters spelled out with white space are one token."""
     low = text.lower()
     if not _SPELLED.search(low):
         return set(low.split())
@@ -172,35 +190,42 @@ def tokens(text: str) -> set[str]:
     return found | set(_SPELLED.sub(" ", low).split()) | {p for f in found for p in f.split()}
 
 
-def features(words: str) -> tuple[int, ...]:
-    """Hash buckets of the restored words and their prefixes."""
-    out = set()
+def features(words: str) -> bytes:
+    """Hash buckets (32-bit numbers) of the restored words and their prefixes."""
+    out = []
     for w in words.split():
-        out.add(zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS)
+        raw = w.encode("utf-8", "surrogatepass")
+        out.append(zlib.crc32(raw) % BUCKETS)
         for k in PREFIXES:
             if len(w) > k:
-                out.add(zlib.crc32(b"^" + w[:k].encode("utf-8", "surrogatepass")) % BUCKETS)
-    return tuple(out)
+                out.append(zlib.crc32(raw[:k] if len(raw) == len(w) else w[:k].encode("utf-8", "surrogatepass"), _MARK) % BUCKETS)
+    return np.array(out, np.int32).tobytes()
+
+
+_MARK = zlib.crc32(b"^")
 
 
 class Reader:
-    """Tokens to feature buckets, with a bounded memo."""
+    """Tokens to feature buckets, with a memo in two generations of bounded size."""
 
     def __init__(self, log_p: np.ndarray):
-        self.decoder, self.memo = Decoder(log_p), {}
-
-    def buckets(self, text: str) -> set[int]:
-        memo, out = self.memo, set()
-        for t in tokens(text):
-            got = memo.get(t)
+        self.decoder, self.memo, self.old = Decoder(log_p), {}, {}
+
+    def buckets(self, text: str) -> np.ndarray:
+        """Distinct buckets of a text, ascending."""
+        if len(self.memo) > MEMO // 2:
+            self.old, self.memo = self.memo, {}
+        memo, old, out = self.memo, self.old, []
+        for core in {t.strip(OUTER) for t in tokens(text)}:
+            got = memo.get(core)
             if got is None:
-                got = features(self.decoder.restore(t))
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[t] = got
-            if got:
-                out.update(got)
-        return out
+                got = old.get(core)
+                if got is None:
+                    got = features(self.decoder.restore(core))
+                if len(core) <= LONG:
+                    memo[core] = got
+            out.append(got)
+        return np.unique(np.frombuffer(b"".join(out), np.int32))
 
 
 def dilution(n: int | np.ndarray) -> float | np.ndarray:
@@ -209,13 +234,13 @@ def dilution(n: int | np.ndarray) -> float | np.ndarray:
 
 
 class Model:
-    """Weights by bucket; score = sigmoid(bias + dilution * sum of the distinct buckets' weights)."""
+    """A weight for every bucket; score = sigmoid(bias + dilution * sum of the distinct buckets' weights)."""
 
-    def __init__(self, log_p: np.ndarray, weights: dict[int, float], bias: float):
+    def __init__(self, log_p: np.ndarray, weights: np.ndarray, bias: float):
         self.log_p, self.weights, self.bias = log_p, weights, bias
 
-    def score(self, buckets: set[int]) -> float:
-        s = self.bias + dilution(len(buckets)) * sum(self.weights[b] for b in sorted(buckets & self.weights.keys()))
+    def score(self, buckets: np.ndarray) -> float:
+        s = self.bias + dilution(len(buckets)) * self.weights[buckets].sum()
         return float(1 / (1 + np.exp(-np.clip(s, -40, 40))))
 
 
@@ -276,19 +301,29 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                          .join(F.broadcast(marked), "id").select("y", "text"), "toxicity-sample")
     totals = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
-        return Model(log_p, {}, -40.0 if not totals.get(1) else 40.0)
+        return Model(log_p, np.zeros(BUCKETS), -40.0 if not totals.get(1) else 40.0)
     lm = docs.sparkSession.sparkContext.broadcast(log_p)
 
+    def read(batches):
+        reader = Reader(lm.value)
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                sub = b.slice(at, 512)
+                found = [reader.buckets(t or "") for t in sub.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([sub.column("y"), pa.array([f.tobytes() for f in found], pa.binary())], names=["y", "found"])
+
+    held = materialize(sample.mapInArrow(read, "y int, found binary"), "toxicity-buckets")  # each text is decoded once
+
     def count(batches):
-        reader, n = Reader(lm.value), np.zeros((2, BUCKETS), np.int32)
+        n = np.zeros((2, BUCKETS), np.int64)
         for b in batches:
-            for y, t in zip(b.column("y").to_pylist(), b.column("text").to_pylist(), strict=True):
-                n[y, list(reader.buckets(t or ""))] += 1
+            for y, f in zip(b.column("y").to_pylist(), b.column("found").to_pylist(), strict=True):
+                n[y, np.frombuffer(f, np.int32)] += 1
         at = np.flatnonzero(n[0] + n[1])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0, at].astype(np.int64)), pa.array(n[1, at].astype(np.int64))], names=["bucket", "clean", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0, at]), pa.array(n[1, at])], names=["bucket", "clean", "toxic"])
 
     share = totals[1] / (totals[0] + totals[1])
-    seen = (sample.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket")
+    seen = (held.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket")
             .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") > (F.col("clean") + F.col("toxic")) * share)
             .orderBy("bucket").toArrow())  # at most BUCKETS
     chosen, clean, toxic = (seen.column(c).to_numpy() for c in ("bucket", "clean", "toxic"))
@@ -297,17 +332,19 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     used = docs.sparkSession.sparkContext.broadcast(place)
 
     def hits(batches):
-        reader, at = Reader(lm.value), used.value
+        at = used.value
         for b in batches:
-            found = [np.fromiter(reader.buckets(t or ""), np.int64) for t in b.column("text").to_pylist()]
-            held = [np.sort(at[f][at[f] >= 0]).tobytes() for f in found]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([len(f) for f in found], pa.int32()), pa.array(held, pa.binary())], names=["y", "n", "hits"])
+            found = [np.frombuffer(f, np.int32) for f in b.column("found").to_pylist()]
+            chosen = [at[f][at[f] >= 0].tobytes() for f in found]
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([len(f) for f in found], pa.int32()), pa.array(chosen, pa.binary())], names=["y", "n", "hits"])
 
-    rows = sample.mapInArrow(hits, "y int, n int, hits binary").toArrow()  # at most sample_rows ids
-    rows = rows.sort_by([("y", "ascending"), ("n", "ascending"), ("hits", "ascending")])  # here: a sort in Spark would decode the sample twice
+    rows = held.mapInArrow(hits, "y int, n int, hits binary").toArrow()  # at most sample_rows rows of at most BUCKETS numbers
+    rows = rows.sort_by([("y", "ascending"), ("n", "ascending"), ("hits", "ascending")])
     w, bias = fit_logistic([np.frombuffer(x.as_buffer(), np.int32) for x in rows.column("hits")], dilution(rows.column("n").to_numpy()),
                            rows.column("y").to_numpy().astype(float), evidence(clean, toxic, share))
-    return Model(log_p, dict(zip(chosen.tolist(), w.tolist(), strict=True)), bias)
+    weights = np.zeros(BUCKETS)
+    weights[chosen] = w
+    return Model(log_p, weights, bias)
 
 
 def score_column(model: Model, text: Column, spark) -> Column:
@@ -319,7 +356,7 @@ def score_column(model: Model, text: Column, spark) -> Column:
         m = shared.value
         reader = Reader(m.log_p)
         for texts in batches:
-            yield pd.Series([m.score(reader.buckets(t)) if isinstance(t, str) else m.score(set()) for t in texts])
+            yield pd.Series([m.score(reader.buckets(t if isinstance(t, str) else "")) for t in texts], dtype="float64")
 
     return score(text)
 
