@@ -37,7 +37,8 @@ from ..session import materialize
 CAPACITY = 2048
 SEPARATOR = 0
 VOCABULARY = "word_bpe_49k.json"
-MEMO = 300_000         # words kept per Python worker, in two generations
+MEMO_BYTES = 120 << 20  # bytes of words and their ids kept per Python worker, in two generations
+ENTRY = 200            # bytes that an entry takes besides
 
 #: Characters whose lower-casing and normal form are their own business only:
 #: ASCII without the apostrophe, Latin letters up to U+017F without U+0130.
@@ -68,19 +69,20 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}  # words of late
         self.old: dict[str, bytes] = {}   # and of the generation before
+        self.held = 0                     # bytes of the memo
         ends = [i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]
         self.ends = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
         self.ends[ends] = True
 
     def _learn(self, parts: Iterable[str]) -> None:
         parts = list(parts)
-        if len(self.memo) + len(parts) > MEMO // 2:
-            self.old, self.memo = self.memo, {}
+        if self.held > MEMO_BYTES // 2:
+            self.old, self.memo, self.held = self.memo, {}, 0
         new = []
         for p in parts:
             if p not in self.memo:
                 if p in self.old:
-                    self.memo[p] = self.old[p]
+                    self._keep(p, self.old[p])
                 else:
                     new.append(p)
         words = [p for p in new if _WORD(p)]
@@ -91,10 +93,15 @@ class Encoder:
             if len(cuts) == len(some):
                 at = [0, *(4 * cuts).tolist()]
                 raw = ids.tobytes()
-                self.memo.update((w, raw[a:b]) for w, a, b in zip(some, at, at[1:], strict=False))
+                for w, a, b in zip(some, at, at[1:], strict=False):
+                    self._keep(w, raw[a:b])
         for p in new:
             if p not in self.memo:
-                self.memo[p] = np.array(self.tok.encode_batch_fast([p], add_special_tokens=False)[0].ids, np.uint32).tobytes()
+                self._keep(p, np.array(self.tok.encode_batch_fast([p], add_special_tokens=False)[0].ids, np.uint32).tobytes())
+
+    def _keep(self, part: str, ids: bytes) -> None:
+        self.memo[part] = ids
+        self.held += len(part) + len(ids) + ENTRY
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -120,10 +127,10 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-           separator: int = SEPARATOR, path: str | None = None) -> DataFrame:
+           separator: int = SEPARATOR, path: str | None = None, with_ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids, ids_crc32, part, nth): the token pieces of every document.
 
-    A null or empty text gives the separator alone. ``ids_crc32`` is the
+    ``ids`` is there ``with_ids`` only. A null or empty text gives the separator alone. ``ids_crc32`` is the
     unsigned CRC-32 of the piece's ids as little-endian 32-bit numbers, ``part``
     the input partition and ``nth`` the piece's rank among those of its length there.
     """
@@ -131,7 +138,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
 
     path = path or tokenizer_path()
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("piece", T.IntegerType()),
-                           T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []),
                            T.StructField("ids_crc32", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("nth", T.LongType())])
 
     def cut(batches):
@@ -151,13 +158,15 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
                         crc.append(zlib.crc32(one.astype("<u4").tobytes()))
                         nth.append(seen[len(one)])
                         seen[len(one)] += 1
-                        out.append(one)
-                offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out).view(np.int32)))
-                n = len(row)
+                        if with_ids:
+                            out.append(one)
+                n, lists = len(row), []
+                if with_ids:
+                    offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                    lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out).view(np.int32)))]
                 yield pa.RecordBatch.from_arrays(
                     [sub.column(0).take(pa.array(row, pa.int64())), pa.array(where, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                     lists, pa.array(crc, pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(nth, pa.int64())], names=schema.names)
+                     *lists, pa.array(crc, pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(nth, pa.int64())], names=schema.names)
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
 
@@ -288,20 +297,20 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-                   path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(placed, cut): the packed pieces without and the written pieces with their ids.
+                   path: str | None = None, with_ids: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(placed, cut): the packed pieces, and the written pieces, which hold their ids ``with_ids`` only.
 
     placed: (doc_id, piece, start, length, ids_crc32, sequence_id, offset), one
     row per piece. Repeated rows are packed as often as they
     come; null texts and ids are kept; other columns are not read. Sequences
     with their ids: ``sequences``.
     """
-    cut = materialize(pieces(docs, doc_id, text, capacity, path=path), "token-pieces")
+    cut = materialize(pieces(docs, doc_id, text, capacity, path=path, with_ids=with_ids), "token-pieces")
     return pack(cut.drop("ids"), capacity), cut
 
 
 def sequences(placed: DataFrame, cut: DataFrame) -> DataFrame:
-    """(sequence_id, ids): every packed sequence, its pieces in order of their offsets (at most ``capacity`` ids a row)."""
+    """(sequence_id, ids): every packed sequence of pieces cut ``with_ids``, its pieces in order of their offsets (at most ``capacity`` ids a row)."""
     key = ["doc_id", "piece"]
     both = placed.join(cut.select(*key, "ids"), key)
     return (both.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("s"))
