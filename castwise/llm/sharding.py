@@ -1,11 +1,12 @@
 """Byte-balanced sharding by histogram sort.
 
-Rows are ordered by (hash of the text, doc_id, hash of the row), so equal texts
-stand together. Splitters are found by counting: every round takes candidate
+Rows are ordered by (hash of the text, doc_id, hash of the row, place in the
+table), so equal texts stand together and equal rows can be cut apart; the
+keys are written with the rows once. Splitters are found by counting: every round takes candidate
 keys (probes) inside the interval that still holds each splitter, counts the
 exact bytes and rows below every probe over all partitions, and narrows the
 intervals, until each splitter's byte count meets the tolerance or its
-interval holds a single key. Then the rows are exchanged once, to their
+interval holds a single row. Then the rows are exchanged once, to their
 splitter interval.
 
 Every shard is cut into ``parts`` intervals of equal bytes, so that no task
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import fresh
 
+Key = tuple[int, int, int, int]
+
 SHARDS = 40
 ROW_BYTES = 16             # counted for a row besides its text
 FIRST_PROBES = 8           # candidates a target in the first round
@@ -37,11 +40,11 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long"))
 
 
-def with_keys(docs: DataFrame, doc_id: str, text: str, a: str, b: str, c: str) -> DataFrame:
-    """Three long columns that order the rows: text, then id, then the whole row."""
+def with_keys(docs: DataFrame, doc_id: str, text: str, a: str, b: str, c: str, d: str) -> DataFrame:
+    """Four long columns that order the rows: text, id, whole row, place in the table."""
     whole = F.xxhash64(*(F.col(x) for x in docs.columns if not _has_map(docs.schema[x].dataType)))
     number = F.col(doc_id).cast("long") if dict(docs.dtypes)[doc_id] in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(doc_id)
-    return docs.withColumns({a: F.xxhash64(text), b: F.coalesce(number, F.lit(-(1 << 63))), c: whole})
+    return docs.withColumns({a: F.xxhash64(text), b: F.coalesce(number, F.lit(-(1 << 63))), c: whole, d: F.monotonically_increasing_id()})
 
 
 def _has_map(kind) -> bool:
@@ -49,7 +52,7 @@ def _has_map(kind) -> bool:
 
 
 def _below(cols: list[np.ndarray], probes: list[np.ndarray]) -> np.ndarray:
-    """Number of probes <= key for every row; keys and sorted probes as columns (a, b, c)."""
+    """Number of probes <= key for every row; keys and sorted probes as columns."""
     end = np.searchsorted(probes[0], cols[0], "right")
     if len(cols) == 1:
         return end
@@ -62,56 +65,62 @@ def _below(cols: list[np.ndarray], probes: list[np.ndarray]) -> np.ndarray:
     return at
 
 
-def _columns(probes: list[tuple[int, int, int]]) -> list[np.ndarray]:
+def _columns(probes: list[Key]) -> list[np.ndarray]:
     return [np.array(x, np.int64) for x in zip(*probes, strict=True)]
 
 
-def histogram(keys: DataFrame, probes: list[tuple[int, int, int]]) -> list:
+def histogram(keys: DataFrame, probes: list[Key]) -> list:
     """(bin, size, rows, first key, last key) of every bin between sorted probes that has rows."""
     shared = keys.sparkSession.sparkContext.broadcast(probes)
 
     def count(batches):
         p = _columns(shared.value)
         for batch in batches:
-            k = [batch.column(x).to_numpy() for x in "abc"]
+            k = [batch.column(x).to_numpy() for x in "abcd"]
             bins = _below(k, p)
-            order = np.lexsort((k[2], k[1], k[0]))  # bins ascend with the keys
+            order = np.lexsort(k[::-1])  # bins ascend with the keys
             b = bins[order]
             first = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, np.int64)
             last = np.append(first[1:], len(b)) - 1 if len(b) else first
             size = np.add.reduceat(batch.column("size").to_numpy()[order], first) if len(b) else first
             ends = [pa.array(x[order][at]) for at in (first, last) for x in k]
             yield pa.RecordBatch.from_arrays([pa.array(b[first]), pa.array(size), pa.array(last - first + 1), *ends],
-                                             names=["bin", "size", "rows", "a0", "b0", "c0", "a1", "b1", "c1"])
+                                             names=["bin", "size", "rows", *firsts, *lasts])
 
-    found = keys.mapInArrow(count, "bin long, size long, rows long, a0 long, b0 long, c0 long, a1 long, b1 long, c1 long")
-    return (found.groupBy("bin").agg(F.sum("size").alias("size"), F.sum("rows").alias("rows"), F.min(F.struct("a0", "b0", "c0")).alias("first"),
-                                     F.max(F.struct("a1", "b1", "c1")).alias("last")).orderBy("bin").collect())  # a row a bin at most
+    firsts, lasts = [f"{x}0" for x in "abcd"], [f"{x}1" for x in "abcd"]
+    found = keys.mapInArrow(count, "bin long, size long, rows long, " + ", ".join(f"{x} long" for x in firsts + lasts))
+    return (found.groupBy("bin").agg(F.sum("size").alias("size"), F.sum("rows").alias("rows"), F.min(F.struct(*firsts)).alias("first"),
+                                     F.max(F.struct(*lasts)).alias("last")).orderBy("bin").collect())  # a row a bin at most
 
 
 _SPAN = 1 << 64
 
 
-def _number(key: tuple[int, int, int]) -> int:
+def _number(key: Key) -> int:
     """The key as one integer in the same order."""
-    return ((key[0] + (1 << 63)) * _SPAN + key[1] + (1 << 63)) * _SPAN + key[2] + (1 << 63)
+    n = 0
+    for x in key:
+        n = n * _SPAN + x + (1 << 63)
+    return n
 
 
-def _key(number: int) -> tuple[int, int, int]:
-    number, c = divmod(number, _SPAN)
-    a, b = divmod(number, _SPAN)
-    return a - (1 << 63), b - (1 << 63), c - (1 << 63)
+def _key(number: int) -> Key:
+    out = []
+    for _ in range(4):
+        number, x = divmod(number, _SPAN)
+        out.append(x - (1 << 63))
+    return tuple(out[::-1])
 
 
-def splitters(keys: DataFrame, total: int, n_rows: int, targets: list[int], tolerance: int) -> list[tuple[tuple[int, int, int], int]]:
+def splitters(keys: DataFrame, total: int, n_rows: int, targets: list[int], tolerance: int) -> list[tuple[Key, int]]:
     """(key, rows below it) for each target number of bytes, ascending.
 
     The bytes below a splitter differ from its target by ``tolerance`` at
-    most, or by less than the rows of one key. A round counts below evenly
+    most, or by less than one row. A round counts below evenly
     spread probes of every open interval; the interval then shrinks to the
     first and last key of the bin that holds the target.
     """
-    top = _SPAN ** 3
+    top = _SPAN ** 4
     done: dict[int, tuple[int, int]] = {}
     open_ = {i: (0, top) for i in range(len(targets))}  # interval of keys that may hold the splitter
     every = {top * k // (FIRST_PROBES * (len(targets) + 1)) for k in range(1, FIRST_PROBES * (len(targets) + 1))}
@@ -143,12 +152,17 @@ def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A row counts its text's UTF-8 bytes plus 16. Shards follow the key order;
     equal texts share a shard unless their bytes cross its border. Null texts
     count 16 bytes and stand together; null ids come first; repeated rows are
-    placed as often as they come. An empty table stays empty.
+    placed as often as they come, and cut apart where the bytes demand it. An
+    empty table stays empty; all columns are returned, so one named ``shard``
+    or ``slot`` already is an error (name the new ones otherwise).
     """
     spark = docs.sparkSession
-    a, b, c, n = (fresh(docs, x) for x in ("key_a", "key_b", "key_c", "interval"))
-    keyed = with_keys(docs, doc_id, text, a, b, c)
-    keys = materialize(keyed.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(c).alias("c"), (text_bytes(F.col(text)) + ROW_BYTES).alias("size")), "shard-keys")
+    if {shard.lower(), slot.lower()} & {x.lower() for x in docs.columns}:
+        raise ValueError(f"columns {shard} and {slot} must be new")
+    a, b, c, d, n = (fresh(docs, x) for x in ("key_a", "key_b", "key_c", "key_d", "interval"))
+    keyed = materialize(with_keys(docs, doc_id, text, a, b, c, d), "shard-rows")  # the place in the table must stay as it is
+    keys = keyed.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(c).alias("c"), F.col(d).alias("d"), (text_bytes(F.col(text)) + ROW_BYTES).alias("size"))
+    keys = materialize(keys, "shard-keys")
     sums = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count(F.lit(1)).alias("rows")).first()
     parts = max(1, min(MAX_SPLITTERS // shards, -(-sums["size"] // (shards * PART_BYTES))))
     targets = [sums["size"] * k // (shards * parts) for k in range(1, shards * parts)] if sums["rows"] else []
@@ -157,13 +171,13 @@ def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = spark.sparkContext.broadcast(cuts)
 
     @F.arrow_udf("int")
-    def interval(x: pa.Array, y: pa.Array, z: pa.Array) -> pa.Array:
-        cols = [v.to_numpy() for v in (x, y, z)]
-        return pa.array((_below(cols, _columns(shared.value)) if shared.value else np.zeros(len(x))).astype(np.int32))
+    def interval(w: pa.Array, x: pa.Array, y: pa.Array, z: pa.Array) -> pa.Array:
+        cols = [v.to_numpy() for v in (w, x, y, z)]
+        return pa.array((_below(cols, _columns(shared.value)) if shared.value else np.zeros(len(w))).astype(np.int32))
 
     starts = [first[k] - first[k // parts * parts] for k in range(len(first))]
-    placed = keyed.withColumn(n, interval(a, b, c))
-    rank = F.expr(f"row_number() over (partition by `{n}` order by `{a}`, `{b}`, `{c}`)")
+    placed = keyed.withColumn(n, interval(a, b, c, d))
+    rank = F.expr(f"row_number() over (partition by `{n}` order by `{a}`, `{b}`, `{c}`, `{d}`)")
     start = F.element_at(F.lit(np.array(starts, np.int64)), F.col(n) + 1)
     return (placed.withColumn(slot, (start + rank - 1).cast("long"))
-            .withColumn(shard, F.floor(F.col(n) / parts).cast("int")).drop(a, b, c, n))
+            .withColumn(shard, F.floor(F.col(n) / parts).cast("int")).drop(a, b, c, d, n))

@@ -30,6 +30,7 @@ QUERY_BLOCK = 4096
 QUERY_VALUES = 1 << 20   # numbers in a block of queries at most
 CANDIDATES = 4096        # columns scanned at a time
 SCALE = 256
+ROUNDING = 2.0 ** -50    # of a sum's largest value, for each of its terms
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -57,49 +58,69 @@ def _norms(m: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best (score, id) of every query so far; ties go to the smaller id."""
+    """The k best (whole score, id) of every query so far; ties go to the smaller id."""
 
     def __init__(self, n: int, k: int):
         self.k = k
-        self.scores = [np.zeros(0) for _ in range(n)]
+        self.scores = [np.zeros(0, np.int64) for _ in range(n)]
         self.ids = [np.zeros(0, np.int64) for _ in range(n)]
 
     def floor(self, q: int) -> float:
         """The score that a newcomer must reach."""
-        return self.scores[q][-1] if len(self.scores[q]) == self.k else -np.inf
+        return float(self.scores[q][-1]) if len(self.scores[q]) == self.k else -np.inf
 
     def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
         s, i = np.concatenate([self.scores[q], scores]), np.concatenate([self.ids[q], ids])
         if len(s) > 4 * self.k:  # a cheap cut that keeps all ties
             keep = s >= np.partition(s, len(s) - self.k)[len(s) - self.k]
             s, i = s[keep], i[keep]
-        order = np.lexsort((i, -s))[:self.k]
+        order = np.lexsort((i, ~s))[:self.k]
         self.scores[q], self.ids[q] = s[order], i[order]
 
 
+def whole_scores(query: np.ndarray, columns: np.ndarray, bound: float) -> np.ndarray:
+    """Integer inner products of one query with columns; ``bound`` is the largest they can be.
+
+    Sums that may leave 64 bits are taken in Python integers; one that does is an OverflowError.
+    """
+    if bound < 1 << 62:
+        return query @ columns  # sums modulo 2^64, and the result fits
+    return np.array(query.astype(object) @ columns.astype(object), np.int64)
+
+
 def scan(best: Best, queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray, ids: np.ndarray) -> None:
-    """Branch and bound of all queries (n x dims) over candidates in vertical layout (dims x m)."""
-    q_rest, c_rest = _norms(queries.T), _norms(columns)
+    """Branch and bound of all queries (n x dims) over candidates in vertical layout (dims x m), all whole numbers.
+
+    Bounds are kept in floating point with a margin for its rounding; where
+    inner products may pass 2^53 the survivors' scores are taken anew in integers.
+    """
+    real_q, real_c = queries.astype(float), columns.astype(float)
+    q_rest, c_rest = _norms(real_q.T), _norms(real_c)
     cuts = list(range(0, len(columns), BLOCK_DIMS))
-    first = queries[:, :BLOCK_DIMS] @ columns[:BLOCK_DIMS]  # the first block for all queries at once
+    first = real_q[:, :BLOCK_DIMS] @ real_c[:BLOCK_DIMS]  # the first block for all queries at once
     order = np.argsort(ids, kind="stable")
     for q in range(len(queries)):
         floor, score = best.floor(q), first[q]
+        bound = float(q_rest[0, q] * c_rest[0].max(initial=0.0))  # no inner product is larger
+        margin = 1 + bound * len(columns) * ROUNDING
         alive = None
         for b, s in enumerate(cuts):
             if b:
-                part = columns[s:s + BLOCK_DIMS]
-                score = score + queries[q, s:s + BLOCK_DIMS] @ (part if alive is None else part[:, alive])
+                part = real_c[s:s + BLOCK_DIMS]
+                score = score + real_q[q, s:s + BLOCK_DIMS] @ (part if alive is None else part[:, alive])
             if floor > -np.inf:
-                # + 1 covers the rounding of the norms; scores are whole numbers
                 rest = c_rest[b + 1] if alive is None else c_rest[b + 1][alive]
-                keep = score + q_rest[b + 1, q] * rest + 1 >= floor
+                keep = score + q_rest[b + 1, q] * rest + margin >= floor
                 if not keep.all():
                     alive = np.flatnonzero(keep) if alive is None else alive[keep]
                     score = score[keep]
                     if not len(alive):
                         break
         found = ids if alive is None else ids[alive]
+        if bound < 1 << 52:
+            score = score.astype(np.int64)
+        elif len(found):
+            score = whole_scores(queries[q], columns if alive is None else columns[:, alive], bound)
         own = np.searchsorted(ids, query_ids[q], sorter=order)
         if own < len(ids) and ids[order[own]] == query_ids[q]:
             other = found != query_ids[q]
@@ -116,6 +137,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     comes several times as a candidate is ranked as often. Queries that repeat
     an id count once (the smallest vector). Vectors of another length than the
     query are no candidates. Fewer candidates give fewer rows, none give none.
+    Scores are exact up to 64 bits; one beyond is an OverflowError.
     """
     spark = vectors.sparkSession
     stated = materialize(queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v")), "topk-queries")
@@ -126,8 +148,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         for b in range(blocks):
             rows = mine.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()  # a bounded block
             if rows:
-                shared = spark.sparkContext.broadcast((np.array([r.vec_id for r in rows], np.int64), np.array([r.v for r in rows], float)))
-                parts.append(_scan_all(vectors.where(F.size("v") == size), shared, k, size))
+                shared = spark.sparkContext.broadcast((np.array([r.vec_id for r in rows], np.int64), np.array([r.v for r in rows], np.int64)))
+                parts.append(materialize(_scan_all(vectors.where(F.size("v") == size), shared, k, size), "topk-block"))
+                shared.unpersist()  # one block of queries is out at a time
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = reduce(DataFrame.union, parts)
@@ -142,10 +165,10 @@ def _scan_all(vectors: DataFrame, shared, k: int, size: int) -> DataFrame:
         for batch in batches:
             for s in range(0, batch.num_rows, CANDIDATES):
                 sub = batch.slice(s, CANDIDATES)
-                columns = np.ascontiguousarray(sub.column("v").flatten().to_numpy().reshape(-1, size).T.astype(float))
+                columns = np.ascontiguousarray(sub.column("v").flatten().to_numpy().reshape(-1, size).T)
                 scan(best, queries, query_ids, columns, sub.column("vec_id").to_numpy())
         n = [len(s) for s in best.scores]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(np.concatenate(best.ids) if n else [], pa.int64()),
-                                          pa.array(np.concatenate(best.scores).astype(np.int64) if n else [], pa.int64())], names=["query_id", "vec_id", "score"])
+                                          pa.array(np.concatenate(best.scores) if n else [], pa.int64())], names=["query_id", "vec_id", "score"])
 
     return vectors.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")

@@ -161,7 +161,7 @@ def test_decontamination_in_many_blocks(docs, bench, monkeypatch):
 
 
 def test_packing(docs, none, spark):
-    placed, cut = packing.pack_documents(docs, capacity=64)
+    placed, cut = packing.pack_documents(docs, capacity=64, with_ids=True)
     rows = placed.collect()
     assert sum(r.length for r in rows if r.doc_id == 3) == 1 and len([r for r in rows if r.doc_id == 1]) == 2
     assert sum(r.length for r in rows) == sum(len(r.ids) for r in cut.collect())
@@ -240,6 +240,41 @@ def test_licenses(docs, none, spark):
     assert licenses.scan(docs, known).count() == 0 and licenses.scan(none, known).count() == 0
 
 
+def test_sharding_splits_equal_rows(spark):
+    """A third of the rows equal in all columns; every shard within a row of its share."""
+    d = spark.createDataFrame([(7, "equal " * 20) for _ in range(300)] + [(i, f"text {i} " * 14) for i in range(600)], "doc_id long, text string").repartition(4)
+    rows = sharding.shard_documents(d, shards=10).select("shard", "slot", (F.octet_length("text") + 16).alias("b")).collect()
+    size, slots = [0] * 10, [[] for _ in range(10)]
+    for r in rows:
+        size[r.shard] += r.b
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots)
+    assert max(abs(x - sum(size) / 10) for x in size) <= max(r.b for r in rows)
+    with pytest.raises(ValueError):
+        sharding.shard_documents(d.withColumn("Slot", F.lit(1)))
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e4, 1e6])
+def test_topk_of_large_components(spark, scale):
+    rnd = np.random.default_rng(3)
+    m = np.round(rnd.normal(size=(120, 32)) * scale, 3)
+    m[60:90] = m[0] + np.round(rnd.normal(size=(30, 32)), 3)  # near ties
+    rows = [(i, m[i].tolist()) for i in range(120)] + [(200 + i % 2, m[0].tolist()) for i in range(4)]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(0)).repartition(3))
+    whole = [(i, [int(np.floor(256 * x)) for x in e]) for i, e in rows]
+    want = []
+    for q, a in {i: a for i, a in whole if i % 50 == 0}.items():
+        s = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in whole if i != q)[:5]
+        want += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s)]
+    assert sorted(map(tuple, topk.top_k(v, v.where("vec_id % 50 = 0")).collect())) == sorted(want)
+
+
+def test_topk_beyond_64_bits():
+    big = np.full(4, 3 << 31, np.int64)
+    with pytest.raises(OverflowError):
+        topk.whole_scores(big, big[:, None], float(1 << 70))
+
+
 def test_topk(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(0, 0.2, 40).astype("float32").tolist()) for i in range(300)]
