@@ -362,7 +362,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, out: st
     rest, new = [c for c in docs.columns if c != text], [out] if back is None else [out, back]
     if {n.lower() for n in new} & {c.lower() for c in rest}:
         raise ValueError(f"one of the columns {', '.join(new)} is there already")
-    made = [T.StructField(out, T.BinaryType()), T.StructField(back, T.StringType())][:len(new)]
+    made = [T.StructField(n, t) for n, t in zip(new, (T.BinaryType(), T.StringType()), strict=False)]
     schema = T.StructType([*(docs.schema[c] for c in rest), *made])
 
     def run(batches):
