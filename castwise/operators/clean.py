@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .joins import grid_join
 
 # Constant fills of the item and review tables.
 ITEM_FILLS = {"director": "Unknown", "screenwriter": "Unknown",
@@ -96,13 +97,13 @@ def clean_credits(credits: DataFrame) -> DataFrame:
 def merge_credits_reviews(credits_clean: DataFrame, reviews_clean: DataFrame) -> DataFrame:
     """Inner equi join on the normalised name, many-to-many kept.
 
-    Null names never match (SQL semantics). The fan-out is the result itself,
-    so a hot title is left to AQE's skew-join split. Aggregates over this
-    product should use :mod:`castwise.operators.credits`, which pre-aggregates
-    per title instead of materialising it.
+    Null names never match (SQL semantics). The fan-out is the result itself;
+    a title heavy on either side, or on both, is dealt over a grid of tasks.
+    Aggregates over this product should use :mod:`castwise.operators.credits`,
+    which pre-aggregates per title instead of materialising it.
     """
-    return credits_clean.join(reviews_clean, credits_clean.item_name == reviews_clean.title,
-                              "inner")
+    left = credits_clean.withColumn("title", F.col("item_name"))
+    return grid_join(left, reviews_clean, ["title"]).select(*credits_clean.columns, *reviews_clean.columns)
 
 
 def name_lookup(items: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .joins import lookup_join
 
 
 def split_ratings(reviews_clean: DataFrame, test_per_mille: int = 100, seed: int = 42) -> DataFrame:
@@ -67,6 +68,32 @@ class Factors:
     test: DataFrame           # (user_id, title, overall_score, u, t)
 
 
+@dataclass
+class Ratings:
+    """Encoded ratings: dense indices of users and titles, summed training entries, test rows."""
+    users: DataFrame
+    titles: DataFrame
+    n_users: int
+    n_titles: int
+    train: DataFrame          # (u, t, v)
+    test: DataFrame           # (user_id, title, overall_score, u, t)
+
+
+def encode_ratings(reviews_clean: DataFrame, test_per_mille: int = 100, seed: int = 42) -> Ratings:
+    """Drop nulls, index keys over all rows, split, sum duplicates of the training part."""
+    from ..session import materialize
+
+    r = (reviews_clean.select("user_id", S.norm_key("title").alias("title"), "overall_score")
+         .na.drop())  # C5
+    users = materialize(dense_index(r, "user_id", "u"), "users")
+    titles = materialize(dense_index(r, "title", "t"), "titles")
+    parts = materialize(split_ratings(r, test_per_mille, seed).join(users, "user_id").join(titles, "title"), "encoded-ratings")
+    train = materialize(parts.where(F.col("part") == "train").groupBy("u", "t")
+                        .agg(F.sum("overall_score").alias("v")), "train")
+    test = parts.where(F.col("part") == "test").select("user_id", "title", "overall_score", "u", "t")
+    return Ratings(users, titles, users.count(), titles.count(), train, test)
+
+
 def fit_svd(reviews_clean: DataFrame, k: int = 50, test_per_mille: int = 100, seed: int = 42, tol: float = 1e-4) -> Factors:
     """M3: truncated SVD of the user x title training matrix.
 
@@ -81,23 +108,15 @@ def fit_svd(reviews_clean: DataFrame, k: int = 50, test_per_mille: int = 100, se
     from ..session import materialize
     from .tallskinny import truncated_svd
 
-    r = (reviews_clean.select("user_id", S.norm_key("title").alias("title"), "overall_score")
-         .na.drop())  # C5
-    users = materialize(dense_index(r, "user_id", "u"), "users")
-    titles = materialize(dense_index(r, "title", "t"), "titles")
-    n_users, n_titles = users.count(), titles.count()
-    parts = split_ratings(r, test_per_mille, seed).join(users, "user_id").join(titles, "title")
-    train = materialize(parts.where(F.col("part") == "train").groupBy("u", "t")
-                        .agg(F.sum("overall_score").alias("v")), "train")
-    test = parts.where(F.col("part") == "test").select("user_id", "title", "overall_score", "u", "t")
-    k_eff = max(1, min(k, n_titles - 1 if n_titles > 1 else 1))
-    uf, vf, sigma, residual = truncated_svd(train, "u", "t", "v", n_users, n_titles, k_eff, tol=tol, seed=seed)
+    e = encode_ratings(reviews_clean, test_per_mille, seed)
+    k_eff = max(1, min(k, e.n_titles - 1 if e.n_titles > 1 else 1))
+    uf, vf, sigma, residual = truncated_svd(e.train, "u", "t", "v", e.n_users, e.n_titles, k_eff, tol=tol, seed=seed)
     uf = materialize(uf.select(F.col("id").alias("u"), F.col("vec").alias("uf")), "user_factors")
     # every encoded title has a factor row; one seen only in the test split
     # has an all-zero column in X and so a zero vector, as in a dense V
-    vf = materialize(titles.select("t").join(vf.select(F.col("id").alias("t"), F.col("vec").alias("vf")), "t", "left")
+    vf = materialize(e.titles.select("t").join(vf.select(F.col("id").alias("t"), F.col("vec").alias("vf")), "t", "left")
                      .select("t", F.coalesce("vf", F.array_repeat(F.lit(0.0), len(sigma))).alias("vf")), "item_factors")
-    return Factors(users, titles, uf, vf, sigma, residual, n_users, n_titles, train, test)
+    return Factors(e.users, e.titles, uf, vf, sigma, residual, e.n_users, e.n_titles, e.train, e.test)
 
 
 def _times_train(f: Factors, by: str, factors: DataFrame, vec: str, other: str) -> DataFrame:
@@ -113,7 +132,7 @@ def factor_check(f: Factors) -> DataFrame:
     sigma^2 v| / sigma_1^2 over all rows; off_diagonal = the largest
     |v_i . v_j| over j != i; normal = |v|. Everything is computed from the
     training entries and the written tables by plain joins and sums, not by
-    the code that made them. Rounded to 4 digits.
+    the code that made them. Rounded to 3 digits.
     """
     sig = F.element_at(F.lit([float(x) for x in f.sigma]), F.col("c") + 1)
     xv = _times_train(f, "t", f.item_factors, "vf", "u")
@@ -132,18 +151,19 @@ def factor_check(f: Factors) -> DataFrame:
     falls = F.col("c").isin([i for i in range(len(f.sigma)) if i == 0 or f.sigma[i - 1] >= f.sigma[i]])
     return gram.join(res_us, "c").join(res_v, "c").select(
         F.col("c").cast("int").alias("component"), F.lit(f.n_users).cast("long").alias("n_users"), F.lit(f.n_titles).cast("long").alias("n_titles"),
-        F.round("normal", 4).alias("normal"), falls.alias("descending"), *(F.abs(F.round(c, 4)).alias(c) for c in ("residual_us", "residual_v")),
-        F.abs(F.round(F.coalesce("off_diagonal", F.lit(0.0)), 4)).alias("off_diagonal"))
+        F.round("normal", 3).alias("normal"), falls.alias("descending"), *(F.abs(F.round(c, 3)).alias(c) for c in ("residual_us", "residual_v")),
+        F.abs(F.round(F.coalesce("off_diagonal", F.lit(0.0)), 3)).alias("off_diagonal"))
 
 
 def predictions(f: Factors, rows: DataFrame | None = None) -> DataFrame:
     """J13 + F10: (user_id, title, actual, pred) with pred = clip(u . v, 1, 10).
 
     Left joins: a user or title without factors predicts 0 before clipping
-    (the reference's validity filter never removes a row).
+    (the reference's validity filter never removes a row). Factor tables hold
+    one row a key; a user or title heavy with ratings is spread.
     """
     rows = rows if rows is not None else f.test
-    j = rows.join(f.user_factors, "u", "left").join(f.item_factors, "t", "left")
+    j = lookup_join(lookup_join(rows, f.user_factors, ["u"]), f.item_factors, ["t"])
     raw = F.when(F.col("uf").isNull() | F.col("vf").isNull(), F.lit(0.0)).otherwise(S.dot("uf", "vf"))
     return j.select("user_id", "title", F.col("overall_score").alias("actual"),
                     S.clip(raw, 1, 10).alias("pred"))

@@ -1,13 +1,11 @@
 """Nearest neighbours for a stated query set.
 
 The reference builds the full n x n similarity matrix and then reads one row
-per query. Here only the asked rows are computed. The catalog is held as one
-row per item; the query vectors are taken in blocks of bounded size, each
-block is broadcast, and every task scores its items against the block and
-keeps the best ``top_n`` of each query it has seen. So a task returns at most
-``top_n`` rows a query (no n x |Q| shuffle), and a last window merges the
-tasks' lists. No query and no candidate is left out, whatever the sign of the
-scores.
+per query. Here only the asked rows are ranked, by the exact engine of
+:mod:`castwise.operators.neighbors`, which deals the catalog to cells and
+scores a pair only where a bound says that it could rank. Query set and
+catalog are both distributed; no query and no candidate is left out, whatever
+the sign of the scores.
 
 Two vector layouts:
 * long ``(id, feature, value)`` (sparse + dense feature store);
@@ -16,61 +14,10 @@ Two vector layouts:
 
 from __future__ import annotations
 
-from functools import reduce
-from heapq import nsmallest
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..functions import scalar as S
-
-# Size of one block of queries: vectors, and numbers in them (16 MB of doubles).
-MAX_QUERIES = 2_000
-MAX_QUERY_VALUES = 2_000_000
-
-
-def query_blocks(vectors: DataFrame, size, max_queries: int | None = None, max_values: int | None = None) -> list[list]:
-    """The rows of a (written) query table in bounded blocks, one at a time.
-
-    ``size`` is a column: the numbers a row holds. Rows are dealt by an md5
-    bucket with a quarter of head room; empty blocks are skipped.
-    """
-    t = vectors.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("v")).first()
-    k = max(1, -(-t.n * 5 // ((max_queries or MAX_QUERIES) * 4)), -(-t.v * 5 // ((max_values or MAX_QUERY_VALUES) * 4)))
-    b = S.md5_bucket(F.col("qid"), "block", k)
-    for i in range(k):
-        rows = (vectors.where(b == i) if k > 1 else vectors).orderBy("qid").collect()  # a bounded block
-        if rows:
-            yield rows
-
-
-def top_n_per_query(scores: DataFrame, top_n: int, order_cols) -> DataFrame:
-    """T5: keep the first ``top_n`` rows per ``qid`` by ``order_cols``."""
-    w = Window.partitionBy("qid").orderBy(*order_cols)
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
-
-
-class _Best:
-    """The best ``top_n`` (-score, null name, name, id) of every query so far."""
-
-    def __init__(self, n: int, top_n: int):
-        self.top_n, self.rows = top_n, [[] for _ in range(n)]
 
-    def add(self, q: int, scores: np.ndarray, ids: list, names: list | None, own) -> None:
-        rounded = np.round(scores, 9)
-        n = min(len(rounded), self.top_n + 1)  # one more: the query itself may be among them
-        cut = np.partition(rounded, len(rounded) - n)[len(rounded) - n] if n else 0.0
-        new = [(-rounded[i], names is not None and names[i] is None, (names[i] or "") if names else "", ids[i], float(scores[i]))
-               for i in np.flatnonzero(rounded >= cut) if ids[i] != own]
-        self.rows[q] = nsmallest(self.top_n, self.rows[q] + new)
-
-
-def _merge(parts: list[DataFrame], top_n: int, spark, schema: str, order) -> DataFrame:
-    allc = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
-    return top_n_per_query(allc, top_n, order)
+from .neighbors import nearest, pack_dense, pack_features
 
 
 def cosine_long(vectors: DataFrame, queries: DataFrame, names: DataFrame, top_n: int = 10,
@@ -80,63 +27,12 @@ def cosine_long(vectors: DataFrame, queries: DataFrame, names: DataFrame, top_n:
     ``vectors``: (id, feature, value); ``queries``: (qid); ``names``:
     (id, name) for every catalog id. Returns (qid, rank, id, name, score).
     A zero vector has similarity 0 to everything; the query itself is always
-    excluded; ties order by name, then id.
+    excluded; ties order by name, then id; a query outside the catalog has no
+    rows.
     """
-    from ..session import materialize
-    v = vectors.select(F.col(id_col).alias("id"), "feature", F.col("value").cast("double").alias("value"))
+    v = vectors.select(F.col(id_col).alias("id"), "feature", "value").where(F.col("value") != 0)
     nm = names.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"))
-    packed = materialize(nm.join(v, "id", "left").groupBy("id", "name")
-                         .agg(F.collect_list(F.when(F.col("feature").isNotNull(), F.struct("feature", "value"))).alias("f"))  # one item's features
-                         .select("id", "name", F.col("f.feature").alias("features"), F.col("f.value").alias("values")), "item_vectors")
-    q = queries.select("qid").distinct()
-    qv = materialize(q.join(packed, q.qid == packed.id, "left").dropDuplicates(["qid"])
-                     .select("qid", "features", "values"), "query_vectors")
-    spark, parts = packed.sparkSession, []
-    schema = T.StructType([T.StructField("qid", qv.schema["qid"].dataType), T.StructField("id", packed.schema["id"].dataType),
-                           T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType())])
-    for rows in query_blocks(qv, F.coalesce(F.size("features"), F.lit(0))):
-        shared = spark.sparkContext.broadcast([(r.qid, r["features"] or [], r["values"] or []) for r in rows])
-        parts.append(_cosine_block(packed, shared, top_n, schema))
-    ranked = _merge(parts, top_n, spark, schema, [F.round("score", 9).desc(), F.col("name").asc_nulls_last(), F.col("id")])
-    return ranked.select("qid", "rank", "id", "name", "score")
-
-
-def _cosine_block(packed: DataFrame, shared, top_n: int, schema: T.StructType) -> DataFrame:
-    def run(batches):
-        block = shared.value
-        by: dict[str, tuple[list, list]] = {}
-        for i, (_, fs, vs) in enumerate(block):
-            for f, x in zip(fs, vs, strict=True):
-                at, val = by.setdefault(f, ([], []))
-                at.append(i)
-                val.append(x)
-        index = {f: (np.array(a), np.array(b)) for f, (a, b) in by.items()}
-        qnorm = np.array([np.sqrt(np.dot(vs, vs)) for _, _, vs in block])
-        best = _Best(len(block), top_n)
-        for b in batches:
-            for s in range(0, b.num_rows, 1024):
-                sub = b.slice(s, 1024)
-                ids, names = sub.column("id").to_pylist(), sub.column("name").to_pylist()
-                dots, norm = np.zeros((len(ids), len(block))), np.zeros(len(ids))
-                for k, (fs, vs) in enumerate(zip(sub.column("features").to_pylist(), sub.column("values").to_pylist(), strict=True)):
-                    norm[k] = np.sqrt(np.dot(vs, vs))
-                    for f, x in zip(fs, vs, strict=True):
-                        hit = index.get(f)
-                        if hit is not None:
-                            dots[k, hit[0]] += x * hit[1]
-                both = norm[:, None] * qnorm
-                scores = np.divide(dots, both, out=np.zeros_like(dots), where=both != 0)
-                for q, (qid, _, _) in enumerate(block):
-                    best.add(q, scores[:, q], ids, names, qid)
-        out = [(block[q][0], r[3], None if r[1] else r[2], r[4]) for q, rows in enumerate(best.rows) for r in rows]
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=_arrow(schema))
-
-    return packed.mapInArrow(run, schema)
-
-
-def _arrow(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    return to_arrow_schema(schema)
+    return nearest(pack_features(v, nm), queries, top_n)[0]
 
 
 def dot_dense(vectors: DataFrame, queries: DataFrame, top_n: int = 10, id_col: str = "id",
@@ -146,42 +42,8 @@ def dot_dense(vectors: DataFrame, queries: DataFrame, top_n: int = 10, id_col: s
     Vectors of one table have one length; null vectors take no part. Self is
     excluded; ties order by id.
     """
-    from ..session import materialize
-    v = (vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("vec").isNotNull()))
-    q = queries.select("qid").distinct()
-    qv = materialize(v.join(q, v.id == q.qid).select("qid", "vec"), "query_vectors")
-    spark, parts = v.sparkSession, []
-    schema = T.StructType([T.StructField("qid", qv.schema["qid"].dataType), T.StructField("id", v.schema["id"].dataType), T.StructField("score", T.DoubleType())])
-    for rows in query_blocks(qv, F.size("vec")):
-        shared = spark.sparkContext.broadcast(([r.qid for r in rows], _unit(np.array([r.vec for r in rows], float), cosine)))
-        parts.append(_dense_block(v, shared, top_n, schema, cosine))
-    return _merge(parts, top_n, spark, schema, [F.round("score", 9).desc(), F.col("id")]).select("qid", "rank", "id", "score")
-
-
-def _dense_block(v: DataFrame, shared, top_n: int, schema: T.StructType, cosine: bool) -> DataFrame:
-    def run(batches):
-        qids, qmat = shared.value
-        best = _Best(len(qids), top_n)
-        for b in batches:
-            for s in range(0, b.num_rows, 4096):
-                sub = b.slice(s, 4096)
-                ids = sub.column("id").to_pylist()
-                m = _unit(sub.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1), cosine)
-                scores = m @ qmat.T  # one matrix product for the whole block
-                for q, qid in enumerate(qids):
-                    best.add(q, scores[:, q], ids, None, qid)
-        out = [(qids[q], r[3], r[4]) for q, rows in enumerate(best.rows) for r in rows]
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=_arrow(schema))
-
-    return v.select("id", "vec").mapInArrow(run, schema)
-
-
-def _unit(m: np.ndarray, cosine: bool) -> np.ndarray:
-    """Rows scaled to length 1 (zero rows stay) when cosine is asked for."""
-    if not cosine:
-        return m
-    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return m / np.where(n == 0, 1, n)
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    return nearest(pack_dense(v, cosine), queries, top_n)[0].select("qid", "rank", "id", "score")
 
 
 def sample_queries(items: DataFrame, n: int = 50, seed: int = 42, key: str = "item_id") -> DataFrame:

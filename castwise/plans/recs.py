@@ -14,7 +14,8 @@ from .catalog import Ctx, register
 from .featuring import FEATURE_CTES
 from .sqlbase import norm, with_ctes
 
-SAMPLE_N = 50
+SAMPLE_N = 50    # the evaluation sample of the ranking reports
+ASK_EVERY = 100  # neighbours are asked for every item whose id is divisible by this
 TOP_N = 10
 POOL = 50
 ALPHA = 0.5
@@ -28,6 +29,11 @@ def sample_keys(c: Ctx, n: int = SAMPLE_N):
     return s.select(F.col("item_id").alias("sid"), S.norm_key("item_name").alias("query_key"))
 
 
+def asked_keys(c: Ctx, every: int = ASK_EVERY):
+    """(sid, query_key): the catalog rows whose neighbours are asked for."""
+    return c.item_keys.where(F.col("item_id") % every == 0).select(F.col("item_id").alias("sid"), S.norm_key("item_name").alias("query_key"))
+
+
 def content_recs(c: Ctx, query_keys, top_n: int, features=None):
     """Content model for a set of query keys: (query_key, rank, rec_key, name, score, id)."""
     fs = features if features is not None else c.features
@@ -63,12 +69,36 @@ def shared_relevance(c: Ctx):
     return _stage(c, "relevance", lambda: R.co_review_relevance(c.reviews_clean_core, shared_sample(c)))
 
 
+def _both(c: Ctx):
+    return shared_sample(c).union(asked_keys(c))
+
+
+def _pool(c: Ctx, recs, keys):
+    return recs.join(keys.select("query_key").distinct(), "query_key", "left_semi")
+
+
+def _content(c: Ctx):
+    return _stage(c, "content_pool", lambda: content_recs(c, _both(c), POOL))
+
+
+def _corev(c: Ctx):
+    return _stage(c, "co_review_pool", lambda: corev_recs(c, _both(c), POOL))
+
+
 def content_pool(c: Ctx):
-    return _stage(c, "content_pool", lambda: content_recs(c, shared_sample(c), POOL))
+    return _pool(c, _content(c), shared_sample(c))
 
 
 def corev_pool(c: Ctx):
-    return _stage(c, "co_review_pool", lambda: corev_recs(c, shared_sample(c), POOL))
+    return _pool(c, _corev(c), shared_sample(c))
+
+
+def asked_content(c: Ctx):
+    return _pool(c, _content(c), asked_keys(c))
+
+
+def asked_corev(c: Ctx):
+    return _pool(c, _corev(c), asked_keys(c))
 
 
 # ------------------------------------------------------------ SQL side
@@ -133,21 +163,37 @@ def rsql(body: str) -> str:
     return with_ctes(body, RECS_CTES)
 
 
+def asql(body: str) -> str:
+    """As ``rsql``, for the asked items in place of the sample."""
+    asked = f"SELECT item_id AS sid, {norm('item_name')} AS query_key FROM items WHERE item_id % {ASK_EVERY} = 0"
+    return with_ctes(body, {**RECS_CTES, "sample": asked})
+
+
 # ------------------------------------------------------------ queries
 
-@register("content_neighbors", rsql(f"""
+@register("content_neighbors", asql(f"""
 SELECT qid, rank, id, name, round(score, 6) AS score FROM cb_ranked WHERE rank <= {TOP_N}"""),
           ids="M4,T5,J9,J11,J12,C17")
 def content_neighbors(spark, sf_dir):
-    nb = content_pool(Ctx(spark, sf_dir)).where(F.col("rank") <= TOP_N)
-    return nb.select("qid", "rank", "id", "name", S.r6("score").alias("score"))
+    nb = asked_content(Ctx(spark, sf_dir)).where(F.col("rank") <= TOP_N)
+    return nb.select("qid", "rank", "id", "name", S.r6("score").alias("score")).distinct()
+
+
+@register("missing_name_neighbors", asql(f"""
+SELECT m.query_key, r.rank, r.id FROM cb_ranked r JOIN qmap m ON m.qid = r.qid
+WHERE r.rank <= {TOP_N} AND starts_with(m.query_key, 'no such title ')"""), ids="J12")
+def missing_name_neighbors(spark, sf_dir):
+    """Names that the catalog does not hold: an empty result with its types."""
+    c = Ctx(spark, sf_dir)
+    q = asked_keys(c).select(F.concat(F.lit("no such title "), F.col("query_key")).alias("query_key"))
+    return content_recs(c, q, TOP_N).select("query_key", "rank", "id")
 
 
 @register("embedding_neighbors", with_ctes(f"""
 WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
 n AS (SELECT id, vec, sqrt(list_sum(list_transform(vec, lambda x: x * x))) AS nrm FROM e),
 u AS (SELECT id, CASE WHEN nrm = 0 THEN vec ELSE list_transform(vec, lambda x: x / nrm) END AS vec FROM n),
-q AS (SELECT id AS qid, vec AS qvec FROM u ORDER BY md5('42|' || CAST(id AS VARCHAR)), id LIMIT {SAMPLE_N}),
+q AS (SELECT id AS qid, vec AS qvec FROM u WHERE id % {ASK_EVERY} = 0),
 s AS (SELECT qid, id, list_sum(list_transform(list_zip(qvec, vec), lambda p: p[1] * p[2])) AS score
       FROM q CROSS JOIN u WHERE qid <> id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM s)
@@ -155,8 +201,7 @@ SELECT qid, rank, id, round(score, 6) AS score FROM r WHERE rank <= {TOP_N}"""),
 def embedding_neighbors(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     e = c.t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    q = SIM.sample_queries(e, SAMPLE_N, key="id").select(F.col("id").alias("qid"))
-    nb = SIM.dot_dense(e, q, TOP_N, cosine=True)
+    nb = SIM.dot_dense(e, e.where(F.col("id") % ASK_EVERY == 0).select(F.col("id").alias("qid")), TOP_N, cosine=True)
     return nb.select("qid", "rank", "id", S.r6("score").alias("score"))
 
 
@@ -166,11 +211,11 @@ def co_review_relevance(spark, sf_dir):
     return shared_relevance(c)
 
 
-@register("co_review_neighbors", rsql(f"""
+@register("co_review_neighbors", asql(f"""
 SELECT query_key, rank, rec_key, score FROM cfk WHERE rank <= {TOP_N}"""), ids="J8,T5")
 def co_review_neighbors(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return corev_pool(c).where(F.col("rank") <= TOP_N).select("query_key", "rank", "rec_key", "score")
+    return asked_corev(c).where(F.col("rank") <= TOP_N).select("query_key", "rank", "rec_key", "score")
 
 
 @register("ranking_per_query", rsql("""
@@ -239,25 +284,25 @@ h AS (SELECT *, {ALPHA} * cb_score + {1 - ALPHA} * cf_score AS hybrid_score FROM
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_key ORDER BY round(hybrid_score, 9) DESC, rec_key, name) AS INTEGER) AS rank FROM h)"""
 
 
-@register("hybrid_blend", rsql(_BLEND_SQL + f"""
+@register("hybrid_blend", asql(_BLEND_SQL + f"""
 SELECT query_key, rank, rec_key, name, round(cb_score, 6) AS cb_score, round(cf_score, 6) AS cf_score,
  round(hybrid_score, 6) AS hybrid_score FROM r WHERE rank <= {TOP_N}"""), ids="M7,A19,J3,F11")
 def hybrid_blend(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    cb = content_pool(c).select("query_key", "rec_key", "name", "score")
-    cf = corev_pool(c).select("query_key", "rec_key", "score")
+    cb = asked_content(c).select("query_key", "rec_key", "name", "score")
+    cf = asked_corev(c).select("query_key", "rec_key", "score")
     b = H.blend(cb, cf, ALPHA, TOP_N)
     return b.select("query_key", "rank", "rec_key", "name",
                     *[S.r6(x).alias(x) for x in ("cb_score", "cf_score", "hybrid_score")])
 
 
-@register("recommendation_records", rsql(_BLEND_SQL + f"""
+@register("recommendation_records", asql(_BLEND_SQL + f"""
 SELECT query_key, 'hybrid' AS model, {TOP_N} AS top_n,
  list(struct_pack(name := name, score := round(hybrid_score, 6)) ORDER BY rank) AS recommendations
 FROM r WHERE rank <= {TOP_N} GROUP BY query_key"""), ids="O1")
 def recommendation_records(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    cb = content_pool(c).select("query_key", "rec_key", "name", "score")
-    cf = corev_pool(c).select("query_key", "rec_key", "score")
+    cb = asked_content(c).select("query_key", "rec_key", "name", "score")
+    cf = asked_corev(c).select("query_key", "rec_key", "score")
     b = H.blend(cb, cf, ALPHA, TOP_N).select("query_key", "rank", "name", S.r6("hybrid_score").alias("score"))
     return H.records(b, "hybrid", TOP_N)

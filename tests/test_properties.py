@@ -15,6 +15,7 @@ from castwise.operators import factor as FA
 from castwise.operators import graph as G
 from castwise.operators import hybrid as H
 from castwise.operators import runlog as RL
+from castwise.operators import neighbors as NB
 from castwise.operators import similarity as SIM
 from castwise.plans.catalog import Ctx
 from castwise.sources import files as FI
@@ -60,12 +61,6 @@ def test_dot_dense_self_similarity_and_order(spark):
     assert got == [(1, 2), (2, 3)]
 
 
-def test_query_blocks_keep_every_query(spark):
-    q = spark.range(250).withColumnRenamed("id", "qid")
-    blocks = list(SIM.query_blocks(q, F.lit(3), max_queries=100))
-    assert len(blocks) > 1 and sorted(r.qid for b in blocks for r in b) == list(range(250))
-
-
 def test_cosine_of_signed_vectors_is_exact(spark):
     """11 negative and 4 zero neighbours: the zeros come first."""
     rows = [(0, "a", 1.0)] + [(i, "a", -1.0) for i in range(1, 12)] + [(i, "b", 1.0) for i in range(12, 16)]
@@ -75,8 +70,9 @@ def test_cosine_of_signed_vectors_is_exact(spark):
     assert got == [(12, 0.0), (13, 0.0), (14, 0.0), (15, 0.0), (1, -1.0)]
 
 
-def test_dense_neighbours_equal_numpy_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(SIM, "MAX_QUERIES", 7)
+def test_dense_neighbours_equal_numpy_in_small_cells(spark, monkeypatch):
+    monkeypatch.setattr(NB, "CELL_ROWS", 5)
+    monkeypatch.setattr(NB, "ASKED", 3)
     m = np.random.default_rng(4).normal(size=(60, 5))
     v = spark.createDataFrame([(i, m[i].tolist()) for i in range(60)], "id long, vec array<double>").repartition(4)
     got = {}
@@ -216,20 +212,63 @@ def test_stage_rebuilds_when_input_changes(spark):
     assert stage(spark, ("t",), [f.name], build) == 2
 
 
-def test_row_bounded_split_keeps_queries(spark, monkeypatch):
-    monkeypatch.setattr(SIM, "MAX_QUERY_VALUES", 3)
-    rows = [(i, f"f{j}", 1.0) for i in range(6) for j in range(2)]
-    v = spark.createDataFrame(rows, "item_id long, feature string, value double")
-    names = spark.createDataFrame([(i, f"n{i}") for i in range(6)], "item_id long, item_name string")
-    q = spark.createDataFrame([(i,) for i in range(4)], "qid long")
-    out = SIM.cosine_long(v, q, names, 2)
-    assert sorted(set(r.qid for r in out.collect())) == [0, 1, 2, 3]
-    assert out.count() == 8
-
-
-def test_dense_values_bounded_split(spark, monkeypatch):
-    monkeypatch.setattr(SIM, "MAX_QUERY_VALUES", 4)
-    v = spark.createDataFrame([(i, [float(i), 1.0, 0.5]) for i in range(5)], "id long, vec array<double>")
-    q = spark.createDataFrame([(i,) for i in range(4)], "qid long")
-    out = SIM.dot_dense(v, q, 2)
-    assert sorted(set(r.qid for r in out.collect())) == [0, 1, 2, 3] and out.count() == 8
+def test_sparse_neighbours_equal_numpy(spark, monkeypatch):
+    """Common, rare, negative and missing features, copies, zero vectors; heavy cells over a grid; fewer pairs scored than there are."""
+    monkeypatch.setattr(NB, "CELL_ROWS", 40)
+    rnd = np.random.default_rng(7)
+    n, d = 400, 60
+    m = np.where(rnd.random((n, d)) < np.where(np.arange(d) < 6, 0.9, 0.04), rnd.normal(size=(n, d)), 0)
+    m[:, 0] += 8 * rnd.random(n)
+    m[100:230] = m[100]          # a third are copies
+    m[300:310] = 0
+    names = spark.createDataFrame([(i, None if i == 5 else f"n{i % 90:02}") for i in range(n)], "item_id long, item_name string")
+    v = spark.createDataFrame([(i, f"f{j}", float(m[i, j])) for i in range(n) for j in range(d) if m[i, j]], "item_id long, feature string, value double")
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    u = m / np.where(norm > 0, norm, 1)
+    asked = [0, 5, 100, 101, 229, 305, 399]
+    q = spark.createDataFrame([(i,) for i in [*asked, 999]], "qid long")
+    got = {}
+    for r in SIM.cosine_long(v, q, names, 8).collect():
+        got.setdefault(r.qid, {})[r["rank"]] = (r.id, round(r.score, 9) + 0.0)
+    name = {i: (i == 5, "" if i == 5 else f"n{i % 90:02}") for i in range(n)}
+    for i in asked:
+        s = np.round(u @ u[i], 9) + 0.0
+        want = sorted((k for k in range(n) if k != i), key=lambda k: (-s[k], name[k], k))[:8]
+        assert [got[i][k + 1] for k in range(8)] == [(k, s[k]) for k in want]
+    assert set(got) == set(asked)
+    packed = NB.pack_features(v.withColumnRenamed("item_id", "id"), names.select(F.col("item_id").alias("id"), F.col("item_name").alias("name")))
+    scored = {r.qid: r.scored for r in NB.nearest(packed, q, 8)[1].collect()}
+    assert sum(scored.values()) < 0.75 * n * len(asked) and scored[305] == 0
+
+
+def test_inner_products_of_mixed_lengths_equal_numpy(spark):
+    rnd = np.random.default_rng(8)
+    m = rnd.normal(size=(300, 6)) * np.exp(rnd.normal(size=(300, 1)) * 2)
+    m[7] = 0
+    v = spark.createDataFrame([(i, m[i].tolist()) for i in range(300)] + [(301, None)], "id long, vec array<double>")
+    got = {}
+    for r in SIM.dot_dense(v, v.where("id % 10 = 7 or id = 301").selectExpr("id as qid"), 5).collect():
+        got.setdefault(r.qid, {})[r["rank"]] = r.id
+    s = m @ m.T
+    np.fill_diagonal(s, -np.inf)
+    for q in range(7, 300, 10):
+        want = np.lexsort((np.arange(300), -np.round(s[q], 9)))[:5].tolist()
+        assert [got[q][k] for k in range(1, 6)] == want
+    assert SIM.dot_dense(v.limit(0), v.selectExpr("id as qid"), 5).count() == 0
+
+
+def test_grid_join_equals_plain_join(spark):
+    """One key holds a third of both sides: its product is dealt over a grid, nothing is lost or doubled."""
+    from castwise.operators.joins import grid_join, gridded, lookup_join
+    left = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i % 7}", i) for i in range(900)] + [(None, 1), ("hot", 0), ("hot", 0)], "title string, a long")
+    right = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i % 11}", i) for i in range(600)] + [(None, 2)], "title string, b long")
+    want = left.join(right, "title")
+    got = grid_join(left, right, ["title"], cell_rows=40)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    a, b = gridded(left, right, ["title"], cell_rows=40)
+    cells = a.join(b, ["title", "_row", "_col"]).groupBy("title", "_row", "_col").count().where("title = 'hot'").collect()
+    counts = sorted(r["count"] for r in cells)
+    assert len(counts) >= 30 and counts[-1] <= 2 * counts[len(counts) // 2]
+    table = right.groupBy("title").agg(F.sum("b").alias("s"))
+    got = lookup_join(left, table, ["title"], cell_rows=40)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, left.join(table, "title", "left").collect()), key=repr)
