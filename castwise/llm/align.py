@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 from ..operators.joins import salted_join
 from ..session import materialize
 from . import bpe
+from .common import uncollected
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 RANGE = 1 << 16            # bytes of a range; longer documents are cut
@@ -45,7 +46,7 @@ FAN = 16                   # neighbouring fragments composed in a step
 MEMO_BYTES = 160 << 20     # bytes of parts and their fragments remembered, in two generations
 ENTRY = 350                # bytes that an entry of the memo takes besides its strings
 LONG = 256                 # characters above which a part is not remembered
-STRETCH = 1 << 20          # characters of text whose new parts are tokenised together
+STRETCH = 1 << 22          # characters of text whose new parts are tokenised together
 COUNTED = 1 << 22          # pairs that a task counts before it hands them on
 SENT_PAIRS = 1 << 22       # pairs whose counts are sent to the tasks; more are joined
 
@@ -125,7 +126,7 @@ class Aligner:
         memo, old = self.memo, self.old
         new = {p for p in parts if p not in memo}
         made = {p: old[p] for p in new if p in old}
-        todo = sorted(new - made.keys())
+        todo = list(new - made.keys())
         ids_a, pack, code = self.a.learn(todo), struct.pack, self.kind.char
         table_b = self.bytes_b
         for p, b in zip(todo, self.b.encode(todo, num_threads=1) if todo else [], strict=True):
@@ -302,7 +303,8 @@ def _short(docs: DataFrame, paths: tuple[str, str], rows: _Rows, texts: bool) ->
             for s in range(0, b.num_rows, 1024):
                 sub = b.slice(s, 1024)
                 values = sub.column("text").to_pylist()
-                made = iter(al.whole([t for t in values if t]))
+                with uncollected():
+                    made = iter(al.whole([t for t in values if t]))
                 fs = [next(made) if t else None for t in values]
                 tallies = [_tally(f.pairs if f else [], al.kind) for f in fs]
                 yield _done(sub.column("doc_id"), [_row(n + i, 0) for i in range(len(fs))], fs, tallies, al.kind, rows.done, texts)

@@ -34,6 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import uncollected
+
 VOCABULARY = "byte_bpe_50k.json"
 NODES = 250_000            # nodes of a trie before a new one is begun
 PAIRS = 250_000            # pairs of tokens whose fit is remembered
@@ -41,7 +43,7 @@ DEEP = 64                  # bytes below which a word's prefixes get no node of
 MEMO_BYTES = 128 << 20     # bytes of parts and ids remembered, in two generations
 ENTRY = 200                # bytes that an entry of the memo takes besides
 LONG = 256                 # tokens above which a part is not remembered
-STRETCH = 2 << 20          # characters of text whose new words go through the trie together
+STRETCH = 4 << 20          # characters of text whose new words go through the trie together
 ROWS = 1024                # texts handed back together
 
 #: Characters up to here have the same class in every Unicode version since 4; parts beyond are cut by the library.
@@ -370,7 +372,8 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, out: st
         for b in batches:
             for s in range(0, b.num_rows, ROWS):
                 sub = b.slice(s, ROWS)
-                ids = enc.encode([t or "" for t in sub.column(len(rest)).to_pylist()])
+                with uncollected():
+                    ids = enc.encode([t or "" for t in sub.column(len(rest)).to_pylist()])
                 cols = [pa.array(ids, pa.binary()), *([] if back is None else [pa.array([decode(i) for i in ids], pa.string())])]
                 yield pa.RecordBatch.from_arrays([*(sub.column(k) for k in range(len(rest))), *cols], names=schema.names)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +43,18 @@ def fresh(df: DataFrame, base: str) -> str:
         n += 1
         name = f"{base}_{n}"
     return name
+
+
+@contextmanager
+def uncollected():
+    """No cyclic garbage collection within: loops that make many small lasting objects and no cycles.
+
+    The collector would walk a worker's memo again and again as it grows.
+    """
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import held_out, learnable
+from .common import held_out, learnable, uncollected
 
 #: Characters written in place of letters (fixed values).
 LOOK_ALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -309,7 +309,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 sub = b.slice(at, 512)
-                found = [reader.buckets(t or "") for t in sub.column("text").to_pylist()]
+                with uncollected():
+                    found = [reader.buckets(t or "") for t in sub.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([sub.column("y"), pa.array([f.tobytes() for f in found], pa.binary())], names=["y", "found"])
 
     held = materialize(sample.mapInArrow(read, "y int, found binary"), "toxicity-buckets")  # each text is decoded once
@@ -356,7 +357,9 @@ def score_column(model: Model, text: Column, spark) -> Column:
         m = shared.value
         reader = Reader(m.log_p)
         for texts in batches:
-            yield pd.Series([m.score(reader.buckets(t if isinstance(t, str) else "")) for t in texts], dtype="float64")
+            with uncollected():
+                found = [m.score(reader.buckets(t if isinstance(t, str) else "")) for t in texts]
+            yield pd.Series(found, dtype="float64")
 
     return score(text)
 
