@@ -7,8 +7,8 @@ count are kept (ties by term); idf = ln((1 + N) / (1 + df)) + 1 with N the
 number of documents; each document's kept weights are L2-normalised.
 
 Plan: (1) per-term statistics with a partial aggregate before the shuffle (a
-document's distinct terms are taken in its own row, so no (document, term)
-pair is shuffled); (2) the vocabulary by top-k; (3) a second
+document's terms are counted in its own row, so no (document, term) pair is
+shuffled); (2) the vocabulary by top-k; (3) a second
 pass that keeps only vocabulary terms by a map-side join before counting them
 per document. The norm is a window of at most max_features rows a document.
 """
@@ -34,12 +34,18 @@ def _terms(docs: DataFrame, text: str, stop_words, keep: tuple[str, ...] = ()) -
 
 
 def term_stats(docs: DataFrame, text: str = "synopsis", stop_words=T.STOP_WORDS) -> DataFrame:
-    """``(term, df, total)``: documents with the term and its occurrences."""
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    row = lambda df, total: lambda x: F.struct(x.alias("term"), df.alias("df"), total.alias("total"))
-    both = F.concat(F.transform("terms", row(none, one)), F.transform(F.array_distinct("terms"), row(one, none)))
-    return (_terms(docs, text, stop_words).select(F.explode(both).alias("x")).groupBy(F.col("x.term").alias("term"))
-            .agg(F.sum("x.df").alias("df"), F.sum("x.total").alias("total")))
+    """``(term, df, total)``: documents with the term and its occurrences.
+
+    A document's terms are sorted and counted in its own row, so one row a
+    distinct term is aggregated, and one a term and task is shuffled.
+    """
+    s = _terms(docs, text, stop_words).select(F.array_sort("terms").alias("s"))
+    n = F.size("s")
+    last = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get("s", i - 1) != F.get("s", i)))  # where each term's run ends
+    ends = s.where(n > 0).select("s", last.alias("ends"))
+    runs = F.transform("ends", lambda e, k: F.struct(F.get("s", e - 1).alias("term"), (e - F.coalesce(F.get("ends", k - 1), F.lit(0))).alias("total")))
+    return (ends.select(F.explode(runs).alias("x")).groupBy(F.col("x.term").alias("term"))
+            .agg(F.count(F.lit(1)).alias("df"), F.sum("x.total").alias("total")))
 
 
 def vocabulary(stats: DataFrame, n_docs: DataFrame, max_features: int | None = 300, min_df: int = 2) -> DataFrame:

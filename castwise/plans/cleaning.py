@@ -241,6 +241,49 @@ def csv_roundtrip_items(spark, sf_dir):
     return FI.load_raw(spark, "items", root)
 
 
+@register("raw_table_rows", with_ctes("""
+SELECT 'items' AS name, count(*) AS n_rows FROM items UNION ALL SELECT 'reviews', count(*) FROM reviews UNION ALL SELECT 'credits', count(*) FROM credits"""), ids="S2,S1")
+def raw_table_rows(spark, sf_dir):
+    """All three tables written as CSV and loaded back together."""
+    import os
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import files as FI
+    c, root = Ctx(spark, sf_dir), os.path.join(ensure_checkpoint_dir(spark), f"raw-{uuid.uuid4().hex}")
+    for name, df in (("items", c.items), ("reviews", c.reviews), ("credits", c.credits)):
+        FI.write_csv(df, os.path.join(root, FI.RAW_FILES[name]))
+    rows = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows") for name, df in FI.load_all_raw(spark, root).items()]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+@register("one_file_csv", with_ctes("SELECT * FROM items"), ids="S1")
+def one_file_csv(spark, sf_dir):
+    """The items as one CSV file, its quoted texts over several lines, read by byte ranges in parallel."""
+    import os
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import files as FI
+    root = os.path.join(ensure_checkpoint_dir(spark), f"raw-{uuid.uuid4().hex}")
+    FI.write_csv(Ctx(spark, sf_dir).items.coalesce(1), os.path.join(root, FI.RAW_FILES["items"]))
+    return FI.load_raw(spark, "items", root, ranges=True)
+
+
+@register("merged_file", with_ctes("""
+SELECT c.actor_id, c.item_name, c.role, r.user_id, r.overall_score, r.review_text FROM credits_clean c JOIN reviews_clean r ON c.item_name = r.title WHERE c.role = 'Main Role'"""), ids="S9,J1")
+def merged_file(spark, sf_dir):
+    """The merged table with its text, written and read back; the main roles of it."""
+    import os
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import files as FI
+    c, root = Ctx(spark, sf_dir), os.path.join(ensure_checkpoint_dir(spark), f"processed-{uuid.uuid4().hex}")
+    FI.save_processed(C.merge_credits_reviews(c.credits_clean.where("role = 'Main Role'"), c.reviews_clean), root, "merged")
+    return FI.read_processed(spark, root, "merged").select("actor_id", "item_name", "role", "user_id", "overall_score", "review_text")
+
+
 @register("processed_items", with_ctes(f"SELECT {_ITEMS_CLEAN_COLS} FROM items_clean"), ids="S3-S6")
 def processed_items(spark, sf_dir):
     """The cleaned items through the processed-table sink and back."""

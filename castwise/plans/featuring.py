@@ -150,3 +150,16 @@ def build_feature_store(c: Ctx):
 def feature_store(spark, sf_dir):
     return Ctx(spark, sf_dir).features.select(
         "item_id", "feature", S.r6("value").alias("value"))
+
+
+@register("feature_store_file", fsql(f"SELECT item_id, feature, {r6('value')} AS value FROM features"), ids="S6")
+def feature_store_file(spark, sf_dir):
+    """The feature store through its sink and back."""
+    import os
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import files as FI
+    root = os.path.join(ensure_checkpoint_dir(spark), f"processed-{uuid.uuid4().hex}")
+    FI.save_processed(Ctx(spark, sf_dir).features, root, "feature_store")
+    return FI.read_processed(spark, root, "feature_store").select("item_id", "feature", S.r6("value").alias("value"))

@@ -31,6 +31,20 @@ def describe_reviews(spark, sf_dir):
     return P.describe(Ctx(spark, sf_dir).reviews_clean_core, _RN)
 
 
+_ITEM_NUMBERS = ("year", "duration", "tot_eps", "rank", "pop")
+
+
+@register("describe_items", with_ctes(_describe_sql(
+    "(SELECT " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _ITEM_NUMBERS) + " FROM items)", _ITEM_NUMBERS)), ids="C9")
+def describe_items(spark, sf_dir):
+    return P.describe(Ctx(spark, sf_dir).items_core, _ITEM_NUMBERS)
+
+
+@register("describe_credits", with_ctes(_describe_sql("(SELECT CAST(actor_id AS DOUBLE) AS actor_id FROM credits)", ("actor_id",))), ids="C9")
+def describe_credits(spark, sf_dir):
+    return P.describe(Ctx(spark, sf_dir).credits, ("actor_id",))
+
+
 def _corr_sql(table: str, cols) -> str:
     parts = []
     for a in cols:
@@ -232,6 +246,51 @@ def credit_info(spark, sf_dir):
     return P.info(Ctx(spark, sf_dir).credits)
 
 
+_REVIEW_TYPES = {"user_id": "string", "title": "string", "overall_score": "double", "story_score": "double", "acting_cast_score": "double",
+                 "music_score": "double", "rewatch_value_score": "double", "n_helpful": "bigint", "ep_watched": "string", "review_text": "string"}
+
+
+@register("review_info", _info_sql("reviews", _REVIEW_TYPES), ids="C10")
+def review_info(spark, sf_dir):
+    return P.info(Ctx(spark, sf_dir).reviews)
+
+
+@register("price_density", """
+WITH v AS (SELECT CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem WHERE l_extendedprice IS NOT NULL),
+s AS (SELECT count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi FROM v),
+g AS (SELECT i AS point, lo + i * (hi - lo) / 49 AS x, n, sd * pow(CAST(n AS DOUBLE), -0.2) AS h FROM range(0, 50) r(i) CROSS JOIN s WHERE sd > 0)
+SELECT 'l_extendedprice' AS column_name, CAST(point AS INTEGER) AS point, round(x, 6) AS x,
+ round(sum(exp(-pow((x - v) / h, 2) / 2)) / any_value(n), 4) AS kernel_mean FROM g CROSS JOIN v GROUP BY point, x""", ids="A17")
+def price_density(spark, sf_dir):
+    """Density of a continuous column (nearly every value differs), as the mean kernel height at 50 points."""
+    d = P.binned_density(Ctx(spark, sf_dir).t.lineitem, ["l_extendedprice"], points=50)
+    return d.select("column_name", "point", S.r6("x").alias("x"), F.round("kernel_mean", 4).alias("kernel_mean"))
+
+
+@register("brand_users_sketch", with_ctes("""
+WITH b AS (SELECT p.p_brand AS brand, p.p_type AS maker, r.user_id FROM reviews_clean r JOIN name_lookup n ON n.name_key = r.title JOIN part p ON p.p_partkey = n.item_id)
+SELECT 'brand' AS level, brand AS name, count(DISTINCT user_id) AS exact, true AS within_bound FROM b GROUP BY brand
+UNION ALL SELECT 'type', maker, count(DISTINCT user_id), true FROM b GROUP BY maker
+UNION ALL SELECT 'all', 'all', count(DISTINCT user_id), true FROM b"""), ids="A5")
+def brand_users_sketch(spark, sf_dir):
+    """Distinct reviewers per brand from written sketches, merged to types and to the total without the rows, next to exact counts."""
+    from ..operators import clean as C
+    from ..session import materialize
+    c = Ctx(spark, sf_dir)
+    brands = C.name_lookup(c.item_keys).join(c.t.part, F.col("item_id") == F.col("p_partkey")).select(
+        F.col("name_key").alias("title"), F.col("p_brand").alias("brand"), F.col("p_type").alias("maker"))
+    rows = c.reviews_clean_core.select("title", "user_id").join(brands, "title")
+    held = materialize(P.distinct_sketches(rows, ["brand", "maker"], "user_id"), "user-sketches")
+    out = []
+    for level, keys in (("brand", ["brand"]), ("type", ["maker"]), ("all", [])):
+        name = F.col(keys[0]) if keys else F.lit("all")
+        exact = rows.groupBy(name.alias("name")).agg(F.count_distinct("user_id").alias("exact"))
+        merged = P.merged_distinct(held, keys).select(name.alias("name"), "estimate")
+        near = F.abs(F.col("estimate") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * P.SKETCH_BOUND)
+        out.append(exact.join(merged, "name").select(F.lit(level).alias("level"), "name", "exact", near.alias("within_bound")))
+    return out[0].union(out[1]).union(out[2])
+
+
 @register("item_preview", with_ctes("""
 SELECT item_id, item_name FROM items ORDER BY md5('42|' || CAST(item_id AS VARCHAR)), item_id LIMIT 5"""),
           ids="C11")

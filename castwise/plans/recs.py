@@ -205,6 +205,19 @@ def embedding_neighbors(spark, sf_dir):
     return nb.select("qid", "rank", "id", S.r6("score").alias("score"))
 
 
+@register("embedding_lsh_recall", f"""
+SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % {ASK_EVERY} = 0""", ids="M4")
+def embedding_lsh_recall(spark, sf_dir):
+    """Recall of the approximate neighbours against the exact ones: at least 0.9 of them are found."""
+    from ..operators import lsh
+    from ..operators import neighbors as NB
+    c = Ctx(spark, sf_dir)
+    v = NB.pack_dense(c.t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), unit=True)
+    q = v.table.where(F.col("id") % ASK_EVERY == 0).select(F.col("id").alias("qid"))
+    r = lsh.recall(lsh.BucketTables(v).nearest(q, TOP_N), NB.nearest(v, q, TOP_N)[0])
+    return r.select("queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @register("co_review_relevance", rsql("SELECT query_key, rel_key FROM rel"), ids="J8,U1,U3")
 def co_review_relevance(spark, sf_dir):
     c = Ctx(spark, sf_dir)

@@ -50,13 +50,49 @@ def _csv_reader(spark: SparkSession, schema: T.StructType):
             .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
 
 
-def load_raw(spark: SparkSession, name: str, root: str, corrupt: bool = False) -> DataFrame:
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record, text): the records of CSV files whose quoted fields may span lines, read by byte ranges.
+
+    Lines are read in parallel, a range of a file a task. A line begins a
+    record if the quotes before it are even in number: quotes are summed by
+    range, the sums of the ranges before give each range's parity, and a
+    running sum within the range decides for its lines. Numbers of records
+    come from the same two-level sums, so a record may reach over ranges.
+    """
+    lines = (spark.read.option("lineSep", "\n").text(path)
+             .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+             .withColumn("at", F.monotonically_increasing_id())
+             .withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"')))))
+    whole = "partition by file order by block rows between unbounded preceding and 1 preceding"  # a row a range
+    here = "partition by file, block order by at"
+    ranges = lines.groupBy("file", "block").agg(F.sum("quotes").alias("n"))
+    ranges = ranges.select("file", "block", F.expr(f"coalesce(sum(n) over ({whole}), 0)").alias("before"))
+    parity = (F.col("before") + F.expr(f"sum(quotes) over ({here})") - F.col("quotes")) % 2
+    marked = lines.join(ranges, ["file", "block"]).withColumn("begins", F.when(parity == 0, 1).otherwise(0))
+    starts = marked.groupBy("file", "block").agg(F.sum("begins").alias("n")).select("file", "block", F.expr(f"coalesce(sum(n) over ({whole}), 0)").alias("first"))
+    numbered = marked.drop("before").join(starts, ["file", "block"]).withColumn("record", F.col("first") + F.expr(f"sum(begins) over ({here})"))
+    parts = numbered.groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("block", "at", "value"))).alias("l"))  # one record's lines
+    return parts.select("file", "record", F.regexp_replace(F.array_join("l.value", "\n"), "\r$", "").alias("text"))
+
+
+def _read_ranges(spark: SparkSession, path: str, raw: T.StructType) -> DataFrame:
+    opts = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "multiLine": "true"}
+    rows = csv_records(spark, path).where((F.col("record") > 1) & (F.col("text") != ""))  # the first record names the columns
+    return rows.select(F.from_csv("text", F.lit(raw.simpleString()[len("struct<"):-1].replace(":", " ")), opts).alias("r")).select("r.*")
+
+
+def load_all_raw(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """All three datasets by name."""
+    return {name: load_raw(spark, name, root) for name in RAW_FILES}
+
+
+def load_raw(spark: SparkSession, name: str, root: str, corrupt: bool = False, ranges: bool = False) -> DataFrame:
     """CSV scan of a logical dataset; unknown name or missing file -> error.
 
     Dates are read as text and parsed leniently (F9), other values by type;
     ``corrupt=True`` adds the column ``corrupt_record`` with the raw text of
     rows that do not fit the schema. A file is one task (its fields may span
-    lines): large datasets are folders of many files.
+    lines) unless ``ranges``, which reads a large file in parallel.
     """
     if name not in RAW_SCHEMAS:
         raise ValueError(f"unknown dataset {name!r}; expected one of {sorted(RAW_SCHEMAS)}")
@@ -67,7 +103,8 @@ def load_raw(spark: SparkSession, name: str, root: str, corrupt: bool = False) -
     dates = [f.name for f in schema if isinstance(f.dataType, T.DateType)]
     raw = T.StructType([T.StructField(f.name, T.StringType() if f.name in dates else f.dataType) for f in schema]
                        + ([T.StructField(CORRUPT, T.StringType())] if corrupt else []))
-    return _csv_reader(spark, raw).csv(path).withColumns({c: S.parse_date(c) for c in dates})
+    table = _read_ranges(spark, path, raw) if ranges else _csv_reader(spark, raw).csv(path)
+    return table.withColumns({c: S.parse_date(c) for c in dates})
 
 
 def write_csv(df: DataFrame, path: str) -> int:
