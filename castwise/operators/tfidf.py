@@ -40,12 +40,14 @@ def term_stats(docs: DataFrame, text: str = "synopsis", stop_words=T.STOP_WORDS)
     distinct term is aggregated, and one a term and task is shuffled.
     """
     s = _terms(docs, text, stop_words).select(F.array_sort("terms").alias("s"))
-    n = F.size("s")
+    n = F.greatest(F.size("s"), F.lit(1))
     last = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get("s", i - 1) != F.get("s", i)))  # where each term's run ends
-    ends = s.where(n > 0).select("s", last.alias("ends"))
+    ends = s.select("s", last.alias("ends"))
     runs = F.transform("ends", lambda e, k: F.struct(F.get("s", e - 1).alias("term"), (e - F.coalesce(F.get("ends", k - 1), F.lit(0))).alias("total")))
-    return (ends.select(F.explode(runs).alias("x")).groupBy(F.col("x.term").alias("term"))
-            .agg(F.count(F.lit(1)).alias("df"), F.sum("x.total").alias("total")))
+    # outer, and no filter before it: one on an array would be pushed below the tokens' projection, where every
+    # bigram would tokenise the text again; a document without terms gives the null term
+    return (ends.select(F.explode_outer(runs).alias("x")).groupBy(F.col("x.term").alias("term"))
+            .agg(F.count(F.lit(1)).alias("df"), F.sum("x.total").alias("total")).where(F.col("term").isNotNull()))
 
 
 def vocabulary(stats: DataFrame, n_docs: DataFrame, max_features: int | None = 300, min_df: int = 2) -> DataFrame:
