@@ -47,7 +47,7 @@ HALF_Z = 4.0           # a feature of this z keeps half of its log odds
 PRIOR, RIDGE = 1.0, 0.1
 USUAL = 100            # distinct features of a text at which a weight counts once
 THRESHOLD = 0.3
-MEMO = 400_000         # decoded tokens kept per Python worker, in two generations
+MEMO = 120_000         # decoded tokens kept per Python worker, in two generations
 LONG = 64              # characters above which a token is not kept
 
 
