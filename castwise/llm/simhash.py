@@ -48,6 +48,7 @@ SEGMENTS = (22, 21, 21)
 PARTS, PART_SHIFT = 3, (0, 7, 14, 22)
 MAX_BITS = 4
 SEED = 42
+KEY_TASK = 1 << 14  # fingerprints whose keys one task makes
 BLOCK = 1 << 15  # shingles expanded to bits at a time
 
 
@@ -175,7 +176,9 @@ def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the Golay keys cover distances 0 to 4")
-    keys = golay_keys(fps)  # cheaper to make twice than to keep: about 130 rows a fingerprint
+    # a fingerprint becomes some 130 rows: the few files of the small table must not make them all in two tasks
+    tasks = max(1, -(-fps.count() // KEY_TASK))
+    keys = golay_keys(fps.select("fp").repartition(tasks, "fp"))  # cheaper to make twice than to keep: about 130 rows a fingerprint
     heads = keys.groupBy("key").agg(F.min("fp").alias("head"), F.max("fp").alias("last")).where("head <> last").drop("last")
     shared = materialize(keys.join(heads, "key"), "golay-shared")
     star = components(shared.where("fp <> head").where(_near("fp", "head", max_bits)), "fp", "head")
