@@ -22,8 +22,10 @@ Every link within 4 bits so shares a composite key of 33 bits or more (about
 
 A bucket of many near copies must not be expanded into pairs. Each bucket is
 first linked to its smallest member (verified), those stars are contracted to
-components, and only buckets that still hold several components are joined,
-between different components only. No link between components is lost.
+components, and only buckets that still hold several components stay. While
+their members would make many pairs, every such bucket is linked to one more
+member and contracted again. What is left is joined, between different
+components only. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import grid_join, lookup_join
 from ..session import materialize
 from .common import fresh
 from .components import components
@@ -50,6 +53,8 @@ MAX_BITS = 4
 SEED = 42
 KEY_TASK = 1 << 14  # fingerprints whose keys one task makes
 BLOCK = 1 << 15  # shingles expanded to bits at a time
+PAIRS = 16       # candidate pairs a row of the open buckets may make; contracted further while there are more
+CELL = 1 << 12   # rows of one hot key that one task joins
 
 
 def _remainder(x: int) -> int:
@@ -168,6 +173,26 @@ def _near(a: str, b: str, max_bits: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
 
 
+def _relabel(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with ``comp`` replaced by the root that ``found`` (node, root) names for it, if any."""
+    named = lookup_join(rows, found.select(F.col("node").alias("comp"), "root"), ["comp"], cell_rows=CELL)
+    return named.withColumn("comp", F.coalesce("root", "comp")).select(*rows.columns)
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components."""
+    keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return rows.join(keys, "key", "left_semi")
+
+
+def _pairs_a_row(rows: DataFrame) -> float:
+    """Ordered pairs of rows in one bucket but different components, by row."""
+    n = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    n = n.groupBy("key").agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("own"))
+    r = n.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n") - F.col("own")).alias("pairs")).first()
+    return r.pairs / r.rows if r.rows else 0.0
+
+
 def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(fp, root) for the distinct fingerprints ``fps`` under links of <= max_bits bits.
 
@@ -182,18 +207,26 @@ def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     heads = keys.groupBy("key").agg(F.min("fp").alias("head"), F.max("fp").alias("last")).where("head <> last").drop("last")
     shared = materialize(keys.join(heads, "key"), "golay-shared")
     star = components(shared.where("fp <> head").where(_near("fp", "head", max_bits)), "fp", "head")
-    labelled = (shared.select("key", "fp", "side").join(star, F.col("fp") == F.col("node"), "left")
-                .select("key", "fp", "side", F.coalesce("root", "fp").alias("comp")))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_ = materialize(labelled.join(mixed, "key", "left_semi"), "golay-open")
-    left = open_.where("side <> 1").select("key", F.col("fp").alias("fa"), F.col("comp").alias("ca"))
-    right = open_.where("side <> 0").select("key", F.col("fp").alias("fb"), F.col("comp").alias("cb"))
-    cross = (left.join(right, (left["key"] == right["key"]) & (F.col("fa") < F.col("fb")) & (F.col("ca") != F.col("cb")) & _near("fa", "fb", max_bits))
-             .select("ca", "cb"))
-    top = components(cross, "ca", "cb").select(F.col("node").alias("comp"), F.col("root").alias("top"))
-    return (fps.select("fp").join(star, F.col("fp") == F.col("node"), "left")
-            .select("fp", F.coalesce("root", "fp").alias("comp")).join(top, "comp", "left")
-            .select("fp", F.coalesce("top", "comp").alias("root")))
+    # a fingerprint has some 130 keys at most: its own number is no hot key
+    first = shared.join(star, F.col("fp") == F.col("node"), "left").select("key", "fp", "side", F.coalesce("root", "fp").alias("comp"))
+    rows = materialize(_mixed(first), "golay-open")
+    labels = _relabel(fps.select("fp", F.col("fp").alias("comp")), star)
+    turn = 0
+    while _pairs_a_row(rows) > PAIRS:
+        turn += 1
+        pick = F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("o"), "fp", "comp")).alias("m")
+        head = rows.groupBy("key").agg(pick).select("key", F.col("m.fp").alias("head"), F.col("m.comp").alias("to"))
+        links = rows.join(head, "key").where((F.col("comp") != F.col("to")) & _near("fp", "head", max_bits)).select("comp", "to")
+        more = components(links, "comp", "to")
+        if more.isEmpty():  # the buckets hold strangers: only comparing them all can tell
+            break
+        labels = materialize(_relabel(labels, more), "golay-labels")
+        rows = materialize(_mixed(_relabel(rows, more)), "golay-open")
+    left = rows.where("side <> 1").select("key", F.col("fp").alias("fa"), F.col("comp").alias("ca"))
+    right = rows.where("side <> 0").select("key", F.col("fp").alias("fb"), F.col("comp").alias("cb"))
+    cross = grid_join(left, right, ["key"], CELL).where((F.col("fa") < F.col("fb")) & (F.col("ca") != F.col("cb")) & _near("fa", "fb", max_bits))
+    top = components(cross.select("ca", "cb"), "ca", "cb")
+    return _relabel(labels, top).select("fp", F.col("comp").alias("root"))
 
 
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4,
@@ -213,8 +246,9 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = materialize(fingerprint_components(uniq, max_bits), "fingerprint-roots")
     tagged = uniq.join(roots, "fp")
     smallest = tagged.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    ids = tagged.join(smallest, "root").select("fp", "root", "component_id")
-    return f.join(ids, "fp").select(*cols, "fp", "root", "component_id")
+    # one group, or the copies of one text, may be a large share of the rows
+    ids = lookup_join(tagged, smallest, ["root"], "inner", CELL).select("fp", "root", "component_id")
+    return lookup_join(f, ids, ["fp"], "inner", CELL).select(*cols, "fp", "root", "component_id")
 
 
 def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4,

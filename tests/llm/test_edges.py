@@ -95,6 +95,37 @@ def test_near_copies_of_one_text_are_one_component(spark):
     assert len(roots) == len(fps) and set(roots.values()) == {min(roots)}
 
 
+def test_simhash_contracts_until_few_pairs(spark, monkeypatch):
+    """Families of variants that share buckets: forced further contraction and hot cells give the brute-force components."""
+    rng = np.random.default_rng(3)
+    fps = set()
+    for base in rng.integers(0, 1 << 63, 6):
+        for _ in range(60):
+            f = int(base)
+            for bit in rng.integers(0, 64, rng.integers(0, 8)):
+                f ^= 1 << int(bit)
+            fps.add(f)
+    signed = sorted(f - (1 << 64) if f >= 1 << 63 else f for f in fps)
+    root = {f: f for f in signed}
+
+    def top(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for a in signed:
+        for b in signed:
+            if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4:
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    want = {f: top(f) for f in signed}
+    table = spark.createDataFrame([(f,) for f in signed], "fp long")
+    for pairs, cell in ((0, 8), (simhash.PAIRS, simhash.CELL)):
+        monkeypatch.setattr(simhash, "PAIRS", pairs)
+        monkeypatch.setattr(simhash, "CELL", cell)
+        assert {r.fp: r.root for r in simhash.fingerprint_components(table).collect()} == want
+
+
 def test_language(docs, none):
     rows = langid.identify(docs).collect()
     assert len(rows) == len(ROWS)
