@@ -12,6 +12,11 @@ whole text are averaged to the document's distribution. Weights are trained
 in numpy by backpropagation through time (Adam) on a bounded sample: at most
 ``SAMPLE_DOCS`` documents a language (smallest hash of the id) and at most
 ``SAMPLE_SEGMENTS`` segments of each, spread over the whole text.
+
+A network may learn one class more, *no learned language*, from segments made
+of the sample: letters replaced by random ones, letters exchanged for each
+other, letters of other alphabets, signs of program text (``strange_segments``). ``accepted``
+decides with it whether a text is in a learned language at all.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, learnable
+from .common import fresh, held_out, learnable
 
 SEGMENT = 128
 HIDDEN = 8
@@ -34,6 +39,9 @@ SAMPLE_SEGMENTS = 12
 MAX_LANGUAGES = 512    # more learned languages than this is an error, not a cut
 STEPS, TRAIN_BATCH, RATE = 160, 160, 0.02
 UNKNOWN = "und"
+CODE_SIGNS = ["_", ".", "(", ")\n", "[", "] ", " = ", "):\n    ", "\n        ", "(self.", ", ", " ", "::", "->", " += ", "{\n", "};\n", "/", "\n\n"]
+PRIOR = 64             # letters in a learned language that a text is taken to have besides its own
+QUANTILE = 0.99        # of the learnable texts of a language, see ``bounds``
 
 #: Bytes that belong to letters: A-Z, a-z and every non-ASCII byte.
 LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -41,13 +49,17 @@ LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(25
 
 @dataclass
 class Network:
-    """Weights, states as columns: e (2, 3H, 256), u (2, 3H, H), w (2, C, H), c (C, 1)."""
+    """Weights, states as columns: e (2, 3H, 256), u (2, 3H, H), w (2, C, H), c (C, 1).
+
+    With ``strange`` the last class is *no learned language*; it is not among ``languages``.
+    """
 
     languages: list[str]
     e: np.ndarray
     u: np.ndarray
     w: np.ndarray
     c: np.ndarray
+    strange: bool = False
 
 
 def _direction(e: np.ndarray, u: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -96,8 +108,8 @@ def segments(data: bytes, size: int = SEGMENT) -> np.ndarray:
 
 
 def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
-    """Mean position probabilities over letter bytes, one row per text; NaN without a letter."""
-    sums = np.zeros((len(texts), len(net.languages)))
+    """Mean position probabilities (all classes) over letter bytes, one row per text; NaN without a letter."""
+    sums = np.zeros((len(texts), net.c.shape[0]))
     letters = np.zeros(len(texts))
     rows, owner, waiting = [], [], 0
 
@@ -151,10 +163,13 @@ def _backward(e, u, x, states, grad_h, ge, gu) -> None:
 
 
 def train(languages: list[str], x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, steps: int = STEPS,
-          batch: int = TRAIN_BATCH, rate: float = RATE, seed: int = 7) -> Network:
-    """Backpropagation through time over segments x (n, SEGMENT) with language indices y."""
+          batch: int = TRAIN_BATCH, rate: float = RATE, seed: int = 7, strange: bool = False) -> Network:
+    """Backpropagation through time over segments x (n, SEGMENT) with language indices y.
+
+    With ``strange`` the index after the last language is the class of no learned language.
+    """
     rng = np.random.default_rng(seed)
-    k = len(languages)
+    k = len(languages) + strange
     p = {"e": rng.normal(0, 0.3, (2, 3 * hidden, 256)), "u": rng.normal(0, 0.3, (2, 3 * hidden, hidden)),
          "w": rng.normal(0, 0.3, (2, k, hidden)), "c": np.zeros((k, 1))}
     p["e"][:, :2 * hidden] += 0.5  # gates start half open
@@ -183,22 +198,26 @@ def train(languages: list[str], x: np.ndarray, y: np.ndarray, hidden: int = HIDD
             m[n] = 0.9 * m[n] + 0.1 * a
             v2[n] = 0.999 * v2[n] + 0.001 * a * a
             p[n] -= (rate * (m[n] / (1 - 0.9 ** step)) / (np.sqrt(v2[n] / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
-    return Network(languages, p["e"], p["u"], p["w"], p["c"])
+    return Network(languages, p["e"], p["u"], p["w"], p["c"], strange)
 
 
 def training_segments(docs: DataFrame, doc_id: str, text: str, lang: str, per_language: int = SAMPLE_DOCS,
                       per_doc: int = SAMPLE_SEGMENTS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, segments and labels of the bounded sample (rows outside the held-out fold)."""
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang")).where(learnable("id") & F.col("lang").isNotNull())
+    h = F.xxhash64(F.col(text))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), h.alias("h")).where(learnable("id") & F.col("lang").isNotNull())
     n = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
     if n > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     order = F.struct(F.xxhash64("id"), "id")
-    picked = (rows.withColumn("o", order).withColumn("k", F.expr("row_number() over (partition by lang order by o)"))
-              .where(F.col("k") <= per_language).select("id", F.col("lang").alias("label")).distinct())
+    # one row of an id, so that an id with very many rows neither fills the sample nor swells it
+    picked = (rows.groupBy("lang", "id").agg(F.min("h").alias("pick")).withColumn("o", order)
+              .withColumn("k", F.expr("row_number() over (partition by lang order by o)"))
+              .where(F.col("k") <= per_language).select("id", F.col("lang").alias("label"), "pick"))
     # at most MAX_LANGUAGES * per_language ids: bounded, so broadcast
     texts = (docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-             .join(F.broadcast(picked), "id").where("lang = label").select("lang", "text"))
+             .join(F.broadcast(picked), "id").where((F.col("lang") == F.col("label")) & (F.xxhash64("text") == F.col("pick")))
+             .dropDuplicates(["lang", "id"]).select("lang", "text"))
 
     def cut(batches):
         import pyarrow as pa
@@ -225,56 +244,133 @@ def training_segments(docs: DataFrame, doc_id: str, text: str, lang: str, per_la
     return languages, x, y
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Network:
-    """Trains the network; without any learnable row it knows no language."""
+def strange_segments(x: np.ndarray, seed: int = 11) -> np.ndarray:
+    """As many segments in no language, in four kinds by turns.
+
+    Random letters for letters; the alphabet's letters exchanged for each other;
+    letters of an alphabet that starts at a random character; words with signs of
+    program text for blanks. Segments of the last two are cut to their length again.
+    """
+    rng = np.random.default_rng(seed)
+    out = np.array(x)
+    for i, row in enumerate(out):
+        small = (row >= ord("a")) & (row <= ord("z"))
+        if i % 4 == 0:
+            row[small] = rng.integers(ord("a"), ord("z") + 1, int(small.sum()))
+        elif i % 4 == 1:
+            row[small] = (ord("a") + rng.permutation(26))[row[small] - ord("a")]
+        elif i % 4 == 2:
+            words = bytes(row).decode("utf-8", "ignore").split()
+            signs = rng.choice(CODE_SIGNS, len(words))
+            data = "".join(f"{w}{sign}" for w, sign in zip(words, signs, strict=True)).encode()
+            row[:] = segments(data)[0] if data else 0
+        else:
+            start = int(rng.choice([rng.integers(0x250, 0x800), rng.integers(0x800, 0xD700)]))  # two bytes a letter, or three
+            letters = start + rng.permutation(48)
+            words = bytes(row).decode("utf-8", "ignore")
+            data = "".join(chr(letters[ord(ch) % 48]) if ch.isalpha() else ch for ch in words).encode()
+            row[:] = segments(data)[0] if data else 0
+    return out
+
+
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", strange: bool = False) -> Network:
+    """Trains the network; without any learnable row it knows no language.
+
+    ``strange`` adds the class of no learned language, with as many segments as one language has.
+    """
     languages, x, y = training_segments(docs, doc_id, text, lang)
-    return train(languages, x, y)
+    if not strange or not len(x):
+        return train(languages, x, y)
+    pick = np.random.default_rng(5).permutation(len(x))[:max(4, len(x) // len(languages))]
+    x = np.concatenate([x, strange_segments(x[pick])])
+    y = np.concatenate([y, np.full(len(x) - len(y), len(languages))])
+    return train(languages, x, y, steps=2 * STEPS, strange=True)
 
 
 def predict(net: Network, text: Column) -> Column:
-    """struct<lang: string, score: double> of each whole text.
+    """struct<lang: string, score: double, strange: double, letters: long> of each whole text.
 
-    ``und`` with score 0 for null, empty and letter-less texts, and when the
+    ``strange`` is the probability of no learned language (0 unless the network
+    has learned that class); lang is the likeliest of the languages and score
+    its probability; letters counts the bytes judged. ``und`` with score 0 for null, empty and letter-less texts, and when the
     network knows no language. Ties go to the alphabetically first language.
     """
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, strange double, letters long")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            names, scores = [], []
+            names, scores, odd, letters = [], [], [], []
             for s in range(0, len(texts), 512):
                 part = [t if isinstance(t, str) else "" for t in texts.iloc[s:s + 512]]
                 known = [any(map(str.isalpha, t)) for t in part]
+                data = [as_bytes(t) if k else b"" for t, k in zip(part, known, strict=True)]
+                letters += [int(LETTER[np.frombuffer(d, np.uint8)].sum()) for d in data]
                 if net.languages:
-                    p = pooled(net, [as_bytes(t) if k else b"" for t, k in zip(part, known, strict=True)])
+                    p = pooled(net, data)
                 for i, k in enumerate(known):
                     if k and net.languages and not np.isnan(p[i, 0]):
-                        best = int(p[i].argmax())
+                        best = int(p[i, :len(net.languages)].argmax())
                         names.append(net.languages[best])
                         scores.append(float(min(1.0, p[i, best])))
+                        odd.append(float(min(1.0, p[i, -1])) if net.strange else 0.0)
                     else:
                         names.append(UNKNOWN)
                         scores.append(0.0)
-            yield pd.DataFrame({"lang": names, "score": scores})
+                        odd.append(0.0)
+            yield pd.DataFrame({"lang": names, "score": scores, "strange": odd, "letters": letters})
 
     return label(text)
 
 
-def score_bound(net: Network, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-                per_language: int = 2 * SAMPLE_DOCS) -> float:
-    """Score below which a text is in no learned language: half-way from chance to the least score of learnable texts.
+def _weighed(r: str) -> tuple[Column, Column]:
+    """Score and ``strange`` of a prediction after ``PRIOR`` letters that speak for a learned language."""
+    r = F.col(r)
+    total = r["letters"] + F.lit(PRIOR)
+    return (r["score"] * r["letters"] + F.lit(PRIOR)) / total, r["strange"] * r["letters"] / total
+
 
-    The learnable texts are a bounded sample (``per_language`` rows a language,
-    smallest hash of the id), twice as many as the network is trained on, so
-    all of them pass. 0 when fewer than two languages are known: there is
-    nothing to tell apart.
+def bounds(net: Network, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+           per_language: int = 2 * SAMPLE_DOCS) -> tuple[float, float]:
+    """(least score, most ``strange``) of a text that is in a learned language, both weighed by ``_weighed``.
+
+    The least score lies half-way from chance to the least score of learnable
+    texts. The most ``strange`` lies half-way from the ``QUANTILE`` of
+    learnable texts (the highest of the languages) to 1, at least at one half:
+    a few rows that are no text themselves do not move it. The learnable texts
+    are a bounded sample (``per_language`` rows a language, smallest hash of
+    the id), twice as many as the network is trained on. (0, 1) when the
+    network tells fewer than two classes apart.
     """
-    if len(net.languages) < 2:
-        return 0.0
+    if len(net.c) < 2:
+        return 0.0, 1.0
     rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(learnable("id") & F.col("lang").isNotNull())
-    rows = rows.withColumn("o", F.xxhash64("id")).withColumn("k", F.expr("row_number() over (partition by lang order by o, id)")).where(F.col("k") <= per_language)
-    r = rows.repartition("id").select(predict(net, F.col("text")).alias("r")).where(F.col("r.lang") != UNKNOWN)
-    chance, least = 1 / len(net.languages), r.agg(F.min("r.score")).first()[0]
-    return 0.0 if least is None else chance + max(least - chance, 0) / 2
+    rows = (rows.withColumn("o", F.xxhash64("id")).withColumn("k", F.expr("row_number() over (partition by lang order by o, id)"))
+            .where(F.col("k") <= per_language).select("lang", "text"))
+    r = rows.repartition(F.xxhash64("text")).select("lang", predict(net, F.col("text")).alias("r")).where(F.col("r.lang") != UNKNOWN)
+    score, odd = _weighed("r")
+    by = r.groupBy("lang").agg(F.min(score).alias("least"), F.percentile(odd, F.lit(QUANTILE)).alias("odd"))
+    least, odd = by.agg(F.min("least"), F.max("odd")).first()
+    if least is None:
+        return 0.0, 1.0
+    chance = 1 / max(2, len(net.languages))
+    return chance + max(least - chance, 0) / 2, max(0.5, (1 + odd) / 2)
+
+
+def accepted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text is in a learned language.
+
+    Rows go that have no text, no letter, a score below or a probability of no
+    learned language above ``bounds``. Without any learned language every text
+    with letters stays. Rows without an id or a language are judged like any
+    other, repeated rows alike; an empty table gives an empty table.
+    """
+    net = fit(docs, doc_id, text, lang, strange=True)
+    if not net.languages:
+        return docs.where(F.col(text).rlike(r"\p{L}"))
+    least, most = bounds(net, docs, doc_id, text, lang)
+    r = fresh(docs, "language")
+    score, odd = _weighed(r)
+    known = (F.col(r)["lang"] != UNKNOWN) & (score >= least) & (odd <= most)
+    return docs.withColumn(r, predict(net, F.col(text))).where(known).drop(r)
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -148,6 +148,78 @@ def test_language_stage_rejects_by_the_network(spark):
     assert {r.doc_id for r in got.collect()} == set(range(80))
 
 
+def test_language_stage_rejects_other_languages_and_noise(spark):
+    """Noise, other scripts, other languages and code go; the held-out rows and very short texts stay."""
+    rng = np.random.default_rng(2)
+    sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    strange = [
+        "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему. " * 4,
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。" * 4,
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. " * 4,
+        "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), 600)),
+        "def forward(self, x):\n    for i in range(len(x)):\n        self.buf[i] = x[i] * 2\n    return self.buf\n" * 4,
+    ]
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(strange)] + [(-100, "Von.", None), (-101, "123 456", None)], sf.schema)
+    got = {r.doc_id for r in corpus_pipeline.keep_known_languages(spark, sf.union(more), "").select("doc_id").collect()}
+    assert {d for d in got if d < 0} == {-100}
+    assert {r.doc_id for r in sf.where(langid.held_out()).collect()} <= got
+    assert sf.count() - len(got) <= 1
+
+
+def test_language_sample_of_repeated_ids(spark):
+    """An id with a third of the rows neither fills nor swells the learning sample."""
+    rows = [(i, "abba baba caab " * 20 if i % 2 else "xyzzy zyxy yxxz " * 20, "a" if i % 2 else "x") for i in range(60)] + [(1, f"abba {i}", "a") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, x, y = langid.training_segments(docs, "doc_id", "text", "lang")
+    learnable = {r.doc_id for r in docs.where(langid.learnable()).collect()}
+    assert languages == ["a", "x"] and len(x) <= 3 * 2 * len(learnable) and (np.bincount(y) == np.bincount(y).max()).all()
+
+
+def test_language_gradients():
+    """Backpropagation through time against numeric differences of the loss."""
+    rng = np.random.default_rng(0)
+    h, k, steps, batch = 3, 2, 7, 4
+    x, target = rng.integers(97, 101, (steps, batch)), rng.integers(0, k, batch)
+    e, u = rng.normal(0, 0.3, (2, 3 * h, 256)), rng.normal(0, 0.3, (2, 3 * h, h))
+    e[:, :2 * h] += 0.5
+    w = rng.normal(0, 1, (2, k, h))
+    e, u, w = (a.astype(np.float32) for a in (e, u, w))
+
+    def plain(e, u, x):
+        """States by the unit's equations, one position after another, in double precision."""
+        e, u, out, state = e.astype(float), u.astype(float), [], np.zeros((h, batch))
+        for t in range(steps):
+            a, g = e[:, x[t]], u @ state
+            z, r = np.clip(a[:h] + g[:h], 0, 1), np.clip(a[h:2 * h] + g[h:2 * h], 0, 1)
+            n = np.tanh(a[2 * h:] + r * g[2 * h:])
+            state = n + z * (state - n)
+            out.append(state)
+        return np.array(out)
+
+    def loss(e, u):
+        q = w[0] @ plain(e[0], u[0], x) + w[1] @ plain(e[1], u[1], x[::-1])[::-1]
+        q -= np.log(np.exp(q).sum(axis=1, keepdims=True))
+        return -q[:, target, np.arange(batch)].sum()
+
+    forward, backward = langid._direction(e[0], u[0], x), langid._direction(e[1], u[1], x[::-1])
+    assert np.allclose(forward, plain(e[0], u[0], x), atol=1e-5) and np.allclose(backward, plain(e[1], u[1], x[::-1]), atol=1e-5)
+    q = w[0] @ forward + w[1] @ backward[::-1]
+    q = np.exp(q) / np.exp(q).sum(axis=1, keepdims=True)
+    q[:, target, np.arange(batch)] -= 1
+    ge, gu = np.zeros_like(e), np.zeros_like(u)
+    langid._backward(e[0], u[0], x, forward, w[0].T @ q, ge[0], gu[0])
+    langid._backward(e[1], u[1], x[::-1], backward, (w[1].T @ q)[::-1], ge[1], gu[1])
+    for grad, which in ((ge, 0), (gu, 1)):
+        for d in range(2):
+            for i in range(3 * h):
+                j = int(x[i % steps, 0]) if which == 0 else i % h
+                probe = [e.astype(float), u.astype(float)]
+                probe[which][d, i, j] += 1e-5
+                up = loss(*probe)
+                probe[which][d, i, j] -= 2e-5
+                assert abs((up - loss(*probe)) / 2e-5 - grad[d, i, j]) < 2e-3
+
+
 def test_toxicity(docs, none, labels):
     rows = toxicity.score_toxicity(docs, labels).collect()
     assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
