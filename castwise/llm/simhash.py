@@ -179,6 +179,16 @@ def _relabel(rows: DataFrame, found: DataFrame) -> DataFrame:
     return named.withColumn("comp", F.coalesce("root", "comp")).select(*rows.columns)
 
 
+def _labelled(shared: DataFrame, star: DataFrame) -> DataFrame:
+    """(key, fp, side, comp): each key of a fingerprint with the root that ``star`` names for the fingerprint, or itself.
+
+    A fingerprint has some 130 keys at most: one row carries them all to its label.
+    """
+    held = shared.groupBy("fp").agg(F.collect_list(F.struct("key", "side")).alias("held"))
+    named = held.join(star, F.col("fp") == F.col("node"), "left")
+    return named.select("fp", F.coalesce("root", "fp").alias("comp"), F.inline("held")).select("key", "fp", "side", "comp")
+
+
 def _mixed(rows: DataFrame) -> DataFrame:
     """The rows of buckets that hold several components."""
     keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
@@ -207,9 +217,7 @@ def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     heads = keys.groupBy("key").agg(F.min("fp").alias("head"), F.max("fp").alias("last")).where("head <> last").drop("last")
     shared = materialize(keys.join(heads, "key"), "golay-shared")
     star = components(shared.where("fp <> head").where(_near("fp", "head", max_bits)), "fp", "head")
-    # a fingerprint has some 130 keys at most: its own number is no hot key
-    first = shared.join(star, F.col("fp") == F.col("node"), "left").select("key", "fp", "side", F.coalesce("root", "fp").alias("comp"))
-    rows = materialize(_mixed(first), "golay-open")
+    rows = materialize(_mixed(_labelled(shared, star)), "golay-open")
     labels = _relabel(fps.select("fp", F.col("fp").alias("comp")), star)
     turn = 0
     while _pairs_a_row(rows) > PAIRS:
