@@ -9,8 +9,9 @@ over all documents. Single characters spelled out with spaces
 ("x y z", three or more, one or two blanks between) are decoded as one lattice.
 
 The restored words are scored by a logistic model over hashed word and
-word-prefix features, fitted on a bounded sample of labelled rows
-(``SAMPLE_ROWS``, smallest hash of the id first). Every feature that toxic
+word-prefix features, fitted on all labelled rows: features are counted over
+all of them, and weights are fitted in blocks of about ``BLOCK_ROWS`` rows and
+averaged by the blocks' rows. Every feature that toxic
 rows hold more often than their share is due takes part; its weight is shrunk
 by the counts it rests on (``evidence``), so few labels weaken the model but
 do not turn it off. No label, language, source or id enters a score.
@@ -42,7 +43,7 @@ SYMBOLS = 60           # 0 no letter, a-z, the 32 characters from U+00E0 on, 59
 SMOOTH = 5.0
 BUCKETS = 1 << 20      # hashed features
 PREFIXES = (4, 5)
-SAMPLE_ROWS = 30_000   # labelled rows the model is fitted on at most
+BLOCK_ROWS = 30_000    # labelled rows whose weights are fitted in one task, about
 HALF_Z = 4.0           # a feature of this z keeps half of its log odds
 PRIOR, RIDGE = 1.0, 0.1
 USUAL = 100            # distinct features of a text at which a weight counts once
@@ -283,8 +284,8 @@ def fit_logistic(rows: list[np.ndarray], by: np.ndarray, y: np.ndarray, scale: n
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-        sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Character model over all documents, word weights from the labelled sample.
+        block_rows: int = BLOCK_ROWS) -> Model:
+    """Character model over all documents, word weights from all labelled rows.
 
     Labels that are null, or that contradict each other for one id, are not
     used. Without both classes the model has no weights and scores the base
@@ -295,11 +296,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         counts[r.gram] = r.n
     log_p = language_model(counts)
     marked = (labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where(learnable("id") & F.col("y").isin(0, 1))
-              .groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").select("id", "y")
-              .orderBy(F.xxhash64("id"), "id").limit(sample_rows))
-    sample = materialize(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-                         .join(F.broadcast(marked), "id").select("y", "text"), "toxicity-sample")
-    totals = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+              .groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").select("id", "y"))
+    labelled = materialize(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(marked, "id")
+                           .select("y", "text", F.xxhash64("id", "text").alias("place")), "toxicity-labelled")
+    totals = {r.y: r.n for r in labelled.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
         return Model(log_p, np.zeros(BUCKETS), -40.0 if not totals.get(1) else 40.0)
     lm = docs.sparkSession.sparkContext.broadcast(log_p)
@@ -311,9 +311,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 sub = b.slice(at, 512)
                 with uncollected():
                     found = [reader.buckets(t or "") for t in sub.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([sub.column("y"), pa.array([f.tobytes() for f in found], pa.binary())], names=["y", "found"])
+                yield pa.RecordBatch.from_arrays([sub.column("y"), pa.array([f.tobytes() for f in found], pa.binary()), sub.column("place")], names=["y", "found", "place"])
 
-    held = materialize(sample.mapInArrow(read, "y int, found binary"), "toxicity-buckets")  # each text is decoded once
+    held = materialize(labelled.mapInArrow(read, "y int, found binary, place long"), "toxicity-buckets")  # each text is decoded once
 
     def count(batches):
         n = np.zeros((2, BUCKETS), np.int64)
@@ -323,26 +323,38 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         at = np.flatnonzero(n[0] + n[1])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0, at]), pa.array(n[1, at])], names=["bucket", "clean", "toxic"])
 
-    share = totals[1] / (totals[0] + totals[1])
+    total = totals[0] + totals[1]
+    share = totals[1] / total
     seen = (held.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket")
             .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") > (F.col("clean") + F.col("toxic")) * share)
             .orderBy("bucket").toArrow())  # at most BUCKETS
     chosen, clean, toxic = (seen.column(c).to_numpy() for c in ("bucket", "clean", "toxic"))
     place = np.full(BUCKETS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    used = docs.sparkSession.sparkContext.broadcast(place)
+    used = docs.sparkSession.sparkContext.broadcast((place, evidence(clean, toxic, share)))
 
     def hits(batches):
-        at = used.value
+        at = used.value[0]
         for b in batches:
             found = [np.frombuffer(f, np.int32) for f in b.column("found").to_pylist()]
             chosen = [at[f][at[f] >= 0].tobytes() for f in found]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([len(f) for f in found], pa.int32()), pa.array(chosen, pa.binary())], names=["y", "n", "hits"])
-
-    rows = held.mapInArrow(hits, "y int, n int, hits binary").toArrow()  # at most sample_rows rows of at most BUCKETS numbers
-    rows = rows.sort_by([("y", "ascending"), ("n", "ascending"), ("hits", "ascending")])
-    w, bias = fit_logistic([np.frombuffer(x.as_buffer(), np.int32) for x in rows.column("hits")], dilution(rows.column("n").to_numpy()),
-                           rows.column("y").to_numpy().astype(float), evidence(clean, toxic, share))
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("y"), pa.array([len(f) for f in found], pa.int32()), pa.array(chosen, pa.binary())],
+                                             names=["block", "y", "n", "hits"])
+
+    def learn(rows):
+        rows = rows.sort_by([("y", "ascending"), ("n", "ascending"), ("hits", "ascending")])
+        w, bias = fit_logistic([np.frombuffer(x.as_buffer(), np.int32) for x in rows.column("hits")], dilution(rows.column("n").to_numpy()),
+                               rows.column("y").to_numpy().astype(float), used.value[1])
+        at = np.flatnonzero(w)
+        return pa.table({"at": np.append(at, len(w)), "weight": np.append(w[at], bias) * (rows.num_rows / total)})
+
+    # ids are dealt to blocks of about block_rows rows; a block's weights count by its share of the rows
+    block = F.pmod(F.col("place"), F.lit(-(-total // block_rows))).cast("int")
+    fitted = (held.select(block.alias("block"), "y", "found").mapInArrow(hits, "block int, y int, n int, hits binary")
+              .groupBy("block").applyInArrow(learn, "at long, weight double").groupBy("at").agg(F.sum("weight").alias("weight")).toArrow())  # at most BUCKETS + 1
+    w = np.zeros(len(chosen) + 1)
+    w[fitted.column("at").to_numpy()] = fitted.column("weight").to_numpy()
+    w, bias = w[:-1], float(w[-1])
     weights = np.zeros(BUCKETS)
     weights[chosen] = w
     return Model(log_p, weights, bias)
