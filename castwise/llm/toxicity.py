@@ -43,6 +43,7 @@ SYMBOLS = 60           # 0 no letter, a-z, the 32 characters from U+00E0 on, 59
 SMOOTH = 5.0
 BUCKETS = 1 << 20      # hashed features
 PREFIXES = (4, 5)
+SENT_LABELS = 8 << 20  # labels (an id and a bit) sent to the texts at most; more are joined by exchange
 BLOCK_ROWS = 30_000    # labelled rows whose weights are fitted in one task, about
 HALF_Z = 4.0           # a feature of this z keeps half of its log odds
 PRIOR, RIDGE = 1.0, 0.1
@@ -297,7 +298,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     log_p = language_model(counts)
     marked = (labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where(learnable("id") & F.col("y").isin(0, 1))
               .groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").select("id", "y"))
-    labelled = materialize(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(marked, "id")
+    marked = materialize(marked, "toxicity-marked")
+    sent = F.broadcast(marked) if marked.count() <= SENT_LABELS else marked  # the texts stay where they are, or are exchanged once
+    labelled = materialize(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(sent, "id")
                            .select("y", "text", F.xxhash64("id", "text").alias("place")), "toxicity-labelled")
     totals = {r.y: r.n for r in labelled.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
