@@ -53,6 +53,26 @@ def test_token_table(spark):
     assert {r.k: r.clean_text for r in tokens.stemmed(t).collect()} == {1: "run run the run", 2: "", 3: " ".join(["the"] * 60)}
 
 
+def test_token_table_exchanges_rare_words_only(spark, monkeypatch):
+    """With fewer words sent than there are, the rest is joined to the same arrays; sent words never are."""
+    rows = [(1, ["running", "runs", "the", "running"]), (2, []), (3, ["the"] * 60), (4, None), (5, ["runs", None, "hopes", "the", "ties"]), (5, ["the", "the"])]
+    df = spark.createDataFrame(rows, "k long, t array<string>")
+    joined, join = [], tokens.lookup_join
+
+    def seen(big, *rest):
+        joined.append(sorted(r.token for r in big.collect()))
+        return join(big, *rest)
+
+    monkeypatch.setattr(tokens, "lookup_join", seen)
+    plain = tokens.encode(df, F.col("t"), ("k",))
+    monkeypatch.setattr(tokens, "SENT_WORDS", 2)  # the, running (runs is as frequent, but later by name)
+    few = tokens.encode(df, F.col("t"), ("k",))
+    assert joined == [["hopes", "runs", "runs", "ties"]]
+    as_rows = lambda df: sorted(map(str, df.drop("rid").collect()))
+    assert as_rows(few.full) == as_rows(plain.full) and few.encoded.count() == plain.encoded.count() == 4
+    assert as_rows(tokens.stemmed(few)) == as_rows(tokens.stemmed(plain)) and "clean_text='run hope the ti'" in as_rows(tokens.stemmed(few))[-2]
+
+
 def test_bucket_tables_find_near_vectors(spark):
     rnd = np.random.default_rng(5)
     centres = rnd.normal(size=(40, 16))
