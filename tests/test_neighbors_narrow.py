@@ -50,3 +50,19 @@ def test_narrow_matrix_is_factored_in_one_pass(spark, monkeypatch):
     u, v = ({r.id: np.array(r.vec) for r in d.collect()} for d in (rows, cols))
     back = np.array([[u[i] @ v[j] if i in u and j in v else 0.0 for j in range(9)] for i in range(70)])
     assert np.allclose(back, x)
+
+
+def test_factor_iteration_exchanges_few_partial_sums_and_writes_few_tables(spark, monkeypatch):
+    """A flat spectrum: one block of columns, so that no row has two partial sums, and no wide basis."""
+    rng = np.random.default_rng(11)
+    x = np.where(rng.random((150, 1500)) < 0.05, rng.integers(1, 10, (150, 1500)), 0).astype(float)
+    e = spark.createDataFrame([(int(u), int(t), float(x[u, t])) for u, t in zip(*np.nonzero(x), strict=True)], "u long, t long, v double").cache()
+    names, summed = [], []
+    write, add = tallskinny.materialize, tallskinny.summed
+    monkeypatch.setattr(tallskinny, "materialize", lambda df, name=None: names.append(name) or write(df, name))
+    monkeypatch.setattr(tallskinny, "summed", lambda partial, width, n: summed.append(n) or add(partial, width, n))
+    rows, cols, sigma, worst = tallskinny.truncated_svd(e, "u", "t", "v", 150, 1500, 5, block=24)
+    assert worst <= 1e-4 and np.allclose(sigma, np.linalg.svd(x)[1][:5], rtol=1e-6)
+    assert rows.count() == 150 and cols.count() == np.count_nonzero(x.any(axis=0))
+    assert set(summed) <= {1500}  # only where terms of the recurrence are added
+    assert len(names) < 60, len(names)
