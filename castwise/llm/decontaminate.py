@@ -31,6 +31,7 @@ from .common import fresh
 
 WINDOW = 10
 SHINGLE = 2
+SLICE = 256               # texts copied into Python at once
 BLOCK_RECORDS = 200_000   # (window, item) rows held by a task at once, on average
 
 #: Words over the lower-cased UTF-8 bytes: runs of digits, a-z and non-ASCII bytes.
@@ -79,10 +80,11 @@ def document_frequencies(docs: DataFrame, text: str, wanted: set, spark) -> Coun
         sizes = {len(t) for t in at}
         keys = at.keys()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                ws = words(t)
-                for k in sizes:
-                    n.update(keys & set(zip(*(ws[i:] for i in range(k)), strict=False)))
+            for at_row in range(0, b.num_rows, SLICE):
+                for t in b.column(0).slice(at_row, SLICE).to_pylist():
+                    ws = words(t)
+                    for k in sizes:
+                        n.update(keys & set(zip(*(ws[i:] for i in range(k)), strict=False)))
         yield pa.RecordBatch.from_arrays([pa.array([at[t] for t in n], pa.int64()), pa.array(list(n.values()), pa.int64())], names=["token", "n"])
 
     rows = docs.select(text).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
