@@ -53,3 +53,13 @@ def test_toxicity_labels_go_to_the_texts(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0] and "SortMergeJoin" in plans[1]
     assert rows[0] == rows[1] and sum(rows[0].values()) > 10
+
+
+def test_benchmark_tokens_are_counted_in_slices_of_texts(spark, monkeypatch):
+    """Document frequencies do not depend on how many texts are copied at once; nulls and repeats count as before."""
+    from castwise.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "SLICE", 2)
+    docs = spark.createDataFrame([("a b c",), (None,), ("A b",), ("",), ("b c b c",), ("a b c",), ("x",)], "text string").coalesce(1)
+    got = decontaminate.document_frequencies(docs, "text", {(b"a", b"b"), (b"b", b"c"), (b"x",), (b"q",)}, spark)
+    assert dict(got) == {(b"a", b"b"): 3, (b"b", b"c"): 3, (b"x",): 1}
