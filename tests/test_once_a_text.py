@@ -62,3 +62,56 @@ def test_scores_of_odd_tables_follow_the_sql(spark, odd_dir, name):
     at = [cur.columns.index(x) for x in got.columns]
     want = [tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in at) for r in cur.fetchall()]
     assert want and _rows(got) == sorted(map(repr, want))
+
+
+def _plain_tfidf(rows, n_docs, max_features, min_df):
+    """(vocabulary, weights) of (key, text) rows, counted row by row."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    from castwise.functions.text import STOP_WORDS
+
+    df, total, held = Counter(), Counter(), defaultdict(Counter)
+    for key, text in rows:
+        toks = [t for t in re.findall(r"\w{2,}", text.lower()) if t not in STOP_WORDS]
+        n = Counter(toks + [f"{a} {b}" for a, b in zip(toks, toks[1:], strict=False)])
+        df.update(n.keys())
+        total.update(n)
+        held[key].update(n)
+    kept = sorted((t for t in df if df[t] >= min_df), key=lambda t: (-total[t], t))[:max_features]
+    idf = {t: math.log((n_docs + 1) / (df[t] + 1)) + 1 for t in kept}
+    out = []
+    for key, n in held.items():
+        w = {t: n[t] * idf[t] for t in n if t in idf}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        out += [(key, t, x / norm) for t, x in w.items()]
+    return [(t, df[t], total[t], idf[t]) for t in kept], out
+
+
+def test_item_texts_are_weighed_once_a_document(spark, odd_dir):
+    from castwise.plans.featuring import tfidf_stage
+
+    c = Ctx(spark, odd_dir)
+    vocab, got = tfidf_stage(c)
+    rows = [tuple(r) for r in c.items_clean.select("item_id", "synopsis").collect()]
+    terms, want = _plain_tfidf(rows, c.items_core.count(), 300, 2)
+    rounded = lambda x: sorted(repr(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in x)
+    assert _rows(vocab) == rounded(terms) and _rows(got) == rounded(want)
+    assert "Generate" in got._jdf.queryExecution().optimizedPlan().toString()  # one row a text and its items until they meet
+
+
+@pytest.mark.parametrize(("max_features", "min_df"), [(1, 1), (3, 1), (4, 2), (6, 2), (40, 1), (None, 2), (None, 1)])
+def test_bigrams_of_rare_words_change_no_vocabulary(spark, max_features, min_df, monkeypatch):
+    from castwise.operators import tfidf as TF
+
+    texts = ["red fox red fox red", "red fox jumps", "lazy dog lazy dog", "fox", "", "blue red blue", "dog fox dog lazy", "blue sky"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "item_id long, synopsis string")
+    terms, want = _plain_tfidf(list(enumerate(texts)), len(texts), max_features, min_df)
+    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    for most in (TF.LITERAL_TERMS, 2):  # in the tokens' own rows, and in full
+        monkeypatch.setattr(TF, "LITERAL_TERMS", most)
+        rows = TF.tokens(docs.withColumn("times", F.lit(1)))
+        got = [tuple(r) for r in TF.vocabulary(rows, n, max_features, min_df).select("term", "df", "total").collect()]
+        assert sorted(got) == sorted(t[:3] for t in terms)
+        assert _rows(TF.tfidf_weights(docs, max_features=max_features, min_df=min_df)) == sorted(repr((k, t, round(x, 6))) for k, t, x in want)
