@@ -156,8 +156,8 @@ FROM credits_clean c JOIN reviews_clean r ON c.item_name = r.title"""), ids="J1,
 def merge_credits_reviews(spark, sf_dir):
     """Every merged row with all its columns; the text is returned as its md5."""
     c = Ctx(spark, sf_dir)
-    m = C.merge_credits_reviews(c.credits_clean, c.reviews_clean)
-    return m.withColumn("review_text_md5", F.md5("review_text")).drop("review_text")
+    r = c.by_text(c.reviews_clean_keyed, lambda t: t.select("text_id", F.md5("review_text").alias("review_text_md5")))
+    return C.merge_credits_reviews(c.credits_clean, r, c.reviews_clean_core)
 
 
 @register("impute_values", with_ctes(f"""
@@ -244,7 +244,7 @@ def csv_roundtrip_items(spark, sf_dir):
 @register("raw_table_rows", with_ctes("""
 SELECT 'items' AS name, count(*) AS n_rows FROM items UNION ALL SELECT 'reviews', count(*) FROM reviews UNION ALL SELECT 'credits', count(*) FROM credits"""), ids="S2,S1")
 def raw_table_rows(spark, sf_dir):
-    """All three tables written as CSV and loaded back together."""
+    """All three tables written as (packed) CSV and loaded back together."""
     import os
     import uuid
 
@@ -252,7 +252,7 @@ def raw_table_rows(spark, sf_dir):
     from ..sources import files as FI
     c, root = Ctx(spark, sf_dir), os.path.join(ensure_checkpoint_dir(spark), f"raw-{uuid.uuid4().hex}")
     for name, df in (("items", c.items), ("reviews", c.reviews), ("credits", c.credits)):
-        FI.write_csv(df, os.path.join(root, FI.RAW_FILES[name]))
+        FI.write_csv(df, os.path.join(root, FI.RAW_FILES[name]), "gzip")  # a file is read by one task, packed or not
     rows = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows") for name, df in FI.load_all_raw(spark, root).items()]
     return rows[0].union(rows[1]).union(rows[2])
 
@@ -280,7 +280,10 @@ def merged_file(spark, sf_dir):
     from ..session import ensure_checkpoint_dir
     from ..sources import files as FI
     c, root = Ctx(spark, sf_dir), os.path.join(ensure_checkpoint_dir(spark), f"processed-{uuid.uuid4().hex}")
-    FI.save_processed(C.merge_credits_reviews(c.credits_clean.where("role = 'Main Role'"), c.reviews_clean), root, "merged")
+    main = c.credits_clean.where("role = 'Main Role'")
+    # the texts join the merged rows, by their key: they are moved once, not with every join before
+    m = c.by_text(c.reviews_clean_keyed, lambda t: t, lambda r: C.merge_credits_reviews(main, r))
+    FI.save_processed(m.select(*c.credits_clean.columns, *c.reviews_clean.columns), root, "merged")
     return FI.read_processed(spark, root, "merged").select("actor_id", "item_name", "role", "user_id", "overall_score", "review_text")
 
 

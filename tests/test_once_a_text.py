@@ -115,3 +115,37 @@ def test_bigrams_of_rare_words_change_no_vocabulary(spark, max_features, min_df,
         got = [tuple(r) for r in TF.vocabulary(rows, n, max_features, min_df).select("term", "df", "total").collect()]
         assert sorted(got) == sorted(t[:3] for t in terms)
         assert _rows(TF.tfidf_weights(docs, max_features=max_features, min_df=min_df)) == sorted(repr((k, t, round(x, 6))) for k, t, x in want)
+
+
+@pytest.mark.parametrize("name", ["merge_credits_reviews", "merged_file", "raw_table_rows", "clean_reviews"])
+def test_tables_with_texts_follow_the_sql(spark, odd_dir, name):
+    test_scores_of_odd_tables_follow_the_sql(spark, odd_dir, name)
+
+
+def test_only_reviews_with_a_document_are_keyed(spark, odd_dir):
+    c = Ctx(spark, odd_dir)
+    keys = {r.text_id for r in c.reviews_keyed.select("text_id").collect()}
+    assert keys == {*range(30), None}  # orders 30 to 59 have no document: their reviews never meet the texts
+
+
+def test_raw_tables_are_written_packed(spark, tmp_path):
+    from castwise.sources import files as FI
+
+    df = spark.createDataFrame([(1, 'two\nlines, "quoted"')], "item_id long, item_name string")
+    assert FI.write_csv(df, str(tmp_path / "x"), "gzip") == 1
+    assert all(p.name.endswith(".csv.gz") for p in (tmp_path / "x").glob("part-*"))
+
+
+def test_packed_vectors_have_length_one_in_both_ways(spark, monkeypatch):
+    from castwise.operators import neighbors as NB
+
+    feats = spark.createDataFrame([(i, f, float(i % 5 + 1 + k)) for i in range(40) for k, f in enumerate(["a", "b", f"r{i % 13}"])], "id long, feature string, value double")
+    names = spark.createDataFrame([(i, f"n{i}") for i in range(41)], "id long, name string")
+    seen = []
+    for most in (NB.SENT_FEATURES, 0):  # sent to the rows, and joined
+        monkeypatch.setattr(NB, "SENT_FEATURES", most)
+        rows = {r.id: r for r in NB.pack_features(feats, names).table.collect()}
+        assert len(rows) == 41 and not any(rows[40].vec) and len(rows[3].rare) == 1
+        assert all(abs(sum(x * x for x in rows[i].vec) - 1) < 1e-9 for i in range(40))
+        seen.append(sorted(map(str, rows.values())))
+    assert seen[0] == seen[1]
