@@ -215,7 +215,8 @@ def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     tasks = max(1, -(-fps.count() // KEY_TASK))
     keys = golay_keys(fps.select("fp").repartition(tasks, "fp"))  # cheaper to make twice than to keep: about 130 rows a fingerprint
     heads = keys.groupBy("key").agg(F.min("fp").alias("head"), F.max("fp").alias("last")).where("head <> last").drop("last")
-    shared = materialize(keys.join(heads, "key"), "golay-shared")
+    # sized as the fingerprints that they are made of, of which they are some 130 times as many: never sent to the driver
+    shared = materialize(keys.hint("merge").join(heads, "key"), "golay-shared")
     star = components(shared.where("fp <> head").where(_near("fp", "head", max_bits)), "fp", "head")
     rows = materialize(_mixed(_labelled(shared, star)), "golay-open")
     labels = _relabel(fps.select("fp", F.col("fp").alias("comp")), star)
