@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import fresh, held_out, learnable
 
 SEGMENT = 128
@@ -40,8 +41,11 @@ MAX_LANGUAGES = 512    # more learned languages than this is an error, not a cut
 STEPS, TRAIN_BATCH, RATE = 160, 160, 0.02
 UNKNOWN = "und"
 CODE_SIGNS = ["_", ".", "(", ")\n", "[", "] ", " = ", "):\n    ", "\n        ", "(self.", ", ", " ", "::", "->", " += ", "{\n", "};\n", "/", "\n\n"]
-PRIOR = 64             # letters in a learned language that a text is taken to have besides its own
 QUANTILE = 0.99        # of the learnable texts of a language, see ``bounds``
+LEAST = 0.001          # the same for their score
+LONGEST = 8            # texts of 2 ** LONGEST letters and more are judged alike
+PIECES = 4             # of each of those lengths that one text gives
+DIGITS = 4             # of the scores whose quantile is taken: so many values at most are kept for one
 
 #: Bytes that belong to letters: A-Z, a-z and every non-ASCII byte.
 LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -321,56 +325,88 @@ def predict(net: Network, text: Column) -> Column:
     return label(text)
 
 
-def _weighed(r: str) -> tuple[Column, Column]:
-    """Score and ``strange`` of a prediction after ``PRIOR`` letters that speak for a learned language."""
-    r = F.col(r)
-    total = r["letters"] + F.lit(PRIOR)
-    return (r["score"] * r["letters"] + F.lit(PRIOR)) / total, r["strange"] * r["letters"] / total
-
+def _band(r: str) -> Column:
+    """Texts of 1, 2-3, 4-7, ... letters: how sure the network can be depends on the length."""
+    return F.least(F.floor(F.log2(F.col(r)["letters"])), F.lit(LONGEST)).cast("int")
+
+
+def pieces(text: str | None) -> list[str]:
+    """Pieces of 1, 2, 4, ... letters (bytes) from word beginnings all over the text; none longer than the rest from there."""
+    data = as_bytes(text)
+    letter = LETTER[np.frombuffer(data, np.uint8)]
+    starts = np.flatnonzero(letter & ~np.concatenate([[False], letter[:-1]]))
+    seen, out = np.cumsum(letter), []
+    for k in range(PIECES * LONGEST) if len(starts) else ():
+        at, band = int(starts[k * len(starts) // (PIECES * LONGEST)]), k % LONGEST
+        last = int(np.searchsorted(seen, seen[at] - 1 + (1 << band)))
+        while last + 1 < len(data) and data[last + 1] & 0xC0 == 0x80:  # a character is not cut
+            last += 1
+        if last < len(data):
+            out.append(data[at:last + 1].decode("utf-8", "ignore"))
+    return out
 
-def bounds(net: Network, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-           per_language: int = 2 * SAMPLE_DOCS) -> tuple[float, float]:
-    """(least score, most ``strange``) of a text that is in a learned language, both weighed by ``_weighed``.
 
-    The least score lies half-way from chance to the least score of learnable
-    texts. The most ``strange`` lies half-way from the ``QUANTILE`` of
-    learnable texts (the highest of the languages) to 1, at least at one half:
-    a few rows that are no text themselves do not move it. The learnable texts
-    are a bounded sample (``per_language`` rows a language, smallest hash of
-    the id), twice as many as the network is trained on. (0, 1) when the
-    network tells fewer than two classes apart.
+def bounds(net: Network, judged: DataFrame, r: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+           per_language: int = 2 * SAMPLE_DOCS) -> list[tuple[float, float]]:
+    """(least score, most ``strange``) of a text that is in a learned language, by ``_band``.
+
+    ``judged`` holds the prediction of every text as ``r``; all learnable texts
+    count. Few of them are short, so pieces of a bounded number of them
+    (``per_language`` rows a language, smallest hash of the id) count as texts
+    of their own. The least score lies half-way from chance to what all but
+    one in a thousand reach (``LEAST``, the lowest of the languages), or is
+    that if chance is more; the most ``strange`` half-way from what all but one
+    in a hundred stay below (``QUANTILE``, the highest of the languages) to 1,
+    at least at one half: a few rows that are no text themselves do not move
+    them. A length without any such text has the bounds of the next
+    shorter one. (0, 1) when the network tells fewer than two classes apart.
     """
     if len(net.c) < 2:
-        return 0.0, 1.0
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(learnable("id") & F.col("lang").isNotNull())
-    rows = (rows.withColumn("o", F.xxhash64("id")).withColumn("k", F.expr("row_number() over (partition by lang order by o, id)"))
-            .where(F.col("k") <= per_language).select("lang", "text"))
-    r = rows.repartition(F.xxhash64("text")).select("lang", predict(net, F.col("text")).alias("r")).where(F.col("r.lang") != UNKNOWN)
-    score, odd = _weighed("r")
-    by = r.groupBy("lang").agg(F.min(score).alias("least"), F.percentile(odd, F.lit(QUANTILE)).alias("odd"))
-    least, odd = by.agg(F.min("least"), F.max("odd")).first()
-    if least is None:
-        return 0.0, 1.0
-    chance = 1 / max(2, len(net.languages))
-    return chance + max(least - chance, 0) / 2, max(0.5, (1 + odd) / 2)
+        return [(0.0, 1.0)] * (LONGEST + 1)
+    rows = judged.where(learnable(doc_id) & F.col(lang).isNotNull()).select(
+        F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(r).alias("r"))
+    few = (rows.select("id", "lang", "text").withColumn("o", F.xxhash64("id")).withColumn("k", F.expr("row_number() over (partition by lang order by o, id)"))
+           .where(F.col("k") <= per_language).select("lang", "text"))
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            got = [(name.as_py(), p) for name, t in zip(b.column("lang"), b.column("text"), strict=True) for p in pieces(t.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.string()) for k in (0, 1)], names=["lang", "text"])
+
+    short = few.mapInArrow(cut, "lang string, text string").repartition(F.xxhash64("text")).select("lang", predict(net, F.col("text")).alias("r"))
+    known = rows.select("lang", "r").unionByName(short).where(F.col("r")["lang"] != UNKNOWN)
+    by = known.groupBy("lang", _band("r").alias("band")).agg(
+        F.percentile(F.round(F.col("r")["score"], DIGITS), F.lit(LEAST)).alias("least"),
+        F.percentile(F.round(F.col("r")["strange"], DIGITS), F.lit(QUANTILE)).alias("odd"))
+    found = {x.band: (x.least, x.odd) for x in by.groupBy("band").agg(F.min("least").alias("least"), F.max("odd").alias("odd")).collect()}  # LONGEST + 1 rows
+    chance, out = 1 / max(2, len(net.languages)), []
+    for band in range(LONGEST + 1):
+        at = max((k for k in found if k <= band), default=min(found, default=None))
+        least, odd = found.get(at, (0.0, 1.0))
+        out.append((min(least, (least + chance) / 2), max(0.5, (1 + odd) / 2)) if found else (0.0, 1.0))
+    return out
 
 
 def accepted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs``, unchanged, whose text is in a learned language.
 
     Rows go that have no text, no letter, a score below or a probability of no
-    learned language above ``bounds``. Without any learned language every text
-    with letters stays. Rows without an id or a language are judged like any
-    other, repeated rows alike; an empty table gives an empty table.
+    learned language above the ``bounds`` of texts as long as theirs. Every
+    text is judged once, however short, and the bounds rest on all learnable
+    ones. Without any learned language every text with letters stays. Rows
+    without an id or a language are judged like any other, repeated rows
+    alike; an empty table gives an empty table.
     """
     net = fit(docs, doc_id, text, lang, strange=True)
     if not net.languages:
         return docs.where(F.col(text).rlike(r"\p{L}"))
-    least, most = bounds(net, docs, doc_id, text, lang)
     r = fresh(docs, "language")
-    score, odd = _weighed(r)
-    known = (F.col(r)["lang"] != UNKNOWN) & (score >= least) & (odd <= most)
-    return docs.withColumn(r, predict(net, F.col(text))).where(known).drop(r)
+    judged = materialize(docs.withColumn(r, predict(net, F.col(text))), "language")  # read twice, predicted once
+    least, most = (F.element_at(F.array(*(F.lit(float(x)) for x in side)), _band(r) + 1) for side in zip(*bounds(net, judged, r, doc_id, text, lang), strict=True))
+    known = (F.col(r)["lang"] != UNKNOWN) & (F.col(r)["score"] >= least) & (F.col(r)["strange"] <= most)
+    return judged.where(known).drop(r)
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
