@@ -41,6 +41,7 @@ MAX_LANGUAGES = 512    # more learned languages than this is an error, not a cut
 STEPS, TRAIN_BATCH, RATE = 160, 160, 0.02
 UNKNOWN = "und"
 CODE_SIGNS = ["_", ".", "(", ")\n", "[", "] ", " = ", "):\n    ", "\n        ", "(self.", ", ", " ", "::", "->", " += ", "{\n", "};\n", "/", "\n\n"]
+PRIOR = 64             # letters in a learned language that a text's score is taken to rest on besides its own
 QUANTILE = 0.99        # of the learnable texts of a language, see ``bounds``
 LEAST = 0.001          # the same for their score
 LONGEST = 8            # texts of 2 ** LONGEST letters and more are judged alike
@@ -325,6 +326,12 @@ def predict(net: Network, text: Column) -> Column:
     return label(text)
 
 
+def _weighed(r: str) -> Column:
+    """Score of a prediction after ``PRIOR`` letters that speak for a learned language: a few letters do not tell them apart."""
+    letters = F.col(r)["letters"]
+    return (F.col(r)["score"] * letters + F.lit(PRIOR)) / (letters + F.lit(PRIOR))
+
+
 def _band(r: str) -> Column:
     """Texts of 1, 2-3, 4-7, ... letters: how sure the network can be depends on the length."""
     return F.least(F.floor(F.log2(F.col(r)["letters"])), F.lit(LONGEST)).cast("int")
@@ -348,18 +355,18 @@ def pieces(text: str | None) -> list[str]:
 
 def bounds(net: Network, judged: DataFrame, r: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
            per_language: int = 2 * SAMPLE_DOCS) -> list[tuple[float, float]]:
-    """(least score, most ``strange``) of a text that is in a learned language, by ``_band``.
+    """(least score, most ``strange``) of a text that is in a learned language, by ``_band``; the score ``_weighed``.
 
     ``judged`` holds the prediction of every text as ``r``; all learnable texts
-    count. Few of them are short, so pieces of a bounded number of them
-    (``per_language`` rows a language, smallest hash of the id) count as texts
-    of their own. The least score lies half-way from chance to what all but
-    one in a thousand reach (``LEAST``, the lowest of the languages), or is
-    that if chance is more; the most ``strange`` half-way from what all but one
-    in a hundred stay below (``QUANTILE``, the highest of the languages) to 1,
-    at least at one half: a few rows that are no text themselves do not move
-    them. A length without any such text has the bounds of the next
-    shorter one. (0, 1) when the network tells fewer than two classes apart.
+    count. The least score lies half-way from chance to what all but one in a
+    thousand reach (``LEAST``, the lowest of the languages). The most
+    ``strange`` lies half-way from what all but one in a hundred of its length
+    stay below (``QUANTILE``, the highest of the languages) to 1, at least at
+    one half: a few rows that are no text themselves do not move them. Few
+    texts are short, so pieces of a bounded number of them (``per_language``
+    rows a language, smallest hash of the id) count as texts of their own
+    there; a length without any has the bound of the next shorter one. (0, 1)
+    when the network tells fewer than two classes apart.
     """
     if len(net.c) < 2:
         return [(0.0, 1.0)] * (LONGEST + 1)
@@ -376,28 +383,28 @@ def bounds(net: Network, judged: DataFrame, r: str, doc_id: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.string()) for k in (0, 1)], names=["lang", "text"])
 
     short = few.mapInArrow(cut, "lang string, text string").repartition(F.xxhash64("text")).select("lang", predict(net, F.col("text")).alias("r"))
-    known = rows.select("lang", "r").unionByName(short).where(F.col("r")["lang"] != UNKNOWN)
-    by = known.groupBy("lang", _band("r").alias("band")).agg(
-        F.percentile(F.round(F.col("r")["score"], DIGITS), F.lit(LEAST)).alias("least"),
-        F.percentile(F.round(F.col("r")["strange"], DIGITS), F.lit(QUANTILE)).alias("odd"))
-    found = {x.band: (x.least, x.odd) for x in by.groupBy("band").agg(F.min("least").alias("least"), F.max("odd").alias("odd")).collect()}  # LONGEST + 1 rows
-    chance, out = 1 / max(2, len(net.languages)), []
-    for band in range(LONGEST + 1):
-        at = max((k for k in found if k <= band), default=min(found, default=None))
-        least, odd = found.get(at, (0.0, 1.0))
-        out.append((min(least, (least + chance) / 2), max(0.5, (1 + odd) / 2)) if found else (0.0, 1.0))
-    return out
+    whole = rows.select("lang", "r").unionByName(short)
+    by = whole.where(F.col("r")["lang"] != UNKNOWN).groupBy("lang", _band("r").alias("band"))
+    odd = F.percentile(F.round(F.col("r")["strange"], DIGITS), F.lit(QUANTILE)).alias("odd")
+    found = {x.band: x.odd for x in by.agg(odd).groupBy("band").agg(F.max("odd").alias("odd")).collect()}  # LONGEST + 1 rows
+    if not found:
+        return [(0.0, 1.0)] * (LONGEST + 1)
+    score = F.percentile(F.round(_weighed("r"), DIGITS), F.lit(LEAST)).alias("least")
+    least = rows.where(F.col("r")["lang"] != UNKNOWN).groupBy("lang").agg(score).agg(F.min("least")).first()[0]
+    chance = 1 / max(2, len(net.languages))
+    at = [max((k for k in found if k <= band), default=min(found)) for band in range(LONGEST + 1)]
+    return [(chance + max(least - chance, 0) / 2, max(0.5, (1 + found[k]) / 2)) for k in at]
 
 
 def accepted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs``, unchanged, whose text is in a learned language.
 
-    Rows go that have no text, no letter, a score below or a probability of no
-    learned language above the ``bounds`` of texts as long as theirs. Every
-    text is judged once, however short, and the bounds rest on all learnable
-    ones. Without any learned language every text with letters stays. Rows
-    without an id or a language are judged like any other, repeated rows
-    alike; an empty table gives an empty table.
+    Rows go that have no text, no letter, a score below the bound or a
+    probability of no learned language above that of texts as long as theirs
+    (``bounds``). Every text is judged once, however short, and the bounds rest
+    on all learnable ones. Without any learned language every text with letters
+    stays. Rows without an id or a language are judged like any other, repeated
+    rows alike; an empty table gives an empty table.
     """
     net = fit(docs, doc_id, text, lang, strange=True)
     if not net.languages:
@@ -405,7 +412,7 @@ def accepted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     r = fresh(docs, "language")
     judged = materialize(docs.withColumn(r, predict(net, F.col(text))), "language")  # read twice, predicted once
     least, most = (F.element_at(F.array(*(F.lit(float(x)) for x in side)), _band(r) + 1) for side in zip(*bounds(net, judged, r, doc_id, text, lang), strict=True))
-    known = (F.col(r)["lang"] != UNKNOWN) & (F.col(r)["score"] >= least) & (F.col(r)["strange"] <= most)
+    known = (F.col(r)["lang"] != UNKNOWN) & (_weighed(r) >= least) & (F.col(r)["strange"] <= most)
     return judged.where(known).drop(r)
 
 
